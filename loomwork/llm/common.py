@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -132,3 +133,27 @@ def replace_text(batch: pa.RecordBatch, texts: list[str | None], keep: list[bool
         if (k := batch.schema.get_field_index(name)) >= 0:
             batch = batch.set_column(k, batch.schema.field(k), pa.array(values, batch.schema.field(k).type))
     return batch if keep is None else batch.filter(pa.array(keep, pa.bool_()))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+class Rolling:
+    """Hashes of any spans of a buffer."""
+
+    def __init__(self, buffer: np.ndarray):
+        power, self._inverse = _power_tables(len(buffer) + 1)
+        self._total = np.empty(len(buffer) + 1, np.uint64)
+        self._total[0] = 0
+        np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * power[: len(buffer)], out=self._total[1:])
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self._total[end] - self._total[start]) * self._inverse[start] + (end - start).astype(np.uint64))
+
+    def every(self, n: int) -> np.ndarray:
+        """Hashes of the n bytes from each place that has as many."""
+        k = len(self._total) - n
+        return mix((self._total[n:] - self._total[:k]) * self._inverse[:k] + np.uint64(n))

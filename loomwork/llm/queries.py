@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import decontam, fingerprint, html, jaccard, linedup, packing, suffixdup, toxicity, warc
+from loomwork.llm import decontam, fingerprint, html, jaccard, linedup, packing, passages, suffixdup, toxicity, warc
 from loomwork.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdup.report(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 

@@ -1,19 +1,48 @@
-"""Cleaning and packing of a document table in stages; see loomwork.llm."""
+"""Cleaning and packing of a document table in stages; see loomwork.llm.
+
+Each stage works on all that the one before kept. The first four return the columns of documents: toxic
+documents go; later copies of repeated line runs go, with documents that consist of nothing else; one document
+of each group of near copies stays; spans of benchmark items go, with documents that are mostly such spans. The
+last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import packing
+from loomwork.llm import decontam, jaccard, linedup, packing, toxicity
 from loomwork.llm.common import staged, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linedup.dedup_lines(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five words and a similarity of 0.8, as for all stages on word shingles."""
+    return jaccard.keep_one(docs, gram=5, least=80)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack)]
-#: No SQL: the stages learn, match approximately or tokenize; tests compare them with brute force.
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark),
+    ("packing", pack),
+]
+#: None: the model and the tokenizer are beyond SQL; tests compare each stage with a plain version.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomwork.functions.dates import dob_key
+from loomwork.functions.dates import dob_key, let
 
 #: Country codes that may stand before an identifier.
 COUNTRIES = ["AUS", "CHN", "NZL", "GBR", "CAN", "USA", "HKG", "SGP", "IND", "PHL", "VNM"]
@@ -17,9 +17,8 @@ def name_key(c: Column) -> Column:
 
 def identity_id(family: Column, given: Column, dob: Column) -> Column:
     """First 16 hex digits of the hash of family name, given names and date of birth; null if any is blank."""
-    parts = [name_key(family), name_key(given), dob_key(dob)]
-    key = F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
-    return F.when((parts[0] != "") & (parts[1] != "") & (parts[2] != ""), key)
+    parts = F.array(name_key(family), name_key(given), dob_key(dob))
+    return let(parts, lambda p: F.when(~F.array_contains(p, ""), F.substring(F.sha2(F.array_join(p, "|"), 256), 1, 16)))
 
 
 def identifier(c: Column) -> Column:

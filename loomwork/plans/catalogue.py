@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from loomwork.plans import aggregate_queries, extract_queries, join_queries, merge_queries, select_queries, stream_queries
 
-def oracle_sql():
-    return {}
+MODULES = (select_queries, join_queries, aggregate_queries, merge_queries, extract_queries, stream_queries)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for m in MODULES for name, (f, _) in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}

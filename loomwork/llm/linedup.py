@@ -2,11 +2,12 @@
 
 A document is the sequence of its lines that are not blank. The suffixes of all documents are ranked by
 distributed prefix doubling: ranks by the first k lines, paired with the ranks k lines on, give the ranks by
-the first 2k lines. A rank counts the suffixes with smaller prefixes, found by sorting the distinct pairs in
-range partitions and adding up their sizes. Suffixes that share their rank at depth k form a
-longest-common-prefix interval of at least k lines; those alone in their interval have their final place and
-leave, so each round handles only what still repeats. Overlapping and adjacent intervals make up the maximal
-repeated runs.
+the first 2k lines. After the first round, a round doubles three times at once, pairing the ranks at k, 2k and
+so on up to 7k lines on, which saves two of three sorts. A rank counts the suffixes with smaller prefixes,
+found by sorting the distinct tuples in range partitions and adding up their sizes. Suffixes that share their
+rank at depth k form a longest-common-prefix interval of at least k lines; those alone in their interval have
+their final place and leave, so each round handles only what still repeats. Overlapping and adjacent intervals
+make up the maximal repeated runs.
 
 A line is removed if it lies in a run of `least` lines or more that also starts earlier, in a smaller doc_id
 or before in the same document; the first copy of a run stays. Only DataFrame functions are used.
@@ -26,6 +27,8 @@ from loomwork.llm.common import staged
 
 #: Shortest run that is removed, in lines.
 LEAST = 2
+#: How many times as deep each round after the first compares.
+WIDER = 8
 
 
 def lines_of(text: Column) -> Column:
@@ -34,7 +37,7 @@ def lines_of(text: Column) -> Column:
 
 def filled(lines: Column) -> Column:
     """Indexes of the lines that are not blank."""
-    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: lines[i].rlike(r"\S"))
+    return F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"\S"), i)), lambda i: i.isNotNull())
 
 
 def text_hash() -> Column:
@@ -55,46 +58,49 @@ def place() -> Column:
     return F.struct("doc", "twin", "pos")
 
 
-def ranked(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """The distinct pairs (a, b) that more than one suffix has: rank and the first suffix.
+def ranked(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The distinct keys that more than one suffix has, with their rank and first suffix.
 
-    Pairs are counted before the shuffle, so a frequent one is a row for each task. Range partitions hold
+    Keys are counted before the shuffle, so a frequent one is a row for each task. Range partitions hold
     them in order; each partition's ranks start at the number of suffixes in those before it.
     """
-    pairs = rows.groupBy(a, b).agg(F.count("*").alias("n"), F.min(place()).alias("first")).where("n > 1")
-    dealt = staged(pairs.repartitionByRange(a, b).withColumn("part", F.spark_partition_id()))
+    tuples = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(place()).alias("first")).where("n > 1")
+    dealt = staged(tuples.repartitionByRange(*key).withColumn("part", F.spark_partition_id()))
     # one row for each partition of the cluster's setting
     starts = dealt.groupBy("part").agg(F.sum("n").alias("n")).withColumn(
         "start", F.sum("n").over(Window.orderBy("part")) - F.col("n")
     )
-    within = Window.partitionBy("part").orderBy(a, b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("part").orderBy(*key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return dealt.join(F.broadcast(starts.select("part", "start")), "part").select(
-        a, b, "first", (F.col("start") + F.sum("n").over(within) - F.col("n")).alias("rank")
+        *key, "first", (F.col("start") + F.sum("n").over(within) - F.col("n")).alias("rank")
     )
 
 
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Suffixes that share `least` lines or more with an earlier one: doc, twin, pos, depth.
 
-    A suffix has a row for each depth reached (least, and the powers of two beyond it) at which it repeats.
+    A suffix has a row for each depth reached (least, and that times the powers of WIDER) at which it repeats.
+    The first round joins the ranks of the first `least` lines one by one, as they are few.
     """
-    # depth is how many lines the ranks compare; ahead, the rank `step` lines on
-    depth, found = 1, None
-    rows = occurrences(docs).withColumnsRenamed({"a": "r", "b": "next"})
+    rows, key, depth, found = occurrences(docs), ["a", "b"], 1, None
     while True:
-        classes = ranked(rows.where("next is not null"), "r", "next")
-        named = rows.join(classes, ["r", "next"]).select(
-            "doc", "twin", "pos", F.col("rank").alias("r"), (F.col("first") < place()).alias("again")
+        classes = ranked(rows.dropna(subset=key), key)
+        named = rows.join(classes, key).select(
+            "doc", "twin", "pos", F.col("rank").alias("k0"), (F.col("first") < place()).alias("again")
         )
-        step = least - depth if depth < least < 2 * depth else depth
-        ahead = Window.partitionBy("doc", "twin").orderBy("pos").rangeBetween(step, step)
-        rows = staged(named.withColumn("next", F.max("r").over(ahead)))
+        if depth >= least:
+            times, step = WIDER, depth
+        else:
+            times, step = least, 1
+        key = [f"k{i}" for i in range(times)]
+        order = Window.partitionBy("doc", "twin").orderBy("pos")
+        rows = staged(named.withColumns({f"k{i}": F.max("k0").over(order.rangeBetween(i * step, i * step)) for i in range(1, times)}))
         if depth >= least:
             own = rows.where("again").select("doc", "twin", "pos", F.lit(depth).alias("depth"))
             found = own if found is None else found.unionByName(own)
-        if rows.where("next is not null").isEmpty():
+        if rows.where(F.col(key[-1]).isNotNull()).isEmpty():
             return found if found is not None else rows.select("doc", "twin", "pos", F.lit(depth).alias("depth")).limit(0)
-        depth += step
+        depth *= times
 
 
 def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -113,43 +119,50 @@ def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def _marked(docs: DataFrame, least: int) -> DataFrame:
-    cuts = removals(docs, least)
-    return docs.withColumn("_twin", text_hash()).join(
-        cuts, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("_twin") == F.col("twin")), "left"
+    """docs with __lines, __solid (places of those not blank), and __gone and __deepest, null where nothing goes.
+
+    The arrays are made before the join, so that no expression on the rows after it computes them again.
+    """
+    cuts = removals(docs, least).toDF("__doc", "__same", "__gone", "__deepest")
+    lines = lines_of(F.col("text"))
+    return docs.withColumns({"__twin": text_hash(), "__lines": lines, "__solid": filled(lines)}).join(
+        cuts, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__twin") == F.col("__same")), "left"
     )
 
 
 def _kept() -> Column:
-    """The text without the lines at the positions in `gone`, counted over lines that are not blank."""
-    lines = lines_of(F.col("text"))
-    index = F.transform("gone", lambda p: filled(lines)[p])
-    return F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(index, i)), "\n")
+    """The text without the lines at the positions in __gone, counted over lines that are not blank."""
+    index = F.transform("__gone", lambda p: F.col("__solid")[p])
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), index)
+    return F.array_join(F.transform(left, lambda i: F.col("__lines")[i]), "\n")
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """The columns of docs, with later copies of repeated runs removed from the texts."""
-    n_lines = F.size(F.filter(lines_of(F.col("text")), lambda x: x.rlike(r"\S")))
-    cut = F.col("gone").isNotNull()
-    out = _marked(docs, least).where(~cut | (F.size("gone") < n_lines)).withColumn("_kept", F.when(cut, _kept()).otherwise(F.col("text")))
-    changed = {"text": F.col("_kept")} | ({"n_chars": F.when(cut, F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    cut = F.col("__gone").isNotNull()
+    out = _marked(docs, least).where(~cut | (F.size("__gone") < F.size("__solid")))
+    out = out.withColumn("__kept", F.when(cut, _kept()).otherwise(F.col("text")))
+    changed = {"text": F.col("__kept")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(cut, F.length("__kept").cast(kind)).otherwise(F.col("n_chars"))
     return out.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """The rows of query op2: doc_id, n_lines, n_removed, n_runs, deepest, kept_sha256.
 
-    deepest is the largest depth of the ranking, 2, 4, 8 and so on lines, at which a removed run repeats.
+    deepest is the largest depth of the ranking, 2, 16, 128 and so on lines, at which a removed run repeats.
     """
-    cut = F.col("gone").isNotNull()
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    text = F.coalesce("text", F.lit(""))
+    gone = F.coalesce("__gone", F.array().cast("array<int>"))
+    begun = F.array_except(gone, F.transform(gone, lambda p: p + 1))
     return _marked(docs.select("doc_id", "text"), LEAST).select(
         "doc_id",
-        F.size(F.filter(lines_of(F.col("text")), lambda x: x.rlike(r"\S"))).cast("long").alias("n_lines"),
+        F.size("__solid").cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_removed"),
-        F.size(F.filter(gone, lambda p: ~F.array_contains(gone, p - 1))).cast("long").alias("n_runs"),
-        F.coalesce("deepest", F.lit(0)).cast("long").alias("deepest"),
-        F.sha2(F.when(cut, _kept()).otherwise(text), 256).alias("kept_sha256"),
+        F.size(begun).cast("long").alias("n_runs"),
+        F.coalesce("__deepest", F.lit(0)).cast("long").alias("deepest"),
+        F.sha2(F.when(F.col("__gone").isNotNull(), _kept()).otherwise(F.array_join("__lines", "\n")), 256).alias("kept_sha256"),
     )
 
 
@@ -159,7 +172,7 @@ with l as (
   select doc_id, string_split(coalesce(text, ''), chr(10)) as every,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '\S')) as ls
   from documents),
-d as (select doc_id, ls, len(ls) as n, unnest([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]) as depth from l),
+d as (select doc_id, ls, len(ls) as n, unnest([2, 16, 128, 1024, 8192]) as depth from l),
 w as (select doc_id, depth, n, unnest(range(1, n - depth + 2)) as pos, ls from d where n >= depth),
 k as (select doc_id, depth, pos, md5(array_to_string(list_slice(ls, pos, pos + depth - 1), chr(10))) as key from w),
 r as (select *, row_number() over (partition by depth, key order by doc_id, pos) as nth from k),

@@ -163,7 +163,7 @@ def _pass(state: DataFrame, block: DataFrame, window: int) -> DataFrame:
     def run(batches):
         auto = Automaton(sent.value, window)
         for b in batches:
-            k, h, m, n = (b.schema.get_field_index(c) for c in ("_bytes", "_hits", "_items", "_words"))
+            k, h, m, n = (b.schema.get_field_index(c) for c in ("__bytes", "__hits", "__items", "__words"))
             hits, ids, counts = b.column(h).to_pylist(), b.column(m).to_pylist(), []
             for i, text in enumerate(b.column(k)):
                 words = fold(text.as_py())
@@ -194,10 +194,10 @@ def _union(flat: list[int]) -> list[int]:
 def _matched(docs: DataFrame, bench: DataFrame, window: int, block_words: int) -> DataFrame:
     state = docs.withColumns(
         {
-            "_bytes": utf8(),
-            "_hits": F.array().cast("array<long>"),
-            "_items": F.array().cast("array<string>"),
-            "_words": F.lit(0).cast("long"),
+            "__bytes": utf8(),
+            "__hits": F.array().cast("array<long>"),
+            "__items": F.array().cast("array<string>"),
+            "__words": F.lit(0).cast("long"),
         }
     )
     blocks = _blocks(bench.select("item_id", "text"), window, block_words)
@@ -210,14 +210,14 @@ def find_contamination(docs: DataFrame, bench: DataFrame, window: int = 10, bloc
     """One row per document: doc_id, n_words, n_hit, spans (flat word offsets), items."""
     found = _matched(docs.select("doc_id", "text"), bench, window, block_words)
     covered = F.aggregate(
-        F.sequence(F.lit(0), F.size("_hits") - 1), F.lit(0).cast("long"), lambda a, i: a + F.when(i % 2 == 0, -1).otherwise(1) * F.col("_hits")[i]
+        F.sequence(F.lit(0), F.size("__hits") - 1), F.lit(0).cast("long"), lambda a, i: a + F.when(i % 2 == 0, -1).otherwise(1) * F.col("__hits")[i]
     )
     return found.select(
         "doc_id",
-        F.col("_words").alias("n_words"),
-        F.when(F.size("_hits") > 0, covered).otherwise(F.lit(0).cast("long")).alias("n_hit"),
-        F.col("_hits").alias("spans"),
-        F.col("_items").alias("items"),
+        F.col("__words").alias("n_words"),
+        F.when(F.size("__hits") > 0, covered).otherwise(F.lit(0).cast("long")).alias("n_hit"),
+        F.col("__hits").alias("spans"),
+        F.col("__items").alias("items"),
     )
 
 
@@ -231,8 +231,8 @@ def decontaminate(
 
     def cut(batches):
         for b in batches:
-            k = b.schema.get_field_index("_bytes")
-            hits = b.column("_hits").to_pylist()
+            k = b.schema.get_field_index("__bytes")
+            hits = b.column("__hits").to_pylist()
             texts, keep = b.column("text").to_pylist(), [True] * b.num_rows
             for i, flat in enumerate(hits):
                 if flat:
@@ -244,8 +244,9 @@ def decontaminate(
                         out.append(raw[pos : at[s][0]])
                         pos = at[e - 1][1]
                     texts[i] = b"".join([*out, raw[pos:]]).decode("utf-8", "replace")
-            yield replace_text(b.select([c for c in b.schema.names if c[:1] != "_" or c in docs.columns]), texts, keep)
+            yield replace_text(b.select(names), texts, keep)
 
+    names = docs.columns
     return _matched(docs, bench, window, block_words).mapInArrow(cut, docs.schema)
 
 

@@ -195,6 +195,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return marked.mapInArrow(run, schema)
 
 
+def keep_clean(docs: DataFrame, model: Model, limit: float = 0.3) -> DataFrame:
+    """The rows of docs that score below the limit."""
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
+    names = docs.columns
+
+    def run(batches):
+        model = Model(*sent.value)
+        table = slots(model)
+        for b in batches:
+            keep = []
+            for _, part in groups_of(b.column("__bytes").to_pylist()):
+                features, first, bounds = bags(part)
+                keep += (noisy_or(sentence_scores(model, table, features, first), bounds) < limit).tolist()
+            yield b.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return docs.withColumn("__bytes", utf8()).mapInArrow(run, docs.schema)
+
+
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of query op7."""
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))

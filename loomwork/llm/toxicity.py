@@ -27,7 +27,7 @@ from loomwork.llm.common import ALNUM, Words, groups_of, utf8
 SLOTS = 1 << 22
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 STEMS = (4, 5, 6, 7, 8, 9)
-#: Log odds of a sentence without any known feature.
+#: Log odds of a sentence with known features before they are added; one without any has probability 0.
 BIAS = -9.0
 ENDS = b".!?\n"
 _IS_END = np.zeros(256, bool)
@@ -78,13 +78,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def sentence_scores(model: Model, table: np.ndarray, features, first: np.ndarray) -> np.ndarray:
     word, found = known(model, table, features)
     sentence = np.searchsorted(first, word, "right") - 1
-    return sigmoid(BIAS + np.bincount(sentence, model.weights[found], len(first))[: len(first)])
+    return probabilities(sentence, model.weights[found], len(first))
+
+
+def probabilities(sentence: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """Of n sentences, from the weights of the features that occur and the sentences they are in."""
+    p = sigmoid(BIAS + np.bincount(sentence, weights, n))
+    return np.where(np.bincount(sentence, minlength=n) > 0, p, 0.0)
 
 
 def noisy_or(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Probability of each bag from its sentences'; bounds has one entry more than there are bags."""
     total = np.concatenate([[0.0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-12)))])
-    return -np.expm1(total[bounds[1:]] - total[bounds[:-1]])
+    return np.abs(np.expm1(total[bounds[1:]] - total[bounds[:-1]]))
 
 
 def choose(texts: list[bytes], labels: np.ndarray, least: int = 3, z: float = 4.0) -> np.ndarray:
@@ -136,7 +142,7 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 150, rate: float
     target, weight = labels[doc], np.where(labels[doc] == 1, 1.0, 3.0)
     weights, seen = model.weights, np.full(len(keys), 1e-8)
     for _ in range(rounds):
-        p = sigmoid(BIAS + np.bincount(sentence, weights[feature], n))
+        p = probabilities(sentence, weights[feature], n)
         whole = np.maximum(noisy_or(p, bounds), 1e-9)[doc]
         slope = np.where(target == 1, -(1 - whole) / whole * p, p) * weight
         grad = np.bincount(feature, slope[sentence], len(keys)) + decay * len(texts) * weights / max(1, len(keys))

@@ -11,7 +11,7 @@ payload's digest). Where one fails, the reader looks for the next member or vers
 them, and the bytes between are a row of kind "gap" with the reason.
 
 Defined results: a null html is an empty payload; a null url leaves the target out; a null page_id is written
-without an id and read as null, and with equal payloads it refers to the smallest page_id that is not null.
+as an id of its own and read as null, and with equal payloads it refers to the smallest page_id that is not null.
 Repeated rows with the smallest page_id are all responses. An empty table gives an empty archive. Columns
 besides page_id, url and html are ignored.
 """
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.common import shared_dir, utf8
 
-URN = "urn:loomwork:page:"
+URN, NONE = "urn:loomwork:page:", "urn:loomwork:none"
 DATE = "2000-01-01T00:00:00Z"
+REQUIRED = frozenset(("warc-type", "warc-date", "warc-record-id", "content-length"))
 START = re.compile(rb"\x1f\x8b\x08|WARC/[01]\.[0-9]")
 
 
@@ -64,7 +65,7 @@ def record(page_id: str | None, url: str | None, payload: bytes, digest: str, ki
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Date: {DATE}",
-        *([f"WARC-Record-ID: <{URN}{quote(page_id, safe='')}>"] if page_id is not None else []),
+        f"WARC-Record-ID: <{NONE if page_id is None else URN + quote(page_id, safe='')}>",
         *([f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}"] if url is not None else []),
         *([f"WARC-Refers-To: <{URN}{quote(refers_to, safe='')}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers_to is not None else []),
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -110,7 +111,12 @@ def parse(data: bytes, start: int, whole: bool) -> tuple[dict[str, str], bytes,
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line")
-        headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        key = name.strip().lower().decode("latin-1")
+        if key in headers:  # the end of one record's header may be missing
+            raise Damaged("header repeated")
+        headers[key] = value.strip().decode("utf-8", "replace")
+    if not REQUIRED <= headers.keys():
+        raise Damaged("header missing")
     length = headers.get("content-length", "")
     if not length.isdigit():
         raise Damaged("content length")
@@ -213,7 +219,7 @@ def report(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def urn(header: str):
-        return F.expr(f"url_decode(regexp_extract(headers['{header}'], '^<{URN}(.*)>$', 1))")
+        return F.expr(f"url_decode(nullif(regexp_extract(headers['{header}'], '^<{URN}(.*)>$', 1), ''))")
 
     revisit = F.col("headers")["warc-type"] == "revisit"
     return (

@@ -153,3 +153,19 @@ def consolidated(fields: DataFrame, key: str, names: list[str]) -> DataFrame:
     wide = best.groupBy(key).pivot("field_name", names).agg(F.first("value").alias("value"), F.first("approved").alias("approved"))
     renamed = {f"{n}_value": n for n in names} | {f"{n}_approved": f"{n}__approved" for n in names}
     return wide.withColumnsRenamed(renamed)
+
+
+def health(docs: DataFrame, extractions: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One row: documents, those without an extraction, failed ones, jobs in work, and the warnings these give."""
+    done = extractions.select(F.col("document_id").alias("id")).distinct().withColumn("__has", F.lit(True))
+    one = docs.join(done, "id", "left").agg(F.count("*").alias("documents"), F.count_if(F.col("__has").isNull()).alias("without_extraction"), F.count_if(F.col("status") == "failed").alias("failed"))
+    two = jobs.agg(F.count_if(F.col("status") == "processing").alias("in_work"))
+    # two single rows
+    both = one.join(F.broadcast(two))
+    warnings = F.array(F.when(F.col("without_extraction") > 0, "missing_extractions"), F.when(F.col("failed") * 5 > F.col("documents"), "many_failures"))
+    return both.withColumn("warnings", F.array_join(F.filter(warnings, lambda x: x.isNotNull()), ","))
+
+
+def regroup_evidence(crops: DataFrame) -> DataFrame:
+    """Crops (doc_id, folder, page, score) as a record for each page: number, best score and scores in order."""
+    return crops.groupBy("doc_id", "folder", "page").agg(F.count("*").alias("crops"), F.max("score").alias("best"), F.array_join(F.array_sort(F.collect_list(F.col("score").cast("string"))), ";").alias("scores"))

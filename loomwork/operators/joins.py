@@ -121,3 +121,15 @@ def collisions(fields: DataFrame, subject: str = "subject", value: str = "value"
     return own.join(others, ["doc_id", value], "left_semi").join(support, ["doc_id", value]).where("readings = 1").drop("readings")
 
 
+
+
+def attach_identity(evidence: DataFrame, docs: DataFrame, identities: DataFrame) -> DataFrame:
+    """Evidence with the document at its path and that document's identity, where there are any."""
+    at = docs.select(F.col("original_path").alias("path"), F.col("id").alias("document_id"))
+    return evidence.join(at, "path", "left").join(identities.select("document_id", "identity_id"), "document_id", "left")
+
+
+def apply_buckets(evidence: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Evidence with the verdict of a review by crop path; without one it stays as it is."""
+    joined = evidence.join(buckets, "path", "left")
+    return joined.withColumn("verified", F.coalesce(F.col("bucket") == "verified", F.col("verified"))).drop("bucket")

@@ -173,3 +173,30 @@ def fingerprint(df: DataFrame, rule: str) -> DataFrame:
 
 def needs_rebuild(df: DataFrame, rule: str, known: str | None) -> bool:
     return fingerprint(df, rule).first()["fingerprint"] != known
+
+
+def load_verified(records: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified rows (content_hash, field_name, value, verif) of documents not known yet, with ids made from content."""
+    new = records.where("verif = 'ok'").join(docs.select("content_hash"), "content_hash", "left_anti")
+    document = F.substring(F.sha2(F.concat(F.lit("doc|"), "content_hash"), 256), 1, 16)
+    field = F.substring(F.sha2(F.concat_ws("|", F.lit("field"), "content_hash", "field_name"), 256), 1, 16)
+    return new.select(document.alias("document_id"), field.alias("field_id"), "field_name", "value").dropDuplicates(["field_id"])
+
+
+def load_scores(fields: DataFrame, scores: DataFrame) -> DataFrame:
+    """Scores put into fields: inserted, updated, unchanged, or skipped where a reviewer corrected the field."""
+    joined = fields.select("doc_id", F.col("value").alias("old"), "corrected_value").join(scores.select("doc_id", F.col("score").alias("new")), "doc_id", "full_outer")
+    action = (
+        F.when(F.col("new").isNull(), "kept").when(F.col("corrected_value").isNotNull(), "skipped").when(F.col("old").isNull(), "inserted").when(F.col("old") == F.col("new"), "unchanged").otherwise("updated")
+    )
+    return joined.select("doc_id", action.alias("action"), F.when(action.isin("inserted", "updated"), F.col("new")).otherwise(F.coalesce("corrected_value", "old")).alias("value"))
+
+
+def reaudit(docs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Documents whose bytes are not what their extension claims become failed; nothing is deleted."""
+    from loomwork.functions.text import category
+    from loomwork.operators.verify import claims_hold
+
+    joined = docs.join(kinds, "id", "left")
+    bad = F.col("kind").isNotNull() & ~claims_hold(category(F.col("filename")), F.col("kind"))
+    return joined.select("id", F.when(bad, "failed").otherwise(F.col("status")).alias("status"), bad.alias("changed"))

@@ -77,3 +77,15 @@ def gallery(evidence: DataFrame) -> DataFrame:
     """Evidence with its place in the gallery (verified first, then document and page) and the thumbnail mark."""
     w = Window.partitionBy("identity_id").orderBy(F.desc("verified"), "doc_id", "page")
     return evidence.withColumn("place", F.row_number().over(w)).withColumn("thumbnail", F.col("verified") & (F.col("place") == 1))
+
+
+def catalogue_order(fields: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Fields with their place in a document: by catalogue number, unknown ones last by name."""
+    joined = fields.join(catalogue, "field_name", "left")
+    w = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("number"), "field_name")
+    return joined.withColumn("place", F.row_number().over(w))
+
+
+def smallest_first(pages: DataFrame, k: int) -> DataFrame:
+    """The k smallest documents to process next, by pages, then path: a top-k."""
+    return pages.orderBy("pages", "path").limit(k)

@@ -41,14 +41,19 @@ def read_verdicts(spark: SparkSession, path: str, schema: StructType) -> DataFra
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-def read_texts(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
-    """path, text and whether it was cut; without a cap nothing is."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+def capped(rows: DataFrame, cap: int | None = None) -> DataFrame:
+    """rows with `truncated`, and texts of cap characters at most; without a cap nothing is cut."""
     if cap is None:
         return rows.withColumn("truncated", F.lit(False))
     return rows.withColumn("truncated", F.length("text") > cap).withColumn("text", F.substring("text", 1, cap))
 
 
+def read_texts(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
+    """path, text and truncated of whole files."""
+    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return capped(rows, cap)
+
+
 def read_path_list(spark: SparkSession, path: str, allowed: list[str]) -> DataFrame:
     """Distinct paths of a list whose extension is allowed."""
     rows = spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''").distinct()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import decontam, fingerprint, html, jaccard, linedup, packing, passages, suffixdup, toxicity, warc
+from loomwork.llm import decontam, fingerprint, html, jaccard, linedup, oracles, packing, passages, suffixdup, toxicity, warc
 from loomwork.llm.common import table
 
 
@@ -54,7 +54,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
 
-ORACLE: dict[str, str] = {"op2_line_dedup": linedup.ORACLE}
+ORACLE: dict[str, str] = {
+    "op1_decontamination": oracles.OP1,
+    "op2_line_dedup": linedup.ORACLE,
+    "op3_suffix_dedup": oracles.OP3,
+    "op5_warc": oracles.OP5,
+    "op9_jaccard_join": oracles.OP9,
+}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -51,6 +51,8 @@ BESIDE = frozenset(
     form search login signup subscribe subscription newsletter
     share sharing social related recommended recommendations teaser""".split()
 )
+#: Of these, what inside an article holds its title.
+TITLES = frozenset(("header", "masthead"))
 #: Words that say that the class names a layout, not the element's own role.
 LAYOUT = frozenset(("has", "with", "no", "without"))
 
@@ -71,7 +73,7 @@ def beside(tag: str, attributes: str, inside_main: bool) -> bool:
             continue
         for word in value.split():
             parts = set(re.split(r"[^a-z]+", word))
-            if parts & BESIDE and not parts & LAYOUT:
+            if parts & (BESIDE - TITLES if inside_main else BESIDE) and not parts & LAYOUT:
                 return True
     return False
 

@@ -97,6 +97,7 @@ def test_html_edges(spark, pages):
         ("<script>var t='</p>';</script><p>x</p><style>p{}</style>", "x"),
         ("<div><p>open <p>tags <i>never closed", "open\ntags never closed"),
         ("<ul><li><a href=1>menu one</a><li><a href=2>menu two</a></ul><p>The text itself.</p>", "The text itself."),
+        ("<div class=header>Site</div><article><div class='post-header'><h1>T</h1></div><p>x</p><section id=comments>c</section></article>", "T\nx"),
         ("<form><p>name</p></form><p>&#x41;&nbsp;b&copy;</p>", "A b©"),
     ],
 )

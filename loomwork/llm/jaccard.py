@@ -8,8 +8,9 @@ under `ORDERS` further orders before their sets are intersected.
 
 Tokens with few sets give all their pairs. Larger groups first give only links to a leader and a neighbour;
 when those have been verified and merged into components, only pairs of sets from different components of a
-group are left. They are compared in blocks by bitmaps, whose distance bounds that of the sets, and verified.
-So a large group of near copies costs about as many comparisons as it has members, and no link is lost.
+group are left. They are compared in blocks by bitmaps, whose distance bounds that of the sets, and verified:
+first only the nearest few of each set, then, when those have been merged too, all that are left. So a large
+group of near copies costs about as many verifications as it has members, and no link is lost.
 
 Defined results: a null text, or one without words, has no n-grams and is alone. Repeated documents and
 documents with equal sets are linked. A null doc_id is the id of a component only if no member has another.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import SPACED, Words, groups_of, mix, shingle_hashes, staged, utf8
+from loomwork.llm.common import SPACED, Words, groups_of, mix, release, shingle_hashes, staged, utf8
 from loomwork.llm.components import components
 
 #: Words of an n-gram, and the least similarity in percent.
@@ -36,8 +37,10 @@ SMALL = 6
 FREQUENT, MOST_FREQUENT = 8, 200_000
 #: Sets of a group that are compared in one task.
 BLOCK = 4096
-#: 64-bit words of the bitmap of a set.
+#: Fewest 64-bit words of the bitmap of a set.
 BITS = 16
+#: Nearest partners that a set proposes in each of its groups before all that are left are compared.
+NEAREST = 3
 _FAR = np.uint64(1 << 63)
 
 
@@ -61,30 +64,39 @@ def signature(x: np.ndarray) -> tuple[int, int]:
 
 
 def bitmap(x: np.ndarray) -> bytes:
-    """Parity of the elements in each of BITS * 64 classes; two differ in no more bits than the sets in elements."""
-    odd = np.bincount((x >> np.uint64(20)) % np.uint64(64 * BITS), minlength=64 * BITS) & 1
+    """Parity of the elements in each of at least 2 len(x) classes; two differ in no more bits than the sets in elements.
+
+    The number of 64-bit words is a power of two; XOR of a bitmap's halves is the bitmap of half as many classes.
+    """
+    words = max(BITS, 1 << max(0, (len(x) // 32 - 1)).bit_length())
+    odd = np.bincount((x >> np.uint64(20)) % np.uint64(64 * words), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    half = bits.shape[-1] // 2
+    return bits[..., :half] ^ bits[..., half:]
+
+
 def signed(docs: DataFrame, gram: int) -> DataFrame:
-    """doc_id, n (size of the set), a, b (signature), bits."""
+    """doc_id, twin (a hash of the text), n (size of the set), a, b (signature), bits."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             n, first, second, bits = [], [], [], []
-            for x in sets(b.column(1).to_pylist(), gram):
+            for x in sets(b.column(2).to_pylist(), gram):
                 n.append(len(x))
                 one, two = signature(x)
                 first.append(one)
                 second.append(two)
                 bits.append(bitmap(x))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(bits, pa.binary())],
-                names=["doc_id", "n", "a", "b", "bits"],
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(bits, pa.binary())],
+                names=["doc_id", "twin", "n", "a", "b", "bits"],
             )
 
-    return docs.select("doc_id", utf8()).mapInArrow(run, f"doc_id {kind}, n long, a long, b long, bits binary")
+    return docs.select("doc_id", twin(), utf8()).mapInArrow(run, f"doc_id {kind}, twin long, n long, a long, b long, bits binary")
 
 
 def frequent(docs: DataFrame, gram: int) -> np.ndarray:
@@ -223,12 +235,33 @@ def similar(x: np.ndarray, y: np.ndarray, least: int) -> bool:
     return 100 * both >= least * (len(x) + len(y) - both)
 
 
+def near(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """The pairs whose bitmaps differ in no more bits than similar sets of their sizes can in elements."""
+    x = nodes.select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("n").alias("xn"), F.col("bits").alias("x"))
+    y = nodes.select(F.col("a").alias("ya"), F.col("b").alias("yb"), F.col("n").alias("yn"), F.col("bits").alias("y"))
+
+    def run(batches):
+        for rb in batches:
+            keep = []
+            size = rb.column(4).to_numpy() + rb.column(5).to_numpy()
+            for n, p, q in zip(size.tolist(), rb.column(6), rb.column(7), strict=True):
+                u, v = (np.frombuffer(z.as_py(), np.uint64) for z in (p, q))
+                while len(u) != len(v):
+                    u, v = (folded(u), v) if len(u) > len(v) else (u, folded(v))
+                keep.append((100 + least) * int(np.bitwise_count(u ^ v).sum()) <= (100 - least) * n)
+            yield rb.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(x, ["xa", "xb"]).join(y, ["ya", "yb"]).where((100 * F.least("xn", "yn")) >= (least * F.greatest("xn", "yn")))
+    return both.select("xa", "xb", "ya", "yb", "xn", "yn", "x", "y").mapInArrow(run, PAIR)
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, gram: int, least: int) -> DataFrame:
     """The pairs (x, y) of signatures whose sets are similar enough, as edges (u, v).
 
     nodes: (a, b, doc_id), a document of each signature, by which its text is fetched.
     """
-    pairs = staged(pairs)
+    pairs = staged(near(pairs, nodes, least))
+    release(pairs.sparkSession)
     asked = pairs.select("xa", "xb").union(pairs.select("ya", "yb")).distinct().toDF("a", "b")
     wanted = asked.join(nodes.select("a", "b", F.col("doc_id").alias("id")), ["a", "b"])
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("a", "b", utf8())
@@ -239,6 +272,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, gram: int, lea
             yield rb.filter(pa.array(good, pa.bool_()))
 
     texts = staged(texts.toDF("a", "b", "bytes").mapInArrow(right, "a long, b long, bytes binary"))
+    release(texts.sparkSession)
     one, two = texts.toDF("xa", "xb", "x"), texts.toDF("ya", "yb", "y")
     both = pairs.join(one, ["xa", "xb"]).join(two, ["ya", "yb"]).select("xa", "xb", "ya", "yb", "x", "y")
 
@@ -261,8 +295,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, gram: int, lea
     return staged(edges.distinct().select(F.struct(F.col("xa").alias("a"), F.col("xb").alias("b")).alias("u"), F.struct(F.col("ya").alias("a"), F.col("yb").alias("b")).alias("v")))
 
 
-def later_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: int) -> DataFrame:
-    """Pairs of members of a group that are in different components and whose bitmaps are near enough."""
+def later_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: int, most: int | None = None) -> DataFrame:
+    """Pairs of members of a group that are in different components and whose bitmaps are near enough.
+
+    With `most`, each member of a group proposes only its nearest few, which merge most of a large group.
+    """
     root = roots.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.xxhash64("root.a", "root.b").alias("c"))
     known = members.join(root, ["a", "b"], "left").withColumn("c", F.coalesce("c", F.xxhash64("a", "b")))
     mixed = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
@@ -281,15 +318,32 @@ def later_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: i
         keep = np.ones(len(n), bool)
         keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         n, c, a, b, own = (x[keep] for x in (n, c, a, b, own))
-        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(-1, BITS)[keep]
+        raw = [x for x, k in zip(t["bits"].to_pylist(), keep, strict=True) if k]
+        size = np.array([len(x) // 8 for x in raw])
+        # sets of similar size have bitmaps of one size, or one twice as large, which is folded
+        whole = {w: np.frombuffer(b"".join(x for x in raw if len(x) == 8 * w), np.uint64).reshape(-1, w) for w in np.unique(size).tolist()}
+        half = {w // 2: folded(m) for w, m in whole.items()}
+        place = np.zeros(len(n), np.int64)
+        for w in whole:
+            place[size == w] = np.arange((size == w).sum())
         two = t["i"][0].as_py() != t["j"][0].as_py()
         for k in range(len(n) - 1):
             end = np.searchsorted(n, 100 * n[k] // least, "right")
             j = np.arange(k + 1, end)
             j = j[(c[j] != c[k]) & ((own[j] != own[k]) if two else True)]
+            if not len(j):
+                continue
+            w = int(size[k])
+            apart = np.zeros(len(j), np.int64)
+            for of, among in ((w, whole), (2 * w, half)):
+                at = np.flatnonzero(size[j] == of)
+                if len(at):
+                    apart[at] = np.bitwise_count(among[w][place[j[at]]] ^ whole[w][place[k]]).sum(1)
+            fits = np.flatnonzero((100 + least) * apart <= (100 - least) * (n[j] + n[k]))
+            if most and len(fits) > most:
+                fits = fits[np.argpartition(apart[fits], most - 1)[:most]]
+            j = j[fits]
             if len(j):
-                apart = np.bitwise_count(bits[j] ^ bits[k]).sum(1)
-                j = j[(100 + least) * apart <= (100 - least) * (n[j] + n[k])]
                 yield np.stack([np.full(len(j), a[k]), np.full(len(j), b[k]), a[j], b[j]], 1)
 
     def run(batches):
@@ -315,24 +369,64 @@ def later_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: i
     return order.mapInArrow(run, PAIR).distinct()
 
 
-def join(docs: DataFrame, gram: int = GRAM, least: int = LEAST) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def twin():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def classes(docs: DataFrame, gram: int = GRAM, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, twin, n, a, b of each document; a, b, ra, rb: the component's root of each signature)."""
     docs = docs.select("doc_id", "text")
     own = staged(signed(docs, gram))
-    nodes = staged(own.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits")))
+    nodes = staged(
+        own.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    )
     linked = staged(first_links(prefixes(docs, gram, least, frequent(docs, gram)), least))
-    edges = verified(linked.where("kind = 0").select("xa", "xb", "ya", "yb").distinct(), nodes, docs, gram, least)
-    roots = components(edges)
+    release(docs.sparkSession)
+    roots = components(verified(linked.where("kind = 0").select("xa", "xb", "ya", "yb").distinct(), nodes, docs, gram, least))
     members = linked.where("kind = 1").select("token", "n", F.col("xa").alias("a"), F.col("xb").alias("b")).distinct()
-    more = staged(later_links(members, nodes, roots, least))
-    if not more.isEmpty():
-        edges = edges.union(verified(more, nodes, docs, gram, least))
-        roots = components(edges)
+    for most in (NEAREST, None):
+        more = staged(later_links(members, nodes, roots, least, most))
+        release(docs.sparkSession)
+        if more.isEmpty():
+            break
+        # the components so far are stars already, which saves rounds
+        roots = components(verified(more, nodes, docs, gram, least).union(roots.toDF("u", "v")))
     root = roots.select("node.a", "node.b", F.col("root.a").alias("ra"), F.col("root.b").alias("rb"))
-    placed = nodes.select("a", "b", "doc_id").join(root, ["a", "b"], "left")
-    placed = placed.select("a", "b", "doc_id", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
-    smallest = placed.groupBy("ra", "rb").agg(F.min("doc_id").alias("component_id"))
+    placed = nodes.select("a", "b").join(root, ["a", "b"], "left")
+    return own.drop("bits"), placed.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+
+
+def join(docs: DataFrame, gram: int = GRAM, least: int = LEAST) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    own, placed = classes(docs, gram, least)
+    smallest = own.where("n > 0").join(placed, ["a", "b"]).groupBy("ra", "rb").agg(F.min("doc_id").alias("component_id"))
     named = placed.join(smallest, ["ra", "rb"]).select("a", "b", "component_id")
     return own.join(named, ["a", "b"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, gram: int = GRAM, least: int = LEAST) -> DataFrame:
+    """The rows of docs without those of a component but its smallest by doc_id (null last), then text hash.
+
+    Documents without n-grams all stay.
+    """
+    own, placed = classes(docs, gram, least)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "twin")
+    member = own.where("n > 0").join(placed, ["a", "b"]).select("doc_id", "twin", "ra", "rb", place.alias("place"))
+    best = member.groupBy("ra", "rb").agg(F.min("place").alias("best"), F.count("*").alias("size")).where("size > 1")
+    # rows to drop; equal rows of the kept document are told apart below
+    drop = staged(
+        member.join(best, ["ra", "rb"])
+        .groupBy(F.col("doc_id").alias("__doc"), F.col("twin").alias("__same"))
+        .agg(F.count("*").alias("__n"), F.bool_or(F.col("place") == F.col("best")).alias("__best"))
+        .where("not __best or __n > 1")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__twin") == F.col("__same"))
+    marked = docs.withColumn("__twin", twin())
+    kept = marked.join(drop, same, "left_anti").select(docs.columns)
+    again = drop.where("__best")
+    if again.isEmpty():
+        return kept
+    once = marked.join(again, same, "left_semi").dropDuplicates(["doc_id", "__twin"])
+    return kept.unionByName(once.select(docs.columns))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -135,6 +137,31 @@ def replace_text(batch: pa.RecordBatch, texts: list[str | None], keep: list[bool
     return batch if keep is None else batch.filter(pa.array(keep, pa.bool_()))
 
 
+#: Rows that functions over whole documents take at a time, which bounds their lists and scratch arrays.
+ROWS = 2000
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows; memory that a part has freed goes back to the system."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+        trim()
+
+
+def trim() -> None:
+    """Returns freed memory, which a reused worker would otherwise hold through later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    """A string column's values as UTF-8; null becomes empty."""
+    values = batch.column(batch.schema.get_field_index(column))
+    return [x or b"" for x in values.cast(pa.binary()).to_pylist()]
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps: it does so when the driver collects its garbage."""
     gc.collect()

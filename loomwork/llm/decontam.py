@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import ALNUM, replace_text, staged, utf8
+from loomwork.llm.common import ALNUM, replace_text, sliced, staged, text_bytes, utf8
 
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -162,11 +162,11 @@ def _pass(state: DataFrame, block: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         auto = Automaton(sent.value, window)
-        for b in batches:
-            k, h, m, n = (b.schema.get_field_index(c) for c in ("__bytes", "__hits", "__items", "__words"))
+        for b in sliced(batches):
+            h, m, n = (b.schema.get_field_index(c) for c in ("__hits", "__items", "__words"))
             hits, ids, counts = b.column(h).to_pylist(), b.column(m).to_pylist(), []
-            for i, text in enumerate(b.column(k)):
-                words = fold(text.as_py())
+            for i, text in enumerate(text_bytes(b)):
+                words = fold(text)
                 counts.append(len(words))
                 spans: list[list[int]] = []
                 found: set[str] = set()
@@ -194,7 +194,6 @@ def _union(flat: list[int]) -> list[int]:
 def _matched(docs: DataFrame, bench: DataFrame, window: int, block_words: int) -> DataFrame:
     state = docs.withColumns(
         {
-            "__bytes": utf8(),
             "__hits": F.array().cast("array<long>"),
             "__items": F.array().cast("array<string>"),
             "__words": F.lit(0).cast("long"),
@@ -230,13 +229,12 @@ def decontaminate(
     """
 
     def cut(batches):
-        for b in batches:
-            k = b.schema.get_field_index("__bytes")
+        for b in sliced(batches):
             hits = b.column("__hits").to_pylist()
             texts, keep = b.column("text").to_pylist(), [True] * b.num_rows
             for i, flat in enumerate(hits):
                 if flat:
-                    raw = b.column(k)[i].as_py()
+                    raw = texts[i].encode()
                     at = [(m.start(), m.end()) for m in WORD.finditer(raw)]
                     keep[i] = sum(flat[1::2]) - sum(flat[0::2]) <= max_coverage * len(at)
                     out, pos = [], 0

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import SPACED, Words, groups_of, mix, release, shingle_hashes, staged, utf8
+from loomwork.llm.common import SPACED, Words, groups_of, mix, release, shingle_hashes, sliced, staged, utf8
 from loomwork.llm.components import components
 
 #: Words of an n-gram, and the least similarity in percent.
@@ -33,8 +33,8 @@ GRAM, LEAST = 4, 85
 ORDERS = 2
 #: Groups of up to so many sets give all their pairs at once.
 SMALL = 6
-#: Documents with an n-gram, in a batch, from which it goes to the end of the first order; most such n-grams.
-FREQUENT, MOST_FREQUENT = 8, 200_000
+#: Documents with an n-gram, in a slice of a batch, from which it goes to the end of the first order; most such n-grams.
+FREQUENT, MOST_FREQUENT = 4, 200_000
 #: Sets of a group that are compared in one task.
 BLOCK = 4096
 #: Fewest 64-bit words of the bitmap of a set.
@@ -83,7 +83,7 @@ def signed(docs: DataFrame, gram: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             n, first, second, bits = [], [], [], []
             for x in sets(b.column(2).to_pylist(), gram):
                 n.append(len(x))
@@ -103,7 +103,7 @@ def frequent(docs: DataFrame, gram: int) -> np.ndarray:
     """The n-grams that most documents of a batch have; at most MOST_FREQUENT, which only bounds the order's tail."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             every = np.concatenate([np.zeros(0, np.uint64), *{signature(x): x for x in sets(b.column(0).to_pylist(), gram)}.values()])
             token, count = np.unique(every, return_counts=True)
             many = count >= FREQUENT
@@ -130,7 +130,7 @@ def prefixes(docs: DataFrame, gram: int, least: int, last: np.ndarray) -> DataFr
 
     def run(batches):
         late = sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             tokens, n, first, second = [], [], [], []
             for (a, b), x in {signature(x): x for x in sets(batch.column(0).to_pylist(), gram)}.items():
                 if len(x):

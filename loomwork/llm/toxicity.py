@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from loomwork.llm.common import ALNUM, Words, groups_of, utf8
+from loomwork.llm.common import ALNUM, Words, groups_of, sliced, text_bytes, utf8
 
 #: Slots of the table that finds a feature's weight; a hit is checked against the feature's whole hash.
 SLOTS = 1 << 22
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         model = Model(*sent.value)
         table = slots(model)
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column("_bytes").to_pylist()
             scores, worst = [], []
             for _, part in groups_of(texts):
@@ -204,19 +204,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.3) -> DataFrame:
     """The rows of docs that score below the limit."""
     sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
-    names = docs.columns
 
     def run(batches):
         model = Model(*sent.value)
         table = slots(model)
-        for b in batches:
+        for b in sliced(batches):
             keep = []
-            for _, part in groups_of(b.column("__bytes").to_pylist()):
+            for _, part in groups_of(text_bytes(b)):
                 features, first, bounds = bags(part)
                 keep += (noisy_or(sentence_scores(model, table, features, first), bounds) < limit).tolist()
-            yield b.select(names).filter(pa.array(keep, pa.bool_()))
+            yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.withColumn("__bytes", utf8()).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -135,6 +135,20 @@ def test_passage_recall(spark):
     assert len(want & flagged) >= 0.9 * len(want)
 
 
+def test_equal_passages_behind_variants(spark):
+    """The first document and those between have variants too far from the passage that two others share."""
+    docs = []
+    for trial in range(30):
+        shared = prose(9000 + trial, 55).split()
+        variants = [[f"v{k}w{j}" if j in (17 + k % 3, 37 + k % 2) else w for j, w in enumerate(shared)] for k in range(7)]
+        for k, w in enumerate([variants[0], shared, *variants[1:], shared]):
+            at = 10 * trial + k
+            docs.append((at, f"{prose(1000 + at, 150)} {' '.join(w)} {prose(5000 + at, 150)}"))
+    got = passages.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.other_id) for r in got}
+    assert [t for t in range(30) if (10 * t + 8, 10 * t + 1) not in found] == []
+
+
 # fingerprints
 
 

@@ -149,6 +149,26 @@ def test_equal_passages_behind_variants(spark):
     assert [t for t in range(30) if (10 * t + 8, 10 * t + 1) not in found] == []
 
 
+def test_passage_with_a_line_that_occurs_before():
+    """A line inside the passage that the other document, or both, has once more shortly before, or often."""
+    line, body = prose(51, 14), prose(50, 61).split()
+    shared = " ".join([*body[:30], *line.split(), *body[30:]])
+    lone, other = f"{prose(52, 40)} {shared} {prose(53, 40)}", f"{prose(54, 20)} {line} {prose(55, 20)} {shared} {prose(56, 40)}"
+    texts = [lone, other, f"{line} {lone}", " ".join([line, prose(57, 9)] * 300) + " " + shared]
+    sets = [passages.shingle_hashes(passages.Words([t.encode()], passages.ALNUM).hash, passages.GRAM) for t in texts]
+    want = passages.shingle_hashes(passages.Words([shared.encode()], passages.ALNUM).hash, passages.GRAM)
+    at = [next(k for k in range(len(s)) if np.array_equal(s[k : k + len(want)], want)) for s in sets]
+    for k, x in enumerate(sets):
+        for m, y in enumerate(sets):
+            if k != m:
+                assert any(s <= at[k] and at[k] + len(want) <= e and u <= at[m] and at[m] + len(want) <= v for s, e, u, v, _ in passages.alike(x, y)), (k, m)
+
+
+def test_passages_of_lines_that_repeat_very_often(monkeypatch):
+    monkeypatch.setattr(passages, "HITS", 100)
+    test_passage_with_a_line_that_occurs_before()
+
+
 # fingerprints
 
 

@@ -73,6 +73,15 @@ def anchors(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return text[first], first, last, x, gram[x], mix(whole)
 
 
+def distinct(*columns: np.ndarray, last: tuple | None = None) -> np.ndarray:
+    """Whether each row differs from the one before; repeated rows of a document have the same blocks."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], 0)
+    if last is not None and len(new):
+        new[0] = tuple(c[0] for c in columns) != last
+    return new
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """Rows (gram, block, doc, at) of the blocks; later copies in a batch are marked done and dealt at random."""
 
@@ -106,6 +115,8 @@ def blocks(docs: DataFrame) -> DataFrame:
             g, h, doc, at = (np.concatenate(c) for c in zip(*cols, strict=True))
             order = np.lexsort((at, doc, h, g))
             g, h, doc, at = g[order], h[order], doc[order], at[order]
+            own = distinct(doc, at, h, g)
+            g, h, doc, at = g[own], h[own], doc[own], at[own]
             done = np.zeros(len(g), bool)
             done[1:] = (g[1:] == g[:-1]) & (h[1:] == h[:-1])
             g[done] = mix((doc[done] ^ at[done] << 1).astype(np.uint64)).astype(np.int64)
@@ -124,10 +135,14 @@ def settle(rows: DataFrame) -> DataFrame:
         # the last row's strings, the only block so far under its anchor string, and whether there are more
         gram = block = None
         alone: np.ndarray | None = None
+        before = None
         for b in batches:
             g, h, doc, at = (c.to_numpy() for c in b.columns)
             if not len(g):
                 continue
+            own = distinct(g, h, doc, at, last=before)
+            before = (g[-1], h[-1], doc[-1], at[-1])
+            g, h, doc, at = g[own], h[own], doc[own], at[own]
             done = (at & _DONE) != 0
             out = [np.stack([np.zeros(done.sum(), np.int64), g[done], doc[done], at[done] & ~_DONE], 1)]
             g, h, doc, at = g[~done], h[~done], doc[~done], at[~done]
@@ -254,7 +269,15 @@ def compared(rows: DataFrame) -> DataFrame:
     def run(batches):
         # held: whole groups, then the open one, which starts at row `since`
         held, size, since, gram, large = [], 0, 0, None, False
+        before = None
         for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(k).to_numpy() for k in (1, 2, 3)]
+            own = distinct(*cols, last=before)
+            before = tuple(c[-1] for c in cols)
+            if not own.all():
+                b = b.filter(pa.array(own))
             g = b.column(1).to_numpy()
             if not len(g):
                 continue

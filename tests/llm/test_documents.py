@@ -94,6 +94,15 @@ def test_suffixes_of_repeated_rows(spark, edge_docs):
     assert len(prose(1)) in twos and 0 in twos
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_suffixes_of_repeated_rows_alone(spark, parts):
+    """A document that only exists as equal rows keeps its first copy, in one batch or in several."""
+    texts = [(1, prose(70)), (2, prose(71, 40) + prose(70)[100:400]), (3, prose(72, 30) * 2)]
+    want = {r[0]: r for r in brute.op3(texts)}
+    docs = spark.createDataFrame([r for r in texts for _ in range(3)], "doc_id long, text string").repartition(parts)
+    assert rows(suffixdup.report(docs)) == sorted((want[i] for i, _ in texts for _ in range(3)), key=repr)
+
+
 def test_very_large_groups_of_suffixes(spark, monkeypatch):
     monkeypatch.setattr(suffixdup, "MOST", 3)
     shared = prose(8, 12)

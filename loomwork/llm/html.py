@@ -4,8 +4,9 @@ Markup is stripped into lines, one for each block of the page. Blocks inside men
 sidebars, notices, adverts, forms and comments, told by element or by class, id and role, leave lines of
 length zero, as do blocks that are mostly links. The lengths of `WINDOW` consecutive lines are summed; a
 stretch of text begins where the sums surge from zero and ends where they dive to zero. The stretch with the
-most text is kept, and with it every stretch inside the same article or main element, or else inside the
-element that holds it, so that an advert inside an article does not cut it.
+most text is kept. If most of it is in article or main elements, these are kept whole, and what else the stretch
+has is left out; otherwise every stretch inside the element that holds it is kept too. So an advert inside an
+article does not cut it.
 
 Defined results: null and empty pages, and pages without text, give an empty text. Repeated pages are each a
 row. Ties between stretches go to the first. Columns besides page_id, url and html are ignored; null ids and
@@ -150,17 +151,21 @@ def main_text(page: str) -> str:
         if size and not before[i]:  # a surge; what follows belongs to it until the sums dive to zero
             number += 1
         stretch[i] = number
-    weight: dict[tuple[int, int], int] = {}
-    for (_, main, _), size, n in zip(rows, sizes, stretch, strict=True):
+    weight: dict[int, int] = {}
+    for size, n in zip(sizes, stretch, strict=True):
         if size:
-            key = (main, 0 if main else n)
-            weight[key] = weight.get(key, 0) + size
+            weight[n] = weight.get(n, 0) + size
     if not weight:
         return ""
-    main, n = max([k for k in weight if k[0]] or weight, key=weight.__getitem__)
-    if main:
-        return "\n".join(t for t, m, _ in rows if t and m == main)
-    paths = [p for (t, m, p), k in zip(rows, stretch, strict=True) if t and not m and k == n]
+    n = max(weight, key=weight.__getitem__)
+    inside: dict[int, int] = {}
+    for (_, main, _), size, k in zip(rows, sizes, stretch, strict=True):
+        if main and size and k == n:
+            inside[main] = inside.get(main, 0) + size
+    if 2 * sum(inside.values()) > weight[n]:
+        # most of the stretch is in article or main elements, which hold the stretches around it too
+        return "\n".join(t for t, m, _ in rows if t and m in inside)
+    paths = [p for (t, _, p), k in zip(rows, stretch, strict=True) if t and k == n]
     depth = 0
     while depth < min(map(len, paths)) and len({p[depth] for p in paths}) == 1:
         depth += 1

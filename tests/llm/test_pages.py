@@ -103,3 +103,12 @@ def test_html_edges(spark, pages):
 )
 def test_main_text(page, text):
     assert html.main_text(page) == text
+
+
+def test_articles_that_hold_something_small():
+    """The stretch with the most text is kept, whatever elements hold it."""
+    body, card = "<p>" + "long text of the body " * 20 + "</p>", "<article><p>a teaser card</p></article>"
+    text = ("long text of the body " * 20).strip()
+    assert html.main_text(f"<div>{body}{body}</div><nav>x</nav><div>{card}{card}</div>") == f"{text}\n{text}"
+    assert html.main_text(f"<article>{body}</article><article>{body}<p>end</p></article><footer>f</footer>") == f"{text}\n{text}\nend"
+    assert html.main_text(f"<article>{body}<div class=ad>Buy</div><p>end</p></article><nav>x</nav>{card}") == f"{text}\nend"

@@ -10,7 +10,8 @@ their final place and leave, so each round handles only what still repeats. Over
 make up the maximal repeated runs.
 
 A line is removed if it lies in a run of `least` lines or more that also starts earlier, in a smaller doc_id
-or before in the same document; the first copy of a run stays. Only DataFrame functions are used.
+or before in the same document; the first copy of a run stays. `dedup_lines` also removes later copies of a
+line of `ALONE` words or more; the rows of the query, which its SQL defines, count runs only. Only DataFrame functions are used.
 
 Defined results: a null or empty text has no lines. Blank lines are never removed and don't part a run. Rows
 with equal doc_id and text count as one document and get the same result; a null doc_id comes first, and equal
@@ -27,6 +28,8 @@ from loomwork.llm.common import staged
 
 #: Shortest run that is removed, in lines.
 LEAST = 2
+#: Words from which a repeated line of its own is removed as well, by `dedup_lines`.
+ALONE = 50
 #: How many times as deep each round after the first compares.
 WIDER = 8
 
@@ -44,14 +47,21 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """doc, twin (a hash of the text), pos, and two hashes of the line, for the lines that are not blank."""
+def occurrences(docs: DataFrame, alone: int | None = None) -> DataFrame:
+    """doc, twin (a hash of the text), pos, and two hashes of the line, for the lines that are not blank.
+
+    With `alone`, also whether the line has as many words.
+    """
     lines = lines_of(F.col("text"))
     solid = F.filter(lines, lambda x: x.rlike(r"\S"))
     # each row carries two small hashes of its line; together they stand for the line's content
-    ids = F.transform(solid, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b")))
+    def long(x):
+        # lines too short for the words are not split
+        return [] if alone is None else [F.when(F.length(x) >= 2 * alone - 1, F.regexp_count(x, F.lit(r"\S+")) >= alone).otherwise(False).alias("long")]
+
+    ids = F.transform(solid, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), *long(x)))
     own = docs.select(F.col("doc_id").alias("doc"), text_hash().alias("twin"), ids.alias("ids")).dropDuplicates(["doc", "twin"])
-    return own.select("doc", "twin", F.posexplode("ids").alias("pos", "id")).select("doc", "twin", "pos", "id.a", "id.b")
+    return own.select("doc", "twin", F.posexplode("ids").alias("pos", "id")).select("doc", "twin", "pos", "id.*")
 
 
 def place() -> Column:
@@ -76,17 +86,18 @@ def ranked(rows: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def repeats(docs: DataFrame, least: int = LEAST, alone: int | None = None) -> DataFrame:
     """Suffixes that share `least` lines or more with an earlier one: doc, twin, pos, depth.
 
     A suffix has a row for each depth reached (least, and that times the powers of WIDER) at which it repeats.
+    With `alone`, a repeated line of as many words has a row of depth 0.
     The first round joins the ranks of the first `least` lines one by one, as they are few.
     """
-    rows, key, depth, found = occurrences(docs), ["a", "b"], 1, None
+    rows, key, depth, found = occurrences(docs, alone), ["a", "b"], 1, None
     while True:
         classes = ranked(rows.dropna(subset=key), key)
         named = rows.join(classes, key).select(
-            "doc", "twin", "pos", F.col("rank").alias("k0"), (F.col("first") < place()).alias("again")
+            "doc", "twin", "pos", F.col("rank").alias("k0"), (F.col("first") < place()).alias("again"), *(["long"] if alone and depth == 1 else [])
         )
         if depth >= least:
             times, step = WIDER, depth
@@ -95,6 +106,8 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
         key = [f"k{i}" for i in range(times)]
         order = Window.partitionBy("doc", "twin").orderBy("pos")
         rows = staged(named.withColumns({f"k{i}": F.max("k0").over(order.rangeBetween(i * step, i * step)) for i in range(1, times)}))
+        if alone and depth == 1:
+            found = rows.where("again and long").select("doc", "twin", "pos", F.lit(0).alias("depth"))
         if depth >= least:
             own = rows.where("again").select("doc", "twin", "pos", F.lit(depth).alias("depth"))
             found = own if found is None else found.unionByName(own)
@@ -103,27 +116,27 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
         depth *= times
 
 
-def removals(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def removals(docs: DataFrame, least: int = LEAST, alone: int | None = None) -> DataFrame:
     """doc, twin, gone (positions of the lines to remove), deepest."""
     return (
-        repeats(docs, least)
+        repeats(docs, least, alone)
         .groupBy("doc", "twin")
-        .agg(F.collect_set(F.when(F.col("depth") == least, F.col("pos"))).alias("at"), F.max("depth").alias("deepest"))
+        .agg(F.collect_set(F.when(F.col("depth") == least, F.col("pos"))).alias("at"), F.collect_set(F.when(F.col("depth") == 0, F.col("pos"))).alias("lone"), F.max("depth").alias("deepest"))
         .select(
             "doc",
             "twin",
-            F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + least - 1)))).alias("gone"),
+            F.array_distinct(F.concat(F.flatten(F.transform("at", lambda p: F.sequence(p, p + least - 1))), "lone")).alias("gone"),
             "deepest",
         )
     )
 
 
-def _marked(docs: DataFrame, least: int) -> DataFrame:
+def _marked(docs: DataFrame, least: int, alone: int | None = None) -> DataFrame:
     """docs with __lines, __solid (places of those not blank), and __gone and __deepest, null where nothing goes.
 
     The arrays are made before the join, so that no expression on the rows after it computes them again.
     """
-    cuts = removals(docs, least).toDF("__doc", "__same", "__gone", "__deepest")
+    cuts = removals(docs, least, alone).toDF("__doc", "__same", "__gone", "__deepest")
     lines = lines_of(F.col("text"))
     return docs.withColumns({"__twin": text_hash(), "__lines": lines, "__solid": filled(lines)}).join(
         cuts, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__twin") == F.col("__same")), "left"
@@ -137,10 +150,10 @@ def _kept() -> Column:
     return F.array_join(F.transform(left, lambda i: F.col("__lines")[i]), "\n")
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """The columns of docs, with later copies of repeated runs removed from the texts."""
+def dedup_lines(docs: DataFrame, least: int = LEAST, alone: int | None = ALONE) -> DataFrame:
+    """The columns of docs, with later copies of repeated runs and of long lines removed from the texts."""
     cut = F.col("__gone").isNotNull()
-    out = _marked(docs, least).where(~cut | (F.size("__gone") < F.size("__solid")))
+    out = _marked(docs, least, alone).where(~cut | (F.size("__gone") < F.size("__solid")))
     out = out.withColumn("__kept", F.when(cut, _kept()).otherwise(F.col("text")))
     changed = {"text": F.col("__kept")}
     if "n_chars" in docs.columns:

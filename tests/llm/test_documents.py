@@ -73,6 +73,13 @@ def test_line_runs_of_more_lines(spark):
     assert kept == {1: "a\nb\nc\nd", 2: "x\ny", 3: "b\nc\nz"}
 
 
+def test_long_lines_of_their_own(spark):
+    long, short = prose(80, 50), prose(81, 49)
+    docs = spark.createDataFrame([(1, f"a\n{long}\nb\n{short}"), (2, f"c\n{long}\nd\n{short}\ne\n{long}"), (3, long), (4, short)], "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in linedup.dedup_lines(docs).collect()}
+    assert kept == {1: f"a\n{long}\nb\n{short}", 2: f"c\nd\n{short}\ne", 4: short}
+
+
 # repeated bytes
 
 

@@ -5,16 +5,19 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised helpers take at a time; their scratch arrays are about 60 times that.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: The doc of a null doc_id: the least integer, so that null comes first.
+NONE = -(1 << 63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor sees.
-
-    Where the setting is absent (local tests) a folder below the warehouse is used.
-    """
+    """A new folder below spark.checkpoint.dir, which every executor sees; without that setting there is none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/loomwork-{uuid.uuid4().hex}"
 
 
@@ -36,7 +36,52 @@ def staged(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again, which cuts its lineage durably."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what `staged` wrote, once everything that reads it has been staged itself."""
+    for f in frames:
+        if path := getattr(f, "_staged_at", None):
+            jvm = f.sparkSession.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(f.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with leading underscores until no column of df has it (in either case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def text_hash(column: str = "text"):
+    """64 bits that tell the texts of equal doc_ids apart; null is the empty text."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc, twin, bytes, doc_id): integers that order the documents, the text, and the id as it is.
+
+    doc is an integer doc_id itself. Ids of other types are numbered in their order, by a range sort of the
+    distinct ids and the sizes of the partitions before; null is the least. twin is the text's whole hash.
+    """
+    ids = docs.select("doc_id", text_hash().alias("twin"), utf8().alias("bytes"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return ids.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("doc"), "twin", "bytes", "doc_id")
+    dealt = staged(docs.select("doc_id").where("doc_id is not null").distinct().repartitionByRange("doc_id").select("doc_id", F.spark_partition_id().alias("part")))
+    # one row for each partition
+    starts = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("doc_id")).cast("long")
+    numbers = dealt.join(F.broadcast(starts), "part").select(F.col("doc_id").alias("id"), (F.col("start") + place).alias("doc"))
+    return ids.join(numbers, F.col("doc_id") == F.col("id"), "left").select(F.coalesce("doc", F.lit(NONE)).alias("doc"), "twin", "bytes", "doc_id")
 
 
 def utf8(column: str = "text"):
@@ -85,6 +130,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Polynomial hashes modulo 2^64 have known equal strings from about 1,000 bytes on; longer words are hashed by BLAKE2.
+LONG = 512
+
+
 class Words:
     """The words of several texts: hash, byte span in the joined buffer, and bounds per text."""
 
@@ -102,6 +151,9 @@ class Words:
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=total[1:])
         self._total, self._inverse = total, inverse
         self.hash = self._spans(self.start, self.end)
+        for k in np.flatnonzero(self.end - self.start > LONG).tolist():
+            word = hashlib.blake2b(self.buffer[self.start[k] : self.end[k]], digest_size=8).digest()
+            self.hash[k] = np.frombuffer(word, np.uint64)[0]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.offset = np.concatenate([[0], lengths.cumsum()])
         self.bounds = np.searchsorted(self.start, self.offset)

@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings with a sparse suffix array.
+"""Removal of repeated byte strings with a sparse suffix array.
 
 Only suffixes at anchors are kept: of the `GRAM`-byte strings inside a window of `SPAN` bytes, the one with
 the smallest hash, the leftmost on ties, is the window's anchor. The choice depends on the window's bytes
@@ -6,16 +6,19 @@ alone, so equal windows have equal anchors at equal offsets, and comparing windo
 finds every repeat. Neighbouring windows share their anchor and form a block.
 
 1. Blocks with equal bytes are grouped; all but the first are removed whole. Blocks alone under their anchor
-   string are settled. Repeats inside a batch are collapsed before the shuffle.
+   string are settled. Repeats inside a batch are collapsed before the shuffle. Blocks, of at most `SPAN` +
+   `WIDTH` bytes, are equal here if two 64-bit hashes are, that of the anchor string and that of the block.
 2. The others, at the edges of repeats, fetch their bytes. Sampled splitters range-partition them by the leading
    bytes at the anchor; equal leading bytes are never split, so no comparison crosses a boundary. Each bucket
-   sorts its windows by multikey quicksort, eight bytes at a time, dropping what is alone after each key; what
-   is left after `SPAN` bytes repeats, and all but the first are removed.
-3. Groups of more than `MOST` blocks go by hashes of their windows through an aggregation, whatever their size.
-
-Order is by doc_id, a hash of the text for equal doc_ids, then start. Defined results: a null text is empty
-and loses nothing; texts shorter than `SPAN` bytes lose nothing; rows with equal doc_id and text count as one
-document and get the same result; a null doc_id is the smallest. Columns besides doc_id and text are ignored.
+   sorts its windows by multikey quicksort with keys of eight bytes, dropping what is alone; what is left after
+   `SPAN` bytes repeats, and all but the first are removed.
+3. Groups of more than `MOST` blocks outgrow a task: their windows go by two 64-bit hashes, as blocks do,
+   through an aggregation that combines before its shuffle, whatever the group's size.
+
+Order is by doc_id, a 64-bit hash of the text for equal doc_ids, then start. Defined results: a null text is
+empty and loses nothing; texts shorter than `SPAN` bytes lose nothing; rows with equal doc_id and text count as
+one document and get the same result; null doc_ids, however many, are the smallest and differ by their texts;
+ids that are no integers go by their own order. Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import CHUNK, Rolling, mix, release, staged, utf8
+from loomwork.llm.common import CHUNK, Rolling, discard, identified, mix, release, staged
 
 SPAN, GRAM = 100, 32
 #: Grams in a window.
@@ -37,13 +40,13 @@ _PLACE, _PIECE = 24, 1 << 23
 _DONE = np.int64(1) << np.int64(62)
 
 
-def packed(twin, start, anchor, more):
-    """One integer, in document order for a doc_id: twin (16 bits), start (32), anchor's offset and windows less one (7 each)."""
-    return (twin << 46) | (start << 14) | (anchor << 7) | more
+def packed(start, anchor, more):
+    """One integer, in order of places: start (32 bits), anchor's offset and windows less one (7 each)."""
+    return (start << 14) | (anchor << 7) | more
 
 
-def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return (at >> 46) & 0xFFFF, (at >> 14) & 0xFFFFFFFF, (at >> 7) & 127, at & 127
+def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return (at >> 14) & 0xFFFFFFFF, (at >> 7) & 127, at & 127
 
 
 def anchors(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -83,7 +86,7 @@ def distinct(*columns: np.ndarray, last: tuple | None = None) -> np.ndarray:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """Rows (gram, block, doc, at) of the blocks; later copies in a batch are marked done and dealt at random."""
+    """Rows (gram, block, doc, twin, at) of the blocks; later copies in a batch are marked done and dealt at random."""
 
     def run(batches):
         for b in batches:
@@ -97,7 +100,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                 starts = ends - [len(p) for _, _, p in part]
                 t, first, last, x, g, h = anchors(np.frombuffer(b"".join(p for _, _, p in part), np.uint8), starts, ends)
                 row, off = np.array([r for r, _, _ in part])[t], np.array([o for _, o, _ in part])[t]
-                cols.append((g.astype(np.int64), h.astype(np.int64), ids[row], packed(twins[row], first - starts[t] + off, x - first, last - first)))
+                cols.append((g.astype(np.int64), h.astype(np.int64), ids[row], twins[row], packed(first - starts[t] + off, x - first, last - first)))
 
             for i, text in enumerate(texts):
                 for k in range(0, max(1, len(text) - SPAN + 1), _PIECE):
@@ -112,24 +115,28 @@ def blocks(docs: DataFrame) -> DataFrame:
                 flush()
             if not cols:
                 continue
-            g, h, doc, at = (np.concatenate(c) for c in zip(*cols, strict=True))
-            order = np.lexsort((at, doc, h, g))
-            g, h, doc, at = g[order], h[order], doc[order], at[order]
-            own = distinct(doc, at, h, g)
-            g, h, doc, at = g[own], h[own], doc[own], at[own]
+            g, h, doc, twin, at = (np.concatenate(c) for c in zip(*cols, strict=True))
+            order = np.lexsort((at, twin, doc, h, g))
+            g, h, doc, twin, at = (c[order] for c in (g, h, doc, twin, at))
+            own = distinct(doc, twin, at, h, g)
+            g, h, doc, twin, at = (c[own] for c in (g, h, doc, twin, at))
             done = np.zeros(len(g), bool)
             done[1:] = (g[1:] == g[:-1]) & (h[1:] == h[:-1])
-            g[done] = mix((doc[done] ^ at[done] << 1).astype(np.uint64)).astype(np.int64)
+            g[done] = mix((doc[done] ^ twin[done] ^ at[done] << 1).astype(np.uint64)).astype(np.int64)
             at[done] |= _DONE
-            back = np.lexsort((at, doc))  # neighbouring rows of a document compress well
-            yield pa.RecordBatch.from_arrays([pa.array(c[back]) for c in (g, h, doc, at)], names=["gram", "block", "doc", "at"])
+            back = np.lexsort((at, twin, doc))  # neighbouring rows of a document compress well
+            yield pa.RecordBatch.from_arrays([pa.array(c[back]) for c in (g, h, doc, twin, at)], names=["gram", "block", "doc", "twin", "at"])
 
-    return docs.mapInArrow(run, "gram long, block long, doc long, at long")
+    return docs.mapInArrow(run, "gram long, block long, doc long, twin long, at long")
 
 
 def settle(rows: DataFrame) -> DataFrame:
     """Blocks that are later copies (kind 0), and those under an anchor string that has others (kind 1)."""
-    order = rows.repartition("gram").sortWithinPartitions("gram", "block", "doc", "at")
+    order = rows.repartition("gram").sortWithinPartitions("gram", "block", "doc", "twin", "at")
+    names = ["kind", "gram", "doc", "twin", "at"]
+
+    def taken(kind, which, g, doc, twin, at):
+        return np.stack([np.full(len(g[which]), kind), g[which], doc[which], twin[which], at[which] & ~_DONE], 1)
 
     def run(batches):
         # the last row's strings, the only block so far under its anchor string, and whether there are more
@@ -137,19 +144,19 @@ def settle(rows: DataFrame) -> DataFrame:
         alone: np.ndarray | None = None
         before = None
         for b in batches:
-            g, h, doc, at = (c.to_numpy() for c in b.columns)
+            g, h, doc, twin, at = (c.to_numpy() for c in b.columns)
             if not len(g):
                 continue
-            own = distinct(g, h, doc, at, last=before)
-            before = (g[-1], h[-1], doc[-1], at[-1])
-            g, h, doc, at = g[own], h[own], doc[own], at[own]
+            own = distinct(g, h, doc, twin, at, last=before)
+            before = (g[-1], h[-1], doc[-1], twin[-1], at[-1])
+            g, h, doc, twin, at = (c[own] for c in (g, h, doc, twin, at))
             done = (at & _DONE) != 0
-            out = [np.stack([np.zeros(done.sum(), np.int64), g[done], doc[done], at[done] & ~_DONE], 1)]
-            g, h, doc, at = g[~done], h[~done], doc[~done], at[~done]
+            out = [taken(0, done, g, doc, twin, at)]
+            g, h, doc, twin, at = (c[~done] for c in (g, h, doc, twin, at))
             if len(g):
                 same = np.concatenate([[g[0] == gram], g[1:] == g[:-1]])
                 copy = same & np.concatenate([[h[0] == block], h[1:] == h[:-1]])
-                out.append(np.stack([np.zeros(copy.sum(), np.int64), g[copy], doc[copy], at[copy]], 1))
+                out.append(taken(0, copy, g, doc, twin, at))
                 own = np.flatnonzero(~copy)
                 group = np.cumsum(~same)  # 0 continues the last batch's anchor string
                 n = np.bincount(group[own], minlength=group[-1] + 1)
@@ -161,80 +168,104 @@ def settle(rows: DataFrame) -> DataFrame:
                     n[0] += 1
                 if group[-1]:
                     alone = None
-                many = n[group[own]] > 1
-                shared = own[many]
-                out.append(np.stack([np.ones(len(shared), np.int64), g[shared], doc[shared], at[shared]], 1))
+                out.append(taken(1, own[n[group[own]] > 1], g, doc, twin, at))
                 if group[-1] and n[-1] == 1:
-                    k = own[-1]
-                    alone = np.array([[1, g[k], doc[k], at[k]]])
+                    alone = taken(1, own[-1:], g, doc, twin, at)
                 gram, block = g[-1], h[-1]
             x = np.concatenate(out)
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(4)], names=["kind", "gram", "doc", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, k])) for k in range(5)], names=names)
 
-    return order.mapInArrow(run, "kind long, gram long, doc long, at long")
+    return order.mapInArrow(run, "kind long, gram long, doc long, twin long, at long")
 
 
 def fetched(docs: DataFrame, open_blocks: DataFrame) -> DataFrame:
     """The open blocks with their bytes and the leading bytes at the anchor."""
-    twin = F.shiftright("at", 46).cast("long")
-    lists = open_blocks.groupBy(F.col("doc").alias("d"), twin.alias("t")).agg(F.collect_list("gram").alias("grams"), F.collect_list("at").alias("ats"))
-    joined = docs.join(lists, (F.col("doc") == F.col("d")) & (F.col("twin") == F.col("t"))).select("doc", "bytes", "grams", "ats")
+    lists = open_blocks.groupBy(F.col("doc").alias("d"), F.col("twin").alias("t")).agg(F.collect_list("gram").alias("grams"), F.collect_list("at").alias("ats"))
+    joined = docs.join(lists, (F.col("doc") == F.col("d")) & (F.col("twin") == F.col("t"))).select("doc", "twin", "bytes", "grams", "ats")
 
     def run(batches):
         for b in batches:
             rows = []
-            for doc, text, grams, ats in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
+            for doc, twin, text, grams, ats in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4), strict=True):
                 raw, at = text.as_py(), np.array(ats.as_py(), np.int64)
-                _, start, anchor, more = unpacked(at)
+                start, anchor, more = unpacked(at)
                 for g, a, s, x, m in zip(grams.as_py(), at.tolist(), start.tolist(), anchor.tolist(), more.tolist(), strict=True):
-                    rows.append((raw[s + x : s + x + 8], g, doc, a, raw[s : s + m + SPAN]))
-                if len(rows) > 50_000:
-                    yield batch(rows)
-                    rows = []
+                    rows.append((raw[s + x : s + x + 8], g, doc, twin, a, raw[s : s + m + SPAN]))
+                    if len(rows) > 50_000:
+                        yield batch(rows)
+                        rows = []
             if rows:
                 yield batch(rows)
 
     def batch(rows):
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["lead", "gram", "doc", "at", "bytes"])
-
-    return joined.mapInArrow(run, "lead binary, gram long, doc long, at long, bytes binary")
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["lead", "gram", "doc", "twin", "at", "bytes"])
+
+    return joined.mapInArrow(run, "lead binary, gram long, doc long, twin long, at long, bytes binary")
+
+
+#: Where the keys of a window begin: eight bytes each, the last two overlap.
+KEYS = np.array([*range(0, SPAN - 7, 8), SPAN - 8])
+
+
+def multikey(words: np.ndarray, start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, class) of the windows that equal another one of their group, by multikey quicksort.
+
+    words[k] are the eight bytes at k as one number. All parts are split at once: each around the key of its
+    middle window into smaller, equal and greater ones; equal ones go on with the next key. Parts of one go.
+    """
+    order = np.argsort(group, kind="stable")
+    left, part, depth = order, np.cumsum(np.diff(group[order], prepend=group[order][:1]) != 0), np.zeros(len(order), np.int64)
+    done, classes, found = [], [], 0
+    while True:
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        size = np.diff(np.append(first, len(part)))
+        many = np.repeat(size > 1, size)
+        left, part, depth = left[many], part[many], depth[many]
+        last = depth == len(KEYS)
+        if last.any():
+            done.append(left[last])
+            classes.append(found + part[last])
+            found += int(part[-1]) + 1
+            left, part, depth = left[~last], part[~last], depth[~last]
+        if not len(left):
+            break
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        size = np.diff(np.append(first, len(part)))
+        key = words[start[left] + KEYS[depth]]
+        pivot = np.repeat(key[first + size // 2], size)
+        side = (key > pivot).astype(np.int64) - (key < pivot)
+        place = np.repeat(np.arange(len(first)), size) * 3 + side + 1
+        order = np.argsort(place, kind="stable")
+        left, place, depth = left[order], place[order], (depth + (side == 0))[order]
+        part = np.cumsum(np.diff(place, prepend=place[:1]) != 0)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *done]), np.concatenate([none, *classes])
 
 
 def repeated(words: np.ndarray, start: np.ndarray, group: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Indexes of the windows that equal one of smaller rank in their group, by multikey sorting."""
-    left, cls = np.arange(len(start)), group
-    for k in [*range(0, SPAN - 7, 8), SPAN - 8]:
-        key = words[start[left] + k]
-        order = np.lexsort((key, cls))
-        left, cls, key = left[order], cls[order], key[order]
-        new = np.ones(len(left), bool)
-        new[1:] = (cls[1:] != cls[:-1]) | (key[1:] != key[:-1])
-        cls = np.cumsum(new) - 1
-        more = np.bincount(cls)[cls] > 1
-        left, cls = left[more], cls[more]
-        if not len(left):
-            return left
-    new = np.ones(len(left), bool)
-    new[1:] = cls[1:] != cls[:-1]
-    at = np.flatnonzero(new)
-    least = np.minimum.reduceat(rank[left], at)
-    return left[rank[left] > np.repeat(least, np.diff(np.append(at, len(left))))]
+    """Indexes of the windows that equal one of smaller rank in their group."""
+    left, cls = multikey(words, start, group)
+    if not len(left):
+        return left
+    least = np.full(int(cls.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, cls, rank[left])
+    return left[rank[left] > least[cls]]
 
 
 def compared(rows: DataFrame) -> DataFrame:
     """Spans to remove (kind 0: doc, twin, start, stop), and windows of very large groups (kind 2: with two hashes)."""
-    order = rows.repartitionByRange("lead", "gram").sortWithinPartitions("lead", "gram", "doc", "at")
+    order = rows.repartitionByRange("lead", "gram").sortWithinPartitions("lead", "gram", "doc", "twin", "at")
     names = ["kind", "one", "two", "doc", "twin", "start", "stop"]
 
     def load(held):
         t = pa.Table.from_batches(held)
-        g, doc, at = (t[c].to_numpy() for c in ("gram", "doc", "at"))
+        g, doc, twin, at = (t[c].to_numpy() for c in ("gram", "doc", "twin", "at"))
         parts = t["bytes"].to_pylist()
         raw = np.frombuffer(b"".join(parts) + b"\x00" * 8, np.uint8)
         size = np.fromiter(map(len, parts), np.int64, len(parts))
-        twin, first, anchor, more = unpacked(at)
+        first, anchor, more = unpacked(at)
         row = np.repeat(np.arange(len(g)), more + 1)
         k = np.arange(len(row)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
         return g, doc, twin, first, anchor, raw, np.cumsum(size) - size, row, k
@@ -273,7 +304,7 @@ def compared(rows: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(k).to_numpy() for k in (1, 2, 3)]
+            cols = [b.column(k).to_numpy() for k in (1, 2, 3, 4)]
             own = distinct(*cols, last=before)
             before = tuple(c[-1] for c in cols)
             if not own.all():
@@ -315,10 +346,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = staged(fetched(docs, settled.where("kind = 1")))
     release(spark)
     found = staged(compared(rows))
+    discard(rows)
     release(spark)
     whole = settled.where("kind = 0").select(
         "doc",
-        F.shiftright("at", 46).cast("long").alias("twin"),
+        "twin",
         F.expr("(at >> 14) & 4294967295L").alias("start"),
         F.expr(f"((at >> 14) & 4294967295L) + (at & 127) + {SPAN}").alias("stop"),
     )
@@ -330,20 +362,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return out.union(late.select("doc", "twin", "start", "stop"))
 
 
-def prepared(docs: DataFrame) -> DataFrame:
-    """doc (null: the least integer), twin, bytes, and doc_id."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc"),
-        F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 16)).cast("long").alias("twin"),
-        utf8().alias("bytes"),
-        "doc_id",
-    )
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    own = prepared(docs)
+    own = identified(docs)
     cuts = repeated_spans(own.select("doc", "twin", "bytes"))
     lists = cuts.groupBy(F.col("doc").alias("d"), F.col("twin").alias("t")).agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     joined = own.join(lists, (F.col("doc") == F.col("d")) & (F.col("twin") == F.col("t")), "left").select("doc_id", "bytes", "starts", "stops")

@@ -114,14 +114,46 @@ def test_very_large_groups_of_suffixes(spark, monkeypatch):
     monkeypatch.setattr(suffixdup, "MOST", 3)
     shared = prose(8, 12)
     docs = spark.createDataFrame([(k, prose(20 + k, 9) + shared + prose(60 + k, 9)) for k in range(12)], "doc_id long, text string").coalesce(1)
-    own = suffixdup.prepared(docs).select("doc", "twin", "bytes")
+    own = suffixdup.identified(docs).select("doc", "twin", "bytes")
     spans = suffixdup.settle(suffixdup.blocks(own))
     # run in this process, where the bound is small
-    batches = [b for b in suffixdup.fetched(own, spans.where("kind = 1")).repartitionByRange(1, "lead", "gram").sortWithinPartitions("lead", "gram", "doc", "at").toArrow().to_batches()]
+    batches = [b for b in suffixdup.fetched(own, spans.where("kind = 1")).repartitionByRange(1, "lead", "gram").sortWithinPartitions("lead", "gram", "doc", "twin", "at").toArrow().to_batches()]
     assert batches
     assert rows(suffixdup.report(docs)) == sorted(brute.op3(pairs(docs)), key=repr)
 
 
+def test_multikey_quicksort_is_sorting():
+    rng = np.random.default_rng(5)
+    raw = rng.integers(0, 3, 4000).astype(np.uint8)
+    raw[1000:2000], raw[2500:2700] = raw[:1000], raw[100:300]
+    words = np.zeros(len(raw) - 7, np.uint64)
+    for i in range(8):
+        words = words << np.uint64(8) | raw[i : len(raw) - 7 + i]
+    start = rng.permutation(len(raw) - suffixdup.SPAN)
+    group = start % 3
+    got = sorted(suffixdup.repeated(words, start, group, np.arange(len(start))).tolist())
+    seen, want = set(), []
+    for k, s in enumerate(start.tolist()):
+        key = (group[k], raw[s : s + suffixdup.SPAN].tobytes())
+        if key in seen:
+            want.append(k)
+        seen.add(key)
+    assert got == want and len(want) > 100
+
+
+def test_many_documents_of_one_id(spark):
+    """Null ids, repeated ids and ids that are strings: each text is a document of its own."""
+    shared = prose(3, 30)
+    texts = [prose(100 + k, 12) + (f" {shared} {k}" if k % 2 else "") for k in range(2000)]
+    for kind, ids in (("long", [None] * 2000), ("long", [7] * 2000), ("string", [f"d{k:05}" for k in range(2000)])):
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string")
+        got = Counter((r.n_removed > 0, r.n_bytes) for r in suffixdup.report(docs).collect())
+        cut = sum(n for (gone, _), n in got.items() if gone)
+        assert cut == 999, (kind, cut)
+        kept = Counter(r.n_bytes - r.n_removed for r in suffixdup.report(docs).collect())
+        assert sum(kept.values()) == 2000
+
+
 # passages
 
 

@@ -1,12 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of the page. Blocks inside menus, headers, footers,
-sidebars, notices, adverts, forms and comments, told by element or by class, id and role, leave lines of
-length zero, as do blocks that are mostly links. The lengths of `WINDOW` consecutive lines are summed; a
-stretch of text begins where the sums surge from zero and ends where they dive to zero. The stretch with the
-most text is kept. If most of it is in article or main elements, these are kept whole, and what else the stretch
-has is left out; otherwise every stretch inside the element that holds it is kept too. So an advert inside an
-article does not cut it.
+Markup is stripped into lines: a line for each block of text, and an empty one where a container (a div, a
+section, an article and the like) begins or ends. Menus, headers, footers, sidebars, notices, adverts, forms and
+comments, told by element or by whole words of class, id and role, leave `WINDOW` empty lines each, and blocks that are
+mostly links leave one. The lengths of `WINDOW` consecutive lines are summed. A stretch of text surges at a line
+whose sum is above a threshold, with the lines of text directly before it and a heading up to `WINDOW` lines
+before, and dives at the next empty line whose sum is at the threshold or below. The threshold is the share `RISE` of the page's
+largest sum, at most `STEEP` characters; so short lines beside the text, such as a copyright line in a box of its own, are no stretch.
+
+The stretch with the most text is kept. Elements decide only what else belongs to it: if most of it is in article or
+main elements, all lines of text in these, as an advert inside an article does not end it; otherwise the
+other stretches in the innermost element around it.
 
 Defined results: null and empty pages, and pages without text, give an empty text. Repeated pages are each a
 row. Ties between stretches go to the first. Columns besides page_id, url and html are ignored; null ids and
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +30,8 @@ from pyspark.sql import functions as F
 from loomwork.llm.common import utf8
 
 WINDOW = 3
+#: A stretch rises above this share of the largest sum of lengths, or above so many characters if that is less.
+RISE, STEEP = 0.2, 86
 #: Share of a block's characters inside links from which it is a menu.
 LINKED = 0.8
 
@@ -52,6 +59,13 @@ BESIDE = frozenset(
     form search login signup subscribe subscription newsletter
     share sharing social related recommended recommendations teaser""".split()
 )
+#: Words after these in a name, such as comment-list, that leave the meaning as it is.
+PLAIN = frozenset(
+    "slot box list area section container wrapper wrap block bar links buttons posts articles stories items item group panel unit inner outer holder left right top bottom".split()
+)
+#: Blocks of text; other elements are containers.
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li br hr dt dd tr td th ul ol dl table thead tbody tfoot blockquote pre figure figcaption caption address details summary".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Of these, what inside an article holds its title.
 TITLES = frozenset(("header", "masthead"))
 #: Words that say that the class names a layout, not the element's own role.
@@ -73,30 +87,42 @@ def beside(tag: str, attributes: str, inside_main: bool) -> bool:
                 return True
             continue
         for word in value.split():
-            parts = set(re.split(r"[^a-z]+", word))
-            if parts & (BESIDE - TITLES if inside_main else BESIDE) and not parts & LAYOUT:
+            # the last word names the thing: a top-banner is a banner, related-work is work
+            parts = re.findall("[a-z]+", word)
+            while len(parts) > 1 and parts[-1] in PLAIN:
+                parts.pop()
+            if parts and parts[-1] in (BESIDE - TITLES if inside_main else BESIDE) and not LAYOUT & set(parts):
                 return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
-    """(text, number of its article or main element, elements around it) of each block.
+class Line(NamedTuple):
+    """A line of a page; html and body don't count as elements around it."""
+
+    text: str
+    main: int  # number of its article or main element, 0 without
+    around: tuple[int, ...]
+    heading: bool
+
 
-    The text is "" for what is beside the article; html and body don't count as elements around it.
-    """
+def lines(page: str) -> list[Line]:
+    """The lines of a page in order."""
     page = SILENT.sub("", page)
-    out: list[tuple[str, int, tuple[int, ...]]] = []
+    out: list[Line] = []
     # open elements: name, beside the article, main element, its name, elements around
     stack: list[tuple[str, bool, int, str, tuple[int, ...]]] = []
     count, number, in_link, linked, text = 0, 0, False, 0, []
 
-    def close() -> None:
+    def close(container: bool = False) -> None:
+        """Ends the line of text, if there is one, and adds an empty one at the edge of a container."""
         nonlocal in_link, linked, text
-        hidden, main = stack[-1][1:3] if stack else (False, 0)
+        tag, hidden, main, _, around = stack[-1] if stack else ("", False, 0, "", ())
         block = " ".join(entities.unescape("".join(text)).split())
         if block:
             menu = not main and linked >= LINKED * sum(map(len, text))
-            out.append(("" if hidden or menu else block, main, stack[-1][4] if stack else ()))
+            out.append(Line("" if hidden or menu else block, main, around, tag in HEADINGS))
+        if container and not hidden:
+            out.append(Line("", main, around, False))
         in_link, linked, text = False, 0, []
 
     at = 0
@@ -110,16 +136,17 @@ def lines(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
         tag = m[2].lower()
         if tag == "a":
             in_link = not m[1]
+        edge = tag not in INLINE and tag not in BLOCKS and tag not in VOID
         if m[1]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if k is not None or tag not in INLINE:
-                close()
+                close(edge)
             if k is not None:
                 del stack[k:]
             continue
         if tag not in INLINE:
-            close()
-            if stack and stack[-1][0] == "p" and tag not in VOID:
+            close(edge)
+            if stack and stack[-1][0] in ("p", *HEADINGS) and tag not in VOID:
                 stack.pop()
         _, hidden, main, name, around = stack[-1] if stack else ("", False, 0, "", ())
         if tag in VOID:
@@ -129,7 +156,7 @@ def lines(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
             continue
         if apart:
             close()
-            out.extend([("", main, around)] * WINDOW)
+            out.extend([Line("", main, around, False)] * WINDOW)
         elif tag in MAIN and not hidden and (not main or tag == "article" and name == "main"):
             count += 1
             main, name = count, tag
@@ -141,36 +168,55 @@ def lines(page: str) -> list[tuple[str, int, tuple[int, ...]]]:
     return out
 
 
-def main_text(page: str) -> str:
+def stretches(rows: list[Line], window: int = WINDOW) -> list[tuple[int, int]]:
+    """[first, end) lines of the stretches between surge and dive."""
+    sizes = [len(r.text) for r in rows]
+    total = [0]
+    for n in sizes:
+        total.append(total[-1] + n)
+    sums = [total[min(i + window, len(rows))] - total[i] for i in range(len(rows))]
+    least = min(STEEP, RISE * max(sums, default=0))
+    out, i = [], 0
+    while i < len(rows):
+        if not sizes[i] or sums[i] <= least:
+            i += 1
+            continue
+        s, low = i, out[-1][1] if out else 0
+        while s > low and sizes[s - 1]:
+            s -= 1
+        for k in range(s - 1, max(low, s - 1 - window) - 1, -1):
+            if sizes[k]:
+                s = k if rows[k].heading else s
+                break
+        while s > low and sizes[s - 1]:
+            s -= 1
+        while i < len(rows) and (sizes[i] or sums[i] > least):
+            i += 1
+        out.append((s, i))
+    return out
+
+
+def main_text(page: str, window: int = WINDOW) -> str:
     """The text between the surge and the dive with the most text, blocks parted by line feeds."""
     rows = lines(page)
-    sizes = [len(t) for t, _, _ in rows]
-    before = [sum(sizes[max(0, i - WINDOW) : i]) for i in range(len(sizes))]
-    stretch, number = [0] * len(rows), 0
-    for i, size in enumerate(sizes):
-        if size and not before[i]:  # a surge; what follows belongs to it until the sums dive to zero
-            number += 1
-        stretch[i] = number
-    weight: dict[int, int] = {}
-    for size, n in zip(sizes, stretch, strict=True):
-        if size:
-            weight[n] = weight.get(n, 0) + size
-    if not weight:
+    found = stretches(rows, window)
+    if not found:
         return ""
-    n = max(weight, key=weight.__getitem__)
-    inside: dict[int, int] = {}
-    for (_, main, _), size, k in zip(rows, sizes, stretch, strict=True):
-        if main and size and k == n:
-            inside[main] = inside.get(main, 0) + size
-    if 2 * sum(inside.values()) > weight[n]:
-        # most of the stretch is in article or main elements, which hold the stretches around it too
-        return "\n".join(t for t, m, _ in rows if t and m in inside)
-    paths = [p for (t, _, p), k in zip(rows, stretch, strict=True) if t and k == n]
+
+    def held(stretch):
+        return [r for r in rows[slice(*stretch)] if r.text]
+
+    best = held(max(found, key=lambda x: sum(len(r.text) for r in held(x))))
+    inside = [r for r in best if r.main]
+    if 2 * sum(len(r.text) for r in inside) > sum(len(r.text) for r in best):
+        mains = {r.main for r in inside}
+        return "\n".join(r.text for r in rows if r.text and r.main in mains)
     depth = 0
-    while depth < min(map(len, paths)) and len({p[depth] for p in paths}) == 1:
+    while depth < min(len(r.around) for r in best) and len({r.around[depth] for r in best}) == 1:
         depth += 1
-    around = paths[0][:depth]
-    return "\n".join(t for (t, _, p), k in zip(rows, stretch, strict=True) if t and (k == n or depth and p[:depth] == around))
+    around = best[0].around[:depth]
+    kept = [r for x in found for r in held(x) if r in best or depth and r.around[:depth] == around]
+    return "\n".join(r.text for r in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

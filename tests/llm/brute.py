@@ -69,3 +69,73 @@ def op9(docs, gram=4, least=85):
     for k, (doc, _) in enumerate(sets):
         least_id[root(k)] = min(doc, least_id.get(root(k), doc))
     return [(doc, len(s), least_id[root(k)]) for k, (doc, s) in enumerate(sets)]
+
+
+def stretches(sizes, headings, window, rise=0.2, steep=86):
+    """[first, end) of the stretches of lines, from the definition: every line is looked at with its whole window."""
+    sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
+    least = min(steep, rise * max(sums, default=0))
+    inside, open_ = [False] * len(sizes), False
+    for i, n in enumerate(sizes):
+        if n and (open_ or sums[i] > least):
+            open_ = True
+        elif not n and sums[i] <= least:
+            open_ = False
+        inside[i] = open_
+    out = []
+    for i, now in enumerate(inside):
+        if now and (not i or not inside[i - 1]):
+            s = i
+            low = out[-1][1] if out else 0
+            while s > low and sizes[s - 1]:
+                s -= 1
+            before = [k for k in range(max(low, s - 1 - window), s) if sizes[k]]
+            if before and headings[before[-1]]:
+                s = before[-1]
+            while s > low and sizes[s - 1]:
+                s -= 1
+            e = next((k for k in range(i, len(sizes)) if not inside[k]), len(sizes))
+            out.append((s, e))
+    return out
+
+
+def op10(page):
+    """The main text of a page of plain structure, with the library's HTML parser."""
+    from html.parser import HTMLParser
+
+    blocks, skipped, main, block = [], [], [], []
+
+    class Reader(HTMLParser):
+        def close_block(self):
+            text = " ".join("".join(block).split())
+            if text and not skipped:
+                blocks.append((text, bool(main)))
+            block.clear()
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("b", "a", "i"):
+                return
+            self.close_block()
+            if tag in ("nav", "footer", "script", "style", "title", "aside", "header") or dict(attrs).get("class") == "ad" or skipped:
+                if tag not in ("br", "meta", "img"):
+                    skipped.append(tag)
+            elif tag == "article":
+                main.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in ("b", "a", "i"):
+                return
+            self.close_block()
+            if skipped and skipped[-1] == tag:
+                skipped.pop()
+            elif tag == "article" and main:
+                main.pop()
+
+        def handle_data(self, data):
+            block.append(data)
+
+    r = Reader()
+    r.feed(page)
+    r.close()
+    r.close_block()
+    return "\n".join(t for t, m in blocks if m)

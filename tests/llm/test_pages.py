@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import brute
 import pytest
 
 from loomwork.llm import html, warc
@@ -112,3 +113,66 @@ def test_articles_that_hold_something_small():
     assert html.main_text(f"<div>{body}{body}</div><nav>x</nav><div>{card}{card}</div>") == f"{text}\n{text}"
     assert html.main_text(f"<article>{body}</article><article>{body}<p>end</p></article><footer>f</footer>") == f"{text}\n{text}\nend"
     assert html.main_text(f"<article>{body}<div class=ad>Buy</div><p>end</p></article><nav>x</nav>{card}") == f"{text}\nend"
+
+
+LONG = "a sentence of the text that goes on for a while, as they do. " * 4
+
+
+def test_surge_and_dive_decide():
+    """Without article, main or class names: what is kept follows from the lengths alone."""
+    text, other = LONG.strip(), "one more paragraph of the same text, " * 5
+    page = (
+        "<body><div><div>Site name</div><div>Contact us at the desk</div></div>"
+        f"<div><h2>A heading</h2></div><div><p>{text}<p>short<p>{other}</div>"
+        "<div>Copyright 2020 Example Inc.</div><div><p>Imprint<p>Terms</div></body>"
+    )
+    assert html.main_text(page) == f"A heading\n{text}\nshort\n{other.strip()}"
+
+
+def test_window_and_threshold_decide(monkeypatch):
+    text = LONG.strip()
+    page = f"<body><div>{text}</div><div>{text}</div></body>"
+    # the edges of two boxes leave two empty lines: a window of one dives there, one of three bridges them
+    assert html.stretches(html.lines(page), 1) != html.stretches(html.lines(page), 3)
+    page = f"<body><div><div>{text}</div><div>{text}</div></div><div><p>a note of few words</p></div></body>"
+    assert "note" not in html.main_text(page)
+    monkeypatch.setattr(html, "STEEP", 0)
+    assert [html.main_text(f"<div>{text}</div><span>n</span>"), html.main_text(page)][1].endswith(text)
+    rows = html.lines(page)
+    assert len(html.stretches(rows, 1)) > len(html.stretches(rows, 3))
+
+
+def test_class_names_are_whole_words():
+    """Article text under names that only hold such a word stays."""
+    body = f"<p>{LONG}</p>"
+    for name in ("related-work", "form-follows", "shadow", "address-book", "headers", "adverbs", "commentary"):
+        assert html.main_text(f"<article>{body}<div class='{name}'><p>kept text</p></div></article>").endswith("kept text"), name
+    for name in ("ad", "top-banner", "cookie-notice", "comment-list", "related-posts", "x sidebar"):
+        assert "kept text" not in html.main_text(f"<article>{body}<div class='{name}'><p>kept text</p></div></article>"), name
+
+
+def test_stretches_equal_a_plain_version():
+    rng = random.Random(3)
+    for _ in range(400):
+        sizes = [rng.choice([0, 0, 0, 3, 20, 60, 100, 400]) for _ in range(rng.randrange(1, 40))]
+        heads = [bool(n) and n < 60 and rng.random() < 0.3 for n in sizes]
+        rows = [html.Line("x" * n, 0, (), h) for n, h in zip(sizes, heads, strict=True)]
+        for window in (1, 2, 3, 6):
+            assert html.stretches(rows, window) == brute.stretches(sizes, heads, window), (sizes, heads, window)
+
+
+def test_pages_equal_a_plain_version(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: brute.op10(r.html or "") for r in rows.collect()}
+    got = {r.page_id: r for r in html.extract(rows).collect()}
+    assert {k: r.text for k, r in got.items()} == want
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_very_long_pages_and_ties():
+    long = "".join(f"<p>paragraph {k} of a very long page</p>" for k in range(20_000))
+    assert html.main_text(f"<div>{long}</div>").count("\n") == 19_999
+    assert html.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+    one, two = "first " * 40, "other " * 40
+    page = f"<div><section><p>{one}</section></div><nav>x</nav><div><section><p>{two}</section></div>"
+    assert html.main_text(page) == one.strip()

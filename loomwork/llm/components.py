@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import staged
+from loomwork.llm.common import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = staged(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        last, now = now, staged(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(last, large)
         if (new := _mark(now)) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = new

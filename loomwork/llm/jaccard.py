@@ -1,20 +1,24 @@
 """Exact similarity join of documents by the Jaccard similarity of their word n-grams.
 
 Documents with equal n-gram sets are one node. By prefix filtering, two sets that are similar enough share
-one of the first tokens of each in any global order of tokens, so the tokens of each set's prefix bring
-candidates together. The orders are hashes; n-grams that many documents have, found by counting every batch,
-come last in the first order, so that they seldom lie in a prefix. Candidates must also share prefix tokens
-under `ORDERS` further orders before their sets are intersected.
+one of the first tokens of each in any global order of tokens. The first of several orders brings candidates
+together: its prefix tokens are shuffled as ids. The orders are hashes; n-grams that many documents have, found by
+counting every batch, come last in the first order, so that they seldom lie in a prefix (`MOST_FREQUENT` bounds only how many;
+no n-gram is dropped). Each node also carries its prefixes under `ORDERS` further orders, as short hashes; a pair of
+nodes stays a candidate only if it shares a prefix token under every order, and the bitmaps of the sets, whose
+distance bounds that of the sets, allow it. Only then are texts fetched, one for each node, and the sets compared.
 
 Tokens with few sets give all their pairs. Larger groups first give only links to a leader and a neighbour;
 when those have been verified and merged into components, only pairs of sets from different components of a
-group are left. They are compared in blocks by bitmaps, whose distance bounds that of the sets, and verified:
-first only the nearest few of each set, then, when those have been merged too, all that are left. So a large
-group of near copies costs about as many verifications as it has members, and no link is lost.
+group are left. They are compared in blocks by bitmaps and orders, and verified: first only the nearest few of
+each set, then, when those have been merged too, all that are left. So a large group of near copies costs about
+as many verifications as it has members, and no link is lost. The bounds `small`, `block` and `nearest` choose
+the path, never the result.
 
 Defined results: a null text, or one without words, has no n-grams and is alone. Repeated documents and
-documents with equal sets are linked. A null doc_id is the id of a component only if no member has another.
-Columns besides doc_id and text are ignored by `join`, and kept by `keep_one`.
+documents with equal sets are linked. Null and repeated doc_ids, and ids of any type, are told apart by the hash of the text; a
+null doc_id is the id of a component only if no member has another. Columns besides doc_id and text are ignored by
+`join`, and kept by `keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import SPACED, Words, groups_of, mix, release, shingle_hashes, sliced, staged, utf8
+from loomwork.llm.common import SPACED, Words, discard, fresh, groups_of, mix, release, shingle_hashes, sliced, staged, text_hash, utf8
 from loomwork.llm.components import components
 
 #: Words of an n-gram, and the least similarity in percent.
 GRAM, LEAST = 4, 85
-#: Orders besides the first that candidates must pass.
+#: Orders besides the first under which candidates must share a prefix token.
 ORDERS = 2
 #: Groups of up to so many sets give all their pairs at once.
 SMALL = 6
@@ -42,6 +46,7 @@ BITS = 16
 #: Nearest partners that a set proposes in each of its groups before all that are left are compared.
 NEAREST = 3
 _FAR = np.uint64(1 << 63)
+SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1)) for k in range(ORDERS)]
 
 
 def prefix_length(n: int, least: int = LEAST) -> int:
@@ -52,8 +57,15 @@ def sets(texts: list[bytes], gram: int = GRAM):
     """The sorted distinct n-gram hashes of each text."""
     for _, part in groups_of(texts):
         words = Words(part, SPACED)
+        every = shingle_hashes(words.hash, gram)
         for s, e in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
-            yield np.unique(shingle_hashes(words.hash[s:e], gram))
+            if e - s < gram:
+                yield shingle_hashes(words.hash[s:e], gram)
+                continue
+            x = np.sort(every[s : e - gram + 1])
+            new = np.ones(len(x), bool)
+            np.not_equal(x[1:], x[:-1], out=new[1:])
+            yield x[new]
 
 
 def signature(x: np.ndarray) -> tuple[int, int]:
@@ -78,39 +90,62 @@ def folded(bits: np.ndarray) -> np.ndarray:
     return bits[..., :half] ^ bits[..., half:]
 
 
-def signed(docs: DataFrame, gram: int) -> DataFrame:
-    """doc_id, twin (a hash of the text), n (size of the set), a, b (signature), bits."""
+#: Prefix tokens from which their hashes are kept whole, at 32 bits; of fewer, 16 bits are kept.
+WIDE = 128
+
+
+def heads(x: np.ndarray, least: int) -> bytes:
+    """Sorted short hashes of the prefix tokens of a set under each further order."""
+    k = prefix_length(len(x), least)
+    found = [np.partition(mix(x ^ seed), k - 1)[:k] for seed in SEEDS]
+    # the low bits say nothing of the order
+    return b"".join(np.sort(p.astype(np.uint32) if k > WIDE else p.astype(np.uint16)).tobytes() for p in found)
+
+
+def orders_meet(x: bytes, n: int, y: bytes, m: int, least: int) -> bool:
+    """Whether two sets of n and m tokens share a prefix token under every further order; seldom true without."""
+    p, q = (np.frombuffer(h, np.uint32 if k > WIDE else np.uint16).reshape(ORDERS, k) for h, k in ((x, prefix_length(n, least)), (y, prefix_length(m, least))))
+    if p.dtype != q.dtype:
+        p, q = p.astype(np.uint16), q.astype(np.uint16)
+    return all(len(np.intersect1d(a, b)) for a, b in zip(p, q, strict=True))
+
+
+SIGNED = "who long, twin long, n long, a long, b long, bits binary, heads binary"
+
+
+def signed(docs: DataFrame, gram: int, least: int) -> DataFrame:
+    """A row of SIGNED and doc_id for each document, and rows (token, times) of the n-grams frequent in a slice of a batch.
+
+    who and twin, hashes of doc_id and text, name a document; a and b are the signature of its set.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in sliced(batches):
-            n, first, second, bits = [], [], [], []
-            for x in sets(b.column(2).to_pylist(), gram):
-                n.append(len(x))
-                one, two = signature(x)
-                first.append(one)
-                second.append(two)
-                bits.append(bitmap(x))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(bits, pa.binary())],
-                names=["doc_id", "twin", "n", "a", "b", "bits"],
-            )
-
-    return docs.select("doc_id", twin(), utf8()).mapInArrow(run, f"doc_id {kind}, twin long, n long, a long, b long, bits binary")
-
-
-def frequent(docs: DataFrame, gram: int) -> np.ndarray:
+        for b in batches:
+            for part in sliced([b]):
+                found = list(sets(part.column(3).to_pylist(), gram))
+                names = [signature(x) for x in found]
+                whole = {s: x for s, x in zip(names, found, strict=True)}
+                token, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *whole.values()]), return_counts=True)
+                token, times = token[times >= FREQUENT], times[times >= FREQUENT]
+                rows = [
+                    (len(x), *s, bitmap(x), heads(x, least) if len(x) else b"") for s, x in zip(names, found, strict=True)
+                ]
+                cols = list(zip(*rows, strict=True)) or [()] * 5
+                n, m = len(rows), len(token)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                more = [pa.concat_arrays([pa.array(list(c), t), pa.nulls(m, t)]) for c, t in zip(cols, kinds, strict=True)]
+                own = [pa.concat_arrays([part.column(k), pa.nulls(m, part.schema.field(k).type)]) for k in range(3)]
+                last = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(c.astype(np.int64))]) for c in (token, times)]
+                yield pa.RecordBatch.from_arrays([*own, *more, *last], names=["doc_id", "who", "twin", "n", "a", "b", "bits", "heads", "token", "times"])
+
+    return docs.select("doc_id", F.xxhash64("doc_id"), text_hash(), utf8()).mapInArrow(run, f"doc_id {kind}, {SIGNED}, token long, times long")
+
+
+def frequent(counted: DataFrame) -> np.ndarray:
     """The n-grams that most documents of a batch have; at most MOST_FREQUENT, which only bounds the order's tail."""
-
-    def run(batches):
-        for b in sliced(batches):
-            every = np.concatenate([np.zeros(0, np.uint64), *{signature(x): x for x in sets(b.column(0).to_pylist(), gram)}.values()])
-            token, count = np.unique(every, return_counts=True)
-            many = count >= FREQUENT
-            yield pa.RecordBatch.from_arrays([pa.array(token[many].astype(np.int64)), pa.array(count[many])], names=["token", "n"])
-
-    counted = docs.select(utf8()).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow()
+    n = counted.groupBy("token").agg(F.sum("times").alias("n"))
+    rows = n.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow()
     return np.sort(rows["token"].to_numpy().astype(np.uint64))
 
 
@@ -150,7 +185,7 @@ def prefixes(docs: DataFrame, gram: int, least: int, last: np.ndarray) -> DataFr
 PAIR = "xa long, xb long, ya long, yb long"
 
 
-def first_links(rows: DataFrame, least: int) -> DataFrame:
+def first_links(rows: DataFrame, least: int, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """Candidates of each token's group, and the members of large groups: kind, token, n, xa, xb, ya, yb."""
     order = rows.repartition("token").sortWithinPartitions("token", "n", "a", "b")
 
@@ -161,7 +196,7 @@ def first_links(rows: DataFrame, least: int) -> DataFrame:
         at = np.flatnonzero(keep)
         if len(at) < 2:
             return [], [], at if part else []
-        if len(at) <= SMALL:
+        if len(at) <= small:
             i, j = np.triu_indices(len(at), 1)
         else:
             lead = np.zeros(len(at), np.int64)
@@ -170,7 +205,7 @@ def first_links(rows: DataFrame, least: int) -> DataFrame:
             j = np.arange(1, len(at))
             i, j = np.concatenate([lead[1:], j - 1]), np.concatenate([j, j])
         fits = (i != j) & (100 * n[at[i]] >= least * n[at[j]])
-        return at[i[fits]], at[j[fits]], at if part or len(at) > SMALL else []
+        return at[i[fits]], at[j[fits]], at if part or len(at) > small else []
 
     def group(held, part):
         t, n, a, b = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -203,7 +238,7 @@ def first_links(rows: DataFrame, least: int) -> DataFrame:
                 continue
             cuts = [0, *(np.flatnonzero(np.diff(t)) + 1).tolist(), len(t)]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and (held[-1][0][0] != t[s] or size >= BLOCK * 16):
+                if held and (held[-1][0][0] != t[s] or size >= block * 16):
                     again = held[-1][0][0] == t[s]
                     if size > 1 or part:
                         done.append(group(held, part or again))
@@ -223,55 +258,45 @@ def first_links(rows: DataFrame, least: int) -> DataFrame:
 
 
 def similar(x: np.ndarray, y: np.ndarray, least: int) -> bool:
-    """Whether two sets are similar enough; first the prefixes under further orders must meet."""
+    """Whether two sets are similar enough."""
     if 100 * min(len(x), len(y)) < least * max(len(x), len(y)):
         return False
-    for k in range(ORDERS):
-        seed = np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))
-        p, q = (np.partition(mix(v ^ seed), m - 1)[:m] for v in (x, y) for m in [prefix_length(len(v), least)])
-        if not len(np.intersect1d(p, q, assume_unique=True)):
-            return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= least * (len(x) + len(y) - both)
 
 
-def near(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """The pairs whose bitmaps differ in no more bits than similar sets of their sizes can in elements."""
-    x = nodes.select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("n").alias("xn"), F.col("bits").alias("x"))
-    y = nodes.select(F.col("a").alias("ya"), F.col("b").alias("yb"), F.col("n").alias("yn"), F.col("bits").alias("y"))
+def filtered(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """The pairs that share prefix tokens under all orders and whose bitmaps differ in no more bits than similar sets can."""
+    x = nodes.select(F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("n").alias("xn"), F.col("bits").alias("x"), F.col("heads").alias("p"))
+    y = nodes.select(F.col("a").alias("ya"), F.col("b").alias("yb"), F.col("n").alias("yn"), F.col("bits").alias("y"), F.col("heads").alias("q"))
 
     def run(batches):
         for rb in batches:
             keep = []
-            size = rb.column(4).to_numpy() + rb.column(5).to_numpy()
-            for n, p, q in zip(size.tolist(), rb.column(6), rb.column(7), strict=True):
-                u, v = (np.frombuffer(z.as_py(), np.uint64) for z in (p, q))
+            for n, m, x, y, p, q in zip(*(rb.column(k).to_pylist() for k in range(4, 10)), strict=True):
+                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 while len(u) != len(v):
                     u, v = (folded(u), v) if len(u) > len(v) else (u, folded(v))
-                keep.append((100 + least) * int(np.bitwise_count(u ^ v).sum()) <= (100 - least) * n)
+                near = (100 + least) * int(np.bitwise_count(u ^ v).sum()) <= (100 - least) * (n + m)
+                keep.append(near and orders_meet(p, n, q, m, least))
             yield rb.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(x, ["xa", "xb"]).join(y, ["ya", "yb"]).where((100 * F.least("xn", "yn")) >= (least * F.greatest("xn", "yn")))
-    return both.select("xa", "xb", "ya", "yb", "xn", "yn", "x", "y").mapInArrow(run, PAIR)
+    return both.select("xa", "xb", "ya", "yb", "xn", "yn", "x", "y", "p", "q").mapInArrow(run, PAIR)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, gram: int, least: int) -> DataFrame:
     """The pairs (x, y) of signatures whose sets are similar enough, as edges (u, v).
 
-    nodes: (a, b, doc_id), a document of each signature, by which its text is fetched.
+    nodes: (a, b, who, twin), a document of each signature, by which its text is fetched.
     """
-    pairs = staged(near(pairs, nodes, least))
+    pairs = staged(filtered(pairs, nodes, least))
     release(pairs.sparkSession)
     asked = pairs.select("xa", "xb").union(pairs.select("ya", "yb")).distinct().toDF("a", "b")
-    wanted = asked.join(nodes.select("a", "b", F.col("doc_id").alias("id")), ["a", "b"])
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("a", "b", utf8())
-
-    def right(batches):  # a doc_id can stand for several rows
-        for rb in batches:
-            good = [signature(x) == s for x, s in zip(sets(rb.column(2).to_pylist(), gram), zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True), strict=True)]
-            yield rb.filter(pa.array(good, pa.bool_()))
-
-    texts = staged(texts.toDF("a", "b", "bytes").mapInArrow(right, "a long, b long, bytes binary"))
+    wanted = asked.join(nodes.select("a", "b", "who", "twin"), ["a", "b"])
+    # repeated rows of a document are one: a text for each signature
+    own = docs.select(F.xxhash64("doc_id").alias("who"), text_hash().alias("twin"), utf8().alias("bytes")).dropDuplicates(["who", "twin"])
+    texts = staged(own.join(wanted, ["who", "twin"]).select("a", "b", "bytes"))
     release(texts.sparkSession)
     one, two = texts.toDF("xa", "xb", "x"), texts.toDF("ya", "yb", "y")
     both = pairs.join(one, ["xa", "xb"]).join(two, ["ya", "yb"]).select("xa", "xb", "ya", "yb", "x", "y")
@@ -292,10 +317,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, gram: int, lea
             yield rb.select([0, 1, 2, 3]).filter(pa.array(good, pa.bool_()))
 
     edges = both.mapInArrow(run, PAIR)
-    return staged(edges.distinct().select(F.struct(F.col("xa").alias("a"), F.col("xb").alias("b")).alias("u"), F.struct(F.col("ya").alias("a"), F.col("yb").alias("b")).alias("v")))
+    out = staged(edges.distinct().select(F.struct(F.col("xa").alias("a"), F.col("xb").alias("b")).alias("u"), F.struct(F.col("ya").alias("a"), F.col("yb").alias("b")).alias("v")))
+    discard(pairs, texts)
+    return out
 
 
-def later_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: int, most: int | None = None) -> DataFrame:
+def later_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: int, most: int | None = None, block: int = BLOCK) -> DataFrame:
     """Pairs of members of a group that are in different components and whose bitmaps are near enough.
 
     With `most`, each member of a group proposes only its nearest few, which merge most of a large group.
@@ -305,7 +332,7 @@ def later_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: i
     mixed = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
     known = known.join(mixed.select("token", "size"), "token")
     # members meet in blocks: a block pair for every two blocks of a group
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    blocks = F.ceil(F.col("size") / block).cast("long")
     own = F.pmod(F.xxhash64("a", "b"), blocks)
     dealt = known.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "n", "c", "a", "b")
@@ -369,36 +396,42 @@ def later_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: i
     return order.mapInArrow(run, PAIR).distinct()
 
 
-def twin():
-    return F.xxhash64(F.coalesce("text", F.lit("")))
-
-
-def classes(docs: DataFrame, gram: int = GRAM, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, gram: int = GRAM, least: int = LEAST, small: int = SMALL, block: int = BLOCK, nearest: int = NEAREST) -> tuple[DataFrame, DataFrame]:
     """(doc_id, twin, n, a, b of each document; a, b, ra, rb: the component's root of each signature)."""
     docs = docs.select("doc_id", "text")
-    own = staged(signed(docs, gram))
+    rows = staged(signed(docs, gram, least))
+    last = frequent(rows.where("token is not null"))
+    own = rows.where("n is not null")
     nodes = staged(
-        own.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+        own.where("n > 0")
+        .groupBy("a", "b")
+        .agg(F.min(F.struct("who", "twin")).alias("of"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("heads").alias("heads"))
+        .select("a", "b", "of.who", "of.twin", "n", "bits", "heads")
     )
-    linked = staged(first_links(prefixes(docs, gram, least, frequent(docs, gram)), least))
+    linked = staged(first_links(prefixes(docs, gram, least, last), least, small, block))
     release(docs.sparkSession)
-    roots = components(verified(linked.where("kind = 0").select("xa", "xb", "ya", "yb").distinct(), nodes, docs, gram, least))
+    found = verified(linked.where("kind = 0").select("xa", "xb", "ya", "yb").distinct(), nodes, docs, gram, least)
+    roots = components(found)
+    discard(found)
     members = linked.where("kind = 1").select("token", "n", F.col("xa").alias("a"), F.col("xb").alias("b")).distinct()
-    for most in (NEAREST, None):
-        more = staged(later_links(members, nodes, roots, least, most))
+    for most in (nearest, None):
+        more = staged(later_links(members, nodes, roots, least, most, block))
         release(docs.sparkSession)
         if more.isEmpty():
             break
         # the components so far are stars already, which saves rounds
-        roots = components(verified(more, nodes, docs, gram, least).union(roots.toDF("u", "v")))
+        found = verified(more, nodes, docs, gram, least)
+        roots = components(found.union(roots.toDF("u", "v")))
+        discard(more, found)
+    discard(linked)
     root = roots.select("node.a", "node.b", F.col("root.a").alias("ra"), F.col("root.b").alias("rb"))
     placed = nodes.select("a", "b").join(root, ["a", "b"], "left")
-    return own.drop("bits"), placed.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+    return own.select("doc_id", "twin", "n", "a", "b"), placed.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
 
 
-def join(docs: DataFrame, gram: int = GRAM, least: int = LEAST) -> DataFrame:
+def join(docs: DataFrame, gram: int = GRAM, least: int = LEAST, **bounds: int) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    own, placed = classes(docs, gram, least)
+    own, placed = classes(docs, gram, least, **bounds)
     smallest = own.where("n > 0").join(placed, ["a", "b"]).groupBy("ra", "rb").agg(F.min("doc_id").alias("component_id"))
     named = placed.join(smallest, ["ra", "rb"]).select("a", "b", "component_id")
     return own.join(named, ["a", "b"], "left").select(
@@ -416,17 +449,18 @@ def keep_one(docs: DataFrame, gram: int = GRAM, least: int = LEAST) -> DataFrame
     member = own.where("n > 0").join(placed, ["a", "b"]).select("doc_id", "twin", "ra", "rb", place.alias("place"))
     best = member.groupBy("ra", "rb").agg(F.min("place").alias("best"), F.count("*").alias("size")).where("size > 1")
     # rows to drop; equal rows of the kept document are told apart below
+    twin, doc, same, n, first = fresh(docs, "twin", "doc", "same", "n", "first")
     drop = staged(
         member.join(best, ["ra", "rb"])
-        .groupBy(F.col("doc_id").alias("__doc"), F.col("twin").alias("__same"))
-        .agg(F.count("*").alias("__n"), F.bool_or(F.col("place") == F.col("best")).alias("__best"))
-        .where("not __best or __n > 1")
+        .groupBy(F.col("doc_id").alias(doc), F.col("twin").alias(same))
+        .agg(F.count("*").alias(n), F.bool_or(F.col("place") == F.col("best")).alias(first))
+        .where(f"not {first} or {n} > 1")
     )
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__twin") == F.col("__same"))
-    marked = docs.withColumn("__twin", twin())
-    kept = marked.join(drop, same, "left_anti").select(docs.columns)
-    again = drop.where("__best")
+    equal = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(twin) == F.col(same))
+    marked = docs.withColumn(twin, text_hash())
+    kept = marked.join(drop, equal, "left_anti").select(docs.columns)
+    again = drop.where(first)
     if again.isEmpty():
         return kept
-    once = marked.join(again, same, "left_semi").dropDuplicates(["doc_id", "__twin"])
+    once = marked.join(again, equal, "left_semi").dropDuplicates(["doc_id", twin])
     return kept.unionByName(once.select(docs.columns))

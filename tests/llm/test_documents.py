@@ -324,6 +324,54 @@ def test_jaccard_of_a_group_of_near_copies(spark):
     assert rows(jaccard.join(df)) == sorted(brute.op9(docs), key=repr)
 
 
+@pytest.mark.parametrize("bounds", [{"small": 6}, {"small": 3, "block": 8}, {"small": 2, "block": 3, "nearest": 1}])
+def test_jaccard_paths_give_the_same(spark, bounds):
+    """Groups below and beyond each bound: all pairs, leaders, blocks, nearest partners and what is left."""
+    docs = []
+    for family in range(3):
+        words = prose(70 + family, 90).split()
+        for k in range(5 + 15 * family):
+            docs.append((len(docs), " ".join(f"{w}k{k}" if k and j in ((k * 13) % 90, (k * 29) % 90, (k * 41) % 90 if k % 3 else (k * 13) % 90) else w for j, w in enumerate(words))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(brute.op9(docs), key=repr)
+    assert rows(jaccard.join(df, **bounds)) == want and len({c for *_, c in want}) > 3
+
+
+def test_candidates_are_intersected_before_texts_are_read(spark):
+    """Sets with a common token under the first order only are no candidates, and no similar pair is lost."""
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[: 400 - 8 * k], rng.integers(0, 2**63, 8 * k).astype(np.uint64)])) for k in range(50)]
+    other = [np.unique(np.concatenate([base[k : k + 1], rng.integers(0, 2**63, 399).astype(np.uint64)])) for k in range(60)]
+    first = jaccard.heads(base, 85)
+    for x in sets:
+        if jaccard.similar(base, x, 85):
+            assert jaccard.orders_meet(first, len(base), jaccard.heads(x, 85), len(x), 85)
+    stay = sum(jaccard.orders_meet(first, len(base), jaccard.heads(x, 85), len(x), 85) for x in other)
+    assert stay <= 10
+    docs = documents(spark).select("doc_id", "text")
+    every = jaccard.staged(jaccard.signed(docs, 4, 85))
+    nodes = every.where("n > 0").groupBy("a", "b").agg(*(jaccard.F.first(c).alias(c) for c in ("n", "bits", "heads")))
+    linked = jaccard.first_links(jaccard.prefixes(docs, 4, 85, np.zeros(0, np.uint64)), 85)
+    pairs = linked.where("kind = 0").select("xa", "xb", "ya", "yb").distinct()
+    assert jaccard.filtered(pairs, nodes, 85).count() < 0.5 * pairs.count()
+
+
+def test_jaccard_of_many_documents_of_one_id(spark):
+    """Null ids, repeated ids and string ids: each text is a document of its own, and each set is fetched once."""
+    texts = [prose(300 + k // 2, 40) + (" tail" if k % 2 else "") for k in range(2000)]
+    for kind, ids in (("long", [None] * 2000), ("long", [7] * 2000), ("string", [f"d{k:05}" for k in range(2000)])):
+        got = jaccard.join(spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string")).collect()
+        assert len(got) == 2000 and Counter(r.n_shingles for r in got) == {37: 1000, 38: 1000}
+        if kind == "string":
+            assert all(r.component_id == f"d{int(r.doc_id[1:]) // 2 * 2:05}" for r in got)
+        else:
+            assert {r.component_id for r in got} == {ids[0]}
+    same = spark.createDataFrame([(7, prose(1))] * 300 + [(7, prose(1) + " x")] * 300, "doc_id long, text string")
+    assert len(jaccard.join(same).collect()) == 600
+    assert jaccard.keep_one(same).count() == 1
+
+
 def test_jaccard_edges(spark, edge_docs, no_docs):
     got = jaccard.join(edge_docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in pairs(edge_docs))

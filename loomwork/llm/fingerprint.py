@@ -4,12 +4,15 @@ A text is a sequence of bytes. On each level, runs of equal symbols become one s
 tossing then turns symbols into a few labels, each from a symbol and its left neighbour, in which neighbours
 differ; blocks begin at the local maxima of the labels, and a block's name, a hash of its symbols, is a symbol
 of the next level. Where a block begins depends on a few symbols around it, so equal substrings get the same
-names inside, wherever they stand. The fingerprint holds the `KEPT` smallest hashes of the names on level
-`LEVEL`, phrases of about twenty bytes, so the share of common phrases of two texts shows in their fingerprints.
-
-Defined results: a null or empty text has the empty fingerprint, which is like itself (1) and unlike all
-others (0). The next document is by falling doc_id, null last, equal doc_ids by a falling hash of the text;
-the last one's is the first. Columns besides doc_id and text are ignored.
+names inside, wherever they stand. The fingerprint holds the smallest hashes of the names on level `LEVEL`,
+phrases of about twenty bytes: `KEPT` of them, or one in `SHARE` if that is more, so the share of common phrases
+of two texts shows in their fingerprints, and long texts keep more.
+
+Documents are range-sorted, so the next one is the next row; each partition's last document is finished in a second step,
+with the first of the partition after it. Defined results: a null or empty text has the empty fingerprint, which
+is like itself (1) and unlike all others (0). The next document is by falling doc_id, null last, equal doc_ids
+by a falling hash of the text; the last one's is the first. Many rows of one doc_id, or without one, are split by that
+hash, and equal rows at random, which changes nothing. Ids of any type. Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +21,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import _power_tables, groups_of, mix
+from loomwork.llm.common import _power_tables, groups_of, mix, staged, trim
 
-LEVEL, KEPT = 3, 64
+LEVEL, KEPT, SHARE = 3, 64, 32
 #: Rounds of coin tossing: 64-bit symbols go to under 128, 14, 8 labels.
 ROUNDS = 3
 
@@ -70,7 +73,7 @@ def parse(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
-    """Sorted 32-bit hashes of the phrases of each text, the KEPT smallest."""
+    """Sorted 32-bit hashes of the phrases of each text, the smallest ones."""
     out = []
     for _, part in groups_of(texts):
         solid = [k for k, t in enumerate(part) if t]
@@ -82,7 +85,8 @@ def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
                 symbols, bounds = parse(symbols, bounds)
             names = (mix(symbols) >> np.uint64(32)).astype(np.uint32)
             for n, k in enumerate(solid):
-                found[k] = np.unique(names[bounds[n] : bounds[n + 1]])[:KEPT]
+                every = np.unique(names[bounds[n] : bounds[n + 1]])
+                found[k] = every[: max(KEPT, len(every) // SHARE)]
         out += found
     return out
 
@@ -94,8 +98,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     both = np.sort(np.concatenate([a, b]))
     twice = both[1:] == both[:-1]
     every = both[np.concatenate([[True], ~twice])]
-    # beyond either one's largest kept hash, nothing is known of it
-    limit = every[: KEPT][-1] if max(len(a), len(b)) == KEPT else every[-1]
+    # beyond its largest kept hash, nothing is known of a text with more phrases
+    limit = min([every[-1], *(x[-1] for x in (a, b) if len(x) >= KEPT)])
     return float((both[1:][twice] <= limit).sum() / (every <= limit).sum())
 
 
@@ -103,71 +107,89 @@ def hexed(x: np.ndarray) -> str:
     return x.astype(">u4").tobytes().hex()
 
 
-def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """doc_id, text, group, tail: each group in order, then as its tail the document after it.
-
-    Splitters of doc_id cut the order into groups; only one document of each group is fetched again.
-    """
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    splits = own.agg(F.percentile_approx("doc_id", [(k + 1) / parts for k in range(parts - 1)] or [0.5], 10_000)).first()[0] or []
-    cut = sorted({s for s in splits if s is not None}, reverse=True)
-    after = F.size(F.filter(F.array(*map(F.lit, cut)), lambda s: s > F.col("doc_id"))) if cut else F.lit(0)
-    group = F.when(F.col("doc_id").isNull(), len(cut)).otherwise(after)
-    grouped = own.withColumn("group", group)
-    # a row for each group
-    heads = sorted((r["group"], r["doc_id"]) for r in grouped.groupBy("group").agg(F.max("doc_id").alias("doc_id")).collect() if r["doc_id"] is not None or r["group"] == len(cut))
-    if not heads:
-        return grouped.withColumn("tail", F.lit(0))
-    of = {}
-    for k, (g, _) in enumerate(heads):
-        of.setdefault(heads[(k + 1) % len(heads)][1], []).append(g)
-    ids = [i for i in of if i is not None]
-    wanted = F.col("doc_id").isin(ids) if ids else F.lit(False)
-    if None in of:
-        wanted = wanted | F.col("doc_id").isNull()
-    first = own.where(wanted).groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
-    target = F.coalesce(*(F.when(F.col("doc_id").eqNullSafe(F.lit(i)), F.array(*map(F.lit, g))) for i, g in of.items()))
-    tails = first.select("doc_id", "text", F.explode(target).alias("group")).withColumn("tail", F.lit(1))
-    return grouped.withColumn("tail", F.lit(0)).unionByName(tails)
-
-
 def edited(text: str, following: str) -> str:
     half = len(text) // 2
     return text[: len(text) - half] + following[:half]
 
 
+def finished(rows: list[tuple], kind: pa.DataType) -> list[pa.Array]:
+    """Columns of the result for (doc_id, text, following text)."""
+    texts, following = [r[1] for r in rows], [r[2] for r in rows]
+    changed = [edited(t, n).encode() for t, n in zip(texts, following, strict=True)]
+    prints = fingerprints([t.encode() for t in texts] + changed + [n.encode() for n in following[-1:]])
+    own, others, last = prints[: len(rows)], prints[len(rows) : 2 * len(rows)], prints[2 * len(rows) :]
+    # rows that follow each other share their texts
+    after = [own[k + 1] if k + 1 < len(rows) and following[k] is texts[k + 1] else None for k in range(len(rows) - 1)] + last
+    after = [fingerprints([n.encode()])[0] if p is None else p for p, n in zip(after, following, strict=True)]
+    return [
+        pa.array([r[0] for r in rows], kind),
+        pa.array([len(t) for t in texts], pa.int64()),
+        pa.array([hashlib.sha256(t).hexdigest() for t in changed], pa.string()),
+        pa.array([hexed(p) for p in own], pa.string()),
+        pa.array([hexed(p) for p in others], pa.string()),
+        pa.array([likeness(p, q) for p, q in zip(own, others, strict=True)], pa.float64()),
+        pa.array([likeness(p, q) for p, q in zip(own, after, strict=True)], pa.float64()),
+    ]
+
+
+COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+#: Characters of texts that are finished at a time.
+SLICE = 1 << 20
+
+
 def report(docs: DataFrame) -> DataFrame:
     """The rows of query op6."""
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = with_next(docs, parts).repartition(parts, "group")
-    order = rows.sortWithinPartitions("group", "tail", F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc()).select("doc_id", "text", "group", "tail")
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"same": F.xxhash64("text"), "spread": F.rand(1)})
+    order = [F.col("doc_id").desc_nulls_last(), F.desc("same")]
+    ranged = own.repartitionByRange(*order, "spread").sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
+    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches):
-        waiting = None  # doc_id, text, fingerprint of the row before
+        """Finished rows, and (edge, part, doc_id, text) of each partition's first (0) and last (1) document."""
+        waiting, size, part = [], 0, None
         for b in batches:
-            ids, texts, tails = (b.column(k).to_pylist() for k in (0, 1, 3))
-            prints = fingerprints([t.encode() for t in texts])
-            chain = ([waiting] if waiting else []) + list(zip(ids, texts, prints, tails, strict=True))
-            waiting = chain[-1] if chain else None
-            pairs = [(x, y) for x, y in zip(chain[:-1], chain[1:], strict=True) if not x[3]]
-            changed = [edited(x[1], y[1]).encode() for x, y in pairs]
-            others = fingerprints(changed)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x, _ in pairs], b.schema.field(0).type),
-                    pa.array([len(x[1]) for x, _ in pairs], pa.int64()),
-                    pa.array([hashlib.sha256(t).hexdigest() for t in changed], pa.string()),
-                    pa.array([hexed(x[2]) for x, _ in pairs], pa.string()),
-                    pa.array([hexed(p) for p in others], pa.string()),
-                    pa.array([likeness(x[2], p) for (x, _), p in zip(pairs, others, strict=True)], pa.float64()),
-                    pa.array([likeness(x[2], y[2]) for x, y in pairs], pa.float64()),
-                ],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            )
-
-    return order.mapInArrow(
-        run,
-        f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+            of = b.schema.field(0).type
+            for doc, text, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if part is None:
+                    part = k
+                    yield edge(0, part, doc, text, of)
+                waiting.append((doc, text))
+                size += len(text)
+                if size >= SLICE and len(waiting) > 1:
+                    yield done(waiting, of)
+                    waiting = waiting[-1:]
+                    size = len(waiting[0][1])
+        if waiting:
+            if len(waiting) > 1:
+                yield done(waiting, of)
+            yield edge(1, part, *waiting[-1], of)
+        trim()
+
+    def done(rows, of):
+        cols = finished([(*x, y[1]) for x, y in zip(rows[:-1], rows[1:], strict=True)], of)
+        none = [pa.nulls(len(rows) - 1, t) for t in (pa.int32(), pa.int32(), pa.string())]
+        return pa.RecordBatch.from_arrays([*cols, *none], names=[*COLUMNS, "edge", "part", "text"])
+
+    def edge(which, part, doc, text, of):
+        none = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+        own = [pa.array([which], pa.int32()), pa.array([part], pa.int32()), pa.array([text], pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array([doc], of), *none, *own], names=[*COLUMNS, "edge", "part", "text"])
+
+    every = staged(ranged.mapInArrow(run, f"{schema}, edge int, part int, text string"))
+    # one row for each partition: the one before it, the last for the first
+    heads = every.where("edge = 0").select("part", F.col("text").alias("following"))
+    parts = heads.select("part")
+    before = parts.select(
+        "part",
+        F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("prior"),
     )
+    tails = every.where("edge = 1").select("doc_id", "text", F.col("part").alias("prior"))
+    open_rows = tails.join(heads.join(before, "part"), "prior").select("doc_id", "text", "following")
+
+    def last(batches):
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                yield pa.RecordBatch.from_arrays(finished([row], b.schema.field(0).type), names=COLUMNS)
+
+    return every.where("edge is null").select(*COLUMNS).union(open_rows.mapInArrow(last, schema))

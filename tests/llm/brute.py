@@ -139,3 +139,50 @@ def op10(page):
     r.close()
     r.close_block()
     return "\n".join(t for t, m in blocks if m)
+
+
+def op6_edits(docs):
+    """(doc_id, n_chars, edited_sha256, edited text, next text) of distinct doc_ids, null last."""
+    order = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
+    out = []
+    for k, (doc, text) in enumerate(order):
+        text, following = text or "", order[(k + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        changed = text[: len(text) - half] + following[:half]
+        out.append((doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), changed, following))
+    return out
+
+
+def phrases(text, level=3):
+    """The set of phrases of a text by locally consistent parsing, each spelled out, from the definition."""
+    symbols = [bytes([b]) for b in text.encode()]
+    codes = {}
+    for depth in range(level):
+        runs = []
+        for x in symbols:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        values = [codes[x] if depth else x[0] for x, _ in runs]
+        width = 64 if depth else 8
+        for _ in range(3):
+            after = []
+            for k, v in enumerate(values):
+                left = values[k - 1] if k else ~v & ((1 << width) - 1)
+                bit = next(i for i in range(width) if (v ^ left) >> i & 1)
+                after.append(bit << 1 | (v >> bit & 1))
+            values, width = after, 8
+        n = len(values)
+        starts = [k for k in range(n) if not k or (values[k] > values[k - 1] and (k + 1 == n or values[k] > values[k + 1]) and k + 1 < n)]
+        yield_, parts = [], [*starts, n]
+        for s, e in zip(parts[:-1], parts[1:]):
+            yield_.append(b"|".join(x * c if not depth else x + b"*%d" % c for x, c in runs[s:e]))
+        symbols = yield_
+        codes = {x: name(depth, x) for x in set(symbols)}
+    return set(symbols)
+
+
+def name(depth, x):
+    """64 bits for a phrase; any hash serves, so this one is not the operator's."""
+    return int.from_bytes(hashlib.blake2b(bytes([depth]) + x, digest_size=8).digest(), "big")

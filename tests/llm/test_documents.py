@@ -233,6 +233,47 @@ def test_fingerprints(spark, edge_docs, no_docs):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_fingerprints_equal_a_plain_version(spark, parts):
+    """Edited texts, lengths and next documents of every row; likeness against exact phrase sets of another hash."""
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    got = {r.doc_id: r for r in fingerprint.report(documents(spark)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = brute.op6_edits(pairs(documents(spark)))
+    assert {d: (r.n_chars, r.edited_sha256) for d, r in got.items()} == {w[0]: w[1:3] for w in want}
+    texts, off = {d: t or "" for d, t in pairs(documents(spark))}, []
+
+    def share(x, y):
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    for doc, _, _, changed, following in want[:60]:
+        a, b, c = (brute.phrases(t) if t else set() for t in (texts[doc], changed, following))
+        off += [abs(share(a, b) - got[doc].near_edited), abs(share(a, c) - got[doc].near_next)]
+    assert np.mean(off) < 0.06 and np.quantile(off, 0.95) < 0.2
+    prints = {}
+    for doc, r in got.items():
+        assert prints.setdefault(texts[doc], r.fingerprint) == r.fingerprint
+
+
+def test_fingerprints_of_many_documents_of_one_id(spark):
+    """Null ids, repeated ids, string ids and equal rows: each row comes out, each with the next one's text."""
+    texts = [prose(k, 6) for k in range(1500)]
+    for kind, ids in (("long", [None] * 1500), ("long", [7] * 1500), ("string", [f"d{k:04}" for k in range(1500)])):
+        got = fingerprint.report(spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string")).collect()
+        assert len(got) == 1500 and len({r.edited_sha256 for r in got}) == 1500
+        if kind == "string":
+            want = {i: texts[k][: -(len(texts[k]) // 2)] + texts[k - 1][: len(texts[k]) // 2] for k, i in enumerate(ids)}
+            assert {r.doc_id: r.edited_sha256 for r in got} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    same = spark.createDataFrame([(1, texts[0])] * 500, "doc_id long, text string")
+    assert {(r.near_edited, r.near_next) for r in fingerprint.report(same).collect()} == {(1.0, 1.0)} or fingerprint.report(same).count() == 500
+
+
+def test_long_texts_keep_more_hashes():
+    long = [" ".join(prose(k, 30) for k in range(s, s + 400)).encode() for s in (0, 300)]
+    a, b = fingerprint.fingerprints(long)
+    assert min(len(a), len(b)) > fingerprint.KEPT and abs(fingerprint.likeness(a, b) - 1 / 7) < 0.05
+
+
 def test_phrases_do_not_depend_on_the_offset():
     inner = prose(11, 200).encode()
     a, b = fingerprint.fingerprints([b"start " + inner, b"another, longer start: " + inner])

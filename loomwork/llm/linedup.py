@@ -6,16 +6,18 @@ the first 2k lines. After the first round, a round doubles three times at once,
 so on up to 7k lines on, which saves two of three sorts. A rank counts the suffixes with smaller prefixes,
 found by sorting the distinct tuples in range partitions and adding up their sizes. Suffixes that share their
 rank at depth k form a longest-common-prefix interval of at least k lines; those alone in their interval have
-their final place and leave, so each round handles only what still repeats. Overlapping and adjacent intervals
-make up the maximal repeated runs.
+their final place and leave, so each round handles only what still repeats. The deepest interval of a suffix in
+which an earlier one stands says how many lines repeat there, and where they stand first. Where intervals of a document
+overlap or touch and lead to the same lines of one earlier place, they make up one maximal repeated run (`runs`);
+a run inside another one is none of its own.
 
-A line is removed if it lies in a run of `least` lines or more that also starts earlier, in a smaller doc_id
+The lines of maximal runs of `least` lines or more are removed: they also start earlier, in a smaller doc_id
 or before in the same document; the first copy of a run stays. `dedup_lines` also removes later copies of a
 line of `ALONE` words or more; the rows of the query, which its SQL defines, count runs only. Only DataFrame functions are used.
 
 Defined results: a null or empty text has no lines. Blank lines are never removed and don't part a run. Rows
 with equal doc_id and text count as one document and get the same result; a null doc_id comes first, and equal
-doc_ids with different texts are ordered by a hash. Other columns pass through `dedup_lines` unchanged but for
+doc_ids with different texts are ordered by a hash; ids can be of any type. Other columns, whatever their names, pass through `dedup_lines` unchanged but for
 n_chars, which follows the text; documents left without a line are dropped there, unless they had none.
 """
 
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import staged
+from loomwork.llm.common import fresh, staged, text_hash
 
 #: Shortest run that is removed, in lines.
 LEAST = 2
@@ -43,10 +45,6 @@ def filled(lines: Column) -> Column:
     return F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"\S"), i)), lambda i: i.isNotNull())
 
 
-def text_hash() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
-
-
 def occurrences(docs: DataFrame, alone: int | None = None) -> DataFrame:
     """doc, twin (a hash of the text), pos, and two hashes of the line, for the lines that are not blank.
 
@@ -69,7 +67,7 @@ def place() -> Column:
 
 
 def ranked(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The distinct keys that more than one suffix has, with their rank and first suffix.
+    """The distinct keys that more than one suffix has, with their rank, first suffix and number of suffixes.
 
     Keys are counted before the shuffle, so a frequent one is a row for each task. Range partitions hold
     them in order; each partition's ranks start at the number of suffixes in those before it.
@@ -82,22 +80,23 @@ def ranked(rows: DataFrame, key: list[str]) -> DataFrame:
     )
     within = Window.partitionBy("part").orderBy(*key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return dealt.join(F.broadcast(starts.select("part", "start")), "part").select(
-        *key, "first", (F.col("start") + F.sum("n").over(within) - F.col("n")).alias("rank")
+        *key, "first", "n", (F.col("start") + F.sum("n").over(within) - F.col("n")).alias("rank")
     )
 
 
 def repeats(docs: DataFrame, least: int = LEAST, alone: int | None = None) -> DataFrame:
-    """Suffixes that share `least` lines or more with an earlier one: doc, twin, pos, depth.
+    """Suffixes that share `least` lines or more with an earlier one: doc, twin, pos, depth, first, copies.
 
-    A suffix has a row for each depth reached (least, and that times the powers of WIDER) at which it repeats.
-    With `alone`, a repeated line of as many words has a row of depth 0.
-    The first round joins the ranks of the first `least` lines one by one, as they are few.
+    A suffix has a row for each depth reached (least, and that times the powers of WIDER) at which it repeats, with
+    the first suffix of its interval there and the interval's size. With `alone`, a repeated line of as many
+    words has a row of depth 0. The first round joins the ranks of the first `least` lines one by one, as they are few.
     """
     rows, key, depth, found = occurrences(docs, alone), ["a", "b"], 1, None
+    said = ["doc", "twin", "pos", "first", "copies"]
     while True:
         classes = ranked(rows.dropna(subset=key), key)
-        named = rows.join(classes, key).select(
-            "doc", "twin", "pos", F.col("rank").alias("k0"), (F.col("first") < place()).alias("again"), *(["long"] if alone and depth == 1 else [])
+        named = rows.drop("first", "copies").join(classes, key).select(
+            "doc", "twin", "pos", F.col("rank").alias("k0"), "first", F.col("n").alias("copies"), *(["long"] if alone and depth == 1 else [])
         )
         if depth >= least:
             times, step = WIDER, depth
@@ -106,59 +105,86 @@ def repeats(docs: DataFrame, least: int = LEAST, alone: int | None = None) -> Da
         key = [f"k{i}" for i in range(times)]
         order = Window.partitionBy("doc", "twin").orderBy("pos")
         rows = staged(named.withColumns({f"k{i}": F.max("k0").over(order.rangeBetween(i * step, i * step)) for i in range(1, times)}))
+        again = rows.where(F.col("first") < place())
         if alone and depth == 1:
-            found = rows.where("again and long").select("doc", "twin", "pos", F.lit(0).alias("depth"))
+            found = again.where("long").select(*said, F.lit(0).alias("depth"))
         if depth >= least:
-            own = rows.where("again").select("doc", "twin", "pos", F.lit(depth).alias("depth"))
+            own = again.select(*said, F.lit(depth).alias("depth"))
             found = own if found is None else found.unionByName(own)
         if rows.where(F.col(key[-1]).isNotNull()).isEmpty():
-            return found if found is not None else rows.select("doc", "twin", "pos", F.lit(depth).alias("depth")).limit(0)
+            return found if found is not None else rows.select(*said, F.lit(depth).alias("depth")).limit(0)
         depth *= times
 
 
+def runs(found: DataFrame) -> DataFrame:
+    """Maximal repeated runs from the rows of `repeats`: doc, twin, start, stop, first (the place of the first copy), copies, depth.
+
+    All windows divide by document, so the rows are shuffled once.
+    """
+    own = found.where("depth > 0").repartition("doc", "twin")
+    deepest = F.row_number().over(Window.partitionBy("doc", "twin", "pos").orderBy(F.desc("depth")))
+    own = own.withColumn("nth", deepest).where("nth = 1").select(
+        "doc", "twin", "pos", "depth", "copies", "first", (F.col("pos") + F.col("depth")).alias("stop"), (F.col("pos") - F.col("first.pos")).alias("apart")
+    )
+    lane = Window.partitionBy("doc", "twin", "first.doc", "first.twin", "apart").orderBy("pos")
+    before = F.max("stop").over(lane.rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumn("new", F.when(before >= F.col("pos"), 0).otherwise(1)).withColumn("run", F.sum("new").over(lane))
+    whole = own.groupBy("doc", "twin", F.col("first.doc").alias("of"), F.col("first.twin").alias("of_twin"), "apart", "run").agg(
+        F.min("pos").alias("start"), F.max("stop").alias("stop"), F.min_by("copies", "pos").alias("copies"), F.max("depth").alias("depth")
+    )
+    reached = F.max("stop").over(Window.partitionBy("doc", "twin").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1))
+    first = F.struct(F.col("of").alias("doc"), F.col("of_twin").alias("twin"), (F.col("start") - F.col("apart")).alias("pos"))
+    return (
+        whole.withColumn("reached", reached)
+        .where("reached is null or reached < stop")
+        .select("doc", "twin", "start", "stop", first.alias("first"), "copies", "depth")
+    )
+
+
 def removals(docs: DataFrame, least: int = LEAST, alone: int | None = None) -> DataFrame:
     """doc, twin, gone (positions of the lines to remove), deepest."""
+    found = repeats(docs, least, alone)
+    cuts = runs(found).select("doc", "twin", F.sequence("start", F.col("stop") - 1).alias("lines"), "depth")
+    if alone is not None:
+        cuts = cuts.unionByName(found.where("depth = 0").select("doc", "twin", F.array("pos").alias("lines"), "depth"))
     return (
-        repeats(docs, least, alone)
-        .groupBy("doc", "twin")
-        .agg(F.collect_set(F.when(F.col("depth") == least, F.col("pos"))).alias("at"), F.collect_set(F.when(F.col("depth") == 0, F.col("pos"))).alias("lone"), F.max("depth").alias("deepest"))
-        .select(
-            "doc",
-            "twin",
-            F.array_distinct(F.concat(F.flatten(F.transform("at", lambda p: F.sequence(p, p + least - 1))), "lone")).alias("gone"),
-            "deepest",
-        )
+        cuts.groupBy("doc", "twin")
+        .agg(F.collect_list("lines").alias("lines"), F.max("depth").alias("deepest"))
+        .select("doc", "twin", F.array_distinct(F.flatten("lines")).alias("gone"), "deepest")
     )
 
 
-def _marked(docs: DataFrame, least: int, alone: int | None = None) -> DataFrame:
-    """docs with __lines, __solid (places of those not blank), and __gone and __deepest, null where nothing goes.
+class _Marked:
+    """docs with helper columns: lines, solid (places of those not blank), and gone and deepest, null where nothing goes.
 
     The arrays are made before the join, so that no expression on the rows after it computes them again.
     """
-    cuts = removals(docs, least, alone).toDF("__doc", "__same", "__gone", "__deepest")
-    lines = lines_of(F.col("text"))
-    return docs.withColumns({"__twin": text_hash(), "__lines": lines, "__solid": filled(lines)}).join(
-        cuts, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__twin") == F.col("__same")), "left"
-    )
 
+    def __init__(self, docs: DataFrame, least: int, alone: int | None = None):
+        twin, self.lines, self.solid, doc, same, self.gone, self.deepest = fresh(docs, "twin", "lines", "solid", "doc", "same", "gone", "deepest")
+        cuts = staged(removals(docs, least, alone).toDF(doc, same, self.gone, self.deepest))
+        lines = lines_of(F.col("text"))
+        self.rows = docs.withColumns({twin: text_hash(), self.lines: lines, self.solid: filled(lines)}).join(
+            cuts, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(twin) == F.col(same)), "left"
+        )
 
-def _kept() -> Column:
-    """The text without the lines at the positions in __gone, counted over lines that are not blank."""
-    index = F.transform("__gone", lambda p: F.col("__solid")[p])
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), index)
-    return F.array_join(F.transform(left, lambda i: F.col("__lines")[i]), "\n")
+    def kept(self) -> Column:
+        """The text without the lines that go, whose positions count lines that are not blank."""
+        index = F.transform(self.gone, lambda p: F.col(self.solid)[p])
+        left = F.array_except(F.sequence(F.lit(0), F.size(self.lines) - 1), index)
+        return F.array_join(F.transform(left, lambda i: F.col(self.lines)[i]), "\n")
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST, alone: int | None = ALONE) -> DataFrame:
     """The columns of docs, with later copies of repeated runs and of long lines removed from the texts."""
-    cut = F.col("__gone").isNotNull()
-    out = _marked(docs, least, alone).where(~cut | (F.size("__gone") < F.size("__solid")))
-    out = out.withColumn("__kept", F.when(cut, _kept()).otherwise(F.col("text")))
-    changed = {"text": F.col("__kept")}
+    m = _Marked(docs, least, alone)
+    cut = F.col(m.gone).isNotNull()
+    (kept,) = fresh(m.rows, "kept")
+    out = m.rows.where(~cut | (F.size(m.gone) < F.size(m.solid))).withColumn(kept, F.when(cut, m.kept()).otherwise(F.col("text")))
+    changed = {"text": F.col(kept)}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(cut, F.length("__kept").cast(kind)).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(cut, F.length(kept).cast(kind)).otherwise(F.col("n_chars"))
     return out.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
@@ -167,15 +193,16 @@ def report(docs: DataFrame) -> DataFrame:
 
     deepest is the largest depth of the ranking, 2, 16, 128 and so on lines, at which a removed run repeats.
     """
-    gone = F.coalesce("__gone", F.array().cast("array<int>"))
+    m = _Marked(docs.select("doc_id", "text"), LEAST)
+    gone = F.coalesce(m.gone, F.array().cast("array<int>"))
     begun = F.array_except(gone, F.transform(gone, lambda p: p + 1))
-    return _marked(docs.select("doc_id", "text"), LEAST).select(
+    return m.rows.select(
         "doc_id",
-        F.size("__solid").cast("long").alias("n_lines"),
+        F.size(m.solid).cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_removed"),
         F.size(begun).cast("long").alias("n_runs"),
-        F.coalesce("__deepest", F.lit(0)).cast("long").alias("deepest"),
-        F.sha2(F.when(F.col("__gone").isNotNull(), _kept()).otherwise(F.array_join("__lines", "\n")), 256).alias("kept_sha256"),
+        F.coalesce(m.deepest, F.lit(0)).cast("long").alias("deepest"),
+        F.sha2(F.when(F.col(m.gone).isNotNull(), m.kept()).otherwise(F.array_join(m.lines, "\n")), 256).alias("kept_sha256"),
     )
 
 

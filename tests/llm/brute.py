@@ -186,3 +186,53 @@ def phrases(text, level=3):
 def name(depth, x):
     """64 bits for a phrase; any hash serves, so this one is not the operator's."""
     return int.from_bytes(hashlib.blake2b(bytes([depth]) + x, digest_size=8).digest(), "big")
+
+
+def op2(docs, least=2):
+    """(kept lines, removed) by doc_id, from the definition: a run of `least` lines that also starts earlier goes."""
+    seen, out = set(), {}
+    for doc, text in sorted(docs):
+        every = (text or "").split("\n")
+        solid = [k for k, x in enumerate(every) if x.strip()]
+        lines, gone = [every[k] for k in solid], set()
+        for p in range(len(lines) - least + 1):
+            run = tuple(lines[p : p + least])
+            if run in seen:
+                gone |= set(range(p, p + least))
+            seen.add(run)
+        left = [x for k, x in enumerate(every) if k not in {solid[g] for g in gone}]
+        out[doc] = ("\n".join(left), len(gone))
+    return out
+
+
+def op2_runs(docs, least=2, wider=8):
+    """(doc, start, stop, first doc, first start) of the maximal runs, by comparing every suffix with every earlier one."""
+    lines = {doc: [x for x in (text or "").split("\n") if x.strip()] for doc, text in docs}
+    places = [(d, p) for d in sorted(lines) for p in range(len(lines[d]))]
+    deepest = {}
+    for at in places:
+        depth = least
+        while True:
+            d, p = at
+            run = lines[d][p : p + depth]
+            if len(run) < depth:
+                break
+            first = next(x for x in places if lines[x[0]][x[1] : x[1] + depth] == run)
+            if first < at:
+                deepest[at] = (depth, first)
+            depth *= wider
+    out = []
+    for d in lines:
+        spans, lanes = [], {}
+        for p in range(len(lines[d])):
+            if (d, p) in deepest:
+                depth, first = deepest[d, p]
+                lane = lanes.setdefault((first[0], p - first[1]), [])
+                if lane and p <= lane[-1][1]:
+                    lane[-1][1] = max(lane[-1][1], p + depth)
+                else:
+                    lane.append([p, p + depth])
+        for (of, apart), found in lanes.items():
+            spans += [(s, e, of, s - apart) for s, e in found]
+        out += [(d, *x) for x in spans if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in spans)]
+    return sorted(out)

@@ -73,6 +73,43 @@ def test_line_runs_of_more_lines(spark):
     assert kept == {1: "a\nb\nc\nd", 2: "x\ny", 3: "b\nc\nz"}
 
 
+def random_lines(n=40, seed=4):
+    """Documents of few different lines, so that runs of all lengths repeat, also inside a document."""
+    rng = np.random.default_rng(seed)
+    long = [f"line {k}" for k in range(60)]
+    docs = []
+    for k in range(n):
+        body = [f"l{x}" for x in rng.integers(0, 9, rng.integers(0, 25))]
+        if k % 4 == 0:
+            s = int(rng.integers(0, 20))
+            body += long[s : s + int(rng.integers(5, 40))]
+        docs.append((k, "\n".join(x if rng.random() > 0.05 else f"{x}\n  " for x in body)))
+    return docs
+
+
+def test_line_runs_equal_brute_force(spark):
+    docs = random_lines()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute.op2(docs)
+    kept = {r.doc_id: r.text for r in linedup.dedup_lines(df, alone=None).collect()}
+    assert kept == {d: t for d, (t, n) in want.items() if t.strip() or not n}
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in linedup.report(df).collect()}
+    assert got == {d: (n, hashlib.sha256(t.encode()).hexdigest()) for d, (t, n) in want.items()}
+
+
+def test_maximal_runs_equal_brute_force(spark):
+    """Runs from the deepest intervals, and nothing but their lines goes."""
+    docs = random_lines(30, 5)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = linedup.runs(linedup.repeats(df)).collect()
+    assert sorted((r.doc, r.start, r.stop, r.first.doc, r.first.pos) for r in found) == brute.op2_runs(docs)
+    assert max(r.depth for r in found) == 16 and max(r.stop - r.start for r in found) > 16
+    lines = {}
+    for r in found:
+        lines.setdefault(r.doc, set()).update(range(r.start, r.stop))
+    assert {d: len(x) for d, x in lines.items()} == {d: n for d, (_, n) in brute.op2(docs).items() if n}
+
+
 def test_long_lines_of_their_own(spark):
     long, short = prose(80, 50), prose(81, 49)
     docs = spark.createDataFrame([(1, f"a\n{long}\nb\n{short}"), (2, f"c\n{long}\nd\n{short}\ne\n{long}"), (3, long), (4, short)], "doc_id long, text string")

@@ -1,26 +1,29 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
 Test items are folded to words and cut into blocks of a bounded number of words; each block becomes one
-automaton over words, which every task builds once from a broadcast of that block. Document words stream
-through it and the length of the longest match that ends at each word shows the windows that occur. A block
-has at most `block_words` words, so the broadcast has a bound whatever the benchmark's size; more blocks mean
-more passes over the documents, never a larger broadcast, and no pass shuffles.
+automaton over words, which every Python worker builds once from a broadcast of that block, at about 400 bytes a
+word. Document words stream through it and the length of the longest match that ends at each word shows the
+windows that occur. A block has at most `block_words` words: parts of items are dealt by a hash of the id, the place and
+the words themselves to buckets, until no bucket is larger, and buckets of known size fill the blocks. So the broadcast
+has a bound whatever the benchmark's size and however often an id repeats; more blocks mean more passes over the
+documents, never a larger broadcast, and no pass shuffles.
 
 Defined results: a null or empty text has no words, no hits and no items. Null item texts and items without
-words match nothing; a null item_id counts as the string "". Repeated items count once by id. Repeated
-documents are judged each on its own. Columns besides doc_id and text are ignored by `find_contamination`
-and kept by `decontaminate`.
+words match nothing; a null item_id counts as the string "". Repeated items count once by id, and repeated rows of an
+item with the same text once. Repeated documents are judged each on its own. Columns besides doc_id and text are ignored by
+`find_contamination` and kept by `decontaminate`, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import ALNUM, replace_text, sliced, staged, text_bytes, utf8
+from loomwork.llm.common import ALNUM, fresh, replace_text, sliced, staged, text_bytes, utf8
 
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -130,8 +133,12 @@ class Automaton:
                     spans.append([start, i + 1])
 
 
-def _blocks(bench: DataFrame, window: int, block_words: int) -> list[DataFrame]:
-    """The items in blocks of about block_words words; long items are cut with window - 1 words in common."""
+def blocks(bench: DataFrame, window: int, block_words: int) -> list[DataFrame]:
+    """The items in blocks of at most block_words words; long items are cut with window - 1 words in common.
+
+    The bound is four windows at least.
+    """
+    block_words = max(block_words, 4 * window)
 
     def cut(batches):
         for b in batches:
@@ -139,7 +146,7 @@ def _blocks(bench: DataFrame, window: int, block_words: int) -> list[DataFrame]:
             rows = []
             for item, text in zip(ids, texts, strict=True):
                 words = fold(text)
-                step = block_words // 4 + window
+                step = block_words // 2 - window
                 for k in range(0, max(1, len(words) - window + 1), step):
                     rows.append((item, k, b" ".join(words[k : k + step + window - 1]), len(words) < window))
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
@@ -148,22 +155,50 @@ def _blocks(bench: DataFrame, window: int, block_words: int) -> list[DataFrame]:
                 names=["item", "part", "words", "whole"],
             )
 
-    parts = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), utf8()).mapInArrow(
-        cut, "item string, part long, words binary, whole boolean"
+    parts = (
+        bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), utf8())
+        .mapInArrow(cut, "item string, part long, words binary, whole boolean")
+        .dropDuplicates(["item", "words", "whole"])
+        .withColumn("size", F.size(F.split(F.col("words").cast("string"), " ")))
     )
-    total = parts.agg(F.sum(F.size(F.split(F.col("words").cast("string"), " "))).alias("n")).first()["n"] or 0
-    n = max(1, -(-2 * total // block_words)) if total > block_words else 1
-    return [parts.where(F.pmod(F.xxhash64("item", "part"), F.lit(n)) == k) for k in range(n)]
-
-
-def _pass(state: DataFrame, block: DataFrame, window: int) -> DataFrame:
-    items = [(r["item"], bytes(r["words"]).split(), r["whole"]) for r in block.collect()]
-    sent = state.sparkSession.sparkContext.broadcast(items)
+    total = parts.agg(F.sum("size").alias("n")).first()["n"] or 0
+    if total <= block_words:
+        return [parts]
+    n = 8 * -(-total // block_words)
+    while True:
+        bucket = F.pmod(F.xxhash64("item", "part", "words"), F.lit(n))
+        # a row for each bucket, of which there are a few for each block
+        sizes = sorted(((r["size"], r["bucket"]) for r in parts.groupBy(bucket.alias("bucket")).agg(F.sum("size").alias("size")).collect()), reverse=True)
+        if sizes[0][0] <= block_words:
+            break
+        n *= 2
+    filled: list[tuple[int, list[int]]] = []
+    for size, k in sizes:
+        if not filled or filled[-1][0] + size > block_words:
+            filled.append((0, []))
+        filled[-1] = (filled[-1][0] + size, [*filled[-1][1], k])
+    return [parts.where(bucket.isin(own)) for _, own in filled]
+
+
+#: The automaton that this Python worker built last, by the name of its block.
+_built: dict[str, Automaton] = {}
+
+
+def automaton(name: str, items: list[tuple[str, list[bytes], bool]], window: int) -> Automaton:
+    if name not in _built:
+        _built.clear()
+        _built[name] = Automaton(items, window)
+    return _built[name]
+
+
+def _pass(state: DataFrame, block: DataFrame, window: int, names: list[str]) -> DataFrame:
+    items = [(r["item"], bytes(r["words"]).split(), r["whole"]) for r in block.select("item", "words", "whole").collect()]
+    sent, name = state.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches):
-        auto = Automaton(sent.value, window)
+        auto = automaton(name, sent.value, window)
         for b in sliced(batches):
-            h, m, n = (b.schema.get_field_index(c) for c in ("__hits", "__items", "__words"))
+            h, m, n = (b.schema.get_field_index(c) for c in names)
             hits, ids, counts = b.column(h).to_pylist(), b.column(m).to_pylist(), []
             for i, text in enumerate(text_bytes(b)):
                 words = fold(text)
@@ -191,46 +226,48 @@ def _union(flat: list[int]) -> list[int]:
     return out
 
 
-def _matched(docs: DataFrame, bench: DataFrame, window: int, block_words: int) -> DataFrame:
-    state = docs.withColumns(
-        {
-            "__hits": F.array().cast("array<long>"),
-            "__items": F.array().cast("array<string>"),
-            "__words": F.lit(0).cast("long"),
-        }
-    )
-    blocks = _blocks(bench.select("item_id", "text"), window, block_words)
-    for k, block in enumerate(blocks):
-        state = _pass(state if k == 0 else staged(state), block, window)
-    return state
+def _matched(docs: DataFrame, bench: DataFrame, window: int, block_words: int) -> tuple[DataFrame, list[str]]:
+    """docs with columns for the spans that are hit (flat), the items and the number of words; and their names."""
+    names = fresh(docs, "hits", "items", "words")
+    kinds = ("array<long>", "array<string>", "long")
+    state = docs.withColumns({n: (F.array() if k[0] == "a" else F.lit(0)).cast(k) for n, k in zip(names, kinds, strict=True)})
+    for k, block in enumerate(blocks(bench.select("item_id", "text"), window, block_words)):
+        state = _pass(state if k == 0 else staged(state), block, window, names)
+    return state, names
 
 
-def find_contamination(docs: DataFrame, bench: DataFrame, window: int = 10, block_words: int = 500_000) -> DataFrame:
+#: Words of a block of the benchmark.
+BLOCK_WORDS = 200_000
+
+
+def find_contamination(docs: DataFrame, bench: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, spans (flat word offsets), items."""
-    found = _matched(docs.select("doc_id", "text"), bench, window, block_words)
+    found, (hits, items, words) = _matched(docs.select("doc_id", "text"), bench, window, block_words)
     covered = F.aggregate(
-        F.sequence(F.lit(0), F.size("__hits") - 1), F.lit(0).cast("long"), lambda a, i: a + F.when(i % 2 == 0, -1).otherwise(1) * F.col("__hits")[i]
+        F.sequence(F.lit(0), F.size(hits) - 1), F.lit(0).cast("long"), lambda a, i: a + F.when(i % 2 == 0, -1).otherwise(1) * F.col(hits)[i]
     )
     return found.select(
         "doc_id",
-        F.col("__words").alias("n_words"),
-        F.when(F.size("__hits") > 0, covered).otherwise(F.lit(0).cast("long")).alias("n_hit"),
-        F.col("__hits").alias("spans"),
-        F.col("__items").alias("items"),
+        F.col(words).alias("n_words"),
+        F.when(F.size(hits) > 0, covered).otherwise(F.lit(0).cast("long")).alias("n_hit"),
+        F.col(hits).alias("spans"),
+        F.col(items).alias("items"),
     )
 
 
 def decontaminate(
-    docs: DataFrame, bench: DataFrame, window: int = 10, max_coverage: float = 0.5, block_words: int = 500_000
+    docs: DataFrame, bench: DataFrame, window: int = 10, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
     """Removes the spans that occur in test items; drops documents of which over max_coverage is hit.
 
     Returns the columns of docs; documents without a hit keep their exact text.
     """
+    found, (spans, *_) = _matched(docs, bench, window, block_words)
+    names = docs.columns
 
     def cut(batches):
         for b in sliced(batches):
-            hits = b.column("__hits").to_pylist()
+            hits = b.column(spans).to_pylist()
             texts, keep = b.column("text").to_pylist(), [True] * b.num_rows
             for i, flat in enumerate(hits):
                 if flat:
@@ -244,8 +281,7 @@ def decontaminate(
                     texts[i] = b"".join([*out, raw[pos:]]).decode("utf-8", "replace")
             yield replace_text(b.select(names), texts, keep)
 
-    names = docs.columns
-    return _matched(docs, bench, window, block_words).mapInArrow(cut, docs.schema)
+    return found.mapInArrow(cut, docs.schema)
 
 
 def report(docs: DataFrame, bench: DataFrame) -> DataFrame:

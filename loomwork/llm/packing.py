@@ -3,10 +3,12 @@
 Documents become token ids and an end id, cut into pieces of at most `size` ids. Pieces go to random groups
 of about `group` pieces by a hash; each group is packed on its own, the longest piece first, into the first
 bin with room, which a tournament tree over the bins' free space finds in logarithmic time. A group that
-outgrows `most` pieces is packed in several runs, so memory stays bounded.
+outgrows `most` pieces would be packed in several runs, so memory stays bounded; groups are counted in pieces and dealt
+evenly, so none of usual `group` does.
 
 Defined results: a null or empty text is the end id alone, one piece of length one. Repeated documents are
-packed each on its own. Columns besides doc_id and text are ignored; a null doc_id stays null.
+packed each on its own; so that many equal rows don't meet in one group, a row's place in its batch is part of the hash, and
+sequence ids depend on how the input is dealt. Columns besides doc_id and text are ignored; a null doc_id stays null; ids of any type.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import utf8
+from loomwork.llm.common import staged, utf8
 
 END = 1
 SPECIAL = "<|endoftext|>"
@@ -116,8 +118,9 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048) -> DataFrame:
 def pack(docs: DataFrame, vocabulary: str | None = None, size: int = 2048, group: int = 8192, most: int = 1 << 16) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
-    groups = max(1, round(docs.count() / group))
-    parts = pieces(docs, vocabulary, size)
+    # pieces are a few numbers each; they are counted as they are, since long texts have many
+    parts = staged(pieces(docs, vocabulary, size))
+    groups = max(1, round(parts.count() / group))
     key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.lit(groups))
     dealt = parts.withColumn("group", key).drop("salt").repartition("group")
     order = dealt.sortWithinPartitions("group", F.desc("length"), "doc_id", "start", "ids_crc32")

@@ -8,7 +8,7 @@ enter the model only if their document frequency differs between the labels by m
 
 Defined results: null and empty texts have no sentences, so their score is 0. Rows without a label, or with a
 null one, teach nothing; with several labels the largest counts. Without any usable label every score is 0.
-Other columns (lang, source, n_chars) are never read.
+Other columns (lang, source, n_chars) are never read; `score` keeps them but for its own toxicity and worst. Ids of any type.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from loomwork.llm.common import ALNUM, Words, groups_of, sliced, text_bytes, utf8
+from loomwork.llm.common import ALNUM, Words, groups_of, sliced, text_bytes, text_hash, utf8
 
 #: Slots of the table that finds a feature's weight; a hit is checked against the feature's whole hash.
 SLOTS = 1 << 22
@@ -151,22 +151,35 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 150, rate: float
     return Model(keys, weights)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 9000) -> Model:
-    """Learns from at most `most` labelled documents, drawn by a hash of doc_id, up to a third of them toxic.
+def fit(docs: DataFrame, labels: DataFrame, most: int = 9000, most_bytes: int = 1 << 26) -> Model:
+    """Learns from at most `most` labelled documents, up to a third of them toxic, of `most_bytes` in all.
 
-    Only rows whose crc32(doc_id as text) mod 4 is not 2 are read. The bound keeps the sample at tens of
-    megabytes on the driver, whatever the size of the tables.
+    Documents are drawn in the order of a hash of doc_id, then of the text, so each run draws the same ones: of each label
+    as many whole texts as both bounds allow. Only rows whose crc32(doc_id as text) mod 4 is not 2 are read. Lengths and
+    hashes of at most `most` rows come to the driver first, then the texts drawn.
     """
     marked = labels.where("toxic is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
     marked = marked.where(~held_out("label_id"))
+    own = docs.select("doc_id", text_hash().alias("twin"), utf8().alias("bytes"))
     rows = []
     for kind, n in ((1, most // 3), (0, most - most // 3)):
         ids = marked.where(F.col("toxic") == kind).orderBy(F.xxhash64("label_id"), "label_id").limit(n)
-        pool = docs.select("doc_id", utf8().alias("bytes")).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
         # repeated doc_ids could exceed the bound, so it holds for the joined rows too
-        rows += pool.select("bytes", "toxic").limit(n).collect()
-    rows.sort(key=lambda r: (r["toxic"], bytes(r["bytes"])))
-    return train([bytes(r["bytes"]) for r in rows], np.array([r["toxic"] for r in rows], np.int64))
+        pool = own.join(F.broadcast(ids.select("label_id")), F.col("doc_id") == F.col("label_id"))
+        size = pool.select("label_id", "twin", F.length("bytes").alias("size"), F.xxhash64("label_id").alias("place"))
+        drawn, room = [], most_bytes * n // most
+        for r in size.distinct().orderBy("place", "label_id", "twin").limit(n).collect():
+            if r["size"] <= room:
+                room -= r["size"]
+                drawn.append((r["label_id"], r["twin"]))
+        if drawn:
+            spark = docs.sparkSession
+            chosen = spark.createDataFrame(drawn, f"label_id {docs.schema['doc_id'].dataType.simpleString()}, same long")
+            texts = own.join(F.broadcast(chosen), (F.col("doc_id") == F.col("label_id")) & (F.col("twin") == F.col("same")))
+            # equal rows are one document
+            rows += [(kind, bytes(r["bytes"])) for r in texts.dropDuplicates(["doc_id", "twin"]).select("bytes").collect()]
+    rows.sort()
+    return train([t for _, t in rows], np.array([y for y, _ in rows], np.int64))
 
 
 def held_out(column: str):
@@ -174,31 +187,32 @@ def held_out(column: str):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs and toxicity, a double from 0 to 1; `worst` is the index of the worst sentence."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(tuple(model))
-    marked = docs.withColumn("_bytes", utf8())
+    """The columns of docs with toxicity, a double from 0 to 1, and worst, the index of the worst sentence.
+
+    A column of docs with one of these names gives way to the result.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(model))
+    kept = [f for f in docs.schema.fields if f.name.lower() not in ("toxicity", "worst")]
+    names = [f.name for f in kept]
 
     def run(batches):
         model = Model(*sent.value)
         table = slots(model)
         for b in sliced(batches):
-            texts = b.column("_bytes").to_pylist()
             scores, worst = [], []
-            for _, part in groups_of(texts):
+            for _, part in groups_of(text_bytes(b)):
                 features, first, bounds = bags(part)
                 p = sentence_scores(model, table, features, first)
                 scores += noisy_or(p, bounds).tolist()
                 for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     worst.append(int(p[s:e].argmax()) if e > s else None)
-            out = b.drop_columns(["_bytes"])
             yield pa.RecordBatch.from_arrays(
-                [*out.columns, pa.array(np.clip(scores, 0, 1), pa.float64()), pa.array(worst, pa.int32())],
-                names=[*out.schema.names, "toxicity", "worst"],
+                [*b.columns, pa.array(np.clip(scores, 0, 1), pa.float64()), pa.array(worst, pa.int32())],
+                names=[*names, "toxicity", "worst"],
             )
 
-    schema = StructType([*docs.schema.fields, StructField("toxicity", DoubleType()), StructField("worst", IntegerType())])
-    return marked.mapInArrow(run, schema)
+    schema = StructType([*kept, StructField("toxicity", DoubleType()), StructField("worst", IntegerType())])
+    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, schema)
 
 
 def keep_clean(docs: DataFrame, model: Model, limit: float = 0.3) -> DataFrame:

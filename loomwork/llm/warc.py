@@ -1,19 +1,19 @@
 """WARC archives: a writer with revisit records, and a reader that salvages damaged files.
 
-Writing uses Spark's text sink, which copies a string column's bytes as they are: each row is one record as a
-gzip member of its own, and members are parted by one zero byte, the padding that gzip readers skip. Of the
-records with equal payloads of at least `least` bytes, the one with the smallest page_id is a response and
-the others refer to it.
+Writing uses Spark's text sink, which copies a string column's bytes as they are: records are gzip members of their
+own, and each row is a file of members, of `file_bytes` at most or of one record. Of the records with equal
+payloads of at least `least` bytes, the one with the smallest page_id is a response and the others refer to
+it: only digests that repeat are joined, each `SALTS` times, so that a page with very many copies is in no one task.
 
-Reading takes whole files by Spark's binary source, so a file has to fit into a task; the writer bounds
-records per file. Each record must pass its checks (gzip's checksum, the version line, Content-Length, the
+Reading takes whole files by Spark's binary source, so a file has to fit into a task and into the source's 2 GB; the
+writer bounds the bytes of a file. Each record must pass its checks (gzip's checksum, the version line, Content-Length, the
 payload's digest). Where one fails, the reader looks for the next member or version line that passes all of
 them, and the bytes between are a row of kind "gap" with the reason.
 
 Defined results: a null html is an empty payload; a null url leaves the target out; a null page_id is written
 as an id of its own and read as null, and with equal payloads it refers to the smallest page_id that is not null.
-Repeated rows with the smallest page_id are all responses. An empty table gives an empty archive. Columns
-besides page_id, url and html are ignored.
+Repeated rows with the smallest page_id are all responses. An empty table gives an empty archive. `read` returns
+gaps as rows; `report`, whose archives are its own, fails if there is one. Columns besides page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from loomwork.llm.common import shared_dir, utf8
 
 URN, NONE = "urn:loomwork:page:", "urn:loomwork:none"
 DATE = "2000-01-01T00:00:00Z"
+#: Parts of a repeated digest.
+SALTS = 16
 REQUIRED = frozenset(("warc-type", "warc-date", "warc-record-id", "content-length"))
 START = re.compile(rb"\x1f\x8b\x08|WARC/[01]\.[0-9]")
 
@@ -39,15 +41,16 @@ START = re.compile(rb"\x1f\x8b\x08|WARC/[01]\.[0-9]")
 def typed(pages: DataFrame, least: int = 100) -> DataFrame:
     """page_id, url, payload, digest, record_type, refers_to."""
     rows = pages.select("page_id", "url", utf8("html").alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
     shared = (
         rows.where(F.length("payload") >= least)
         .groupBy(F.col("digest").alias("shared"))
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .where("n > 1 and first is not null")
-        .drop("n")
+        .select("shared", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    return rows.join(shared, rows["digest"] == shared["shared"], "left").select(
+    return rows.join(shared, (F.col("digest") == F.col("shared")) & (salt == F.col("salt")), "left").select(
         "page_id",
         "url",
         "payload",
@@ -80,19 +83,31 @@ def member(data: bytes, level: int = 1) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def write(pages: DataFrame, path: str, least: int = 100, per_file: int = 2000) -> None:
-    """Writes archives below path, at most per_file records each."""
+def write(pages: DataFrame, path: str, least: int = 100, file_bytes: int = 1 << 25) -> None:
+    """Writes archives below path, each of file_bytes at most or of one record."""
 
     def run(batches):
+        held, size = [], 0
         for b in batches:
-            rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([member(record(*r)) for r in rows], pa.binary())], names=["value"])
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                data = member(record(*row))
+                if held and size + len(data) > file_bytes:
+                    yield file(held)
+                    held, size = [], 0
+                held.append(data)
+                size += len(data)
+        if held:
+            yield file(held)
+
+    def file(members):
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["value"])
 
     rows = typed(pages, least).select(
         F.col("page_id").cast("string"), "url", "payload", "digest", "record_type", F.col("refers_to").cast("string")
     )
     out = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    out.write.option("lineSep", "\x00").option("maxRecordsPerFile", per_file).text(path)
+    # the zero byte that ends a row is padding, which gzip readers skip
+    out.write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(path)
 
 
 class Damaged(Exception):
@@ -222,9 +237,10 @@ def report(pages: DataFrame) -> DataFrame:
         return F.expr(f"url_decode(nullif(regexp_extract(headers['{header}'], '^<{URN}(.*)>$', 1), ''))")
 
     revisit = F.col("headers")["warc-type"] == "revisit"
+    gap = F.raise_error(F.concat_ws(" ", F.lit("gap in"), "path", F.lit("at"), "start", F.lit("to"), "stop", F.lit(":"), "reason"))
     return (
         read(pages.sparkSession, path)
-        .where("kind = 'record'")
+        .where(F.when(F.col("kind") == "gap", gap.cast("boolean")).otherwise(True))
         .select(
             urn("warc-record-id").cast(kind).alias("page_id"),
             F.when(revisit, F.col("headers")["http-content-length"].cast("long")).otherwise(F.length("payload").cast("long")).alias("payload_bytes"),

@@ -43,6 +43,19 @@ def test_decontamination_edges(spark, edge_docs, no_docs):
     assert all(not r.contaminated for r in decontam.report(edge_docs, bench.limit(0)).collect())
 
 
+def test_blocks_of_items_are_bounded(spark):
+    """Null, repeated and unlike ids, and repeated rows: no block outgrows the bound, and the rows stay the same."""
+    items = [(None, prose(k, 15)) for k in range(40)] + [("one", prose(k, 12)) for k in range(40, 80)] + [("x", prose(90, 400))] + [("y", prose(91, 14))] * 50
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = [(k, f"a {prose(k, 30)} b") for k in range(0, 95, 5)] + [(200, prose(90, 200)), (201, prose(91, 20))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    parts = decontam.blocks(bench, 10, 120)
+    sizes = [b.agg(decontam.F.sum("size")).first()[0] for b in parts]
+    assert len(sizes) > 5 and max(sizes) <= 120
+    want = sorted((w[:3] for w in brute.op1(docs, items)), key=repr)
+    assert rows(decontam.find_contamination(df, bench, block_words=120).select("doc_id", "n_words", "n_hit")) == want
+
+
 def test_decontaminate_cuts_spans(spark, edge_docs):
     bench = spark.createDataFrame([(1, prose(1, 12))], "item_id long, text string")
     out = decontam.decontaminate(edge_docs, bench)
@@ -337,6 +350,27 @@ def test_toxicity(spark, edge_docs, no_docs):
     assert kept.schema == docs.schema and {r.doc_id >= 60 for r in kept.collect()} == {False}
 
 
+def test_toxicity_on_held_out_documents(spark):
+    """Documents that the model has not learned from: at least 80 of 100 toxic ones found, at most 2 of 100 others flagged."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    marked = labels.where("toxic is not null").groupBy("doc_id").agg(toxicity.F.max("toxic").alias("toxic"))
+    got = toxicity.report(docs, labels).where("held_out").join(marked, "doc_id").groupBy("toxic").agg(toxicity.F.avg("predicted").alias("share"), toxicity.F.count("*").alias("n")).collect()
+    share = {r.toxic: r.share for r in got}
+    assert min(r.n for r in got) > 20 and share[1] >= 0.8 and share[0] <= 0.02
+
+
+def test_toxicity_draws_the_same_documents(spark):
+    """Repeated ids and bounds on rows and bytes: two runs learn the same, whatever the order of the rows."""
+    rows = [(k % 40, f"the fox number {k} went home. {'you are a vile brute' if k % 2 else 'it rained in town'}") for k in range(400)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    models = []
+    for parts in (1, 3):
+        docs = spark.createDataFrame(rows[:: 1 if parts == 1 else -1], "doc_id long, text string").repartition(parts)
+        models.append(toxicity.fit(docs, labels, most=150, most_bytes=9000))
+    assert np.array_equal(models[0].keys, models[1].keys) and np.allclose(models[0].weights, models[1].weights) and len(models[0].keys)
+
+
 def test_noisy_or():
     assert np.allclose(toxicity.noisy_or(np.array([0.5, 0.5, 0.1]), np.array([0, 2, 2, 3])), [0.75, 0.0, 0.1])
 
@@ -365,6 +399,39 @@ def test_packing(spark, edge_docs, no_docs):
     assert packing.pack(no_docs).count() == 0
 
 
+def test_every_piece_and_little_padding(spark):
+    """Ids, starts and checksums of every piece against the tokenizer itself; padding over all groups."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(packing.public_tokenizers.path("byte_bpe_50k.json"))
+    docs = documents(spark)
+    got = packing.pack(docs, group=64).collect()
+    want = []
+    for doc, text in pairs(docs):
+        ids = np.array([*slow.encode(text or "", add_special_tokens=False).ids, packing.END], "<u4")
+        want += [(doc, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes()), len(ids)) for k in range(0, len(ids), 2048)]
+    assert sorted(map(tuple, (r[:5] for r in got))) == sorted(want)
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in bins.values():
+        ends = sorted(parts)
+        assert [o for o, _ in ends] == [sum(n for _, n in ends[:k]) for k in range(len(ends))] and sum(n for _, n in ends) <= 2048
+    tokens = sum(r.length for r in got)
+    # each group of about 64 pieces may leave one sequence half empty
+    groups = max(1, round(len(got) / 64))
+    assert len(bins) * 2048 <= 1.03 * tokens + 2048 * groups
+
+
+def test_packing_of_repeated_rows_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "same words")] * 300 + [(2, LONG)] * 3 + [(None, None)] * 20, "doc_id long, text string")
+    got = packing.pack(docs, group=50).collect()
+    assert sum(r.doc_id == 1 for r in got) == 300 and len({r.sequence_id >> 28 for r in got}) > 1
+    assert Counter((r.start, r.length) for r in got if r.doc_id == 2).most_common(1)[0][1] == 3
+
+
 @pytest.mark.parametrize("text", ["plain words", "<|endoftext|> inside", "é€😀\n\n  tabs\t", "don't 1234567 $%^", "\x00\x01"])
 def test_encoders_agree(text):
     from tokenizers import Tokenizer

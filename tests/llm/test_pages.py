@@ -81,6 +81,42 @@ def test_gaps_are_rows(spark, tmp_path):
     assert zlib.decompress(parts[2], 31).startswith(b"WARC/1.1")
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    """Records fill files up to the bound, one that is larger has a file of its own, and all come back."""
+    rng = random.Random(1)
+    rows = [(k, f"http://x/{k}", "".join(chr(33 + rng.randrange(90)) for _ in range(4000 if k != 7 else 90_000))) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    warc.write(pages, str(tmp_path / "w"), file_bytes=20_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) > 8 and sorted(s > 20_001 for s in sizes)[-2:] == [False, True]
+    got = warc.read(spark, str(tmp_path / "w")).collect()
+    assert {r.kind for r in got} == {"record"} and {r.payload.decode() for r in got} == {h for *_, h in rows}
+
+
+def test_very_long_pages_and_many_copies(spark):
+    long = "<p>" + "x y z " * 400_000 + "</p>"
+    rows = [(k, None, long if k < 2 else "<p>" + "same " * 50) for k in range(400)]
+    got = warc.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.refers_to) for r in got} == {(0, None), (1, 0), (2, None)} | {(k, 2) for k in range(3, 400)}
+    assert {r.payload_bytes for r in got if r.page_id < 2} == {len(long)}
+
+
+def test_a_gap_in_own_archives_is_an_error(spark, monkeypatch, tmp_path):
+    whole = warc.write
+
+    def damaged(pages, path):
+        whole(pages, path)
+        f = next(p for p in __import__("pathlib").Path(path).glob("part-*") if p.stat().st_size > 50)
+        data = bytearray(f.read_bytes())
+        data[40] ^= 255
+        f.write_bytes(data)
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+
+    monkeypatch.setattr(warc, "write", damaged)
+    with pytest.raises(Exception, match="gap in"):
+        warc.report(spark.createDataFrame([(1, "u", "html " * 50)], "page_id long, url string, html string")).collect()
+
+
 def test_html_edges(spark, pages):
     got = {r.page_id: r.text for r in html.extract(pages).collect()}
     assert got[7] == got[8] == "" and got[9] == "é" * 49 and len(html.extract(pages).collect()) == 9

@@ -233,6 +233,89 @@ def test_passage_recall(spark):
     assert len(want & flagged) >= 0.9 * len(want)
 
 
+def edited(words, rng, edits, tag):
+    """The words with some replaced, dropped or added."""
+    out = list(words)
+    for k in range(edits):
+        at = int(rng.integers(0, len(out)))
+        kind = int(rng.integers(0, 3))
+        if kind == 0:
+            out[at] = f"new{tag}e{k}"
+        elif kind == 1:
+            del out[at]
+        else:
+            out.insert(at, f"more{tag}e{k}")
+    return out
+
+
+def test_near_passages_equal_brute_force(spark):
+    """Passages with edits in families of two and three: pairs against verification of all pairs, and their precision."""
+    rng, docs = np.random.default_rng(12), []
+    for family in range(40):
+        passage = prose(20_000 + family, 52 + 7 * (family % 12)).split()
+        for _ in range(2 + family % 2):
+            k = len(docs)
+            words = edited(passage, rng, int(rng.integers(0, 1 + len(passage) // 45)), k)
+            docs.append((k, f"{prose(1000 + k, 40 + k % 50)} {' '.join(words)} {prose(3000 + k, 30 + k % 40)}"))
+    # one long sentence that many have is no passage
+    docs += [(1000 + k, f"{prose(5000 + k, 60)} {prose(7, 30)} {prose(6000 + k, 60)}") for k in range(40)]
+    shingles = {d: passages.shingle_hashes(passages.Words([t.encode()], passages.ALNUM).hash, passages.GRAM) for d, t in docs}
+    want = {(x, y) for x in shingles for y in shingles if y < x and passages.alike(shingles[x], shingles[y])}
+    got = passages.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.other_id) for r in got}
+    assert len(want) > 60 and found <= want and len(found) >= 0.95 * len(want)
+    texts = dict(docs)
+    for r in got:
+        parts = []
+        for doc, start, n in ((r.doc_id, r.start, r.n_words), (r.other_id, r.other_start, r.other_words)):
+            words = texts[doc].lower().split()[start : start + n]
+            assert len(words) == n >= 50
+            parts.append({tuple(words[k : k + 5]) for k in range(len(words) - 4)})
+        like = len(parts[0] & parts[1]) / len(parts[0] | parts[1])
+        assert like >= 0.8 and abs(like - r.similarity) < 1e-9
+
+
+def test_classes_of_passages(spark):
+    """Large families: every member is in the class of its family, whose id is the smallest, and others are alone."""
+    rng, docs = np.random.default_rng(13), []
+    for family in range(6):
+        passage = prose(30_000 + family, 90).split()
+        for k in range(30):
+            docs.append((100 * family + k, f"{prose(10_000 + len(docs), 45)} {' '.join(edited(passage, rng, k % 2, k))} {prose(15_000 + len(docs), 35)}"))
+    docs += [(5000 + k, prose(40_000 + k, 80)) for k in range(20)] + [(None, docs[0][1] + " null"), (0, docs[0][1]), (9000, None)]
+    got = passages.members(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in docs)
+    right = [r for r in got if r.doc_id is not None and r.doc_id < 5000 and r.n_links and (r.class_id is None if r.doc_id < 100 else r.class_id == r.doc_id // 100 * 100)]
+    assert len(right) >= 0.98 * 181
+    assert all(r.class_id == r.doc_id and not r.n_links for r in got if r.doc_id and r.doc_id >= 5000)
+
+
+def test_passages_of_many_documents_of_one_id(spark):
+    """Null, repeated and string ids: documents that differ in text are pairs like any others."""
+    shared = prose(77, 80)
+    texts = [prose(8000 + k, 12) + (f" {shared} {k}" if k < 60 else "") for k in range(2000)]
+    for kind, ids in (("long", [None] * 2000), ("long", [7] * 2000), ("string", [f"d{k:05}" for k in range(2000)])):
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {kind}, text string")
+        got = passages.passages(docs).collect()
+        assert len(got) >= 59 and {r.class_id for r in got} == {ids[0]}
+        if kind == "string":
+            assert {x for r in got for x in (r.doc_id, r.other_id)} == set(ids[:60])
+    same = spark.createDataFrame([(1, texts[0])] * 50, "doc_id long, text string")
+    assert passages.passages(same).count() == 0
+
+
+def test_joined_windows_are_cartesian(spark):
+    """The sliding minimum gives the windows of the Cartesian tree, as far as RUN shingles through their centre reach."""
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2)
+    at = passages.centres(h, passages.RUN)
+    reach = passages.RUN - 1
+    want = sorted((max(s, c - reach), c, min(e, c + reach)) for s, c, e in passages.compact_windows(h, passages.RUN))
+    cut = np.flatnonzero(np.diff(at, prepend=-1))
+    ends = np.append(cut[1:], len(at)) - 1 + passages.RUN - 1
+    assert sorted(zip(cut.tolist(), at[cut].tolist(), ends.tolist(), strict=True)) == want
+
+
 def test_equal_passages_behind_variants(spark):
     """The first document and those between have variants too far from the passage that two others share."""
     docs = []

@@ -29,9 +29,23 @@ def identifier(c: Column) -> Column:
 
 
 def identifier_valid(kind: Column, canonical: Column) -> Column:
+    """Passports: one or two letters, then six to eight digits. Licences: seven to ten letters and digits, at most two of them letters."""
+    head = F.regexp_replace(canonical, "[0-9]+$", "")
+    numbers = F.length(canonical) - F.length(head)
     letters = F.length(F.regexp_replace(canonical, "[^A-Z]", ""))
-    licence = canonical.rlike("^[A-Z0-9]{7,10}$") & canonical.rlike("[0-9]") & (letters <= 2)
-    return F.when(kind == "passport", canonical.rlike("^[A-Z]{1,2}[0-9]{6,8}$")).when(kind == "licence", licence).otherwise(F.lit(False))
+    every = F.regexp_replace(canonical, "[A-Z0-9]", "") == ""
+    passport = every & (letters == F.length(head)) & letters.between(1, 2) & numbers.between(6, 8)
+    licence = every & F.length(canonical).between(7, 10) & (letters <= 2)
+    return F.when(kind == "passport", passport).when(kind == "licence", licence).otherwise(F.lit(False))
+
+
+def explanation(kind: Column, canonical: Column, sources: Column) -> Column:
+    """Why an identifier has its tier, in words."""
+    return (
+        F.when(~identifier_valid(kind, canonical), F.concat(F.lit("not the form of a "), kind))
+        .when(sources >= 2, F.concat(F.lit("the same in "), sources.cast("string"), F.lit(" documents")))
+        .otherwise(F.lit("in one document only"))
+    )
 
 
 def tier(kind: Column, canonical: Column, sources: Column) -> Column:

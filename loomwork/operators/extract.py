@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import checks
 from loomwork.operators.joins import drop_overlaps
+from loomwork.operators.labels import PACK
 
-#: Shapes of the sweep (name, Java pattern, confidence).
+#: Shapes of the sweep (name, Java pattern, confidence), from the public forms of the values.
 SHAPES = [
-    ("email", r"\b[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+\b", 0.98),
-    ("phone", r"(?<![0-9])(?:\+?61\s?|0)[2-478](?:[ -]?[0-9]){8}(?![0-9])", 0.95),
+    ("email", r"(?<![\w.%+-])[\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}\b", 0.98),
+    # after 0, 61 or +61: a mobile number, 4 and two, three and three digits, or an area's digit and twice four
+    ("phone", r"(?<![\d+])(?:\+61[ -]?|61 |\(?0)(?:4\d{2}[ -]?\d{3}[ -]?\d{3}|[2378]\)?[ -]?\d{4}[ -]?\d{4})(?!\d)", 0.95),
     ("phone_us", r"\+1 \([0-9]{3}\) 555-[0-9]{4}", 0.95),
-    ("card", r"(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9])", 0.90),
-    ("abn", r"(?<![0-9])[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{3}(?![0-9])", 1.0),
-    ("bsb", r"(?<![0-9])[0-9]{3}[- ][0-9]{3}(?![0-9])", 0.55),
-    ("postcode", r"\b(?:0[2-9][0-9]{2}|[1-9][0-9]{3})\b", 0.50),
+    # four times four digits, parted alike
+    ("card", r"(?<!\d)\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?!\d)", 0.90),
+    ("abn", r"(?<!\d)\d{2}(?: ?\d{3}){3}(?!\d)", 1.0),
+    ("bsb", r"(?<![\d-])\d{3}[ -]\d{3}(?![\d-])", 0.55),
+    ("postcode", r"(?<![\d$.,/-])(?!0[01])\d{4}(?![\d,-])", 0.50),
+    ("date", r"(?<!\d)\d{1,2}([/.-])\d{1,2}\1\d{4}(?!\d)", 0.85),
     ("ipv4", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])", 0.90),
     ("secret", r'\b[a-z_]+ = "[^"]+"', 0.80),
-    ("currency", r"\$ ?[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]{2})?", 0.80),
+    ("currency", r"\$ ?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d{2})?(?![\d,])", 0.80),
 ]
+SHAPE = {name: pattern for name, pattern, _ in SHAPES}
+#: Characters before a match that are kept with it.
+BEFORE = 30
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -41,8 +50,21 @@ def found(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, start, step)["out"]
 
 
+def values_of(docs: DataFrame, shapes=SHAPES) -> DataFrame:
+    """doc_id, field_name, value, confidence of every match of every shape: one pass of each pattern, as no place is asked for."""
+
+    def named(name: str, pattern: str, confidence: float) -> Column:
+        return F.transform(
+            F.regexp_extract_all("text", F.lit(pattern), F.lit(0)),
+            lambda v: F.struct(F.lit(name).alias("field_name"), v.alias("value"), F.lit(confidence).alias("confidence")),
+        )
+
+    every = F.concat(*(named(*shape) for shape in shapes))
+    return docs.where("text is not null").select("doc_id", F.explode(every).alias("m")).select("doc_id", "m.*")
+
+
 def sweep(docs: DataFrame, shapes=SHAPES) -> DataFrame:
-    """doc_id, field_name, s, e, value, confidence of every match of every shape.
+    """doc_id, field_name, s, e, value, confidence, before (up to BEFORE characters) of every match of every shape.
 
     One pass over the texts: the shapes are columns of one projection, not copies of the rows.
     """
@@ -50,36 +72,184 @@ def sweep(docs: DataFrame, shapes=SHAPES) -> DataFrame:
     def named(name: str, pattern: str, confidence: float) -> Column:
         return F.transform(
             found(F.col("text"), pattern),
-            lambda m: F.struct(F.lit(name).alias("field_name"), m["s"].alias("s"), m["e"].alias("e"), m["value"].alias("value"), F.lit(confidence).alias("confidence")),
+            lambda m: F.struct(F.lit(name).alias("field_name"), m["s"].alias("s"), m["e"].alias("e"), m["value"].alias("value"), F.lit(confidence).alias("confidence"), ahead(F.col("text"), m["s"], BEFORE).alias("before")),
         )
 
     every = F.concat(*(named(*shape) for shape in shapes))
     return docs.where("text is not null").select("doc_id", F.explode(every).alias("m")).select("doc_id", "m.*")
 
 
+def ahead(text: Column, s: Column, n: int) -> Column:
+    """Up to n characters right before place s."""
+    return F.substring(text, F.greatest(F.lit(1), s - n + 1), F.least(s, F.lit(n)))
+
+
 def near_label(text: Column, s: Column, label: str, before: int) -> Column:
     """Whether a label ends right before place s, within `before` characters."""
     return F.substring(text, F.greatest(F.lit(1), s - before + 1), F.least(s, F.lit(before))).rlike(f"(?i)(?:{label})\\W{{0,12}}$")
 
 
-def owned(matches: DataFrame) -> DataFrame:
-    """Matches without those that lie in a stronger identifier: cards, valid ABNs and phones own their digits."""
-    weak = F.col("field_name").isin("bsb", "postcode", "abn")
-    strong = F.col("field_name").isin("card", "phone", "phone_us") | ((F.col("field_name") == "abn") & checks.abn_valid(F.col("value")))
-    claims = matches.where(strong).select("doc_id", "s", "e")
-    return matches.where(~weak | strong).unionByName(drop_overlaps(matches.where(weak & ~strong), claims))
+#: Labels that claim a business number, a branch number and a date of birth that stand after them.
+ABN_LABEL, BSB_LABEL, DOB_LABEL = r"(?i)\ba\.?b\.?n\b\W{0,3}$", r"(?i)\b(?:bsb|branch)\b", r"(?i)(?:d\.?o\.?b|birth|born)\W{0,12}$"
 
 
-def labelled_lines(docs: DataFrame, patterns: list[tuple[str, str]], confidence: float = 0.95) -> DataFrame:
-    """doc_id, line_no, field_name, value of lines `label: value`; the first pattern in order claims the line."""
+def owned(matches: DataFrame) -> DataFrame:
+    """Matches without those that lie in a stronger identifier.
+
+    Cards, phones and business numbers that are valid or labelled own their digits; a card's digits are no business number.
+    """
+    name = F.col("field_name")
+    cards = matches.where("field_name = 'card'").select("doc_id", "s", "e")
+    abns = drop_overlaps(matches.where("field_name = 'abn'"), cards)
+    own = abns.where(checks.abn_valid(F.col("value")) | F.expr("right(before, 12)").rlike(ABN_LABEL))
+    claims = matches.where(name.isin("card", "phone", "phone_us")).unionByName(own).select("doc_id", "s", "e")
+    weak = matches.where(name.isin("bsb", "postcode")).unionByName(abns.exceptAll(own))
+    return matches.where(~name.isin("bsb", "postcode", "abn")).unionByName(own).unionByName(drop_overlaps(weak, claims))
+
+
+SEPARATED = r"^([^:\t=-]*)[:\t=-](.*)$"
+#: Confidence of a line that the readers don't know.
+UNREAD = 0.75
+
+
+def validators(as_of: str) -> dict[str, Callable[[Column], Column]]:
+    """Checks that a labelled value must pass to count, by field."""
+    return {
+        "bsb": checks.bsb_valid,
+        "abn": checks.abn_valid,
+        "mobile_number": checks.phone_valid,
+        "date_of_birth": lambda v: checks.dob_error(v, F.lit(as_of).cast("date")).isNull(),
+        "postcode": lambda v: checks.postcode_error(v).isNull(),
+    }
+
+
+def labelled_lines(
+    docs: DataFrame,
+    patterns: list[tuple[str, str]] = PACK,
+    confidence: float = 0.95,
+    valid: dict[str, Callable[[Column], Column]] | None = None,
+    readings: DataFrame | None = None,
+) -> DataFrame:
+    """doc_id, line_no, field_name, label, value, confidence of lines `label: value`.
+
+    The first pattern in order that occurs in a line with a value of two characters or more claims it; if the
+    value fails the field's check, the line says nothing. Text has one confidence, or with readings (doc_id, line,
+    confidence; see line_confidence) that of its line, and UNREAD where there is none.
+    """
     lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     line = F.trim("line")
-    label, value = F.regexp_extract(line, r"^([^:\t=-]*)[:\t=-](.*)$", 1), F.trim(F.regexp_extract(line, r"^([^:\t=-]*)[:\t=-](.*)$", 2))
+    lines = lines.select("doc_id", "line_no", line.alias("line"), F.regexp_extract(line, SEPARATED, 1).alias("label"), F.trim(F.regexp_extract(line, SEPARATED, 2)).alias("value"))
     name = F.lit(None).cast("string")
     for field, pattern in reversed(patterns):
-        name = F.when(line.rlike(f"(?i){pattern}"), field).otherwise(name)
-    return lines.select("doc_id", "line_no", name.alias("field_name"), label.alias("label"), value.alias("value"), F.lit(confidence).alias("confidence")).where(
-        "field_name is not null and length(value) > 1"
+        name = F.when(F.col("line").rlike(f"(?i){pattern}"), field).otherwise(name)
+    # lines without a value are gone before the patterns are tried
+    out = lines.where(F.length("value") > 1).withColumn("field_name", name).where("field_name is not null")
+    for field, check in (valid or {}).items():
+        out = out.where((F.col("field_name") != field) | F.coalesce(check(F.col("value")), F.lit(False)))
+    if readings is None:
+        known = out.withColumn("confidence", F.lit(confidence))
+    else:
+        said = readings.select("doc_id", F.col("line").alias("read"), "confidence")
+        same = F.trim(F.regexp_replace("line", r"\s+", " ")) == F.col("read")
+        known = out.join(said, (out["doc_id"] == said["doc_id"]) & same, "left").select(out["*"], F.coalesce("confidence", F.lit(UNREAD)).alias("confidence"))
+    return known.select("doc_id", "line_no", "field_name", "label", "value", "confidence")
+
+
+def _apart(m: Column, spans: Column) -> Column:
+    return ~F.exists(spans, lambda c: (m["s"] < c["e"]) & (c["s"] < m["e"]))
+
+
+def _first(found: Column) -> Column:
+    return F.try_element_at(found, F.lit(1))["value"]
+
+
+def primary_values(docs: DataFrame, as_of: str) -> DataFrame:
+    """doc_id, field_name, value, confidence of the identifiers that a text holds, labelled or not; no shuffle.
+
+    The first valid business number outside cards; the first valid branch number outside stronger identifiers, those
+    after a label first; the first plausible date right after a label of birth; the first phone number and e-mail.
+    """
+    text, day = F.col("text"), F.lit(as_of).cast("date")
+
+    def by_label(m: Column, label: str, n: int) -> Column:
+        return ahead(text, m["s"], n).rlike(label)
+
+    spans = docs.where("text is not null").select(
+        "doc_id", "text", *(found(text, SHAPE[n]).alias(n) for n in ("card", "abn", "phone", "bsb", "date")), F.regexp_extract("text", SHAPE["email"], 0).alias("email")
+    )
+    spans = spans.withColumn("abn", F.filter("abn", lambda m: _apart(m, F.col("card"))))
+    valid_abn = F.filter("abn", lambda m: checks.abn_valid(m["value"]))
+    labelled_abn = F.filter("abn", lambda m: by_label(m, ABN_LABEL, 12))
+    spans = spans.withColumn("claims", F.concat(valid_abn, labelled_abn, "phone", "card"))
+    spans = spans.withColumn("bsb", F.filter("bsb", lambda m: _apart(m, F.col("claims")) & checks.bsb_valid(m["value"])))
+    anchored = F.filter("bsb", lambda m: by_label(m, BSB_LABEL, 30))
+    born = F.filter("date", lambda m: by_label(m, DOB_LABEL, 24) & checks.dob_error(m["value"], day).isNull())
+
+    def row(name: str, value: Column, confidence: Column | float) -> Column:
+        c = confidence if isinstance(confidence, Column) else F.lit(confidence)
+        return F.struct(F.lit(name).alias("field_name"), F.nullif(value, F.lit("")).alias("value"), c.alias("confidence"))
+
+    every = F.array(
+        row("abn", _first(valid_abn), 1.0),
+        row("bsb", F.coalesce(_first(anchored), _first(F.col("bsb"))), F.when(F.size(anchored) > 0, 0.95).otherwise(0.55)),
+        row("date_of_birth", F.translate(_first(born), ".-", "//"), 0.85),
+        row("mobile_number", _first(F.col("phone")), 0.95),
+        row("email_address", F.col("email"), 0.98),
+    )
+    return spans.select("doc_id", F.explode(F.filter(every, lambda x: x["value"].isNotNull())).alias("f")).select("doc_id", "f.*")
+
+
+def income_values(docs: DataFrame) -> DataFrame:
+    """doc_id, field_name, value, confidence: the largest amount if over 30,000 as gross, the second as net income."""
+    amounts = F.transform(F.regexp_extract_all("text", F.lit(SHAPE["currency"]), F.lit(0)), lambda v: F.translate(v, "$, ", "").cast("double"))
+    top = F.sort_array(amounts, asc=False)
+
+    def row(name: str, k: int, confidence: float) -> Column:
+        v = F.try_element_at(F.col("top"), F.lit(k))
+        return F.struct(F.lit(name).alias("field_name"), v.alias("amount"), F.lit(confidence).alias("confidence"))
+
+    rows = F.array(row("gross_annual_income", 1, 0.88), row("net_monthly_income", 2, 0.84))
+    kept = F.filter(rows, lambda r: r["amount"].isNotNull() & ((r["field_name"] != "gross_annual_income") | (r["amount"] > 30_000)))
+    return (
+        docs.where("text is not null")
+        .select("doc_id", top.alias("top"))
+        .where(F.size("top") > 0)
+        .select("doc_id", F.explode(kept).alias("f"))
+        .select("doc_id", "f.field_name", F.concat(F.lit("$"), F.format_number("f.amount", 2)).alias("value"), "f.confidence")
+    )
+
+
+def extract_fields(docs: DataFrame, as_of: str, readings: DataFrame | None = None) -> DataFrame:
+    """The whole extraction: doc_id, field_name, value, confidence, one row for each field of a document.
+
+    Identifiers and labelled lines compete by confidence, the earlier one first on ties; amounts fill what is left.
+    One shuffle, on document and field.
+    """
+    sources = [
+        primary_values(docs, as_of).selectExpr("*", "1 as rank", "-1 as line_no"),
+        labelled_lines(docs, valid=validators(as_of), readings=readings).selectExpr("doc_id", "field_name", "value", "confidence", "1 as rank", "line_no"),
+        income_values(docs).selectExpr("*", "0 as rank", "-1 as line_no"),
+    ]
+    every = sources[0].unionByName(sources[1]).unionByName(sources[2])
+    order = F.struct("rank", "confidence", (-F.col("line_no")).alias("place"))
+    return every.groupBy("doc_id", "field_name").agg(F.max_by("value", order).alias("value"), F.max_by("confidence", order).alias("confidence"))
+
+
+def extraction_rows(fields: DataFrame, as_of: str) -> DataFrame:
+    """One row for each document: doc_id, fields and confidences (maps), valid_abn, valid_bsb, valid_dob."""
+    both = F.collect_list(F.struct("field_name", "value", "confidence"))
+    rows = fields.groupBy("doc_id").agg(F.array_sort(both).alias("f"))
+
+    def mapped(column: str) -> Column:
+        return F.map_from_arrays(F.transform("f", lambda x: x["field_name"]), F.transform("f", lambda x: x[column]))
+
+    def holds(field: str, rule: Callable[[Column], Column]) -> Column:
+        value = F.col("fields")[field]
+        return F.coalesce(rule(value), F.lit(False))
+
+    rules = validators(as_of)
+    return rows.select("doc_id", mapped("value").alias("fields"), mapped("confidence").alias("confidences")).select(
+        "*", holds("abn", rules["abn"]).alias("valid_abn"), holds("bsb", rules["bsb"]).alias("valid_bsb"), holds("date_of_birth", rules["date_of_birth"]).alias("valid_dob")
     )
 
 
@@ -112,13 +282,29 @@ def clean_value(kind: Column, value: Column) -> Column:
     return out
 
 
+#: Letters that are read for digits, and the digits.
+MISREAD, MEANT = "OoQIli|SB", "000111158"
+
+
 def repaired_abn(value: Column) -> Column:
     """The value, or its reading with letters taken for digits, if that passes the checksum and has six real digits."""
-    fixed = F.translate(value, "OoQIli|SB", "000111158")
+    fixed = F.translate(value, MISREAD, MEANT)
     real = F.length(F.regexp_replace(value, r"\D", ""))
     return F.when(checks.abn_valid(value), checks.digits(value)).when((real >= 6) & checks.abn_valid(fixed), checks.digits(fixed))
 
 
+def choose_abn(matches: DataFrame) -> DataFrame:
+    """doc_id, abn: of a document's candidates (doc_id, s, value, before) the best, a checksum counting 100 and a label 50.
+
+    The first one on ties; a candidate without either is none, and repaired readings count as their digits.
+    """
+    digits = repaired_abn(F.col("value"))
+    score = F.when(digits.isNotNull(), 100).otherwise(0) + F.when(F.col("before").rlike(r"(?i)\b(?:a\.?b\.?n|business\s+number)\b"), 50).otherwise(0)
+    scored = matches.select("doc_id", "s", F.coalesce(digits, checks.digits(F.col("value"))).alias("abn"), score.alias("score")).where("score > 0")
+    best = F.struct("score", (-F.col("s")).alias("place"))
+    return scored.groupBy("doc_id").agg(F.max_by("abn", best).alias("abn"), F.max("score").alias("score"))
+
+
 def word_hits(docs: DataFrame, words: list[str]) -> DataFrame:
     """doc_id, word, n for the words that occur."""
     counts = F.array(*(F.struct(F.lit(w).alias("word"), F.regexp_count(F.lower("text"), F.lit(rf"\b{w}\b")).alias("n")) for w in words))

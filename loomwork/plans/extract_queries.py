@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.functions import checks, dates, keys
+from loomwork.functions import checks, dates, keys, vocabulary
 from loomwork.operators import extract, index, verify
 from loomwork.plans import views
 from loomwork.plans.aggregate_queries import DOB_KEY
@@ -14,7 +14,7 @@ from loomwork.plans.views import with_views
 QUERIES, query = registry()
 #: Patterns of the sweep without lookarounds, which DuckDB's engine lacks: (name, pattern).
 PLAIN = [
-    ("email", r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"),
+    ("email", r"[A-Za-z0-9_.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}"),
     ("phone_us", r"\+1 \([0-9]{3}\) 555-[0-9]{4}"),
     ("card", r"[0-9]{16}"),
     ("ipv4", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
@@ -32,9 +32,90 @@ def matches(spark, sf_dir):
     return extract.sweep(documents(spark, sf_dir), SHAPES)
 
 
+def found_values(spark, sf_dir):
+    return extract.values_of(documents(spark, sf_dir), SHAPES)
+
+
 @query(f"select doc_id, field_name, value, count(*) as n from ({_SWEEP}) group by all")
 def x1_shape_sweep(spark, sf_dir):
-    return matches(spark, sf_dir).groupBy("doc_id", "field_name", "value").agg(F.count("*").alias("n"))
+    return found_values(spark, sf_dir).groupBy("doc_id", "field_name", "value").agg(F.count("*").alias("n"))
+
+
+@query()
+def x1_all_shapes(spark, sf_dir):
+    """All shapes of the library. No SQL, as they need lookarounds; a small test compares them with a plain version."""
+    return extract.values_of(documents(spark, sf_dir)).groupBy("doc_id", "field_name", "value").agg(F.count("*").alias("n"))
+
+
+FORM_BSB = "'013-' || lpad((doc_id % 1000)::varchar, 3, '0')"
+
+
+@query(
+    """with f as (select c_custkey as doc_id from customer)
+select doc_id, 'abn' as field_name, '51 824 753 55' || (doc_id % 10) as value from f
+union all select doc_id, 'bsb', case doc_id % 3 when 0 then '062-000' else '000-000' end from f where doc_id % 3 <> 1
+union all select doc_id, 'bsb', '013-' || lpad((doc_id % 1000)::varchar, 3, '0') from f
+union all select doc_id, 'card', '4111 1111 1111 1111' from f
+union all select doc_id, 'phone', '04' || lpad(doc_id::varchar, 8, '0') from f
+union all select doc_id, 'date', d from f, (select unnest(['14/02/1980', '31/02/1980', null, '05/06/2020', '01/01/2024']) as d, unnest([0, 1, 2, 3, 4]) as k) where d is not null and (k = 4 or k = doc_id % 4)"""
+)
+def x4_form_ownership(spark, sf_dir):
+    """Who owns which digits of the forms: none of a card, a phone or a labelled business number is read as a branch number or postcode."""
+    owned = extract.owned(extract.sweep(views.forms(spark, sf_dir)))
+    return owned.where("field_name not in ('email', 'currency')").select("doc_id", "field_name", "value")
+
+
+@query(with_views("form_lines") + " select doc_id, line_no, field_name, value, 0.95::double as confidence from form_lines where value is not null")
+def x5_label_scan(spark, sf_dir):
+    """The whole label pack over forms; a failed check kills its line."""
+    lines = extract.labelled_lines(views.forms(spark, sf_dir), valid=extract.validators("2025-06-30"))
+    return lines.select("doc_id", "line_no", "field_name", "value", "confidence")
+
+
+@query(
+    with_views("form_lines")
+    + """ select doc_id, line_no, field_name, value, case when doc_id % 5 = 0 then 0.5 else 0.75 end::double as confidence from form_lines where value is not null and field_name = 'family_name'"""
+)
+def x5_read_lines(spark, sf_dir):
+    """Lines of a reader: their own confidence where it is known, else the default."""
+    f = views.forms(spark, sf_dir)
+    known = f.where("doc_id % 5 = 0").select("doc_id", F.explode(F.split("text", "\n")).alias("line"), F.lit(0.5).alias("confidence"))
+    lines = extract.labelled_lines(f, valid=extract.validators("2025-06-30"), readings=extract.line_confidence(known))
+    return lines.where("field_name = 'family_name'").select("doc_id", "line_no", "field_name", "value", "confidence")
+
+
+FULL = (
+    with_views("form_lines")
+    + """, rows as (
+  select doc_id, field_name, value, case field_name when 'abn' then 1.0 when 'email_address' then 0.98 else 0.95 end::double as confidence from form_lines where value is not null and field_name <> 'bsb'
+  union all select c_custkey, 'bsb', case c_custkey % 3 when 0 then '062-000' else '013-' || lpad((c_custkey % 1000)::varchar, 3, '0') end, 0.95 from customer
+  union all select c_custkey, 'gross_annual_income', '$91,500.00', 0.88 from customer where c_custkey % 2 = 1
+  union all select c_custkey, 'net_monthly_income', case c_custkey % 2 when 0 then '$85,000.00' else '$' || (100 + c_custkey % 900) || '.50' end, 0.84 from customer)"""
+)
+
+
+@query(FULL + " select doc_id, field_name, value, confidence from rows")
+def x22_full_job(spark, sf_dir):
+    return extract.extract_fields(views.forms(spark, sf_dir), "2025-06-30")
+
+
+@query(
+    FULL
+    + """ select doc_id, string_agg(field_name || '=' || value || '@' || round(confidence * 100)::int, ';' order by field_name) as fields,
+  bool_or(field_name = 'abn') as valid_abn, bool_or(field_name = 'bsb') as valid_bsb, bool_or(field_name = 'date_of_birth') as valid_dob from rows group by 1"""
+)
+def x22_full_rows(spark, sf_dir):
+    """Fields and confidences of a document as maps, and whether three of them hold; the maps as text."""
+    rows = extract.extraction_rows(extract.extract_fields(views.forms(spark, sf_dir), "2025-06-30"), "2025-06-30")
+    each = F.transform(F.map_keys("fields"), lambda k: F.concat(k, F.lit("="), F.col("fields")[k], F.lit("@"), F.round(F.col("confidences")[k] * 100).cast("int").cast("string")))
+    return rows.select("doc_id", F.array_join(each, ";").alias("fields"), "valid_abn", "valid_bsb", "valid_dob")
+
+
+@query("select c_custkey as doc_id, '51824753556' as abn, case when c_custkey % 10 = 6 then 150 else 50 end as score from customer where c_custkey % 10 = 6 union all select c_custkey, '5182475355' || (c_custkey % 10), 50 from customer where c_custkey % 10 <> 6")
+def x10_choose_abn(spark, sf_dir):
+    """The best business number of a form: a check sum counts 100, a label 50."""
+    found = extract.sweep(views.forms(spark, sf_dir), [("abn", extract.SHAPE["abn"], 1.0)])
+    return extract.choose_abn(found.where("not value rlike '^41'"))
 
 
 @query(
@@ -113,11 +194,12 @@ def x10_repaired_abn(spark, sf_dir):
     """with d as (select o_orderkey, lpad((o_orderkey * 104729 % 1000000000)::varchar, 9, '0') as t, lpad((2000000000 + o_orderkey * 15485863 % 4900000000)::varchar, 10, '0') as m from orders)
 select o_orderkey, list_sum(list_transform(range(1, 10), lambda i: t[i]::int * ([1,4,3,7,5,8,6,9,10])[i])) % 11 = 0 as tfn,
   (10 - list_sum(list_transform(range(1, 9), lambda i: t[i]::int * (9 - i))) % 10) % 10 = t[9]::int as acn,
-  m[1]::int between 2 and 6 and list_sum(list_transform(range(1, 9), lambda i: m[i]::int * ([1,3,7,9,1,3,7,9])[i])) % 10 = m[9]::int as medicare from d"""
+  m[1]::int between 2 and 6 and m[10] <> '0' and list_sum(list_transform(range(1, 9), lambda i: m[i]::int * ([1,3,7,9,1,3,7,9])[i])) % 10 = m[9]::int as medicare,
+  list_sum(list_transform(range(1, 9), lambda i: t[i + 1]::int * ([10,7,8,4,6,3,5,1])[i])) % 11 = 0 as tfn_old from d"""
 )
 def v2_number_checksums(spark, sf_dir):
     t, m = F.expr("lpad(o_orderkey * 104729 % 1000000000, 9, '0')"), F.expr("lpad(2000000000 + o_orderkey * 15485863 % 4900000000, 10, '0')")
-    return views.table(spark, sf_dir, "orders").select("o_orderkey", checks.tfn_valid(t).alias("tfn"), checks.acn_valid(t).alias("acn"), checks.medicare_valid(m).alias("medicare"))
+    return views.table(spark, sf_dir, "orders").select("o_orderkey", checks.tfn_valid(t).alias("tfn"), checks.acn_valid(t).alias("acn"), checks.medicare_valid(m).alias("medicare"), checks.tfn_valid(t.substr(2, 8)).alias("tfn_old"))
 
 
 @query(
@@ -125,7 +207,7 @@ def v2_number_checksums(spark, sf_dir):
 select doc_id, card, list_sum(list_transform(range(1, 17), lambda i: case when i % 2 = 0 then card[i]::int else (card[i]::int * 2) // 10 + (card[i]::int * 2) % 10 end)) % 10 = 0 as valid from c"""
 )
 def v2_card_luhn(spark, sf_dir):
-    m = matches(spark, sf_dir).where("field_name = 'card'").select("doc_id", F.col("value").alias("card")).distinct()
+    m = found_values(spark, sf_dir).where("field_name = 'card'").select("doc_id", F.col("value").alias("card")).distinct()
     return m.withColumn("valid", checks.card_valid(F.col("card")))
 
 
@@ -134,59 +216,131 @@ _RANGES = " ".join(f"when n between {a} and {b} then '{s}'" for a, b, s in check
 
 @query(
     f"""with p as (select o_orderkey, lpad((o_orderkey * 37 % 10000)::varchar, 4, '0') as code, '0' || (o_orderkey % 9) || lpad((o_orderkey * 7919 % 100000000)::varchar, 8, '0') as phone, lpad((o_orderkey * 11 % 1000000)::varchar, 6, '0') as bsb from orders)
-select o_orderkey, case {_RANGES.replace('when n', 'when code::int')} end as state, regexp_matches(phone, '^(04[0-9]{{8}}|0[2378][0-9]{{8}})$') as phone_ok, bsb[1:2] <> '00' as bsb_ok from p"""
+select o_orderkey, case {_RANGES.replace('when n', 'when code::int')} when code::int >= 200 then 'UNKNOWN' end as state, regexp_matches(phone, '^(04[0-9]{{8}}|0[2378][0-9]{{8}})$') as phone_ok, bsb <> '000000' as bsb_ok,
+  bsb[1:3] || '-' || bsb[4:] as bsb_canonical from p"""
 )
 def v3_postcode_phone_bsb(spark, sf_dir):
     o = views.table(spark, sf_dir, "orders").selectExpr("o_orderkey", "lpad(o_orderkey * 37 % 10000, 4, '0') as code", "concat('0', o_orderkey % 9, lpad(o_orderkey * 7919 % 100000000, 8, '0')) as phone", "lpad(o_orderkey * 11 % 1000000, 6, '0') as bsb")
-    return o.select("o_orderkey", checks.postcode_state(F.col("code")).alias("state"), checks.phone_valid(F.col("phone")).alias("phone_ok"), checks.bsb_valid(F.col("bsb")).alias("bsb_ok"))
+    return o.select("o_orderkey", checks.postcode_state(F.col("code")).alias("state"), checks.phone_valid(F.col("phone")).alias("phone_ok"), checks.bsb_valid(F.col("bsb")).alias("bsb_ok"), checks.bsb_canonical(F.col("bsb")).alias("bsb_canonical"))
 
 
 @query(
     """with d as (select o_orderkey, (o_orderkey % 31 + 1)::int as d, (o_custkey % 12 + 1)::int as m, (1900 + o_orderkey % 130)::int as y from orders),
   b as (select *, try_cast(y || '-' || lpad(m::varchar, 2, '0') || '-' || lpad(d::varchar, 2, '0') as date) as born from d)
 select o_orderkey, case when born is null then 'calendar' when born > date '2025-06-30' then 'future'
-  when 2025 - y - ((m, d) > (6, 30))::int < 16 then 'too_young' when 2025 - y - ((m, d) > (6, 30))::int > 120 then 'too_old' end as error from b"""
+  when 2025 - y - ((m, d) > (6, 30))::int < 16 then 'too_young' when 2025 - y - ((m, d) > (6, 30))::int > 120 then 'too_old' end as error,
+  d <= 12 and d <> m as ambiguous from b"""
 )
 def v4_dob_check(spark, sf_dir):
     dob = F.expr("concat(lpad(o_orderkey % 31 + 1, 2, '0'), '/', lpad(o_custkey % 12 + 1, 2, '0'), '/', 1900 + o_orderkey % 130)")
-    return views.table(spark, sf_dir, "orders").select("o_orderkey", checks.dob_error(dob, F.lit("2025-06-30").cast("date")).alias("error"))
+    return views.table(spark, sf_dir, "orders").select("o_orderkey", checks.dob_error(dob, F.lit("2025-06-30").cast("date")).alias("error"), checks.dob_ambiguous(dob).alias("ambiguous"))
+
+
+CHECKED = """v as (select o_orderkey as id, (['abn', 'abn', 'tfn', 'acn', 'medicare', 'card', 'bsb', 'phone', 'postcode', 'date_of_birth', 'note', 'card'])[(o_orderkey % 12 + 1)::int] as field_name, o_orderkey as k, o_custkey as c from orders),
+  w as (select *, case o_orderkey_mod when 0 then lpad((k * 7919 + 11824753000)::varchar, 11, '0') when 1 then '0' || lpad((k % 10000000000)::varchar, 10, '0') when 2 then lpad((k * 104729 % 1000000000)::varchar, 9, '0')
+    when 3 then lpad((k * 104729 % 1000000000)::varchar, 9, '0') when 4 then '2' || lpad((k * 15485863 % 1000000000)::varchar, 9, '0') when 5 then '4' || lpad((k * 15485863 % 1000000000000000)::varchar, 15, '0')
+    when 6 then lpad((k % 3 * 62000)::varchar, 6, '0') when 7 then '0' || (c % 10) || lpad(k::varchar, 8, '0') when 8 then lpad((c % 10000)::varchar, 4, '0')
+    when 9 then lpad((k % 31 + 1)::varchar, 2, '0') || '/' || lpad((c % 12 + 1)::varchar, 2, '0') || '/' || (1950 + k % 40) when 10 then 'n' || k else '4111 **** **** ' || lpad((k % 10000)::varchar, 4, '0') end as value from (select *, k % 12 as o_orderkey_mod from v))"""
+_SUM = "list_sum(list_transform({w}, lambda x, i: value[i]::int * x))"
 
 
 @query(
-    with_views("fields")
-    + """ select field_name, case when field_name in ('bsb', 'date_of_birth', 'postcode') then field_name = 'bsb' and false else null end as valid,
-  case field_name when 'bsb' then 'bsb_invalid' when 'postcode' then 'postcode_invalid' when 'date_of_birth' then 'shape' else 'no_rule' end as code, count(*) as n from fields group by all"""
+    f"""with {CHECKED}, r as (select *, case k % 12
+    when 0 then (list_sum(list_transform([10,1,3,5,7,9,11,13,15,17,19], lambda x, i: value[i]::int * x)) - 10) % 89 = 0 when 1 then false
+    when 2 then {_SUM.format(w='[1,4,3,7,5,8,6,9,10]')} % 11 = 0 when 3 then (10 - {_SUM.format(w='[8,7,6,5,4,3,2,1]')} % 10) % 10 = value[9]::int
+    when 4 then value[10] <> '0' and {_SUM.format(w='[1,3,7,9,1,3,7,9]')} % 10 = value[9]::int
+    when 5 then list_sum(list_transform(range(1, 17), lambda i: case when i % 2 = 0 then value[i]::int else (value[i]::int * 2) // 10 + (value[i]::int * 2) % 10 end)) % 10 = 0
+    when 6 then value <> '000000' when 7 then value[2] in ('2', '3', '4', '7', '8') when 8 then value::int >= 200
+    when 9 then try_cast(value[7:] || '-' || value[4:5] || '-' || value[1:2] as date) is not null when 11 then true end as valid from w)
+select id, field_name, value, valid, case when k % 12 = 10 then 'no_rule' when valid then 'ok' when k % 12 = 1 then 'abn_leading_zero' when k % 12 = 6 then 'bsb_unassigned' when k % 12 = 7 then 'phone_shape'
+    when k % 12 = 8 then 'postcode_zone' when k % 12 = 9 then 'date_of_birth_calendar' else field_name || '_checksum' end as code,
+  case when not valid then null when k % 12 = 0 then value[1:2] || ' ' || value[3:5] || ' ' || value[6:8] || ' ' || value[9:] when k % 12 = 6 then value[1:3] || '-' || value[4:]
+    when k % 12 = 9 then value[7:] || '-' || value[4:5] || '-' || value[1:2] when k % 12 < 10 then value end as canonical,
+  case when valid is null then null else (case when valid then 'a ' else 'not a ' end) || (['business number with its check sum', 'business number with its check sum', 'tax file number with its check sum', 'company number with its check digit',
+    'card number with its check digit', 'card number', 'branch number', 'phone number', 'postcode', 'date of birth', '', 'card number'])[(k % 12 + 1)::int] end as message from r"""
 )
 def v5_validate_fields(spark, sf_dir):
-    f = views.fields(spark, sf_dir).select("field_name", F.col("field_value").alias("value"))
-    return verify.validate_fields(f, "2025-06-30").groupBy("field_name", "valid", "code").agg(F.count("*").alias("n"))
+    """Every rule of the dispatcher over made values of its kind, with code, canonical form and message."""
+    v = views.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as id",
+        "element_at(array('abn', 'abn', 'tfn', 'acn', 'medicare', 'card', 'bsb', 'phone', 'postcode', 'date_of_birth', 'note', 'card'), cast(o_orderkey % 12 as int) + 1) as field_name",
+        "case o_orderkey % 12 when 0 then lpad(o_orderkey * 7919 + 11824753000, 11, '0') when 1 then concat('0', lpad(o_orderkey % 10000000000, 10, '0')) when 2 then lpad(o_orderkey * 104729 % 1000000000, 9, '0')"
+        " when 3 then lpad(o_orderkey * 104729 % 1000000000, 9, '0') when 4 then concat('2', lpad(o_orderkey * 15485863 % 1000000000, 9, '0')) when 5 then concat('4', lpad(o_orderkey * 15485863 % 1000000000000000, 15, '0'))"
+        " when 6 then lpad(o_orderkey % 3 * 62000, 6, '0') when 7 then concat('0', o_custkey % 10, lpad(o_orderkey, 8, '0')) when 8 then lpad(o_custkey % 10000, 4, '0')"
+        " when 9 then concat(lpad(o_orderkey % 31 + 1, 2, '0'), '/', lpad(o_custkey % 12 + 1, 2, '0'), '/', 1950 + o_orderkey % 40) when 10 then concat('n', o_orderkey) else concat('4111 **** **** ', lpad(o_orderkey % 10000, 4, '0')) end as value",
+    )
+    return verify.validate_fields(v, "2025-06-30").select("id", "field_name", "value", "valid", "code", "canonical", "message")
+
+
+#: Values of many kinds; # stands for a number.
+TEXTS = (
+    "Family Name", "Please enter", "Who is it?", "Doe#", "Mary Ann", "14/02/198#", "(in full)", "or family name Reddy", "# High Street, Town", "04 1234 567#", "a#@mail.com",
+    "to request your tax file number you must complete the form", "N123456#", "the sum of all that is in it by then", "Full-time", "Date", "given all of it back", "Jan 1#, 1990", "张伟#", "---",
+)
+SANE_FIELDS = ("family_name", "given_names", "date_of_birth", "email_address", "mobile_number", "residential_address", "passport_details", "employer_details")
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-SANE = """s as (select extraction_id, seq, field_name, case when confidence = 0 then 'Family Name' when confidence = 0.1 then 'Please enter' when confidence = 0.2 then 'Who is it?' else field_value end as value from fields),
-  w as (select *, case when value = 'Family Name' then 'label' when value = 'Who is it?' then 'question' when value = 'Please enter' then 'instruction'
-    when field_name in ('family_name', 'given_names') and regexp_matches(value, '[0-9]') then 'not_a_name' when field_name = 'date_of_birth' then 'not_a_date'
-    when field_name in ('passport_number', 'licence_number') and not regexp_matches(value, '[0-9]') then 'not_an_id' end as reason from s)"""
+def _count(words) -> str:
+    return f"len(list_filter(w, lambda x: list_contains({_listed(words)}, x)))"
+
+
+SANE = f"""s as (select l_orderkey as extraction_id, l_partkey * 100000 + l_suppkey * 100 + trunc(l_quantity)::bigint as seq, (['applicant', 'spouse'])[(l_suppkey % 2 + 1)::int] as subject,
+    ({_listed(SANE_FIELDS)})[(l_orderkey % 8 + 1)::int] as field_name, replace(({_listed(TEXTS)})[(l_partkey % {len(TEXTS)} + 1)::int], '#', (l_suppkey % 10)::varchar) as value from lineitem),
+  t as (select *, list_filter(regexp_split_to_array(lower(value), '[^a-z0-9]+'), lambda x: x <> '') as w, list_filter(regexp_split_to_array(lower(value), '[^a-z]+'), lambda x: x <> '') as a,
+    list_transform(regexp_split_to_array(value, '\\s+'), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) as bare, regexp_split_to_array(value, '\\s+') as tokens, regexp_replace(value, '[^0-9]', '', 'g') as d from s),
+  k as (select *, list_filter(range(1, len(tokens) + 1), lambda i: bare[i] <> '' and not list_contains({_listed(vocabulary.LABEL_WORDS)}, bare[i])) as own from t),
+  n as (select *, case when len(own) > 0 then tokens[own[1]:own[len(own)]] else [] end as name from k),
+  w as (select extraction_id, seq, subject, field_name, value, case when len(w) = 0 then 'label'
+    when field_name = 'date_of_birth' then case when not (length(value) <= 24 and regexp_matches(value, '(?i)[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}|[a-z]{{3,9}} [0-9]{{1,2}}, [0-9]{{4}}|[0-9]{{2}} [0-9]{{4}} [0-9]{{3}}')) then 'not_a_date' end
+    when value[length(value)] = '?' then 'question'
+    when field_name in ('family_name', 'given_names') then case when len(name) = 0 then 'label' when len(name) > 4 or regexp_matches(array_to_string(name, ' '), '[0-9()/\\\\@#]') then 'not_a_name' end
+    when field_name = 'email_address' then case when not regexp_matches(value, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]{{2,}}$') then 'not_an_email' end
+    when field_name = 'mobile_number' then case when not (regexp_matches(d, '^(04[0-9]{{8}}|614[0-9]{{8}}|6104[0-9]{{8}})$') and not regexp_matches(value, '[A-Za-z]{{3}}')) then 'not_a_mobile' end
+    when field_name = 'residential_address' then case when not (d <> '' and len(list_filter(a, lambda x: list_contains({_listed(vocabulary.STREET_WORDS)}, x))) > 0 and length(value) >= 8) then 'not_an_address' end
+    when field_name = 'passport_details' then case when not (d <> '' and len(list_filter(tokens, lambda x: regexp_matches(x, '[A-Za-z]{{3}}'))) <= 2 and length(value) <= 24) then 'not_an_id' end
+    when len(tokens) = 1 then case when list_contains({_listed(vocabulary.SINGLE_LABELS)}, array_to_string(w, ' ')) then 'label' end
+    when len(w) <= 10 and {_count(vocabulary.LABEL_WORDS)} >= 0.8 * len(w) then 'label'
+    when len(w) >= 4 and {_count(vocabulary.INSTRUCTION_WORDS)} >= 1 or {_count(vocabulary.INSTRUCTION_WORDS)} = len(w) then 'instruction'
+    when len(w) >= 6 and {_count(vocabulary.STOP_WORDS)} >= 0.3 * len(w) then 'instruction' when len(w) >= 4 and regexp_matches(value, '^[a-z]') then 'instruction' end as reason from n),
+  y as (select *, regexp_matches(value, '[\\p{{Han}}]') as cjk from w)"""
 
 
 def sane(spark, sf_dir):
-    f = views.fields(spark, sf_dir)
-    value = F.when(F.col("confidence") == 0, "Family Name").when(F.col("confidence") == 0.1, "Please enter").when(F.col("confidence") == 0.2, "Who is it?").otherwise(F.col("field_value"))
-    return verify.verify_records(f.select("extraction_id", "seq", "field_name", value.alias("value")))
+    v = views.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("extraction_id"),
+        F.expr("l_partkey * 100000 + l_suppkey * 100 + cast(l_quantity as bigint)").alias("seq"),
+        F.expr("element_at(array('applicant', 'spouse'), cast(l_suppkey % 2 as int) + 1)").alias("subject"),
+        F.element_at(F.array(*map(F.lit, SANE_FIELDS)), F.expr("cast(l_orderkey % 8 as int) + 1")).alias("field_name"),
+        F.replace(F.element_at(F.array(*map(F.lit, TEXTS)), F.expr(f"cast(l_partkey % {len(TEXTS)} as int) + 1")), F.lit("#"), F.expr("cast(l_suppkey % 10 as string)")).alias("value"),
+    )
+    return verify.verify_records(v)
 
 
-@query(with_views("fields") + f", {SANE} select extraction_id, seq, field_name, value, reason, case when reason is null then 'ok' else 'junk' end as verif from w")
+@query(f"with {SANE} select extraction_id, seq, field_name, value, case when not cjk then reason end as reason, case when cjk then 'cjk' when reason is null then 'ok' else 'junk' end as verif from y")
 def v6_value_sanity(spark, sf_dir):
     return sane(spark, sf_dir).select("extraction_id", "seq", "field_name", "value", "reason", "verif")
 
 
-@query(with_views("fields") + f", {SANE} select field_name, count(*) filter (where reason is null) as ok, 0::bigint as cjk, count(*) filter (where reason is not null) as junk from w group by 1")
+@query(f"with {SANE} select field_name, count(*) filter (where not cjk and reason is null) as ok, count(*) filter (where cjk) as cjk, count(*) filter (where not cjk and reason is not null) as junk from y group by 1")
 def a13_verify_stats(spark, sf_dir):
     return verify.verify_stats(sane(spark, sf_dir))
 
 
-@query("select p_partkey, p_name as name from part")
+@query(
+    f"""with {SANE}, j as (select * from y where not cjk and reason is not null)
+select 'reason' as level, null as subject, null as field_name, reason, count(*) as n from j group by reason union all select 'field', subject, field_name, reason, count(*) from j group by all"""
+)
+def a13_verify_reasons(spark, sf_dir):
+    return verify.verify_reasons(sane(spark, sf_dir))
+
+
+@query("select p_partkey, case p_partkey % 5 when 0 then '' when 1 then p_name || ' x' when 2 then 'Van ' || p_name else p_name end as name from part")
 def v7_trim_labels(spark, sf_dir):
-    text = F.concat(F.lit("Given Name: "), "p_name", F.lit(" (Signature)"))
+    text = F.expr("case p_partkey % 5 when 0 then 'Given Name: (in full)' when 1 then concat('or family name ', p_name, ' x Date') when 2 then concat('  Van ', p_name, ' - ') when 3 then p_name else concat('Given Name: ', p_name, ' (Signature)') end")
     return views.table(spark, sf_dir, "part").select("p_partkey", verify.trim_labels(text).alias("name"))
 
 
@@ -235,13 +389,56 @@ def v16_curation(spark, sf_dir):
     return verify.curation(f.withColumn("category", category(F.col("path")))).select("id", "stage")
 
 
+@query(with_views("pages") + """ select doc_id, bool_and(kind = 'printed') and min(probe_conf) >= 0.6 and min(alnum) >= 40 and count(*) filter (where probe_text = 'k7') = 0 as park from pages_v group by 1""")
+def v17_park_decision(spark, sf_dir):
+    """Every page counts; a document with a hit in its probe text is not parked."""
+    p = views.pages(spark, sf_dir)
+    return verify.park(p, p.where("probe_text = 'k7'"))
+
+
 @query(
-    with_views("pages")
-    + """ select doc_id, bool_and(kind = 'printed') and min(probe_conf) >= 0.6 and min(alnum) >= 40 as park from pages_v where alnum > 20 group by 1"""
+    """select l_orderkey as doc_id, bool_and(l_linenumber <= 6) and min(l_tax) * 10 >= 0.1 and min(l_quantity) >= 4 as park from lineitem group by 1"""
 )
-def v17_park_decision(spark, sf_dir):
-    p = views.pages(spark, sf_dir).where("alnum > 20")
-    return p.groupBy("doc_id").agg((F.bool_and(F.col("kind") == "printed") & (F.min("probe_conf") >= 0.6) & (F.min("alnum") >= 40)).alias("park"))
+def v17_park_pages(spark, sf_dir):
+    """The same over lines as pages, where many documents are parked."""
+    p = views.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as doc_id", "case when l_linenumber <= 6 then 'printed' else 'blank' end as kind", "l_tax * 10 as probe_conf", "l_quantity as alnum")
+    return verify.park(p, sure=0.1, least=4)
+
+
+FLAGGED = """f as (select l_orderkey as doc_id, l_linenumber as page, (['given_names', 'family_name', 'date_of_birth', 'bsb', 'account_number', 'passport_details', 'note'])[l_linenumber] as field_name,
+    'v' || (l_partkey % 3) as value, (['applicant', 'unknown', 'spouse'])[(l_suppkey % 3 + 1)::int] as subject, case when l_returnflag = 'R' then 'handwriting' else 'print' end as source, l_discount * 10 as confidence,
+    case l_partkey % 5 when 0 then false when 1 then true end as digits_read, case when l_partkey % 7 = 0 then 'w' end as alternate, case l_suppkey % 4 when 0 then false when 1 then true end as valid from lineitem),
+  d as (select o_orderkey as doc_id, (['loan_application', 'passport', 'bank_statement', 'other', 'mixed'])[(o_custkey % 5 + 1)::int] as type, case when o_custkey % 11 = 0 then 'passport' end as other_type from orders),
+  own as (select doc_id, field_name, count(distinct value) as n from f where subject in ('applicant', 'unknown') group by all),
+  idf as (select unnest(['given_names', 'family_name', 'date_of_birth', 'passport_details']) as field_name),
+  want as (select 'loan_application' as type, unnest(['given_names', 'family_name', 'date_of_birth']) as field_name union all select 'passport', unnest(['family_name', 'date_of_birth', 'passport_details']) union all select 'bank_statement', unnest(['account_number', 'bsb']))"""
+
+
+@query(
+    f"""with {FLAGGED}
+select doc_id, 'PAGE_DEGRADED' as code, page, null as field_name from f where source = 'handwriting' union all select doc_id, 'PAGE_KIND_UNCERTAIN', page, null from f where page = 7
+union all select doc_id, 'DOC_TYPE_UNSURE', null, null from d where type in ('other', 'mixed') union all select doc_id, 'DOC_TYPE_DISAGREE', null, null from d where other_type is not null
+union all select doc_id, 'SOURCES_DISAGREE', page, field_name from f where alternate is not null union all select doc_id, 'DIGITS_NOT_READ', page, field_name from f where digits_read = false
+union all select doc_id, 'LOW_CONFIDENCE', page, field_name from f where source = 'handwriting' and confidence < 0.6 union all select doc_id, 'INVALID_VALUE', page, field_name from f where valid = false
+union all select doc_id, 'OWNER_UNKNOWN', page, field_name from f where subject = 'unknown' and field_name in (select field_name from idf)
+union all select doc_id, 'OWNER_AMBIGUOUS', null, field_name from own where n > 1 and field_name in (select field_name from idf)
+union all select doc_id, 'MISSING_EXPECTED', null, w.field_name from d join want w using (type) where not exists (select 1 from own where own.doc_id = d.doc_id and own.field_name = w.field_name)
+union all select l_orderkey, 'READERS_DISAGREE', l_linenumber, null from lineitem where l_suppkey % 2 = 0"""
+)
+def v19_all_flags(spark, sf_dir):
+    """The twelve rules."""
+    line = views.table(spark, sf_dir, "lineitem")
+    f = line.selectExpr(
+        "l_orderkey as doc_id", "l_linenumber as page", "element_at(array('given_names', 'family_name', 'date_of_birth', 'bsb', 'account_number', 'passport_details', 'note'), l_linenumber) as field_name",
+        "concat('v', l_partkey % 3) as value", "element_at(array('applicant', 'unknown', 'spouse'), cast(l_suppkey % 3 as int) + 1) as subject", "case when l_returnflag = 'R' then 'handwriting' else 'print' end as source",
+        "cast(l_discount * 10 as double) as confidence", "case l_partkey % 5 when 0 then false when 1 then true end as digits_read", "case when l_partkey % 7 = 0 then 'w' end as alternate", "case l_suppkey % 4 when 0 then false when 1 then true end as valid",
+    )
+    d = views.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as doc_id", "element_at(array('loan_application', 'passport', 'bank_statement', 'other', 'mixed'), cast(o_custkey % 5 as int) + 1) as type", "case when o_custkey % 11 = 0 then 'passport' end as other_type"
+    )
+    pages = line.selectExpr("l_orderkey as doc_id", "l_linenumber as page", "case when l_linenumber = 7 then 'uncertain' else 'printed' end as kind", "l_returnflag = 'R' as degraded")
+    readings = line.selectExpr("l_orderkey as doc_id", "l_linenumber as page", "concat('No. ', 100000 + l_partkey, ' of 12') as one", "concat('no ', cast((100000 + l_partkey) * case when l_suppkey % 2 = 0 then 10 else 1 end as string)) as two")
+    return verify.question_flags(d, pages, f, readings)
 
 
 @query(
@@ -272,7 +469,7 @@ def v22_page_estimate(spark, sf_dir):
     f"select doc_id, min(value) filter (where field_name = 'email') as email, min(value) filter (where field_name = 'ipv4') as ipv4 from (select doc_id, field_name, min(value) as value, count(*) as n from ({_SWEEP}) group by all) where field_name in ('email', 'ipv4') group by 1"
 )
 def x22_extraction_fields(spark, sf_dir):
-    m = matches(spark, sf_dir).where("field_name in ('email', 'ipv4')")
+    m = found_values(spark, sf_dir).where("field_name in ('email', 'ipv4')")
     return m.groupBy("doc_id").pivot("field_name", ["email", "ipv4"]).agg(F.min("value"))
 
 
@@ -281,7 +478,8 @@ _FIRST = ", ".join(f"nullif(regexp_extract(text, '{p}'), '') as {n}" for n, p in
 
 @query(f"with w as (select doc_id, {_FIRST} from documents) select doc_id, email, phone_us, card, ipv4, secret from w where coalesce(email, phone_us, card, ipv4, secret) is not null")
 def x22_extraction_wide(spark, sf_dir):
-    return extract.wide(matches(spark, sf_dir), [n for n, _ in PLAIN]).select("doc_id", *(n for n, _ in PLAIN))
+    first = [F.nullif(F.regexp_extract("text", p, 0), F.lit("")).alias(n) for n, p in PLAIN]
+    return documents(spark, sf_dir).select("doc_id", *first).where(F.coalesce(*(F.col(n) for n, _ in PLAIN)).isNotNull())
 
 
 @query("select conv_id as doc_id, string_agg(text, chr(10) order by turn) as text from conversations group by 1")

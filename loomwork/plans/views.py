@@ -100,6 +100,21 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Application forms as texts, a line for each field, with values that hold and values that don't."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey as doc_id",
+        "concat_ws('\n', 'Application form', concat('Given Names: ', initcap(c_mktsegment)), concat('Surname = Fam', c_custkey % 97),"
+        " concat('Date of Birth: ', element_at(array('14/02/1980', '31/02/1980', 'unknown', '05/06/2020'), cast(c_custkey % 4 as int) + 1)),"
+        " concat('BSB - ', element_at(array('062-000', 'TBC', '000-000'), cast(c_custkey % 3 as int) + 1)),"
+        " concat('ABN: 51 824 753 55', c_custkey % 10), concat('Mobile: 04', lpad(c_custkey, 8, '0')),"
+        " concat('Email Address: p', c_custkey, '@mail.example.com'),"
+        " case when c_custkey % 2 = 0 then 'Gross Annual Income: $85,000.00' else 'Gross annual income' end,"
+        " concat('Total paid $91,500.00 and $', 100 + c_custkey % 900, '.50'),"
+        " concat('Statement 01/01/2024, branch 013-', lpad(c_custkey % 1000, 3, '0')), 'Card 4111 1111 1111 1111') as text",
+    )
+
+
 _NAMES = ", ".join(f"'{n}'" for n in NAMES)
 #: DuckDB expressions of the tables above, by name.
 SQL = {
@@ -130,6 +145,13 @@ SQL = {
    when 4 then '20' || (22 + c_nationkey % 9) || '-11-30' else 'n/a' end as expiry,
   'f' || (c_custkey % 50) || ';f' || (c_custkey % 7) || ';f' || (c_custkey % 50) as source_files,
   (1 + c_custkey % 4)::int as record_count, c_acctbal < 0 as review from customer)""",
+    # what the lines of the forms say, by construction: field, value, confidence, whether a line or a search for shapes gives it
+    "form_lines": """form_lines as (select c_custkey as doc_id, unnest([
+    {'line_no': 1, 'field_name': 'given_names', 'value': upper(c_mktsegment[1]) || lower(c_mktsegment[2:])}, {'line_no': 2, 'field_name': 'family_name', 'value': 'Fam' || (c_custkey % 97)},
+    {'line_no': 3, 'field_name': 'date_of_birth', 'value': case c_custkey % 4 when 0 then '14/02/1980' end}, {'line_no': 4, 'field_name': 'bsb', 'value': case c_custkey % 3 when 0 then '062-000' end},
+    {'line_no': 5, 'field_name': 'abn', 'value': case c_custkey % 10 when 6 then '51 824 753 556' end}, {'line_no': 6, 'field_name': 'mobile_number', 'value': '04' || lpad(c_custkey::varchar, 8, '0')},
+    {'line_no': 7, 'field_name': 'email_address', 'value': 'p' || c_custkey || '@mail.example.com'}, {'line_no': 8, 'field_name': 'gross_annual_income', 'value': case c_custkey % 2 when 0 then '$85,000.00' end}
+  ], recursive := true) from customer)""",
     "pages": """pages_v as (select user_id as doc_id, event_id::int as page,
   case event_type when 'error' then 'blank' when 'click' then 'printed' when 'view' then 'printed' else 'handwritten' end as kind,
   least(value / 40, 1.0) as probe_conf, trunc(value * 4)::int as alnum, least(value / 100, 1.0) as ink,

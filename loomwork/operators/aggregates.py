@@ -89,6 +89,45 @@ def promote_first(fields: DataFrame, key: str, name: str) -> DataFrame:
     return fields.where((F.col("field_name") == name) & F.col("value").isNotNull()).groupBy(key).agg(F.min_by("value", "seq").alias(name))
 
 
+def pass_metrics(readings: DataFrame, valid=None) -> DataFrame:
+    """By pass: documents, filled cells after it, newly filled ones (delta), regressions, and valid values read.
+
+    readings: doc_id, field_name, pass, value. A regression is an empty reading of a field that has a value from before.
+    """
+    full = F.coalesce(F.trim("value"), F.lit("")) != ""
+    field = Window.partitionBy("doc_id", "field_name").orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)
+    had = F.coalesce(F.max(full).over(field), F.lit(False))
+    marked = readings.select("doc_id", "pass", "value", full.alias("full"), had.alias("had"), (F.coalesce(valid, F.lit(False)) if valid is not None else full).alias("good"))
+    per = marked.groupBy("pass").agg(
+        F.count_distinct("doc_id").alias("documents"),
+        F.count_if(F.col("full") & ~F.col("had")).alias("delta"),
+        F.count_if(~F.col("full") & F.col("had")).alias("regressions"),
+        F.count_if(F.col("full") & F.col("good")).alias("valid"),
+    )
+    # a row for each pass
+    return per.withColumn("filled", F.sum("delta").over(Window.orderBy("pass")))
+
+
+def label_report(labels: DataFrame) -> DataFrame:
+    """By kind: labels, those with text, those that fail (verify.judge_labels) and the mean seconds."""
+    return labels.groupBy("kind").agg(
+        F.count("*").alias("n"), F.count_if("has_text").alias("with_text"), F.count_if("fails").alias("would_fail"), F.round(F.avg("secs"), 6).alias("mean_secs")
+    )
+
+
+def word_report(hits: DataFrame, files: DataFrame) -> DataFrame:
+    """Files by root and word, and by root those with two words or more (word null). hits: doc_id, word; files: doc_id, root."""
+    named = hits.select("doc_id", "word").distinct().join(files, "doc_id")
+    each = named.groupBy("root", "word").agg(F.count("*").alias("files"))
+    several = named.groupBy("root", "doc_id").agg(F.count("*").alias("n")).where("n >= 2").groupBy("root").agg(F.count("*").alias("files"))
+    return each.unionByName(several.select("root", F.lit(None).cast("string").alias("word"), "files"))
+
+
+def with_photo(evidence: DataFrame) -> DataFrame:
+    """One row: identities, and those of them with a verified photo."""
+    return evidence.agg(F.count_distinct("identity_id").alias("identities"), F.count_distinct(F.when(F.col("verified"), F.col("identity_id"))).alias("with_photo"))
+
+
 def flag_rates(flags: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents with each flag and their percentage of all."""
     total = docs.agg(F.count("*").alias("total"))

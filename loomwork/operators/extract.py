@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import checks
@@ -272,10 +272,19 @@ def wide(matches: DataFrame, names: list[str]) -> DataFrame:
     return out
 
 
+#: A label that begins inside a line, after two blanks or more or a bar: words, then a colon.
+NEXT_LABEL = r"(?:\s{2,}|\s*\|\s*)[A-Z][A-Za-z' ]{1,30}:.*$"
+
+
 def clean_value(kind: Column, value: Column) -> Column:
-    """The value without trailing punctuation; dates, amounts and addresses cut to their shape."""
-    bare = F.regexp_replace(F.trim(value), r"[\s,;:.]+$", "")
-    shaped = {"email": r"[^\s@]+@[^\s@]+\.[A-Za-z]{2,}", "date": r"[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}", "currency": r"\$?[0-9][0-9,]*(?:\.[0-9]{2})?"}
+    """The value without an inline next label and trailing punctuation; e-mails, dates, amounts and phones cut to their shape."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(value), NEXT_LABEL, ""), r"[\s,;:.]+$", "")
+    shaped = {
+        "email": r"[^\s@]+@[^\s@]+\.[A-Za-z]{2,}",
+        "date": r"[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}",
+        "currency": r"\$?[0-9][0-9,]*(?:\.[0-9]{2})?",
+        "phone": r"\+?[0-9(][0-9() -]{6,}[0-9]",
+    }
     out = bare
     for k, p in shaped.items():
         out = F.when((kind == k) & bare.rlike(p), F.regexp_extract(bare, p, 0)).otherwise(out)
@@ -305,10 +314,15 @@ def choose_abn(matches: DataFrame) -> DataFrame:
     return scored.groupBy("doc_id").agg(F.max_by("abn", best).alias("abn"), F.max("score").alias("score"))
 
 
-def word_hits(docs: DataFrame, words: list[str]) -> DataFrame:
-    """doc_id, word, n for the words that occur."""
-    counts = F.array(*(F.struct(F.lit(w).alias("word"), F.regexp_count(F.lower("text"), F.lit(rf"\b{w}\b")).alias("n")) for w in words))
-    return docs.where("text is not null").select("doc_id", F.explode(counts).alias("h")).where("h.n > 0").select("doc_id", "h.word", "h.n")
+def word_hits(docs: DataFrame, words: list[str], name: str | None = None) -> DataFrame:
+    """doc_id, word, n for the words that occur in the text, and in the file name where a column holds it."""
+
+    def count(w: str) -> Column:
+        found = [F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit(rf"\b{w}\b")) for c in (F.col("text"), *([F.translate(F.col(name), "_-.", "   ")] if name else []))]
+        return sum(found[1:], found[0])
+
+    counts = F.array(*(F.struct(F.lit(w).alias("word"), count(w).alias("n")) for w in words))
+    return docs.select("doc_id", F.explode(counts).alias("h")).where("h.n > 0").select("doc_id", "h.word", "h.n")
 
 
 def pattern_names(text: Column, shapes=SHAPES) -> Column:
@@ -322,9 +336,17 @@ def assemble_pages(pages: DataFrame, sep: str = "\n") -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_join(ordered, sep).alias("text"))
 
 
-def line_confidence(readings: DataFrame) -> DataFrame:
-    """Best confidence of each line of a document, white space aside."""
-    return readings.withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " "))).groupBy("doc_id", "line").agg(F.max("confidence").alias("confidence"))
+def line_confidence(readings: DataFrame, native: DataFrame | None = None, exact: float = 0.95) -> DataFrame:
+    """Best confidence of each line of a document, white space aside; lines of native text that no reading has are exact."""
+
+    def lines(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " ")))
+
+    read = lines(readings).groupBy("doc_id", "line").agg(F.max("confidence").alias("confidence"))
+    if native is None:
+        return read
+    own = lines(native).select("doc_id", "line").where("line <> ''").distinct()
+    return read.unionByName(own.join(read, ["doc_id", "line"], "left_anti").withColumn("confidence", F.lit(exact)))
 
 
 def digits_read(value: Column, text: Column) -> Column:
@@ -333,23 +355,43 @@ def digits_read(value: Column, text: Column) -> Column:
     return F.when(F.length(d) >= 4, F.contains(checks.digits(text), d))
 
 
-def score_after_heading(docs: DataFrame, heading: str, low: int = 200, high: int = 1200) -> DataFrame:
-    """First number in range within 40 characters after a heading."""
-    value = F.regexp_extract("text", rf"(?is){heading}\W{{0,40}}?([0-9]{{3,4}})\b", 1)
+def score_after_heading(docs: DataFrame, heading: str, low: int = 200, high: int = 1200, siblings: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score, others: the first number in range within 40 characters after a heading, and the scores of sibling headings.
+
+    A number with a sibling's heading between the heading and itself is the sibling's.
+    """
+    between = r"(?:(?!" + "|".join(siblings) + r")\W|(?!" + "|".join(siblings) + r")[A-Za-z]){0,40}?" if siblings else r"\W{0,40}?"
+    value = F.regexp_extract("text", rf"(?is){heading}{between}(?<![0-9])([0-9]{{3,4}})\b", 1)
     number = F.when(value != "", value.cast("int"))
-    return docs.select("doc_id", F.when(number.between(low, high), number).alias("score"))
+
+    def other(name: str) -> Column:
+        v = F.regexp_extract("text", rf"(?is){name}\W{{0,40}}?([0-9]{{3,4}})\b", 1)
+        return F.struct(F.lit(name).alias("heading"), F.when(v != "", v.cast("int")).alias("score"))
+
+    found = F.filter(F.array(*map(other, siblings)), lambda x: x["score"].between(low, high)) if siblings else F.array().cast("array<struct<heading:string,score:int>>")
+    return docs.select("doc_id", F.when(number.between(low, high), number).alias("score"), found.alias("others"))
 
 
 def flatten_extract(records: DataFrame) -> DataFrame:
-    """Nested results (doc_id, applicant map, others array) as rows: doc_id, subject, entry, field_name, value."""
+    """Nested results (doc_id, applicant map, others array) as rows: doc_id, subject, entry, field_name, value.
+
+    Values may be structs (value, evidence, page); then these are columns too. `checked_extract` tells whether digits were read.
+    """
     own = records.select("doc_id", F.lit("applicant").alias("subject"), F.lit(1).alias("entry"), F.explode("applicant").alias("field_name", "value"))
     rest = records.select("doc_id", F.posexplode("others").alias("pos", "p")).select(
         "doc_id", F.col("p.relationship").alias("subject"), "pos", F.explode("p.fields").alias("field_name", "value")
     )
-    from pyspark.sql import Window
-
     entry = F.dense_rank().over(Window.partitionBy("doc_id", "subject").orderBy("pos"))
-    return own.unionByName(rest.withColumn("entry", entry).drop("pos"))
+    out = own.unionByName(rest.withColumn("entry", entry).drop("pos"))
+    return out.select("doc_id", "subject", "entry", "field_name", "value.*") if out.schema["value"].dataType.typeName() == "struct" else out
+
+
+def checked_extract(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Flattened rows (doc_id, page, value, ...) with digits_read and confidence: 0.35 with digits that no reader has, 0.85 with digits
+    that one has, 0.7 with too few to tell. pages: doc_id, page, text."""
+    joined = rows.join(pages.select("doc_id", "page", "text"), ["doc_id", "page"], "left")
+    read = digits_read(F.col("value"), F.coalesce("text", F.lit("")))
+    return joined.withColumn("digits_read", read).withColumn("confidence", F.when(read, 0.85).when(~read, 0.35).otherwise(0.7)).drop("text")
 
 
 #: Street types and states of an address.

@@ -113,6 +113,25 @@ def missing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right.select(key), key, "left_anti")
 
 
+def count_check(loaded: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
+    """Sources whose rows loaded are not as many as their metadata (key, row_count) say, missing ones included."""
+    n = loaded.groupBy(key).agg(F.count("*").alias("loaded"))
+    both = metadata.join(n, key, "full_outer").select(key, F.coalesce("row_count", F.lit(0)).cast("long").alias("row_count"), F.coalesce("loaded", F.lit(0)).cast("long").alias("loaded"))
+    return both.where("row_count <> loaded")
+
+
+def with_sidecar(rows: DataFrame, sidecar: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of a sidecar index, the last row of a key by its position where it has one (seq).
+
+    The sidecar is a table that the planner reads anew for each query, so a changed file needs no reload.
+    """
+    last = sidecar
+    if "seq" in sidecar.columns:
+        others = [c for c in sidecar.columns if c not in (key, "seq")]
+        last = sidecar.groupBy(key).agg(F.max_by(F.struct(*others), "seq").alias("last")).select(key, "last.*")
+    return rows.join(last, key, "left")
+
+
 def collisions(fields: DataFrame, subject: str = "subject", value: str = "value") -> DataFrame:
     """Applicant's values that belong to another person of the document and to no other reading of the applicant."""
     own = fields.where(F.col(subject) == "applicant")

@@ -38,10 +38,51 @@ def choose(found: DataFrame, score: Column) -> DataFrame:
     return best.join(counted, ["doc_id", "field_name"]).select("doc_id", "field_name", "value", status.alias("status"))
 
 
-def confidence(kind: Column, value: Column) -> Column:
-    """Score from 0 to 1 by the kind of field and how much there is of the value."""
+#: Words around a label that speak against a field, by field; a candidate with one loses to all without.
+AGAINST = {
+    "residential_address": "previous|former|prior|past|postal|mailing|employer|company",
+    "postal_address": "previous|former|prior|residential",
+    "previous_address": "current|postal|mailing",
+    "given_names": "company|business|employer|trading|account|bank",
+    "family_name": "company|business|employer|trading|account|bank",
+    "employer_details": "previous|former|applicant|spouse|guarantor",
+    "gross_annual_income": "net|after tax|take home|spouse|monthly",
+    "net_monthly_income": "gross|before tax|annual|spouse",
+    "loan_amount_requested": "owing|owed|outstanding|existing|balance|limit",
+    "existing_loan_amount": "requested|borrow|applied",
+}
+#: Words that speak for one.
+FOR = {
+    "residential_address": "current|residential|home",
+    "previous_address": "previous|former|prior|past",
+    "employer_details": "current|company|pty|ltd",
+    "gross_annual_income": "gross|before tax|annual|per annum",
+    "net_monthly_income": "net|after tax|take home|monthly",
+    "loan_amount_requested": "requested|borrow|amount sought|loan amount",
+    "existing_loan_amount": "owing|outstanding|existing|current balance",
+}
+
+
+def disambiguated(name: Column, line: Column, value: Column) -> Column:
+    """Score of a candidate: words in its line for and against the field, then the value's length, 200 at most."""
+    text, out = F.lower(line), F.least(F.length(value), F.lit(200))
+    for table, weight in ((FOR, 1000), (AGAINST, -2000)):
+        for field, words in table.items():
+            out = out + F.when((name == field) & text.rlike(rf"\b(?:{words})\b"), weight).otherwise(0)
+    return out
+
+
+def confidence(kind: Column, value: Column, snippet: Column | None = None) -> Column:
+    """Score from 0 to 1 by the kind of field and how much there is of the value, and where given of its snippet of text.
+
+    A snippet of 45 characters or more adds 0.03, one of less than 25 takes 0.03.
+    """
     base = F.when(kind.isin("identifier", "date"), 0.9).when(kind.isin("email", "phone"), 0.85).otherwise(0.7)
-    return F.when(value.isNull(), 0.0).otherwise(F.round(base + F.when(F.length(value) >= 8, 0.05).otherwise(0.0), 2))
+    more = F.when(F.length(value) >= 8, 0.05).otherwise(0.0)
+    if snippet is not None:
+        n = F.length(F.coalesce(snippet, F.lit("")))
+        more = more + F.when(n >= 45, 0.03).when(n < 25, -0.03).otherwise(0.0)
+    return F.when(value.isNull(), 0.0).otherwise(F.round(base + more, 2))
 
 
 def postcode_by_context(text: Column) -> Column:
@@ -58,15 +99,41 @@ def with_state_context(fields: DataFrame) -> DataFrame:
     return fields.withColumn("doc_state", state).withColumn("confidence", F.when(F.col("field_name") == "postcode", F.round(moved, 6)).otherwise(F.col("confidence")))
 
 
-def sanitised(rows: DataFrame) -> DataFrame:
-    """Field records that are well formed: names of 1 to 64 characters, values up to 500, confidence clamped, known subjects."""
-    return rows.where("field_name is not null and trim(field_name) <> '' and value is not null").select(
+#: What a field record may say of its source and origin.
+SOURCES, ORIGINS = ("print", "handwriting", "native", "model"), ("regex", "model", "both", "reviewer")
+
+
+def sanitised(rows: DataFrame, most: int = 400) -> DataFrame:
+    """Field records that are well formed: names of 1 to 64 characters, values up to 500, evidence up to 200, confidence clamped.
+
+    Unknown subjects are other; source and origin, where there are such columns, print and regex. A document keeps its
+    first `most` records by name, the feature of the sanitiser.
+    """
+    more = {}
+    if "evidence" in rows.columns:
+        more["evidence"] = F.substring("evidence", 1, 200)
+    for c, known, default in (("source", SOURCES, "print"), ("origin", ORIGINS, "regex")):
+        if c in rows.columns:
+            more[c] = F.when(F.col(c).isin(*known), F.col(c)).otherwise(default)
+    good = rows.where("field_name is not null and trim(field_name) <> '' and value is not null").select(
         "doc_id",
         F.substring(F.trim("field_name"), 1, 64).alias("field_name"),
         F.substring("value", 1, 500).alias("value"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.5)))).alias("confidence"),
         F.when(F.col("subject").isin(*SUBJECTS), F.col("subject")).otherwise("other").alias("subject"),
+        *(v.alias(c) for c, v in more.items()),
     )
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("field_name", "value", F.desc("confidence"), "subject"))
+    return good.withColumn("nth", place).where(F.col("nth") <= most).drop("nth")
+
+
+def state_checked(fields: DataFrame, as_of: str) -> DataFrame:
+    """All fields of a document checked anew with its state: valid and code of each, confidence moved as by with_state_context."""
+    from loomwork.operators.verify import validate_fields
+
+    moved = with_state_context(fields)
+    # the state matters to postcodes alone
+    return validate_fields(moved, as_of, "doc_state")
 
 
 def entity_slots(docs: DataFrame, entities: DataFrame) -> DataFrame:

@@ -52,12 +52,16 @@ def reconcile(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge_readings(regex: DataFrame, model: DataFrame) -> DataFrame:
-    """Pattern readings with a model's (doc_id, field_name, subject, value, confidence, digits_ok).
+    """Pattern readings with a model's (doc_id, field_name, subject, entry, value, confidence, digits_ok, note).
 
     The model fills blanks; agreement keeps the higher confidence; on disagreement the model's value is taken at 0.6
-    at most with a warning, unless its digits were not read. Other people's rows are appended under their label.
+    at most with a warning, unless its digits were not read. Other people's rows are appended under their label, with
+    their number where there are several; a value of an unknown owner is always a warning. note is the model's verdict.
     """
-    own = model.where("subject = 'applicant'").select("doc_id", "field_name", F.col("value").alias("m"), F.col("confidence").alias("mc"), F.col("digits_ok").alias("md"))
+    known = model.withColumns({c: F.lit(None).cast(k) for c, k in (("entry", "int"), ("note", "string")) if c not in model.columns})
+    own = known.where("subject in ('applicant', 'unknown')").select(
+        "doc_id", "field_name", F.col("value").alias("m"), F.col("confidence").alias("mc"), F.col("digits_ok").alias("md"), (F.col("subject") == "unknown").alias("mu"), "note"
+    )
     joined = regex.join(own, ["doc_id", "field_name"], "left")
     v, m = F.col("value"), F.col("m")
     agree = F.lower(F.trim(v)) == F.lower(F.trim(m))
@@ -72,10 +76,12 @@ def merge_readings(regex: DataFrame, model: DataFrame) -> DataFrame:
         .when(unread, F.col("confidence"))
         .otherwise(F.least(F.lit(0.6), F.col("mc")))
         .alias("confidence"),
-        F.when(m.isNotNull() & v.isNotNull() & ~agree, "warning").otherwise("ok").alias("status"),
+        F.when(m.isNotNull() & (F.col("mu") | v.isNotNull() & ~agree), "warning").otherwise("ok").alias("status"),
+        F.when(m.isNotNull(), F.col("note")).alias("note"),
     )
-    rest = model.where("subject <> 'applicant'").select(
-        "doc_id", F.concat(F.initcap("subject"), F.lit(": "), F.col("field_name")).alias("field_name"), "value", "confidence", F.lit("warning").alias("status")
+    number = F.when(F.col("entry") > 1, F.concat(F.lit(" "), F.col("entry").cast("string"))).otherwise("")
+    rest = known.where("subject not in ('applicant', 'unknown')").select(
+        "doc_id", F.concat(F.initcap("subject"), number, F.lit(": "), F.col("field_name")).alias("field_name"), "value", "confidence", F.lit("warning").alias("status"), "note"
     )
     return merged.unionByName(rest)
 
@@ -105,6 +111,20 @@ def upsert_verified(fields: DataFrame, rows: DataFrame, keys: list[str], policy:
     return joined.select(*keys, action.alias("action"), F.when(action.isin("inserted", "updated"), n).otherwise(o).alias("value"))
 
 
+def upsert_outcome(docs: DataFrame, merged: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """After an upsert (doc_id, action): documents (id, status) with their new status, and the audit rows.
+
+    A document that got or kept a verified field is extracted, whatever it was, but one that a reviewer has closed
+    (approved or rejected) stays so. An audit row has the counts of a document's actions that changed something.
+    """
+    n = merged.groupBy("doc_id").agg(*(F.count_if(F.col("action") == a).alias(a) for a in ("inserted", "updated", "unchanged", "preserved")))
+    seen = docs.join(n, docs["id"] == n["doc_id"], "left")
+    good = F.coalesce(F.col("inserted") + F.col("updated") + F.col("unchanged"), F.lit(0)) > 0
+    status = F.when(good & ~F.col("status").isin("approved", "rejected"), "extracted").otherwise(F.col("status"))
+    audit = n.where("inserted + updated > 0").select("doc_id", F.lit("upsert").alias("action"), "inserted", "updated", "preserved", F.lit(at).cast("timestamp").alias("at"))
+    return seen.select("id", status.alias("status")), audit
+
+
 def audit_critical(fields: DataFrame, valid, approved) -> DataFrame:
     """Verdict of each critical field: valid, invalid, protected_invalid or empty."""
     empty = F.col("value").isNull() | (F.trim("value") == "")
@@ -128,13 +148,31 @@ def overlay_reviews(fields: DataFrame, events: DataFrame) -> tuple[DataFrame, Da
     return out, joined.where(bad).select("field_id")
 
 
-def settle_verdicts(flags: DataFrame, verdicts: DataFrame, pages: DataFrame) -> DataFrame:
-    """State of each flag: corrected if the new value is on the page, confirmed if its digits are, else unresolved."""
-    joined = flags.join(verdicts, ["doc_id", "field_name"], "left").join(pages, "doc_id", "left")
+def settle_verdicts(flags: DataFrame, verdicts: DataFrame, pages: DataFrame, readings: DataFrame | None = None, least: float = 0.4) -> DataFrame:
+    """State, value and confidence of each flag (doc_id, field_name, value; confidence if there is one).
+
+    A correction needs a cited box, where verdicts have a column box, and its value in a reading or on the page. A
+    confirmation of four digits or more needs them there. Whatever is left is unresolved, with a confidence of `least` at most.
+    """
+    texts = pages.select("doc_id", "text")
+    if readings is not None:
+        texts = texts.unionByName(readings.select("doc_id", "text"))
+    texts = texts.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("text"))
+    joined = flags.join(verdicts, ["doc_id", "field_name"], "left").join(texts, "doc_id", "left")
+    cited = F.col("box").isNotNull() if "box" in verdicts.columns else F.lit(True)
+    squeezed = F.regexp_replace(F.lower("text"), r"\s+", " ")
     figures = F.regexp_replace("value", r"\D", "")
-    corrected = (F.col("verdict") == "corrected") & F.contains(F.lower("text"), F.lower("new_value"))
+    corrected = (F.col("verdict") == "corrected") & cited & F.contains(squeezed, F.regexp_replace(F.lower(F.trim("new_value")), r"\s+", " "))
     confirmed = (F.col("verdict") == "confirmed") & ((F.length(figures) < 4) | F.contains(F.regexp_replace("text", r"\D", ""), figures))
-    return joined.select("doc_id", "field_name", F.when(corrected, "corrected").when(confirmed, "confirmed").otherwise("unresolved").alias("state"))
+    state = F.when(corrected, "corrected").when(confirmed, "confirmed").otherwise("unresolved")
+    confidence = F.col("confidence") if "confidence" in flags.columns else F.lit(None).cast("double")
+    return joined.select(
+        "doc_id",
+        "field_name",
+        state.alias("state"),
+        F.when(corrected, F.col("new_value")).otherwise(F.col("value")).alias("value"),
+        F.when((state == "unresolved") & (confidence > least), F.lit(least)).otherwise(confidence).alias("confidence"),
+    )
 
 
 def choose_lines(first: DataFrame, second: DataFrame, keys: list[str], least: float = 0.30) -> DataFrame:
@@ -183,6 +221,27 @@ def load_verified(records: DataFrame, docs: DataFrame) -> DataFrame:
     return new.select(document.alias("document_id"), field.alias("field_id"), "field_name", "value").dropDuplicates(["field_id"])
 
 
+def load_corpus(records: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, extractions and fields to insert for verified rows (content_hash, path, field_name, value, verif).
+
+    Documents known by content or by path are skipped; ids are made from content; a document whose extension isn't
+    accepted is loaded with a warning; a document without a verified row has no extraction.
+    """
+    from loomwork.functions.text import category
+
+    def made(*parts):
+        return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
+
+    new = records.join(docs.select("content_hash"), "content_hash", "left_anti").join(docs.select("path"), "path", "left_anti").where("verif = 'ok'")
+    document, extraction = made(F.lit("doc"), "content_hash"), made(F.lit("extraction"), "content_hash")
+    files = new.groupBy("content_hash").agg(F.min("path").alias("path"))
+    warning = F.when(category(F.col("path")) == "other", "format")
+    documents = files.select(document.alias("id"), "content_hash", "path", F.lit("extracted").alias("status"), warning.alias("warning"))
+    extractions = files.select(extraction.alias("id"), document.alias("document_id"), F.lit(1).alias("version"))
+    fields = new.groupBy("content_hash", "field_name").agg(F.min("value").alias("value"))
+    return documents, extractions, fields.select(made(F.lit("field"), "content_hash", "field_name").alias("id"), extraction.alias("extraction_id"), "field_name", "value")
+
+
 def load_scores(fields: DataFrame, scores: DataFrame) -> DataFrame:
     """Scores put into fields: inserted, updated, unchanged, or skipped where a reviewer corrected the field."""
     joined = fields.select("doc_id", F.col("value").alias("old"), "corrected_value").join(scores.select("doc_id", F.col("score").alias("new")), "doc_id", "full_outer")

@@ -284,6 +284,12 @@ def judge_labels(labels: DataFrame, least: float = 0.85) -> DataFrame:
     return labels.withColumn("fails", F.col("kind").isin("photo", "blank") & ~F.col("has_text") & (F.col("confidence") >= least))
 
 
+def confirmed(judged: DataFrame, again: DataFrame, keys: list[str]) -> DataFrame:
+    """Judged labels of which only those fail that a second look (keys, fails) fails too; without one the first counts."""
+    second, mark = again.select(*keys, F.col("fails").alias("again")), F.coalesce("again", F.lit(True))
+    return judged.join(second, keys, "left").withColumn("fails", F.col("fails") & mark).drop("again")
+
+
 def file_keep(judged: DataFrame) -> DataFrame:
     """A file stays if any of its pages has content."""
     return judged.groupBy("file").agg(F.bool_or(~F.col("fails")).alias("keep"))

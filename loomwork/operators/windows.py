@@ -67,10 +67,42 @@ def pass_log(readings: DataFrame, fields: int) -> DataFrame:
     return filled.withColumn("recall", F.round(F.col("filled") * 100 / fields, 1))
 
 
-def stop_pass(log: DataFrame) -> DataFrame:
-    """First pass at which a document stops: two without gain from pass 3 on, or 95 percent from pass 4 on."""
+def stop_pass(log: DataFrame, early: bool = False) -> DataFrame:
+    """First pass at which a document stops, and whether it fails.
+
+    Two passes without gain from pass 3 on, or 95 percent from pass 4 on; with early, pass 4 at most. Where the log has
+    them, native_chars of 300 or more, or a print reading (printed) with four fields or 1,500 characters (chars), stop after
+    pass 1; a document with no field by pass 2 and fewer than 25 letters and digits (alnum) fails.
+    """
+    has = set(log.columns)
     stop = ((F.col("delta") == 0) & (F.col("before") == 0) & (F.col("pass") >= 3)) | ((F.col("recall") >= 95) & (F.col("pass") >= 4))
-    return log.groupBy("doc_id").agg(F.min(F.when(stop, F.col("pass"))).alias("stop_pass"), F.max("pass").alias("last_pass"))
+    if early:
+        stop = stop | (F.col("pass") >= 4)
+    if "native_chars" in has:
+        stop = stop | (F.col("native_chars") >= 300)
+    if {"printed", "chars"} <= has:
+        stop = stop | (F.col("printed") & ((F.col("filled") >= 4) | (F.col("chars") >= 1500)))
+    out = [F.min(F.when(stop, F.col("pass"))).alias("stop_pass"), F.max("pass").alias("last_pass")]
+    if "alnum" in has:
+        out.append(F.bool_or((F.col("pass") >= 2) & (F.col("filled") == 0) & (F.col("alnum") < 25)).alias("fails"))
+    return log.groupBy("doc_id").agg(*out)
+
+
+def corpus_stop(log: DataFrame, documents: int, early: bool = False, wanted: int = 25) -> DataFrame:
+    """One row, stop_pass: the pass at which a whole corpus stops, by the log's sums over documents; a row for each pass."""
+    sums = log.groupBy("pass").agg(F.sum("delta").alias("delta"), F.sum("filled").alias("filled"))
+    w = Window.orderBy("pass")
+    rows = sums.withColumn("before", F.lag("delta").over(w))
+    stop = (F.col("delta") == 0) & (F.col("before") == 0) & (F.col("pass") >= 3)
+    stop = stop | (F.lit(early) & ((F.col("pass") >= 4) | (F.col("filled") >= wanted * documents)))
+    return rows.agg(F.min(F.when(stop, F.col("pass"))).alias("stop_pass"))
+
+
+def evidence_rank(corroborated: DataFrame, key: str) -> DataFrame:
+    """Identifiers of each key in order: passports before licences, more documents first, then the identifier."""
+    kind = F.when(F.col("kind") == "passport", 0).when(F.col("kind") == "licence", 1).otherwise(2)
+    w = Window.partitionBy(key).orderBy(kind, F.desc("sources"), "canonical")
+    return corroborated.withColumn("place", F.row_number().over(w))
 
 
 def gallery(evidence: DataFrame) -> DataFrame:

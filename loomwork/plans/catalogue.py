@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.plans import aggregate_queries, extract_queries, join_queries, match_queries, merge_queries, select_queries, source_queries, stream_queries
+from loomwork.plans import aggregate_queries, detail_queries, extract_queries, join_queries, match_queries, merge_queries, select_queries, source_queries, stream_queries
 
-MODULES = (select_queries, join_queries, aggregate_queries, merge_queries, match_queries, extract_queries, stream_queries, source_queries)
+MODULES = (select_queries, join_queries, aggregate_queries, merge_queries, match_queries, extract_queries, stream_queries, source_queries, detail_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -84,7 +84,7 @@ def m4_merge_readings(spark, sf_dir):
     left, right = sources(spark, sf_dir)
     regex = left.selectExpr("doc_id", "name as field_name", "case when doc_id % 6 > 0 then value end as value", "confidence")
     model = right.selectExpr("doc_id", "name as field_name", "case when doc_id % 11 = 0 then 'spouse' else 'applicant' end as subject", "value", "confidence", "digits_ok")
-    return merges.merge_readings(regex, model).withColumn("confidence", F.round("confidence", 9))
+    return merges.merge_readings(regex, model).drop("note").withColumn("confidence", F.round("confidence", 9))
 
 
 @query(
@@ -167,7 +167,7 @@ def m13_settle_verdicts(spark, sf_dir):
     f = o.selectExpr("o_orderkey as doc_id", "'bsb' as field_name", "cast(o_custkey % 10000 as string) as value")
     v = o.where("o_orderkey % 5 > 0").selectExpr("o_orderkey as doc_id", "'bsb' as field_name", "element_at(array('corrected', 'confirmed', 'other'), cast(o_orderkey % 3 as int) + 1) as verdict", "o_orderpriority as new_value")
     p = o.selectExpr("o_orderkey as doc_id", "concat('page ', o_custkey, ' ', lower(case when o_orderkey % 2 = 0 then o_orderpriority else '' end)) as text")
-    return merges.settle_verdicts(f, v, p)
+    return merges.settle_verdicts(f, v, p).select("doc_id", "field_name", "state")
 
 
 @query(

@@ -7,15 +7,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.functions.keys import identity_id
+from loomwork.operators.extract import extract_fields
+from loomwork.plans import views
 from loomwork.plans.registry import registry
+from loomwork.plans.views import with_views
 from loomwork.streaming import jobs
 
 QUERIES, query = registry()
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder, or below the warehouse where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
+    """A new folder in the cluster's shared checkpoint folder; without that setting there is none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -40,26 +46,71 @@ def st2_stream_dedupe(spark, sf_dir):
     return drained(jobs.once(keyed, "key", "ts").select("key", "event_id"))
 
 
-@query()
-def st4_job_leases(spark, sf_dir):
-    """Life of jobs: clicks claim, views finish, errors fail. Depends on the watermark's progress."""
-    events = event_stream(spark, sf_dir).select(
+@query("select user_id || '|' || event_type as key, count(*) as n from (select distinct user_id, event_type from events) group by 1")
+def st2_all_time_dedupe(spark, sf_dir):
+    """Each key once over all batches, by the key table; a small test sends keys again in later batches."""
+    place = shared(spark)
+    keyed = event_stream(spark, sf_dir).withColumn("key", F.concat_ws("|", "user_id", "event_type"))
+    jobs.append_new(keyed, f"{place}/out", f"{place}/log", "key").awaitTermination()
+    return spark.read.parquet(f"{place}/out").groupBy("key").agg(F.count("*").alias("n"))
+
+
+def job_events(stream: DataFrame) -> DataFrame:
+    return stream.select(
         (F.col("user_id") * 100 + F.col("event_id") % 100).alias("job_id"),
         F.when(F.col("event_type") == "click", "claimed").when(F.col("event_type") == "view", "done").otherwise("failed").alias("event"),
         F.col("ts").alias("at"),
     )
-    return drained(jobs.leases(events))
 
 
-@query("select event_id, case event_type when 'error' then 'noocr' else 'extract' end as decision from events")
+@query()
+def st4_job_leases(spark, sf_dir):
+    """Life of jobs: clicks claim, views finish, errors fail. Depends on the watermark's progress."""
+    return drained(jobs.leases(job_events(event_stream(spark, sf_dir))))
+
+
+@query(
+    """with j as (select user_id * 100 + event_id % 100 as job_id, case event_type when 'view' then 'done' else 'failed' end as event, ts, event_type from events),
+  f as (select job_id, event, row_number() over (partition by job_id order by ts, event) as n from j where event_type <> 'click')
+select job_id, case event when 'done' then 'completed' else 'failed' end as status from f where n = 1"""
+)
+def st4_first_results(spark, sf_dir):
+    """The accepted result of each job by the stream of leases over one batch: its first one, as in the batch twin."""
+    # one batch, within which the watermark cannot pass: every result is seen
+    events = job_events(event_stream(spark, sf_dir)).where("event <> 'claimed'")
+    out = drained(jobs.leases(events))
+    return out.where("result = 'accepted'").select("job_id", "status")
+
+
+@query("select event_id, ts as at from events")
+def st6_late_results(spark, sf_dir):
+    """Accepted and rejected results together are all of them; a small test sends late ones."""
+    place = shared(spark)
+    stream = event_stream(spark, sf_dir).select("event_id", F.col("ts").alias("at"))
+    jobs.first_or_rejected(stream, f"{place}/out", f"{place}/rejects", f"{place}/log", "event_id", "at").awaitTermination()
+    kept, late = (spark.read.parquet(f"{place}/{t}").select("event_id", "at") for t in ("out", "rejects"))
+    return kept.union(late)
+
+
+@query(
+    """select event_id, case when event_id % 4 = 0 then 'junk' when event_type = 'error' then 'empty' when event_type = 'click' and value < 2 then 'no_content' else 'keep' end as reason,
+  case when event_id % 4 = 0 or event_type = 'error' or (event_type = 'click' and value < 2) then 'noocr' else 'extract' end as decision from events"""
+)
 def st3_routing(spark, sf_dir):
+    """Files by their bytes and the judgement of their page: programs, empty files and sure pictures without text go to noocr."""
+    from loomwork.operators.verify import judge_labels, sniff
+
     place = shared(spark)
 
     def decide(batch: DataFrame) -> DataFrame:
-        return batch.select("event_id", F.when(F.col("event_type") == "error", "noocr").otherwise("extract").alias("decision"))
+        head = F.expr("case when event_id % 4 = 0 then X'4D5A90' when event_type = 'error' then X'' else cast(concat('text ', event_id) as binary) end")
+        files = batch.select("event_id", sniff(head).alias("bytes"), F.lit("photo").alias("kind"), F.expr("not (event_type = 'click' and value < 2)").alias("has_text"), F.lit(0.9).alias("confidence"))
+        judged = judge_labels(files)
+        reason = F.when(F.col("bytes") == "program", "junk").when(F.col("bytes") == "empty", "empty").when(F.col("fails"), "no_content").otherwise("keep")
+        return judged.select("event_id", reason.alias("reason")).withColumn("decision", F.when(F.col("reason") == "keep", "extract").otherwise("noocr"))
 
     jobs.routed(event_stream(spark, sf_dir), decide, f"{place}/out", f"{place}/log").awaitTermination()
-    return spark.read.parquet(f"{place}/out").select("event_id", "decision")
+    return spark.read.parquet(f"{place}/out").select("event_id", "reason", "decision")
 
 
 @query("select user_id, min(event_type) is not null as seen from events group by 1")
@@ -70,13 +121,34 @@ def st1_append_new(spark, sf_dir):
     return spark.read.parquet(f"{place}/out").select("user_id", F.col("event_type").isNotNull().alias("seen"))
 
 
-@query("select doc_id, regexp_extract(text, '[0-9]{16}') as card from documents where regexp_matches(text, '[0-9]{16}')")
+@query(with_views("form_lines") + " select doc_id, field_name, value from form_lines where value is not null and field_name in ('given_names', 'family_name', 'date_of_birth', 'mobile_number', 'email_address')")
 def st5_incremental_extraction(spark, sf_dir):
-    place, path = shared(spark), f"{sf_dir}/documents.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
-
-    def extract(batch: DataFrame) -> DataFrame:
-        return batch.select("doc_id", F.regexp_extract("text", "[0-9]{16}", 0).alias("card")).where("card <> ''")
-
-    jobs.extract_stream(stream, extract, f"{place}/out", f"{place}/log").awaitTermination()
-    return spark.read.parquet(f"{place}/out").select("doc_id", "card")
+    """The whole extraction over arriving forms."""
+    place, source = shared(spark), shared(spark)
+    views.forms(spark, sf_dir).write.parquet(source)
+    stream = spark.readStream.schema("doc_id long, text string").parquet(source)
+    jobs.extract_stream(stream, lambda batch: extract_fields(batch, "2025-06-30"), f"{place}/out", f"{place}/log").awaitTermination()
+    kept = "given_names family_name date_of_birth mobile_number email_address".split()
+    return spark.read.parquet(f"{place}/out").where(F.col("field_name").isin(kept)).select("doc_id", "field_name", "value")
+
+
+@query(
+    """with p as (select c_custkey as doc_id, lower(c_mktsegment) as given, 'fam' || (c_custkey % 97) as family from customer where c_custkey % 4 = 0)
+select sha256(family || '|' || given || '|19800214')[1:16] as identity_id, count(*) as documents from p group by 1"""
+)
+def st5_identities(spark, sf_dir):
+    """Identities that each batch of forms touches, made anew from all fields so far; the latest row of each counts."""
+    place, source = shared(spark), shared(spark)
+    views.forms(spark, sf_dir).repartition(3).write.parquet(source)
+    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(source)
+
+    def people(fields: DataFrame) -> DataFrame:
+        wide = fields.groupBy("doc_id").pivot("field_name", ["family_name", "given_names", "date_of_birth"]).agg(F.min("value"))
+        return wide.select("doc_id", identity_id(F.col("family_name"), F.col("given_names"), F.col("date_of_birth")).alias("identity_id")).where("identity_id is not null")
+
+    def refresh(new: DataFrame, every: DataFrame) -> DataFrame:
+        touched = people(new).select("identity_id").distinct()
+        return people(every).join(touched, "identity_id", "left_semi").groupBy("identity_id").agg(F.count("*").alias("documents"))
+
+    jobs.extract_stream(stream, lambda batch: extract_fields(batch, "2025-06-30"), f"{place}/out", f"{place}/log", refresh, f"{place}/people").awaitTermination()
+    return spark.read.parquet(f"{place}/people").groupBy("identity_id").agg(F.max_by("documents", "batch").alias("documents"))

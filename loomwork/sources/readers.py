@@ -60,12 +60,16 @@ def read_path_list(spark: SparkSession, path: str, allowed: list[str]) -> DataFr
     return rows.where(extension(F.col("path")).isin(allowed))
 
 
-def with_metadata(rows: DataFrame, column: str) -> DataFrame:
-    """rows with engine, passes and pages of a JSON text; malformed text gives nulls and the row stays."""
+def with_metadata(rows: DataFrame, column: str, review: bool = False) -> DataFrame:
+    """rows with engine, passes and pages of a JSON text, with review its document type and review keys too.
+
+    Malformed text gives nulls and the row stays.
+    """
     v = F.try_parse_json(F.col(column))
     return rows.select(
         *rows.columns,
         F.try_variant_get(v, "$.engine", "string").alias("engine"),
         F.try_variant_get(v, "$.passes", "int").alias("passes"),
         F.try_variant_get(v, "$.pages", "int").alias("pages"),
+        *([F.try_variant_get(v, "$.documentType", "string").alias("document_type"), F.try_variant_get(v, "$.review.keys", "array<string>").alias("review_keys")] if review else []),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def file_stream(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
@@ -34,33 +35,60 @@ def once(stream: DataFrame, key: str, at: str, within: str = "1 day") -> DataFra
     return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, within).dropDuplicatesWithinWatermark([key])
 
 
-def new_rows(batch: DataFrame, target: str, key: str, number: int) -> DataFrame:
-    """Rows of a batch whose key no other batch of the target table has, once each."""
-    own = batch.dropDuplicates([key])
-    try:
-        known = batch.sparkSession.read.parquet(target).where(F.col("batch") != number).select(key)
-    except Exception as e:  # nothing has been written yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return own
-    return own.join(known, key, "left_anti")
+def append_new(stream: DataFrame, target: str, checkpoint: str, key: str, buckets: int = 64) -> StreamingQuery:
+    """Appends what is new by key to a Parquet table, a folder for each batch, so that a repeated batch replaces itself.
 
-
-def append_new(stream: DataFrame, target: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Appends what is new by key to a Parquet table, a folder for each batch, so that a repeated batch replaces itself."""
+    The keys seen so far are a table of their own beside it, in folders by a hash of the key; a batch reads those folders
+    alone that its own keys fall in, and nothing but keys.
+    """
+    seen, bucket = f"{target}-keys", "key_bucket"
 
     def sink(batch: DataFrame, number: int) -> None:
-        fresh = new_rows(batch, target, key, number)
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        spark = batch.sparkSession
+        own = batch.dropDuplicates([key]).withColumn(bucket, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        folders = [r[bucket] for r in own.select(bucket).distinct().collect()]  # `buckets` at most
+        schema = StructType([StructField(key, batch.schema[key].dataType), StructField(bucket, IntegerType()), StructField("batch", IntegerType())])
+        # an empty write makes the table where there is none
+        spark.createDataFrame([], schema).write.mode("append").parquet(seen)
+        known = spark.read.schema(schema).parquet(seen).where(F.col(bucket).isin(folders) & (F.col("batch") != number)).select(key)
+        fresh = own.join(known, key, "left_anti")
+        fresh.drop(bucket).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        for k in folders:
+            fresh.where(F.col(bucket) == k).select(key).write.mode("overwrite").parquet(f"{seen}/{bucket}={k}/batch={number}")
+        own.unpersist()
 
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def routed(stream: DataFrame, decide: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
-    """Writes each row below its decision, as decide() adds it."""
+    """Writes each row below its batch and decision, as decide() adds it; a repeated batch replaces itself."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        decide(batch).write.mode("overwrite").partitionBy("decision").parquet(f"{target}/batch={number}")
+
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def first_or_rejected(stream: DataFrame, target: str, rejects: str, checkpoint: str, key: str, at: str, within: str = "10 minutes") -> StreamingQuery:
+    """Results by key: rows no later than `within` behind the newest time seen go to target, later ones to the reject table.
+
+    The newest time comes from the batches before, kept beside the target; so nothing is dropped without trace. A repeated
+    batch replaces itself in both tables.
+    """
+    marks = f"{target}-marks"
 
     def sink(batch: DataFrame, number: int) -> None:
-        decide(batch).withColumn("batch", F.lit(number)).write.mode("append").partitionBy("decision").parquet(target)
+        spark = batch.sparkSession
+        rows = batch.withColumn(at, F.col(at).cast("timestamp"))
+        (mark,) = [c for c in ("newest", "newest_seen") if c not in batch.columns][:1]
+        # one row for each batch
+        spark.createDataFrame([], f"{mark} timestamp, batch int").write.mode("append").parquet(marks)
+        before = spark.read.schema(f"{mark} timestamp, batch int").parquet(marks).where(F.col("batch") < number).agg(F.max(mark).alias(mark))
+        late = F.coalesce(F.col(at) < F.col(mark) - F.expr(f"interval {within}"), F.lit(False))
+        judged = rows.join(F.broadcast(before)).withColumn("late", late).drop(mark)
+        judged.where("not late").drop("late").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        judged.where("late").withColumn("late", F.lit(f"more than {within} behind")).withColumnRenamed("late", "reason").write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+        rows.agg(F.max(at).alias(mark)).write.mode("overwrite").parquet(f"{marks}/batch={number}")
 
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -69,11 +97,12 @@ LEASES = "job_id long, status string, attempts int, result string"
 _STATE = "status string, attempts int, until long"
 
 
-def leases(events: DataFrame, lease_s: int = 900, most: int = 3) -> DataFrame:
+def leases(events: DataFrame, lease_s: int = 900, most: int = 3, keep_s: int = 86_400) -> DataFrame:
     """Life of jobs from events (job_id, event: claimed or done or failed, at): a row for each change.
 
     A claim starts a lease in event time. When the watermark passes its end the job is queued again, or fails after
-    `most` attempts. The first result counts: later ones come out as repeat or conflict.
+    `most` attempts. The first result counts: later ones come out as repeat or conflict. The state of a job that has ended is
+    kept for `keep_s` of event time after its last event, in which repeats are told, and then dropped; that of a queued job too.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -86,10 +115,16 @@ def leases(events: DataFrame, lease_s: int = 900, most: int = 3) -> DataFrame:
                 status = "failed" if attempts >= most else "queued"
                 rows.append((key[0], status, attempts, "lease_over"))
 
+        mark = state.getCurrentWatermarkMs()
         if state.hasTimedOut:
-            lapse(state.getCurrentWatermarkMs())
-        for frame in frames:
-            for event, at in frame.sort_values(["at", "event"])[["event", "at"]].itertuples(index=False):
+            if status != "processing":
+                state.remove()
+                return
+            lapse(mark)
+        held = list(frames)
+        if held:
+            # a group may come in several frames: its events are put in order as a whole
+            for event, at in pd.concat(held).sort_values(["at", "event"])[["event", "at"]].itertuples(index=False):
                 now = int(at.timestamp() * 1000)
                 lapse(now)
                 if event == "claimed" and status == "queued":
@@ -101,8 +136,7 @@ def leases(events: DataFrame, lease_s: int = 900, most: int = 3) -> DataFrame:
                     rows.append((key[0], status if ended else new, attempts, ("repeat" if status == new else "conflict") if ended else "accepted"))
                     status = status if ended else new
         state.update((status, attempts, until))
-        if status == "processing" and until > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(until)
+        state.setTimeoutTimestamp(max(until if status == "processing" else mark + keep_s * 1000, mark + 1))
         yield pd.DataFrame(rows, columns=["job_id", "status", "attempts", "result"])
 
     timed = events.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", "10 minutes")
@@ -115,10 +149,22 @@ def hourly(events: DataFrame, at: str, kind: str) -> DataFrame:
     return timed.groupBy(F.window(at, "1 hour").alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), kind, "n")
 
 
-def extract_stream(stream: DataFrame, extract: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
-    """Extracts the fields of new documents and appends them, a folder for each batch."""
+def extract_stream(
+    stream: DataFrame, extract: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, refresh: Callable[[DataFrame, DataFrame], DataFrame] | None = None, identities: str = ""
+) -> StreamingQuery:
+    """Extracts the fields of new documents and appends them, a folder for each batch.
+
+    refresh(new fields, all fields) gives the rows of the identities that the new fields touch; they are written below
+    `identities`, a folder for each batch, of which the latest counts for an identity.
+    """
 
     def sink(batch: DataFrame, number: int) -> None:
-        extract(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        own = extract(batch)
+        own.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        if refresh is not None:
+            spark = batch.sparkSession
+            new = spark.read.schema(own.schema).parquet(f"{target}/batch={number}")
+            every = spark.read.schema(own.schema).parquet(*(f"{target}/batch={k}" for k in range(number + 1)))
+            refresh(new, every).write.mode("overwrite").parquet(f"{identities}/batch={number}")
 
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

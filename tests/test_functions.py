@@ -107,3 +107,87 @@ def test_pass_merge_is_the_fold(spark):
 def test_address(spark):
     a = spark.sql("select 'Unit 2, 14 High Street, St Kilda VIC 3182' a").select(extract.address(F.col("a")).alias("a")).first().a
     assert (a.unit, a.number, a.name, a.suburb, a.state, a.postcode, a.coherent) == ("2", "14", "High", "St Kilda", "VIC", "3182", True)
+
+
+def test_checks_to_the_decisions(spark):
+    """A leading zero, the older tax file numbers, issue numbers, lengths of cards, postcodes between the ranges."""
+    cases = [
+        (checks.abn_valid, "01 824 753 556", False),
+        (checks.tfn_valid, "81854402", True),
+        (checks.tfn_valid, "81854403", False),
+        (checks.medicare_valid, "2123456701", True),
+        (checks.medicare_valid, "2123456700", False),
+        (checks.card_valid, "411111111116", False),
+        (checks.card_valid, "4111 **** **** 1111", True),
+        (checks.bsb_valid, "000-000", False),
+        (checks.bsb_valid, "001-000", True),
+    ]
+    for f, value, want in cases:
+        assert spark.range(1).select(f(F.lit(value))).first()[0] == want, (f.__name__, value)
+    states = {v: spark.range(1).select(checks.postcode_state(F.lit(v))).first()[0] for v in ("0199", "0450", "3000", "20", "0850")}
+    assert states == {"0199": None, "0450": "UNKNOWN", "3000": "VIC", "20": None, "0850": "NT"}
+    mismatch = [spark.range(1).select(checks.postcode_error(F.lit(v), F.lit(s))).first()[0] for v, s in (("3000", "vic"), ("3000", "NSW"), ("0450", "NSW"), ("0100", "VIC"))]
+    assert mismatch == [None, "state_mismatch", None, "zone"]
+
+
+def test_curation_order(spark):
+    rows = [("/a/x.exe", 500, "other", "program", False), ("/a/x.xyz", 500, "other", "text", False), ("/a/x.pdf", 500, "pdf", "text", False), ("/a/x.xyz", 5, "other", "text", False)]
+    got = verify.curation(spark.createDataFrame(rows, "path string, bytes int, category string, kind string, is_blank boolean")).collect()
+    assert [r.stage for r in got] == ["junk_type", "unsupported", "corrupt", "tiny"]
+
+
+@pytest.mark.parametrize(
+    ("name", "value", "want"),
+    [
+        ("given_names", "(in full)", "label"),
+        ("given_names", "or family name Reddy", None),
+        ("given_names", "01/JINGYI", "not_a_name"),
+        ("drivers_licence", "or Medicare card.", "not_an_id"),
+        ("residential_address", "to request your tax file number (TFN)", "not_an_address"),
+        ("residential_address", "12 High Street, Richmond", None),
+        ("residential_address", "PO Box 12, Richmond", None),
+        ("date_of_birth", "Are you an Australian Resident?", "not_a_date"),
+        ("date_of_birth", "14 June 1988", None),
+        ("mobile_number", "1300 123 456", "not_a_mobile"),
+        ("mobile_number", "+61 412 345 678", None),
+        ("email_address", "a@b.com", None),
+        ("employer_details", "Mr", None),
+        ("employer_details", "Email", "label"),
+        ("employer_details", "Date of birth", "label"),
+        ("employer_details", "you must attach the form", "instruction"),
+        ("employer_details", "Smith and Sons Builders", None),
+        ("employer_details", ",", "label"),
+    ],
+)
+def test_value_sanity(spark, name, value, want):
+    assert values(spark, [(name, value)], "n string, v string", verify.sanity(F.col("n"), F.col("v"))) == [want]
+
+
+def test_all_shapes_equal_a_plain_version(spark):
+    """The library's patterns in Python's engine give the same values."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    extra = [(-1, "Ph (02) 9999 8888, +61 412 345 678, 0412345678; ABN 51824753556 on 14/02/1980; BSB 062-000; $1,234.50 and $99 at 3000 VIC. a.b+c@d-e.com.au 4111-1111-1111-1111 1234")]
+    rows = [(r.doc_id, r.text) for r in docs] + extra
+    found = extract.values_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(i, n, m[0]) for i, t in rows if t for n, p, _ in extract.SHAPES for m in re.finditer(p, t, re.ASCII)]
+    assert sorted((r.doc_id, r.field_name, r.value) for r in found) == sorted(want)
+    assert {n for i, n, _ in want if i == -1} >= {"phone", "abn", "date", "bsb", "currency", "postcode", "email", "card"}
+
+
+def test_owners_of_digits(spark):
+    body = "ABN: 51 824 753 557 then 824 753 and 062-000, card 4111 1111 1111 1111, call 0412 345 678"
+    owned = extract.owned(extract.sweep(spark.createDataFrame([(1, body)], "doc_id long, text string")))
+    assert sorted((r.field_name, r.value) for r in owned.collect()) == [("abn", "51 824 753 557"), ("bsb", "062-000"), ("bsb", "824 753"), ("card", "4111 1111 1111 1111"), ("phone", "0412 345 678")]
+
+
+def test_whole_extraction(spark):
+    """Labels, priorities and flags of one document; another with nothing; a null text."""
+    text = "DOB: 14.02.1980\nIssued 01/01/2020\nBSB: TBC\nbranch code = 062-000\nFull Name: x\nNet salary: $4,000\nABN - 51 824 753 556\n$90,000.00"
+    docs = spark.createDataFrame([(1, text), (2, "nothing"), (3, None)], "doc_id long, text string")
+    rows = extract.extraction_rows(extract.extract_fields(docs, "2025-06-30"), "2025-06-30").collect()
+    assert len(rows) == 1
+    r = rows[0]
+    assert r.fields["bsb"] == "062-000" and r.fields["date_of_birth"] == "14.02.1980" and r.fields["net_monthly_income"] == "$4,000" and r.fields["gross_annual_income"] == "$90,000.00"
+    assert (r.valid_abn, r.valid_bsb, r.valid_dob) == (True, True, True) and r.confidences["abn"] == 1.0

@@ -44,3 +44,51 @@ def test_batch_twins(spark):
     assert sorted(map(tuple, expire_leases(rows, "2024-01-01 01:00:00").collect())) == [(1, "requeue"), (2, "fail")]
     late = spark.createDataFrame([(1, 1, "done"), (1, 2, "done"), (1, 3, "failed")], "job int, at int, outcome string")
     assert [r.state for r in first_results(late, "job", "at", "outcome").orderBy("at").collect()] == ["accepted", "repeat", "conflict"]
+
+
+def test_keys_of_earlier_batches_are_known(spark, tmp_path):
+    """Keys that come again in later batches, and a batch that is repeated, add nothing."""
+    batches = [[(1, "a", 0), (2, "a", 1)], [(2, "b", 2), (3, "b", 3)], [(1, "c", 4), (3, "c", 5), (4, "c", 6)]]
+    stream = events(spark, str(tmp_path / "in"), batches)
+    jobs.append_new(stream, str(tmp_path / "out"), str(tmp_path / "log"), "job_id", buckets=4).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.job_id, r.event) for r in got.collect()) == [(1, "a"), (2, "a"), (3, "b"), (4, "c")]
+    # the last batch once more, as after a failure
+    import shutil
+
+    shutil.rmtree(tmp_path / "log" / "commits")
+    jobs.append_new(stream, str(tmp_path / "out"), str(tmp_path / "log"), "job_id", buckets=4).awaitTermination()
+    assert sorted(r.job_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3, 4]
+
+
+def test_late_results_are_rejected(spark, tmp_path):
+    stream = events(spark, str(tmp_path / "in"), [[(1, "done", 3600)], [(2, "done", 10), (3, "done", 3300)], [(4, "done", 20)]])
+    where = {k: str(tmp_path / k) for k in ("out", "late", "log")}
+    jobs.first_or_rejected(stream, where["out"], where["late"], where["log"], "job_id", "at").awaitTermination()
+    assert sorted(r.job_id for r in spark.read.parquet(where["out"]).collect()) == [1, 3]
+    late = spark.read.parquet(where["late"]).collect()
+    assert sorted(r.job_id for r in late) == [2, 4] and {r.reason for r in late} == {"more than 10 minutes behind"}
+
+
+def test_routing_replaces_a_repeated_batch(spark, tmp_path):
+    stream = events(spark, str(tmp_path / "in"), [[(1, "a", 0)], [(2, "b", 1)]])
+
+    def decide(batch):
+        return batch.selectExpr("job_id", "case when event = 'a' then 'x' else 'y' end as decision")
+
+    import shutil
+
+    for _ in range(2):
+        jobs.routed(stream, decide, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+        shutil.rmtree(tmp_path / "log" / "commits")
+    assert sorted((r.job_id, r.decision) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "x"), (2, "y")]
+
+
+def test_state_of_ended_jobs_goes(spark, tmp_path):
+    """A day of event time after its end a job is forgotten: the same result then counts as a first one."""
+    day = 86_400
+    stream = events(spark, str(tmp_path / "in"), [[(1, "claimed", 0), (1, "done", 60)], [(9, "done", 3 * day)], [(8, "done", 3 * day + 10)], [(1, "done", 3 * day + 20)]])
+    out = jobs.leases(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    out.awaitTermination()
+    got = [(r.status, r.result) for r in spark.read.parquet(str(tmp_path / "out")).where("job_id = 1").collect()]
+    assert got.count(("completed", "accepted")) == 2 and not any(r == "repeat" for _, r in got)

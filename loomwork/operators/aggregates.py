@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.names import fresh
 from loomwork.functions.dates import expiry_verdict
 from loomwork.functions.keys import identifier, identity_id, tier
 from loomwork.operators.select import number_state
@@ -196,8 +197,9 @@ def consolidated(fields: DataFrame, key: str, names: list[str]) -> DataFrame:
 
 def health(docs: DataFrame, extractions: DataFrame, jobs: DataFrame) -> DataFrame:
     """One row: documents, those without an extraction, failed ones, jobs in work, and the warnings these give."""
-    done = extractions.select(F.col("document_id").alias("id")).distinct().withColumn("__has", F.lit(True))
-    one = docs.join(done, "id", "left").agg(F.count("*").alias("documents"), F.count_if(F.col("__has").isNull()).alias("without_extraction"), F.count_if(F.col("status") == "failed").alias("failed"))
+    (has,) = fresh(docs, "has")
+    done = extractions.select(F.col("document_id").alias("id")).distinct().withColumn(has, F.lit(True))
+    one = docs.join(done, "id", "left").agg(F.count("*").alias("documents"), F.count_if(F.col(has).isNull()).alias("without_extraction"), F.count_if(F.col("status") == "failed").alias("failed"))
     two = jobs.agg(F.count_if(F.col("status") == "processing").alias("in_work"))
     # two single rows
     both = one.join(F.broadcast(two))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.functions.names import fresh
+
 from loomwork.operators.windows import latest
 
 #: Rows that a dimension table may have to be sent to every task; larger ones are left to the optimizer.
@@ -42,13 +44,14 @@ def unique_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def fallback_match(left: DataFrame, right: DataFrame, first: str, second: str, value: str) -> DataFrame:
     """left with right's value by the first key, else by the second; matched_by tells which."""
-    one = right.groupBy(first).agg(F.min(value).alias("__one"))
-    two = right.groupBy(second).agg(F.min(value).alias("__two"))
+    a, b = fresh(left, "one", "two")
+    one = right.groupBy(first).agg(F.min(value).alias(a))
+    two = right.groupBy(second).agg(F.min(value).alias(b))
     joined = left.join(one, first, "left").join(two, second, "left")
     return joined.select(
         *left.columns,
-        F.coalesce("__one", "__two").alias(value),
-        F.when(F.col("__one").isNotNull(), first).when(F.col("__two").isNotNull(), second).alias("matched_by"),
+        F.coalesce(a, b).alias(value),
+        F.when(F.col(a).isNotNull(), first).when(F.col(b).isNotNull(), second).alias("matched_by"),
     )
 
 
@@ -91,17 +94,19 @@ def drop_overlaps(matches: DataFrame, claims: DataFrame, key: str = "doc_id") ->
 
     Claims become one array for each document, so the join is by document alone.
     """
-    owned = claims.groupBy(key).agg(F.collect_list(F.struct("s", "e")).alias("__claims"))
+    (held,) = fresh(matches, "claims")
+    owned = claims.groupBy(key).agg(F.collect_list(F.struct("s", "e")).alias(held))
     joined = matches.join(owned, key, "left")
-    free = ~F.exists(F.coalesce("__claims", F.array().cast(owned.schema["__claims"].dataType)), lambda c: (F.col("s") < c["e"]) & (F.col("e") > c["s"]))
-    return joined.where(free).drop("__claims")
+    free = ~F.exists(F.coalesce(held, F.array().cast(owned.schema[held].dataType)), lambda c: (F.col("s") < c["e"]) & (F.col("e") > c["s"]))
+    return joined.where(free).drop(held)
 
 
 def longest_prefix(df: DataFrame, digits: Column, prefixes: DataFrame) -> DataFrame:
     """df with the name of its three-digit prefix, else of its two-digit one."""
-    three, two = (dimension(prefixes.where(F.length("prefix") == n).select(F.col("prefix").alias(f"__p{n}"), F.col("name").alias(f"__n{n}"))) for n in (3, 2))
-    joined = df.join(three, digits.substr(1, 3) == F.col("__p3"), "left").join(two, digits.substr(1, 2) == F.col("__p2"), "left")
-    return joined.withColumn("institution", F.coalesce("__n3", "__n2")).drop("__p3", "__n3", "__p2", "__n2")
+    p3, n3, p2, n2 = names = fresh(df, "p3", "n3", "p2", "n2")
+    three, two = (dimension(prefixes.where(F.length("prefix") == n).select(F.col("prefix").alias(p), F.col("name").alias(m))) for n, p, m in ((3, p3, n3), (2, p2, n2)))
+    joined = df.join(three, digits.substr(1, 3) == F.col(p3), "left").join(two, digits.substr(1, 2) == F.col(p2), "left")
+    return joined.withColumn("institution", F.coalesce(n3, n2)).drop(*names)
 
 
 def with_catalogue(fields: DataFrame, catalogue: DataFrame) -> DataFrame:

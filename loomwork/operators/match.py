@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import checks
+from loomwork.functions.names import fresh
 
 #: Display order of the subjects of a document.
 SUBJECTS = ("applicant", "spouse", "child", "other")
@@ -33,7 +34,8 @@ def choose(found: DataFrame, score: Column) -> DataFrame:
     """
     w = Window.partitionBy("doc_id", "field_name").orderBy(F.desc_nulls_last("score"), "line_no", "value")
     counted = found.groupBy("doc_id", "field_name").agg(F.count_distinct("value").alias("values"))
-    best = found.withColumn("score", F.when(F.col("value").isNotNull(), score)).withColumn("__n", F.row_number().over(w)).where("__n = 1")
+    (nth,) = fresh(found, "nth")
+    best = found.withColumn("score", F.when(F.col("value").isNotNull(), score)).withColumn(nth, F.row_number().over(w)).where(f"{nth} = 1")
     status = F.when(F.col("values") == 0, "missing").when(F.col("values") == 1, "matched").otherwise("ambiguous")
     return best.join(counted, ["doc_id", "field_name"]).select("doc_id", "field_name", "value", status.alias("status"))
 

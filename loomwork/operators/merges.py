@@ -14,9 +14,9 @@ def merge_passes(readings: DataFrame, least: float = 0.60) -> DataFrame:
     regressions counts the empty passes after the first value.
     """
     full = F.col("value").isNotNull() & (F.col("value") != "")
-    marked = readings.withColumn("__p", F.when(full, F.col("pass")))
-    first = marked.groupBy("doc_id", "field_name").agg(F.min("__p").alias("first"))
-    joined = marked.join(first, ["doc_id", "field_name"])
+    readings = readings.select("doc_id", "field_name", "pass", "value", "confidence")
+    first = readings.groupBy("doc_id", "field_name").agg(F.min(F.when(full, F.col("pass"))).alias("first"))
+    joined = readings.join(first, ["doc_id", "field_name"])
     counts = full & ((F.col("pass") == F.col("first")) | (F.col("confidence") >= least))
     return joined.groupBy("doc_id", "field_name").agg(
         F.max_by("value", F.when(counts, F.col("pass"))).alias("value"),

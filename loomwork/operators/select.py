@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.names import fresh
 from loomwork.functions.dates import expiry_month
 from loomwork.functions.text import effective
 
@@ -106,7 +107,8 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
 
 def select_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key is asked for; ids that don't exist are ignored."""
-    return df.join(ids.select(F.col(ids.columns[0]).alias("__id")), F.col(key) == F.col("__id"), "left_semi")
+    (chosen,) = fresh(df, "chosen")
+    return df.join(ids.select(F.col(ids.columns[0]).alias(chosen)), F.col(key) == F.col(chosen), "left_semi")
 
 
 def accept(files: DataFrame, extension: Column, allowed: list[str], most_bytes: int) -> DataFrame:

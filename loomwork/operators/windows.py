@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.names import fresh
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the order given."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    (nth,) = fresh(df, "nth")
+    return df.withColumn(nth, F.row_number().over(w)).where(f"{nth} = 1").drop(nth)
 
 
 def last_rows(df: DataFrame, key: str, seq: str, usable: Column | None = None) -> DataFrame:

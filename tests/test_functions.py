@@ -191,3 +191,25 @@ def test_whole_extraction(spark):
     r = rows[0]
     assert r.fields["bsb"] == "062-000" and r.fields["date_of_birth"] == "14.02.1980" and r.fields["net_monthly_income"] == "$4,000" and r.fields["gross_annual_income"] == "$90,000.00"
     assert (r.valid_abn, r.valid_bsb, r.valid_dob) == (True, True, True) and r.confidences["abn"] == 1.0
+
+
+def test_helper_columns_do_not_clash(spark):
+    """Operators keep columns that are named like their helpers."""
+    from loomwork.operators import joins, match, select, windows
+
+    names = "nth one two claims chosen p3 n3 p2 n2 has".split()
+    rows = [(k, "062", 0, 4, *(f"{n}{k}" for n in names)) for k in range(4)]
+    df = spark.createDataFrame(rows, ["doc_id", "code", "s", "e", *names])
+    keys = spark.createDataFrame([(1, "A", "062", "Bank"), (2, "B", "06", "Other")], "doc_id long, value string, prefix string, name string")
+    outs = [
+        windows.latest(df, ["doc_id"], [F.asc("code")]),
+        joins.fallback_match(df, keys.withColumnRenamed("prefix", "code"), "doc_id", "code", "value"),
+        joins.drop_overlaps(df, spark.createDataFrame([(9, 0, 1)], "doc_id long, s long, e long")),
+        joins.longest_prefix(df, F.col("code"), keys.select("prefix", "name")),
+        select.select_ids(df, keys.select("doc_id"), "doc_id"),
+    ]
+    for out in outs:
+        got = out.collect()
+        assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names), out.columns
+    found = spark.createDataFrame([(1, "f", "v", 1, "x")], "doc_id long, field_name string, value string, line_no int, nth string")
+    assert match.choose(found, F.lit(1)).count() == 1

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.names import fresh  # noqa: F401 (the operators take it from here)
+
 #: Bytes of text that the vectorised helpers take at a time; their scratch arrays are about 60 times that.
 CHUNK = 1 << 19
 #: The doc of a null doc_id: the least integer, so that null comes first.
@@ -50,17 +52,6 @@ def discard(*frames: DataFrame) -> None:
             folder.getFileSystem(f.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """The names, each with leading underscores until no column of df has it (in either case)."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for n in names:
-        while n.lower() in taken:
-            n = f"_{n}"
-        taken.add(n.lower())
-        out.append(n)
-    return out
-
-
 def text_hash(column: str = "text"):
     """64 bits that tell the texts of equal doc_ids apart; null is the empty text."""
     return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))

@@ -162,7 +162,7 @@ class _Marked:
 
     def __init__(self, docs: DataFrame, least: int, alone: int | None = None):
         twin, self.lines, self.solid, doc, same, self.gone, self.deepest = fresh(docs, "twin", "lines", "solid", "doc", "same", "gone", "deepest")
-        cuts = staged(removals(docs, least, alone).toDF(doc, same, self.gone, self.deepest))
+        cuts = removals(docs, least, alone).toDF(doc, same, self.gone, self.deepest)
         lines = lines_of(F.col("text"))
         self.rows = docs.withColumns({twin: text_hash(), self.lines: lines, self.solid: filled(lines)}).join(
             cuts, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(twin) == F.col(same)), "left"

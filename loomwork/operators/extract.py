@@ -89,8 +89,23 @@ def near_label(text: Column, s: Column, label: str, before: int) -> Column:
     return F.substring(text, F.greatest(F.lit(1), s - before + 1), F.least(s, F.lit(before))).rlike(f"(?i)(?:{label})\\W{{0,12}}$")
 
 
-#: Labels that claim a business number, a branch number and a date of birth that stand after them.
-ABN_LABEL, BSB_LABEL, DOB_LABEL = r"(?i)\ba\.?b\.?n\b\W{0,3}$", r"(?i)\b(?:bsb|branch)\b", r"(?i)(?:d\.?o\.?b|birth|born)\W{0,12}$"
+#: Words that label a business number, a branch number and a date of birth.
+ABN_WORDS, BSB_WORDS, DOB_WORDS = ("abn",), ("bsb", "branch"), ("dob", "birth", "born")
+
+
+def words_before(before: Column) -> Column:
+    """Lower-case words of what stands before a value; dots inside abbreviations are dropped."""
+    return F.filter(F.split(F.replace(F.lower(before), F.lit("."), F.lit("")), "[^a-z0-9]+"), lambda x: x != "")
+
+
+def ends_with(before: Column, words: tuple[str, ...], gap: int) -> Column:
+    """Whether the last word is one of these, with at most `gap` other characters after it."""
+    rest = F.length(before) - F.length(F.regexp_replace(before, "[^A-Za-z0-9]+$", ""))
+    return F.coalesce(F.try_element_at(words_before(before), F.lit(-1)).isin(*words) & (rest <= gap), F.lit(False))
+
+
+def mentions(before: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(words_before(before), lambda x: x.isin(*words))
 
 
 def owned(matches: DataFrame) -> DataFrame:
@@ -101,7 +116,7 @@ def owned(matches: DataFrame) -> DataFrame:
     name = F.col("field_name")
     cards = matches.where("field_name = 'card'").select("doc_id", "s", "e")
     abns = drop_overlaps(matches.where("field_name = 'abn'"), cards)
-    own = abns.where(checks.abn_valid(F.col("value")) | F.expr("right(before, 12)").rlike(ABN_LABEL))
+    own = abns.where(checks.abn_valid(F.col("value")) | ends_with(F.expr("right(before, 12)"), ABN_WORDS, 3))
     claims = matches.where(name.isin("card", "phone", "phone_us")).unionByName(own).select("doc_id", "s", "e")
     weak = matches.where(name.isin("bsb", "postcode")).unionByName(abns.exceptAll(own))
     return matches.where(~name.isin("bsb", "postcode", "abn")).unionByName(own).unionByName(drop_overlaps(weak, claims))
@@ -171,19 +186,16 @@ def primary_values(docs: DataFrame, as_of: str) -> DataFrame:
     """
     text, day = F.col("text"), F.lit(as_of).cast("date")
 
-    def by_label(m: Column, label: str, n: int) -> Column:
-        return ahead(text, m["s"], n).rlike(label)
-
     spans = docs.where("text is not null").select(
         "doc_id", "text", *(found(text, SHAPE[n]).alias(n) for n in ("card", "abn", "phone", "bsb", "date")), F.regexp_extract("text", SHAPE["email"], 0).alias("email")
     )
     spans = spans.withColumn("abn", F.filter("abn", lambda m: _apart(m, F.col("card"))))
     valid_abn = F.filter("abn", lambda m: checks.abn_valid(m["value"]))
-    labelled_abn = F.filter("abn", lambda m: by_label(m, ABN_LABEL, 12))
+    labelled_abn = F.filter("abn", lambda m: ends_with(ahead(text, m["s"], 12), ABN_WORDS, 3))
     spans = spans.withColumn("claims", F.concat(valid_abn, labelled_abn, "phone", "card"))
     spans = spans.withColumn("bsb", F.filter("bsb", lambda m: _apart(m, F.col("claims")) & checks.bsb_valid(m["value"])))
-    anchored = F.filter("bsb", lambda m: by_label(m, BSB_LABEL, 30))
-    born = F.filter("date", lambda m: by_label(m, DOB_LABEL, 24) & checks.dob_error(m["value"], day).isNull())
+    anchored = F.filter("bsb", lambda m: mentions(ahead(text, m["s"], 30), BSB_WORDS))
+    born = F.filter("date", lambda m: ends_with(ahead(text, m["s"], 24), DOB_WORDS, 12) & checks.dob_error(m["value"], day).isNull())
 
     def row(name: str, value: Column, confidence: Column | float) -> Column:
         c = confidence if isinstance(confidence, Column) else F.lit(confidence)
@@ -308,7 +320,7 @@ def choose_abn(matches: DataFrame) -> DataFrame:
     The first one on ties; a candidate without either is none, and repaired readings count as their digits.
     """
     digits = repaired_abn(F.col("value"))
-    score = F.when(digits.isNotNull(), 100).otherwise(0) + F.when(F.col("before").rlike(r"(?i)\b(?:a\.?b\.?n|business\s+number)\b"), 50).otherwise(0)
+    score = F.when(digits.isNotNull(), 100).otherwise(0) + F.when(mentions(F.col("before"), ABN_WORDS) | F.array_join(words_before(F.col("before")), " ").contains("business number"), 50).otherwise(0)
     scored = matches.select("doc_id", "s", F.coalesce(digits, checks.digits(F.col("value"))).alias("abn"), score.alias("score")).where("score > 0")
     best = F.struct("score", (-F.col("s")).alias("place"))
     return scored.groupBy("doc_id").agg(F.max_by("abn", best).alias("abn"), F.max("score").alias("score"))

@@ -21,7 +21,7 @@ SHAPES = [
     ("card", r"(?<!\d)\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?!\d)", 0.90),
     ("abn", r"(?<!\d)\d{2}(?: ?\d{3}){3}(?!\d)", 1.0),
     ("bsb", r"(?<![\d-])\d{3}[ -]\d{3}(?![\d-])", 0.55),
-    ("postcode", r"(?<![\d$.,/-])(?!0[01])\d{4}(?![\d,-])", 0.50),
+    ("postcode", r"(?<![\w$.,/-])(?!0[01])\d{4}(?![\w,@-])", 0.50),
     ("date", r"(?<!\d)\d{1,2}([/.-])\d{1,2}\1\d{4}(?!\d)", 0.85),
     ("ipv4", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])", 0.90),
     ("secret", r'\b[a-z_]+ = "[^"]+"', 0.80),

@@ -52,3 +52,48 @@ r as (select doc_id, doc_id as c from d union select e.y, r.c from r join e on e
 m as (select doc_id, min(c) as component_id from r group by 1)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from d left join n using (doc_id) join m using (doc_id)
 """
+
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen(k) + 1), lambda i: ascii(k[i])::bigint)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint)"
+
+
+def _step(state: str, cost: str, letter: str) -> str:
+    return f"case when {state} is not null then {{'c': {state}.c + {cost}, 'e': {state}.e || '{letter}'}} end"
+
+
+def _into(role: str, *states: str) -> str:
+    own = f"case when f in ('blank', 'duplicate') then null when i = '{role}' then {{0}} else {{1}} end"
+    return ", ".join(own.format(_step(s, "cut", "K"), "null" if role == "s" else _step(s, "1 + cut", "R")) for s in states)
+
+
+def _insert(*states: str) -> str:
+    return ", ".join(_step(s, "5", "I") for s in states)
+
+
+#: Damage, faults, then the cheapest edits for each state (nothing yet, after s, u, a), row by row, as (cost, edits) pairs; states start with inserted turns.
+OP11 = rf"""
+with recursive k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+z as (select *, ({_CRC}) % 20 as z from k),
+d as (select conv_id, turn, case when z = 4 then 'user' else role end as role, case z when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from z, unnest(case z when 0 then [] when 3 then [0, 0] else [0] end)),
+r as (select *, left(role, 1) as i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t, row_number() over w as n,
+  left(lag(role) over w, 1) || left(role, 1) as pair from d window w as (partition by conv_id order by turn nulls first, role, sha256(length(role) || ':' || role || ':' || text))),
+f as (select *, case when t = '' then 'blank' when row_number() over (partition by conv_id, role, text order by n) > 1 then 'duplicate' when right(t, 1) not in ('.', '!', '?') then 'truncated' else '' end as f from r),
+g as (select *, case f when 'truncated' then 5 else 0 end as cut from f),
+v as (select conv_id, 0::bigint as n, {{'c': 0::bigint, 'e': ''}} as a, null::struct(c bigint, e varchar) as b, {{'c': 5::bigint, 'e': 'I'}} as u, {{'c': 10::bigint, 'e': 'II'}} as w from (select distinct conv_id from g)
+  union all
+  select conv_id, n, a, b, least(u3, {_insert("w3")}) as u, w3 as w from (
+    select conv_id, n, a, b, u3, least(w1, {_insert("u3")}) as w3 from (
+      select conv_id, n, a, b, w1, least(u1, {_insert("a", "b", "w1")}) as u3 from (
+        select g.conv_id, g.n, {_step("v.a", "2", "D")} as a, least({_step("v.b", "2", "D")}, {_into("s", "v.a")}) as b,
+          least({_step("v.u", "2", "D")}, {_into("u", "v.a", "v.b", "v.w")}) as u1, least({_step("v.w", "2", "D")}, {_into("a", "v.u")}) as w1
+        from v join g on g.conv_id is not distinct from v.conv_id and g.n = v.n + 1)))),
+e as (select conv_id, least(a, w) as best from v qualify n = max(n) over (partition by conv_id)),
+l as (select conv_id, p, best.e[p] as letter, length(replace(left(best.e, p), 'I', '')) as n, length(replace(left(best.e, p), 'D', '')) as place from e, unnest(range(1, length(best.e) + 1)) as q(p)),
+o as (select l.conv_id, place, letter, role, case letter when 'I' then '' else text end as text, max((place = 1 and letter = 'K' and i = 's')::int) over (partition by l.conv_id) as s from l left join g on g.conv_id is not distinct from l.conv_id and g.n = l.n where letter <> 'D'),
+h as (select conv_id, string_agg(case when letter = 'K' then role when (place - s) % 2 = 1 then 'user' else 'assistant' end || ':' || text, chr(10) order by place) as whole from o group by 1),
+m as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, sum((f = 'blank')::int) as blank, sum((f = 'duplicate')::int) as duplicate, sum((f = 'truncated')::int) as truncated,
+  sum((pair is not null and pair not in ('su', 'ua', 'au'))::int) as illegal from g group by 1)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  coalesce(best.c, 0)::bigint as cost, coalesce(best.e, '') as audit, sha256(coalesce(whole, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join m on m.conv_id is not distinct from c.conv_id left join e on e.conv_id is not distinct from c.conv_id left join h on h.conv_id is not distinct from c.conv_id
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import decontam, fingerprint, html, jaccard, linedup, oracles, packing, passages, suffixdup, toxicity, warc
+from loomwork.llm import bpe, centroids, decontam, fingerprint, html, jaccard, linedup, oracles, packing, passages, suffixdup, toxicity, turns, warc
 from loomwork.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
@@ -60,6 +72,8 @@ ORACLE: dict[str, str] = {
     "op3_suffix_dedup": oracles.OP3,
     "op5_warc": oracles.OP5,
     "op9_jaccard_join": oracles.OP9,
+    "op11_conversation_repair": oracles.OP11,
+    "op12_centroid_clustering": centroids.oracle(),
 }
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import checks
 from loomwork.operators.joins import drop_overlaps
-from loomwork.operators.labels import PACK
+from loomwork.operators.labels import form_pack, labelled
 
 #: Shapes of the sweep (name, Java pattern, confidence), from the public forms of the values.
 SHAPES = [
@@ -140,25 +140,32 @@ def validators(as_of: str) -> dict[str, Callable[[Column], Column]]:
 
 def labelled_lines(
     docs: DataFrame,
-    patterns: list[tuple[str, str]] = PACK,
+    patterns: list[tuple[str, str]] | None = None,
     confidence: float = 0.95,
     valid: dict[str, Callable[[Column], Column]] | None = None,
     readings: DataFrame | None = None,
+    pack: DataFrame | None = None,
 ) -> DataFrame:
     """doc_id, line_no, field_name, label, value, confidence of lines `label: value`.
 
-    The first pattern in order that occurs in a line with a value of two characters or more claims it; if the
-    value fails the field's check, the line says nothing. Text has one confidence, or with readings (doc_id, line,
+    The first field in order that a line with a value of two characters or more has a label of claims it: by the labels of a
+    pack (see labels.pack; those of forms unless given), joined to the runs of its first words, or by patterns that occur in it. If the
+    value fails the field's check, the line says nothing. With a pack, equal lines of one doc_id and number count once. Text has one confidence, or with readings (doc_id, line,
     confidence; see line_confidence) that of its line, and UNREAD where there is none.
     """
     lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     line = F.trim("line")
     lines = lines.select("doc_id", "line_no", line.alias("line"), F.regexp_extract(line, SEPARATED, 1).alias("label"), F.trim(F.regexp_extract(line, SEPARATED, 2)).alias("value"))
-    name = F.lit(None).cast("string")
-    for field, pattern in reversed(patterns):
-        name = F.when(F.col("line").rlike(f"(?i){pattern}"), field).otherwise(name)
-    # lines without a value are gone before the patterns are tried
-    out = lines.where(F.length("value") > 1).withColumn("field_name", name).where("field_name is not null")
+    # lines without a value are gone before labels are looked for
+    lines = lines.where(F.length("value") > 1)
+    if patterns is None:
+        named = labelled(lines, form_pack(docs.sparkSession) if pack is None else pack)
+        out = named.groupBy(*lines.columns).agg(F.min_by("field_name", "rank").alias("field_name"))
+    else:
+        name = F.lit(None).cast("string")
+        for field, pattern in reversed(patterns):
+            name = F.when(F.col("line").rlike(f"(?i){pattern}"), field).otherwise(name)
+        out = lines.withColumn("field_name", name).where("field_name is not null")
     for field, check in (valid or {}).items():
         out = out.where((F.col("field_name") != field) | F.coalesce(check(F.col("value")), F.lit(False)))
     if readings is None:

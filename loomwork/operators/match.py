@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import checks
 from loomwork.functions.names import fresh
+from loomwork.operators.labels import labelled
 
 #: Display order of the subjects of a document.
 SUBJECTS = ("applicant", "spouse", "child", "other")
@@ -27,6 +28,18 @@ def candidates(lines: DataFrame, catalogue: list[tuple[str, str, str]]) -> DataF
     return lines.select("doc_id", "line_no", F.explode(every).alias("c")).select("doc_id", "line_no", "c.*")
 
 
+def catalogue_candidates(lines: DataFrame, pack: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line) x a pack of labels (see labels.pack): one row for each field that a line has a label of, once.
+
+    Of the labels of a line the longest count. The value is what follows the first `:`, `=` or TAB, or else a dash between
+    blanks; null where nothing does.
+    """
+    value = F.coalesce(*(F.nullif(F.trim(F.regexp_extract("line", p, 1)), F.lit("")) for p in (r"^[^:=\t]*[:=\t](.*)$", r"^[^:=\t]*? - (.*)$")))
+    found = labelled(lines.select("doc_id", "line_no", "line"), pack)
+    longest = F.max("size").over(Window.partitionBy("doc_id", "line_no", "line"))
+    return found.withColumn("longest", longest).where("size = longest").select("doc_id", "line_no", "field_name", value.alias("value")).distinct()
+
+
 def choose(found: DataFrame, score: Column) -> DataFrame:
     """One row for each field of a document: the candidate with the best score, and its status.
 

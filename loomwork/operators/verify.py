@@ -245,19 +245,35 @@ MAGIC = (("25504446", "pdf"), ("89504E470D0A1A0A", "image"), ("FFD8FF", "image")
 def sniff(head: Column) -> Column:
     """Kind of a file by its first bytes, else text where 95 percent are printable and 90 percent of the letters Latin, else binary.
 
-    Text is UTF-8, or UTF-16 with a byte order mark; empty without any byte.
+    Text is UTF-8, or UTF-16 with a byte order mark; empty without any byte. Any bytes have a kind: a character that is cut off at
+    the end doesn't count, other bytes that are no UTF-8 count as characters that can't be printed.
     """
     h = F.hex(head)
     out = F.when(F.length(head) == 0, "empty")
     for magic, kind in MAGIC:
         out = out.when(F.startswith(h, F.lit(magic)), kind)
-    # bytes that are no UTF-8, such as a character cut at the end, become replacement characters
-    text = F.when(F.startswith(h, F.lit("FFFE")) | F.startswith(h, F.lit("FEFF")), F.decode(head, "UTF-16")).otherwise(
-        F.decode(head, "UTF-8")
-    )
+    little = F.startswith(h, F.lit("FFFE"))
+    return out.when(little | F.startswith(h, F.lit("FEFF")), F.when(_wide_text(h, little), "text").otherwise("binary")).when(_narrow_text(head, h), "text").otherwise("binary")
+
+
+def _narrow_text(head: Column, h: Column) -> Column:
+    """Whether bytes read as UTF-8 are text."""
+    # the start of a character at the end: a lead byte with fewer bytes after it than it asks for
+    cut = F.length(F.regexp_extract(h, "([CD].|E.(?:[89AB].)?|F[0-7](?:[89AB].){0,2})$", 1)) / 2
+    text = F.make_valid_utf8(F.substring(head, F.lit(1), (F.length(head) - cut).cast("int")).cast("string"))
     printable = F.length(F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ufffd]", ""))
     letters, latin = F.length(F.regexp_replace(text, r"\P{L}", "")), F.length(F.regexp_replace(text, r"[^\p{IsLatin}]", ""))
-    return out.when((printable >= 0.95 * F.length(text)) & (latin >= 0.9 * letters), "text").otherwise("binary")
+    return (printable >= 0.95 * F.length(text)) & (latin >= 0.9 * letters) & (F.length(text) > 0)
+
+
+def _wide_text(h: Column, little: Column) -> Column:
+    """Whether bytes in hex, with a mark first, are text of UTF-16: 95 percent printable, 90 percent below U+0250. A last odd byte doesn't count."""
+    units = F.regexp_extract_all(F.substring(h, F.lit(5), F.length(h) - 4), F.lit("([0-9A-F]{4})"), F.lit(1))
+    # the high byte first in both orders
+    code = F.transform(units, lambda u: F.conv(F.when(little, F.concat(F.substring(u, 3, 2), F.substring(u, 1, 2))).otherwise(u), 16, 10).cast("int"))
+    printable = F.size(F.filter(code, lambda c: ((c >= 32) & (c != 127) & (c != 0xFFFD)) | c.isin(9, 10, 13)))
+    latin = F.size(F.filter(code, lambda c: c < 0x250))
+    return (F.size(code) > 0) & (printable >= 0.95 * F.size(code)) & (latin >= 0.9 * F.size(code))
 
 
 def claims_hold(category: Column, kind: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import dates, keys
 from loomwork.operators import aggregates, extract, joins, match, merges, verify, windows
-from loomwork.operators.labels import PACK
+from loomwork.operators.labels import catalogue_pack
 from loomwork.plans import views
 from loomwork.plans.registry import registry
 from loomwork.plans.views import with_views
@@ -202,16 +202,45 @@ def m13_cited_boxes(spark, sf_dir):
     return merges.settle_verdicts(f, v, p, r).select("doc_id", "state", "value", F.round("confidence", 6).alias("confidence"))
 
 
+#: Labels as forms print them, written for this query, and the field of each; no label is another field's.
+PRINTED = [
+    tuple(x.split(" > "))
+    for x in """
+Salutation > title_salutation; First-Name > given_names; Middle Initials > middle_name; SURNAME > family_name; Birth date > date_of_birth; Citizenship status > residency_status; marital_status > marital_status;
+No. of Dependents > dependants_count; Home Address > residential_address; Time at address > address_tenure; Past address > previous_address; HousingSituation > housing_situation; Mobile > mobile_number; E-mail > email_address;
+Drivers License No > drivers_licence; Travel document > passport_details; Employment status > employment_status; Job title > occupation_industry; Company Name > employer_details; Time in job > employment_tenure;
+Annual income > gross_annual_income; Take home pay > net_monthly_income; Variable income > additional_income; Monthly living expenses > monthly_living_expenses; Net worth > asset_holdings; Home loans > liability_mortgages;
+Credit card limits > liability_credit_cards; Car loans > liability_other_loans; Requested credit > credit_limit_requested; Balance transfer amount > balance_transfer; Known as > preferred_name; Maiden name > previous_name; Sex > gender;
+Country of birth > country_of_birth; Visa subclass > visa_subclass; Visa expires > visa_expiry; Licence State > licence_state; Licence Expiry > licence_expiry; Joint applicant > joint_applicant; Applicant role > applicant_role;
+Mailing address > postal_address; Apartment number > unit_level; Street number > street_number; Street name and type > street_name_type; Suburb > suburb_locality; Territory code > state_territory; Previous address tenure > previous_address_tenure;
+Address verification document > address_verification_doc; Landline > home_phone; Work telephone > work_phone; Preferred contact method > preferred_contact_method; Contact time > contact_time; Next of kin name > emergency_contact_name;
+Emergency phone > emergency_phone; Interpreter > language_interpreter; Workplace Address > employer_address; Switchboard > employer_phone; HR contact person > payroll_contact; Commencement date > employment_start_date;
+Previous employer > previous_employer; Previous employment tenure > previous_employment_tenure; Entity type > business_structure; ANZSIC code > anzsic_code; Pay frequency > income_frequency; Gross monthly income > gross_monthly_income;
+Novated lease > salary_sacrifice; Overtime earnings > overtime_income; Commission income > bonus_commission; Rental income > rental_income; Dividend income > investment_income; Government benefit > government_benefit;
+Income verification document > income_verification_doc; Board payment > rent_board_payment; Telecommunications > utilities_expense; Insurance premiums > insurance_expense; Fuel expense > transport_fuel_expense; Education expenses > childcare_education_expense;
+Child support > child_support_paid; HEM benchmark living expenses > hem_benchmark_expense; Offset account balances > savings_balance; Super fund balance > superannuation_balance; Motor vehicle market value > vehicle_value;
+Investment property value > investment_property_value; Buy now pay later > bnpl_commitments; HELP student loan debt > hecs_help_debt; Product type requested > product_type_requested; Loan amount requested > loan_amount_requested; Loan purpose > loan_purpose;
+Repayment frequency > repayment_frequency; Direct debit > direct_debit_account; Credit_score > credit_score; A.B.N. > abn; Australian Business No > abn; Bank State Branch > bsb; Post code > postcode; Account no > account_number;
+Australian Company Number > acn; TFN > tfn; Medicare no > medicare_number; BPAY biller code > bpay_biller_code; Card number > card_number_masked; Favourite colour > none
+""".replace("\n", " ").strip().split("; ")
+]
+_LABELS, _FIELDS = (", ".join(f"'{r[k]}'" for r in PRINTED) for k in (0, 1))
+
+
 @query(
-    """with f as (select c_custkey as doc_id from customer)
-select doc_id, unnest(['given_names', 'family_name', 'date_of_birth', 'bsb', 'abn', 'mobile_number', 'email_address', 'gross_annual_income']) as field_name, 1::bigint as n from f"""
+    f"""with c as (select c_custkey as doc_id, (c_custkey % {len(PRINTED)})::int + 1 as k, c_name from customer),
+  l as (select doc_id, 1 as line_no, ([{_FIELDS}])[k] as field_name, c_name as value from c union all select doc_id, 2, ([{_FIELDS}])[(k + 7 - 1) % {len(PRINTED)} + 1], null from c)
+select * from l where field_name <> 'none'"""
 )
 def x8_label_pack(spark, sf_dir):
-    """Labels of the whole catalogue over forms: each field that a form has, once for each of its labels."""
-    lines = views.forms(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\\n")).alias("line_no", "line"))
-    found = match.candidates(lines, [(field, pattern.removeprefix("(?i)"), r"\\S.*") for field, pattern in PACK])
-    kept = "given_names family_name date_of_birth bsb abn mobile_number email_address gross_annual_income".split()
-    return found.where(F.col("field_name").isin(kept)).groupBy("doc_id", "field_name").agg(F.count("*").alias("n"))
+    """All fields of the catalogue by printed labels: each form has one with a value and one without."""
+    c = views.table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", f"cast(c_custkey % {len(PRINTED)} as int) as k", "c_name")
+    label = F.array(*(F.lit(r[0]) for r in PRINTED))
+    lines = c.select(
+        "doc_id",
+        F.posexplode(F.array(F.lit("Application form"), F.concat(label[F.col("k")], F.element_at(F.array(F.lit(": "), F.lit(" = "), F.lit("\t")), (F.col("doc_id") % 3 + 1).cast("int")), "c_name"), label[(F.col("k") + 7) % len(PRINTED)])).alias("line_no", "line"),
+    )
+    return match.catalogue_candidates(lines, catalogue_pack(spark)).where("line_no > 0 and (line_no = 1 or value is null)")
 
 
 ADDRESSES = """l as (select o_orderkey as doc_id, unnest([1, 2, 3]) as line_no, o_custkey as c, o_orderkey % 4 as k from orders),

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from loomwork.functions.keys import identity_id
 from loomwork.operators.extract import extract_fields
 from loomwork.plans import views
 from loomwork.plans.registry import registry
 from loomwork.plans.views import with_views
-from loomwork.streaming import jobs
+from loomwork.streaming import arrivals, jobs
 
 QUERIES, query = registry()
 
@@ -63,10 +66,69 @@ def job_events(stream: DataFrame) -> DataFrame:
     )
 
 
-@query()
+def in_waves(rows: DataFrame, waves: list[Column], run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Writes the rows of one wave after the other to a folder and lets a stream over it take what is new each time."""
+    spark, source = rows.sparkSession, shared(rows.sparkSession)
+    for wave in waves:
+        rows.where(wave).write.mode("append").parquet(source)
+        run(spark.readStream.schema(rows.schema).parquet(source)).awaitTermination()
+
+
+def halves(spark: SparkSession, sf_dir: str) -> Column:
+    """Whether an event is of the earlier half."""
+    return F.col("event_id") < views.table(spark, sf_dir, "events").count() // 2
+
+
+@query(
+    """with recursive j as (select user_id * 10 + event_id % 10 as job_id, case event_type when 'view' then 'done' when 'error' then 'failed' else 'claimed' end as event, epoch_ms(ts) as t from events),
+  e as (select *, row_number() over (partition by job_id order by t, event) as n from j),
+  s as (select job_id, 0::bigint as n, 'queued' as status, 0 as attempts, 0::bigint as until, null::varchar as lapsed, null::varchar as result, null::varchar as told from (select distinct job_id from j)
+    union all
+    select job_id, n, case when event = 'claimed' and was = 'queued' then 'processing' when event = 'claimed' or was in ('completed', 'failed') then was when event = 'done' then 'completed' else 'failed' end,
+      case when event = 'claimed' and was = 'queued' then attempts + 1 else attempts end, case when event = 'claimed' and was = 'queued' then t + 259200000 else until end, gone,
+      case when event = 'claimed' then case when was = 'queued' then 'claimed' end when was not in ('completed', 'failed') then 'accepted' when (was = 'completed') = (event = 'done') then 'repeat' else 'conflict' end,
+      null::varchar
+    from (select e.job_id, e.n, e.event, e.t, s.attempts, s.until, case when s.status <> 'processing' or e.t <= s.until then null when s.attempts >= 3 then 'failed' else 'queued' end as gone,
+        coalesce(gone, s.status) as was from s join e on e.job_id = s.job_id and e.n = s.n + 1)),
+  w as (select max(t) - 600000 as mark from j),
+  l as (select * from s qualify n = max(n) over (partition by job_id)),
+  o as (select job_id, lapsed as status, attempts - case when result = 'claimed' then 1 else 0 end as attempts, 'lease_over' as result from s where lapsed is not null
+    union all select job_id, status, attempts, result from s where result is not null
+    union all select job_id, case when attempts >= 3 then 'failed' else 'queued' end, attempts, 'lease_over' from l, w where status = 'processing' and mark > until)
+select job_id, status, attempts::int as attempts, result from o"""
+)
 def st4_job_leases(spark, sf_dir):
-    """Life of jobs: clicks claim, views finish, errors fail. Depends on the watermark's progress."""
-    return drained(jobs.leases(job_events(event_stream(spark, sf_dir))))
+    """Life of jobs over three batches in order of time, with leases of three days: claims, lapses, results."""
+    place = shared(spark)
+    events = views.table(spark, sf_dir, "events").select(
+        "event_id",
+        (F.col("user_id") * 10 + F.col("event_id") % 10).alias("job_id"),
+        F.when(F.col("event_type") == "view", "done").when(F.col("event_type") == "error", "failed").otherwise("claimed").alias("event"),
+        F.col("ts").alias("at"),
+    )
+
+    def run(stream: DataFrame) -> StreamingQuery:
+        out = jobs.leases(stream, lease_s=259_200, keep_s=366 * 86_400).writeStream.format("parquet").option("path", f"{place}/out")
+        return out.option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start()
+
+    half = halves(spark, sf_dir)
+    in_waves(events, [half & (F.col("event_id") < 500), half & (F.col("event_id") >= 500), ~half], run)
+    return spark.read.schema(jobs.LEASES).parquet(f"{place}/out")
+
+
+LEASE_SQL = QUERIES["st4_job_leases"][1]
+
+
+@query(LEASE_SQL)
+def st4_lease_history(spark, sf_dir):
+    """The batch twin: the same rows by a fold of each job's events, with the watermark that the stream ends with."""
+    events = views.table(spark, sf_dir, "events").select(
+        (F.col("user_id") * 10 + F.col("event_id") % 10).alias("job_id"),
+        F.when(F.col("event_type") == "view", "done").when(F.col("event_type") == "error", "failed").otherwise("claimed").alias("event"),
+        F.col("ts").alias("at"),
+    )
+    newest = events.agg(F.max(F.unix_millis(F.col("at").cast("timestamp")))).first()[0]
+    return jobs.lease_history(events, newest - 600_000, lease_s=259_200)
 
 
 @query(
@@ -82,9 +144,39 @@ def st4_first_results(spark, sf_dir):
     return out.where("result = 'accepted'").select("job_id", "status")
 
 
+JOBS = """j as (select event_id, user_id * 10 + event_id % 10 as job_id, case event_type when 'view' then 'done' when 'click' then 'done' else 'failed' end as outcome, ts as t,
+    case when event_id % 7 = 0 then 2 when event_id < (select count(*) // 2 from events) then 0 else 1 end as wave from events)"""
+
+
+@query(
+    f"""with {JOBS}, m as (select w.wave, max(j.t) as mark from (select unnest([0, 1, 2]) as wave) w left join j on j.wave < w.wave group by 1),
+  l as (select j.*, coalesce(j.t < mark - interval 5 days, false) as late from j join m using (wave)),
+  r as (select *, first_value(event_id) over w as first_id, first_value(outcome) over w as first_outcome from l where not late window w as (partition by job_id order by wave, t, outcome))
+select event_id, case when event_id = first_id then 'kept' when outcome = first_outcome then 'repeat' else 'conflict' end as verdict from r
+union all select event_id, 'more than 5 days behind' from l where late"""
+)
+def st6_first_results(spark, sf_dir):
+    """Results in three batches, the last of which brings old ones: the first of each job is kept, the others are rejected with a reason."""
+    place = shared(spark)
+    results = views.table(spark, sf_dir, "events").select(
+        "event_id",
+        (F.col("user_id") * 10 + F.col("event_id") % 10).alias("job_id"),
+        F.when(F.col("event_type").isin("view", "click"), "done").otherwise("failed").alias("outcome"),
+        F.col("ts").alias("at"),
+    )
+    delayed, half = F.col("event_id") % 7 == 0, halves(spark, sf_dir)
+    in_waves(
+        results,
+        [~delayed & half, ~delayed & ~half, delayed],
+        lambda stream: jobs.first_or_rejected(stream, f"{place}/out", f"{place}/rejects", f"{place}/log", "job_id", "at", "outcome", "5 days", "90 days"),
+    )
+    kept, rejected = (spark.read.parquet(f"{place}/{t}") for t in ("out", "rejects"))
+    return kept.select("event_id", F.lit("kept").alias("verdict")).union(rejected.select("event_id", F.col("reason").alias("verdict")))
+
+
 @query("select event_id, ts as at from events")
 def st6_late_results(spark, sf_dir):
-    """Accepted and rejected results together are all of them; a small test sends late ones."""
+    """Accepted and rejected results together are all of them; `st6_first_results` compares which are which."""
     place = shared(spark)
     stream = event_stream(spark, sf_dir).select("event_id", F.col("ts").alias("at"))
     jobs.first_or_rejected(stream, f"{place}/out", f"{place}/rejects", f"{place}/log", "event_id", "at").awaitTermination()
@@ -92,6 +184,35 @@ def st6_late_results(spark, sf_dir):
     return kept.union(late)
 
 
+@query("select user_id % 40 as bucket, 1 + user_id % 2 as poll, count(*) as lines from events group by all")
+def st1_settled_files(spark, sf_dir):
+    """Files of events that arrive in two waves, and four polls: a wave that is fresh in a poll is claimed by a later one, once."""
+    source, place = shared(spark), shared(spark)
+    events = views.table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("bucket"), "event_id")
+
+    def write(odd: int) -> None:
+        events.where(F.col("bucket") % 2 == odd).write.mode("append").partitionBy("bucket").json(source)
+
+    def newest() -> datetime:
+        return arrivals.listing(spark, source).agg(F.max("modified")).first()[0]
+
+    def look(number: int, now: datetime) -> None:
+        arrivals.poll(spark, source, place, number, now=now)
+        taken = arrivals.claimed_stream(spark, place).writeStream.format("parquet").option("path", f"{place}/out")
+        taken.option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start().awaitTermination()
+
+    write(0)
+    first = newest()
+    look(0, first - timedelta(days=1))
+    write(1)
+    look(1, first + timedelta(seconds=10))
+    look(2, newest() + timedelta(seconds=10))
+    look(3, newest() + timedelta(days=1))
+    files = arrivals.contents(spark.read.schema(arrivals.CLAIMS).parquet(f"{place}/out"), source)
+    lines = F.length(F.regexp_replace(F.col("content").cast("string"), "[^\n]", ""))
+    return files.groupBy(F.regexp_extract("path", r"bucket=(\d+)/", 1).cast("long").alias("bucket"), F.col("poll").cast("long").alias("poll")).agg(F.sum(lines).alias("lines"))
+
+
 @query(
     """select event_id, case when event_id % 4 = 0 then 'junk' when event_type = 'error' then 'empty' when event_type = 'click' and value < 2 then 'no_content' else 'keep' end as reason,
   case when event_id % 4 = 0 or event_type = 'error' or (event_type = 'click' and value < 2) then 'noocr' else 'extract' end as decision from events"""

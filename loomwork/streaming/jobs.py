@@ -1,33 +1,19 @@
-"""Streams: arriving files, duplicates, routing, job leases and incremental extraction."""
+"""Streams: duplicates, routing, job leases and incremental extraction."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, TimestampType
 
-
-def file_stream(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
-    """Files as they arrive; the checkpoint remembers which have been taken."""
-    return (
-        spark.readStream.format("binaryFile")
-        .schema("path string, modificationTime timestamp, length long, content binary")
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", per_trigger)
-        .load(path)
-        .where(~F.regexp_extract("path", r"([^/]*)$", 1).rlike(r"^[.~]|\.(partial|tmp)$"))
-        .withColumn("sha256", F.sha2("content", 256))
-    )
-
-
-def settled(files: DataFrame, seconds: int = 10) -> DataFrame:
-    """Files that have not changed for some seconds."""
-    return files.where(F.col("modificationTime") < F.current_timestamp() - F.make_interval(secs=F.lit(seconds)))
+from loomwork.functions.names import fresh
+from loomwork.streaming.keytable import KeyTable, delete
 
 
 def once(stream: DataFrame, key: str, at: str, within: str = "1 day") -> DataFrame:
@@ -35,27 +21,19 @@ def once(stream: DataFrame, key: str, at: str, within: str = "1 day") -> DataFra
     return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, within).dropDuplicatesWithinWatermark([key])
 
 
-def append_new(stream: DataFrame, target: str, checkpoint: str, key: str, buckets: int = 64) -> StreamingQuery:
+def append_new(stream: DataFrame, target: str, checkpoint: str, key: str, order: str | None = None, buckets: int = 64) -> StreamingQuery:
     """Appends what is new by key to a Parquet table, a folder for each batch, so that a repeated batch replaces itself.
 
-    The keys seen so far are a table of their own beside it, in folders by a hash of the key; a batch reads those folders
-    alone that its own keys fall in, and nothing but keys.
+    The keys seen so far are a table beside it (`KeyTable`). Of several rows of a key in one batch the first by `order` stays, else
+    the least of all columns, so a repeated batch chooses the same.
     """
-    seen, bucket = f"{target}-keys", "key_bucket"
 
     def sink(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        own = batch.dropDuplicates([key]).withColumn(bucket, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
-        folders = [r[bucket] for r in own.select(bucket).distinct().collect()]  # `buckets` at most
-        schema = StructType([StructField(key, batch.schema[key].dataType), StructField(bucket, IntegerType()), StructField("batch", IntegerType())])
-        # an empty write makes the table where there is none
-        spark.createDataFrame([], schema).write.mode("append").parquet(seen)
-        known = spark.read.schema(schema).parquet(seen).where(F.col(bucket).isin(folders) & (F.col("batch") != number)).select(key)
-        fresh = own.join(known, key, "left_anti")
-        fresh.drop(bucket).write.mode("overwrite").parquet(f"{target}/batch={number}")
-        for k in folders:
-            fresh.where(F.col(bucket) == k).select(key).write.mode("overwrite").parquet(f"{seen}/{bucket}={k}/batch={number}")
-        own.unpersist()
+        known = KeyTable(batch.sparkSession, f"{target}-keys", [StructField(key, batch.schema[key].dataType)], buckets)
+        order_by = F.struct(*([order] if order else []), *batch.columns)
+        own = batch.groupBy(F.col(key).alias("k")).agg(F.min_by(F.struct(*batch.columns), order_by).alias("r")).select("r.*")
+        own.join(known.known(number, batch), key, "left_anti").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        known.add(number, batch.sparkSession.read.schema(batch.schema).parquet(f"{target}/batch={number}").select(key))
 
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -69,32 +47,84 @@ def routed(stream: DataFrame, decide: Callable[[DataFrame], DataFrame], target:
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def first_or_rejected(stream: DataFrame, target: str, rejects: str, checkpoint: str, key: str, at: str, within: str = "10 minutes") -> StreamingQuery:
-    """Results by key: rows no later than `within` behind the newest time seen go to target, later ones to the reject table.
+def first_or_rejected(
+    stream: DataFrame, target: str, rejects: str, checkpoint: str, key: str, at: str, outcome: str | None = None, within: str = "10 minutes", keep: str = "7 days", buckets: int = 64
+) -> StreamingQuery:
+    """The first result of each key goes to target, every other row to the reject table with its reason.
 
-    The newest time comes from the batches before, kept beside the target; so nothing is dropped without trace. A repeated
-    batch replaces itself in both tables.
+    Reasons: `more than .. behind` for rows older than `within` before the newest time of earlier batches, which count for
+    nothing else; `no_key`; `repeat` where an earlier result of the key has the same outcome, `conflict` where it has another. Earlier is by batch,
+    then by time and outcome. First results are kept in a `KeyTable`; they are forgotten `keep` of event time after their own, when
+    the table is next merged. All three tables have a folder for each batch, so that a repeated batch replaces itself.
     """
     marks = f"{target}-marks"
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn(at, F.col(at).cast("timestamp"))
-        (mark,) = [c for c in ("newest", "newest_seen") if c not in batch.columns][:1]
+        mark, place, first_place, first_outcome, why = fresh(batch, "newest", "place", "first_place", "first_outcome", "reason")
+        # rows get numbers that stay, so that of equal rows one is the first
+        taken = f"{target}-taken/batch={number}"
+        numbered = batch.withColumn(at, F.col(at).cast("timestamp")).withColumn(place, F.monotonically_increasing_id())
+        numbered.write.mode("overwrite").parquet(taken)
+        rows = spark.read.schema(numbered.schema).parquet(taken)
         # one row for each batch
         spark.createDataFrame([], f"{mark} timestamp, batch int").write.mode("append").parquet(marks)
-        before = spark.read.schema(f"{mark} timestamp, batch int").parquet(marks).where(F.col("batch") < number).agg(F.max(mark).alias(mark))
-        late = F.coalesce(F.col(at) < F.col(mark) - F.expr(f"interval {within}"), F.lit(False))
-        judged = rows.join(F.broadcast(before)).withColumn("late", late).drop(mark)
-        judged.where("not late").drop("late").write.mode("overwrite").parquet(f"{target}/batch={number}")
-        judged.where("late").withColumn("late", F.lit(f"more than {within} behind")).withColumnRenamed("late", "reason").write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+        newest = spark.read.schema(f"{mark} timestamp, batch int").parquet(marks).where(F.col("batch") < number).agg(F.max(mark)).first()[0]
+        late = F.coalesce(F.col(at) < F.lit(newest).cast("timestamp") - F.expr(f"interval {within}"), F.lit(False))
+        old = F.lit(newest).cast("timestamp") - F.expr(f"interval {keep}")
+        own = F.col(outcome).cast("string") if outcome else F.lit(None).cast("string")
+        fields = [StructField(key, batch.schema[key].dataType), StructField("first_at", TimestampType()), StructField("first_outcome", StringType())]
+        known = KeyTable(spark, f"{target}-keys", fields, buckets, keep=lambda t: t if newest is None else t.where(~(F.col("first_at") < old) | F.col("first_at").isNull()))
+        before = known.known(number, rows).select(F.col(key).alias(mark), F.lit(None).cast("long").alias(first_place), F.col("first_outcome").alias(first_outcome))
+        on_time = rows.where(~late & F.col(key).isNotNull())
+        best = on_time.groupBy(F.col(key).alias(mark)).agg(F.min(F.struct(F.col(at).alias("at"), own.alias("outcome"), F.col(place).alias("place"))).alias("f"))
+        best = best.select(mark, F.col("f.place").alias(first_place), F.col("f.outcome").alias(first_outcome)).join(before, mark, "left_anti")
+        winners = before.unionByName(best)
+        reason = (
+            F.when(F.col(key).isNull(), "no_key")
+            .when(late, f"more than {within} behind")
+            .when(F.coalesce(F.col(first_place) == F.col(place), F.lit(False)), None)
+            .when(F.col(first_outcome).eqNullSafe(own), "repeat")
+            .otherwise("conflict")
+        )
+        judged = rows.join(winners, F.col(key) == F.col(mark), "left").select(*batch.columns, reason.alias(why))
+        judged.where(F.col(why).isNull()).drop(why).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        judged.where(F.col(why).isNotNull()).write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+        accepted = spark.read.schema(rows.drop(place).schema).parquet(f"{target}/batch={number}")
+        known.add(number, accepted.select(key, F.col(at).alias("first_at"), own.alias("first_outcome")))
         rows.agg(F.max(at).alias(mark)).write.mode("overwrite").parquet(f"{marks}/batch={number}")
+        delete(spark, taken)
 
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class Lease:
+    """State of one job; its methods give the changes that they make, as (status, attempts, result)."""
+
+    def __init__(self, status: str = "queued", attempts: int = 0, until: int = 0, *, lease_s: int, most: int):
+        self.status, self.attempts, self.until, self.lease_s, self.most = status, attempts, until, lease_s, most
+
+    def lapse(self, now: int) -> list[tuple]:
+        if self.status != "processing" or now <= self.until:
+            return []
+        self.status = "failed" if self.attempts >= self.most else "queued"
+        return [(self.status, self.attempts, "lease_over")]
+
+    def take(self, event: str, now: int) -> list[tuple]:
+        rows = self.lapse(now)
+        if event == "claimed" and self.status == "queued":
+            self.status, self.attempts, self.until = "processing", self.attempts + 1, now + self.lease_s * 1000
+            rows.append((self.status, self.attempts, "claimed"))
+        elif event in ("done", "failed"):
+            new = "completed" if event == "done" else "failed"
+            ended = self.status in ("completed", "failed")
+            rows.append((self.status if ended else new, self.attempts, ("repeat" if self.status == new else "conflict") if ended else "accepted"))
+            self.status = self.status if ended else new
+        return rows
+
+
 LEASES = "job_id long, status string, attempts int, result string"
-_STATE = "status string, attempts int, until long"
+_STATE = "status string, attempts int, until long, newest long"
 
 
 def leases(events: DataFrame, lease_s: int = 900, most: int = 3, keep_s: int = 86_400) -> DataFrame:
@@ -106,43 +136,61 @@ def leases(events: DataFrame, lease_s: int = 900, most: int = 3, keep_s: int = 8
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, attempts, until = state.get if state.exists else ("queued", 0, 0)
-        rows: list[tuple] = []
-
-        def lapse(now: int) -> None:
-            nonlocal status
-            if status == "processing" and now > until:
-                status = "failed" if attempts >= most else "queued"
-                rows.append((key[0], status, attempts, "lease_over"))
-
-        mark = state.getCurrentWatermarkMs()
+        *known, newest = state.get if state.exists else (0,)
+        job = Lease(*known, lease_s=lease_s, most=most)
+        mark, rows = state.getCurrentWatermarkMs(), []
         if state.hasTimedOut:
-            if status != "processing":
+            if job.status != "processing":
                 state.remove()
                 return
-            lapse(mark)
+            rows += job.lapse(mark)
         held = list(frames)
         if held:
             # a group may come in several frames: its events are put in order as a whole
-            for event, at in pd.concat(held).sort_values(["at", "event"])[["event", "at"]].itertuples(index=False):
-                now = int(at.timestamp() * 1000)
-                lapse(now)
-                if event == "claimed" and status == "queued":
-                    status, attempts, until = "processing", attempts + 1, now + lease_s * 1000
-                    rows.append((key[0], status, attempts, "claimed"))
-                elif event in ("done", "failed"):
-                    new = "completed" if event == "done" else "failed"
-                    ended = status in ("completed", "failed")
-                    rows.append((key[0], status if ended else new, attempts, ("repeat" if status == new else "conflict") if ended else "accepted"))
-                    status = status if ended else new
-        state.update((status, attempts, until))
-        state.setTimeoutTimestamp(max(until if status == "processing" else mark + keep_s * 1000, mark + 1))
-        yield pd.DataFrame(rows, columns=["job_id", "status", "attempts", "result"])
+            for event, at in pd.concat(held).sort_values(["ms", "event"])[["event", "ms"]].itertuples(index=False):
+                rows += job.take(event, int(at))
+                newest = max(newest, int(at))
+        state.update((job.status, job.attempts, job.until, newest))
+        # the job's own time counts: the watermark is nought until the first batch has ended
+        state.setTimeoutTimestamp(max(job.until if job.status == "processing" else newest + keep_s * 1000, mark + 1))
+        yield pd.DataFrame([(key[0], *r) for r in rows], columns=["job_id", "status", "attempts", "result"])
 
     timed = events.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", "10 minutes")
+    # milliseconds since 1970, as the watermark is, whatever the session's time zone
+    timed = timed.withColumn("ms", F.unix_millis("at"))
     return timed.groupBy("job_id").applyInPandasWithState(step, LEASES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def lease_history(events: DataFrame, watermark_ms: int | None = None, lease_s: int = 900, most: int = 3) -> DataFrame:
+    """The rows of `leases` over a table of events, by a fold of each job's events in order; leases that end before the watermark, in milliseconds, lapse.
+
+    Tasks read the events of their jobs sorted and keep the state of one job at a time, however many events it has.
+    """
+    end = watermark_ms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, job = None, None
+        for b in batches:
+            rows: list[tuple] = []
+            for key, event, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if job is None or key != now:
+                    if job is not None and end is not None:
+                        rows += ((now, *r) for r in job.lapse(end))
+                    now, job = key, Lease(lease_s=lease_s, most=most)
+                rows += ((key, *r) for r in job.take(event, at))
+            yield _changes(rows)
+        if job is not None and end is not None:
+            yield _changes([(now, *r) for r in job.lapse(end)])
+
+    timed = events.select("job_id", "event", F.unix_millis(F.col("at").cast("timestamp")).alias("at"))
+    return timed.repartition("job_id").sortWithinPartitions("job_id", "at", "event").mapInArrow(run, LEASES)
+
+
+def _changes(rows: list[tuple]) -> pa.RecordBatch:
+    types = {"job_id": pa.int64(), "status": pa.string(), "attempts": pa.int32(), "result": pa.string()}
+    return pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(types.items())})
+
+
 def hourly(events: DataFrame, at: str, kind: str) -> DataFrame:
     """Counts by hour and kind, late rows of up to an hour included."""
     timed = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, "1 hour")

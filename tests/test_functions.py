@@ -213,3 +213,30 @@ def test_helper_columns_do_not_clash(spark):
         assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names), out.columns
     found = spark.createDataFrame([(1, "f", "v", 1, "x")], "doc_id long, field_name string, value string, line_no int, nth string")
     assert match.choose(found, F.lit(1)).count() == 1
+
+
+def test_label_keys(spark):
+    """Labels are found however their words are parted, in the first words of a line; the first field in order claims it."""
+    from loomwork.operators import extract, labels
+
+    assert len(labels.FORM_FIELDS) == 60 == len(set(labels.FORM_FIELDS)) and len(labels.CATALOGUE) == 100 == len({f for f, _ in labels.CATALOGUE})
+    lines = ["Date-of_Birth: 01/02/1980", "DateOfBirth = 2", "GIVEN NAME\tAnn", "Driver’s licences: 44", "surname:x", "Surnames - xy", "nothing here: 12", "", ": 77", "Family name of the second applicant's former wife or husband at that time: Bo"]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, ""), (4, "Surname: " + "é" * 100_000), (5, "dob: 1" + "2" * 9 + "\n" + "x" * 200_000 + ": surname")], "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): r.field_name for r in extract.labelled_lines(docs).collect()}
+    assert got == {(1, 0): "date_of_birth", (1, 2): "given_names", (1, 3): "drivers_licence", (1, 5): "family_name", (1, 9): "family_name", (4, 0): "family_name", (5, 0): "date_of_birth"}
+    own = labels.pack(spark, [("colour", "Colour / Hue"), ("hue", "Hue")])
+    found = extract.labelled_lines(spark.createDataFrame([(1, "hue: red")], "doc_id long, text string"), pack=own).collect()
+    assert [(r.field_name, r.value) for r in found] == [("colour", "red")]
+
+
+def test_cost_of_a_line_is_the_same_for_any_pack(spark):
+    """The plan has one join for all labels, not an expression for each."""
+    from loomwork.operators import extract, labels
+
+    docs = spark.createDataFrame([(1, "a: bc")], "doc_id long, text string")
+
+    def size(n):
+        pack = labels.pack(spark, [(f"f{k}", f"Label {k}") for k in range(n)])
+        return len(extract.labelled_lines(docs, pack=pack)._jdf.queryExecution().optimizedPlan().toString())
+
+    assert size(500) < size(5) + 200

@@ -18,7 +18,8 @@ def test_query(spark, db, name):
     if name in SQL:
         check(df, db, SQL[name])
     else:
-        assert df.columns and df.count() > 0
+        # every column is computed, which a count would leave out
+        assert df.columns and len(df.collect()) > 0
 
 
 def test_entry(spark):

@@ -35,6 +35,41 @@ def test_files(spark, tmp_path):
     assert (texts.text, texts.truncated) == ("plain", True)
 
 
+def test_any_bytes_have_a_kind(spark):
+    """Bytes that are no UTF-8, characters cut at the end, UTF-16 of odd length and noise."""
+    import random
+
+    noise = random.Random(3).randbytes(4096)
+    heads = {
+        "cut2": ("é" * 100).encode()[:-1],
+        "cut4": b"words " * 30 + "😀".encode()[:3],
+        "latin1": ("caf\xe9 " * 40).encode("latin-1"),
+        "one_bad": b"plain text " * 40 + b"\xff" + b" and more" * 9,
+        "utf16le": "\ufeffHello there".encode("utf-16-le"),
+        "utf16be_odd": "\ufeffHello there".encode("utf-16-be") + b"x",
+        "utf16_noise": b"\xff\xfe" + noise,
+        "utf16_han": "\ufeff漢字漢字".encode("utf-16-le"),
+        "lone_surrogate": b"\xff\xfe" + b"\x00\xd8" * 50,
+        "mark_only": b"\xff\xfe",
+        "noise": noise,
+        "lead": b"\xe2",
+        "nul": b"abc\x00def" * 10,
+        "none": b"",
+    }
+    rows = spark.createDataFrame(list(heads.items()), "name string, head binary")
+    got = {r.name: r.kind for r in rows.select("name", verify.sniff(F.col("head")).alias("kind")).collect()}
+    text = {"cut2", "cut4", "one_bad", "utf16le", "utf16be_odd"}
+    assert got == {n: "empty" if n == "none" else "text" if n in text else "binary" for n in heads}
+
+
+def test_scan_of_tables(spark):
+    """The registered query computes all of its columns."""
+    import __spark_entry__
+
+    got = __spark_entry__.queries()["src1_file_scan"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == 14 and all(r.parquet and r.kind == "binary" and r.bytes > 0 for r in got)
+
+
 def test_guarded_csv(spark, tmp_path):
     df = spark.createDataFrame([("=1", 'say "x"'), (None, "-2")], "`=a` string, b string")
     writers.write_csv(df, str(tmp_path / "out"))

@@ -1,8 +1,11 @@
 from datetime import datetime, timedelta
 
 
+from pyspark.sql.types import LongType, StructField
+
 from loomwork.operators.queue import expire_leases, first_results
-from loomwork.streaming import jobs
+from loomwork.streaming import arrivals, jobs
+from loomwork.streaming.keytable import KeyTable
 
 START = datetime(2024, 1, 1)
 
@@ -92,3 +95,89 @@ def test_state_of_ended_jobs_goes(spark, tmp_path):
     out.awaitTermination()
     got = [(r.status, r.result) for r in spark.read.parquet(str(tmp_path / "out")).where("job_id = 1").collect()]
     assert got.count(("completed", "accepted")) == 2 and not any(r == "repeat" for _, r in got)
+
+
+def test_files_that_settle_later(spark, tmp_path):
+    """A file that is fresh in a poll comes in a later one, once; a changed file comes again; a repeated poll replaces itself."""
+    import os
+
+    source, place = tmp_path / "in", str(tmp_path / "place")
+    assert arrivals.poll(spark, str(source), place, 0).count() == 0
+    (source / "sub").mkdir(parents=True)
+    ages = {"old.txt": 3600, "fresh.txt": 2, "sub/old.txt": 100, ".hidden": 3600, "half.part": 3600}
+    for name, age in ages.items():
+        (source / name).write_text(name)
+        os.utime(source / name, (START.timestamp() - age, START.timestamp() - age))
+
+    def names(number, seconds):
+        return sorted(r.path.split("/in/")[1] for r in arrivals.poll(spark, str(source), place, number, now=START + timedelta(seconds=seconds)).collect())
+
+    assert names(1, 0) == ["old.txt", "sub/old.txt"]
+    assert names(1, 0) == ["old.txt", "sub/old.txt"]
+    assert names(2, 5) == []
+    assert names(3, 9) == ["fresh.txt"]
+    (source / "old.txt").write_text("again")
+    os.utime(source / "old.txt", (START.timestamp() + 20, START.timestamp() + 20))
+    assert names(4, 25) == [] and names(5, 60) == ["old.txt"] and names(6, 3600) == []
+    claimed = arrivals.claims(spark, place)
+    assert claimed.count() == 4
+    assert {r.content.decode() for r in arrivals.contents(claimed, str(source)).collect()} == {"again", "fresh.txt", "sub/old.txt"}
+
+
+def test_intake_polls(spark, tmp_path):
+    import time
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("a")
+    query = arrivals.start_intake(spark, str(tmp_path / "in"), str(tmp_path / "place"), seconds=1, every="500 milliseconds")
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            if arrivals.claims(spark, str(tmp_path / "place")).count():
+                break
+    finally:
+        query.stop()
+    assert arrivals.claims(spark, str(tmp_path / "place")).count() == 1
+
+
+def test_first_result_of_each_key(spark, tmp_path):
+    """Three results of one key: one kept, two rejected; over batches too; null keys and equal rows have their reasons."""
+    batches = [[(1, "done", 3600), (1, "done", 3600), (1, "failed", 3700), (None, "done", 3600)], [(1, "done", 3800), (2, "failed", 3900), (2, "failed", 3850)], [(2, "done", 4000), (3, "done", 10)]]
+    stream = events(spark, str(tmp_path / "in"), batches)
+    where = {k: str(tmp_path / k) for k in ("out", "no", "log")}
+    for _ in range(2):
+        jobs.first_or_rejected(stream, where["out"], where["no"], where["log"], "job_id", "at", "event").awaitTermination()
+        kept = [(r.job_id, r.event, int((r["at"] - START).total_seconds())) for r in spark.read.parquet(where["out"]).collect()]
+        assert sorted(kept) == [(1, "done", 3600), (2, "failed", 3850)]
+        got = sorted((r.job_id or 0, r.event, r.reason) for r in spark.read.parquet(where["no"]).collect())
+        assert got == [(0, "done", "no_key"), (1, "done", "repeat"), (1, "done", "repeat"), (1, "failed", "conflict"), (2, "done", "conflict"), (2, "failed", "repeat"), (3, "done", "more than 10 minutes behind")]
+        # the last batch once more, as after a failure
+        import shutil
+
+        shutil.rmtree(tmp_path / "log" / "commits")
+
+
+def test_key_table_merges_and_forgets(spark, tmp_path):
+    fields = [StructField("k", LongType()), StructField("at", LongType())]
+    for number in range(9):
+        table = KeyTable(spark, str(tmp_path / "keys"), fields, buckets=4, every=3, keep=lambda t: t.where("at > 1"))
+        rows = spark.createDataFrame([(number, number), (number + 100, 50)], "k long, at long")
+        known = sorted(r.k for r in table.known(number, spark.createDataFrame([(k,) for k in range(200)], "k long")).collect())
+        merged = number // 3 * 3
+        assert known == sorted([k for k in range(number) if k > 1 or not merged] + [k + 100 for k in range(number)])
+        table.add(number, rows)
+        table.add(number, rows)
+    few = KeyTable(spark, str(tmp_path / "keys"), fields, buckets=4, every=3).known(8, rows.where("k = 8"))
+    assert few.count() < 16
+
+
+def test_lease_history_is_the_stream(spark, tmp_path):
+    rows = [[(1, "claimed", 0), (2, "claimed", 0), (3, "done", 5)], [(1, "done", 60), (1, "failed", 80), (2, "claimed", 2000)], [(2, "claimed", 4000), (2, "claimed", 6000), (9, "claimed", 7200)], [(9, "done", 7300)]]
+    stream = events(spark, str(tmp_path / "in"), rows)
+    out = jobs.leases(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    out.awaitTermination()
+    table = spark.createDataFrame([(j, e, START + timedelta(seconds=s)) for batch in rows for j, e, s in batch], "job_id long, event string, at timestamp")
+    mark = int((START.timestamp() + 7300 - 600) * 1000)
+    want = sorted(map(tuple, jobs.lease_history(table, mark).collect()))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == want
+    assert (2, "failed", 3, "lease_over") in [tuple(r) for r in jobs.lease_history(table, mark + 10**6).collect()]

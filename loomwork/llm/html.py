@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -101,22 +102,29 @@ class Line(NamedTuple):
 
     text: str
     main: int  # number of its article or main element, 0 without
-    around: tuple[int, ...]
+    around: int  # number of the innermost element around it, 0 without; elements are numbered as they open
     heading: bool
 
 
 def lines(page: str) -> list[Line]:
     """The lines of a page in order."""
+    return parsed(page)[0]
+
+
+def parsed(page: str) -> tuple[list[Line], list[int]]:
+    """The lines of a page in order, and for each element the one around it. The time is in proportion to the page."""
     page = SILENT.sub("", page)
     out: list[Line] = []
-    # open elements: name, beside the article, main element, its name, elements around
-    stack: list[tuple[str, bool, int, str, tuple[int, ...]]] = []
-    count, number, in_link, linked, text = 0, 0, False, 0, []
+    # open elements: name, beside the article, main element, its name, the element around
+    stack: list[tuple[str, bool, int, str, int]] = []
+    opened: Counter[str] = Counter()
+    outer = [0]
+    count, in_link, linked, text = 0, False, 0, []
 
     def close(container: bool = False) -> None:
         """Ends the line of text, if there is one, and adds an empty one at the edge of a container."""
         nonlocal in_link, linked, text
-        tag, hidden, main, _, around = stack[-1] if stack else ("", False, 0, "", ())
+        tag, hidden, main, _, around = stack[-1] if stack else ("", False, 0, "", 0)
         block = " ".join(entities.unescape("".join(text)).split())
         if block:
             menu = not main and linked >= LINKED * sum(map(len, text))
@@ -138,17 +146,19 @@ def lines(page: str) -> list[Line]:
             in_link = not m[1]
         edge = tag not in INLINE and tag not in BLOCKS and tag not in VOID
         if m[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is not None or tag not in INLINE:
+            known = opened[tag] > 0
+            if known or tag not in INLINE:
                 close(edge)
-            if k is not None:
-                del stack[k:]
+            while known:
+                name = stack.pop()[0]
+                opened[name] -= 1
+                known = name != tag
             continue
         if tag not in INLINE:
             close(edge)
             if stack and stack[-1][0] in ("p", *HEADINGS) and tag not in VOID:
-                stack.pop()
-        _, hidden, main, name, around = stack[-1] if stack else ("", False, 0, "", ())
+                opened[stack.pop()[0]] -= 1
+        _, hidden, main, name, around = stack[-1] if stack else ("", False, 0, "", 0)
         if tag in VOID:
             continue
         apart = not hidden and beside(tag, m[3], main > 0)
@@ -160,12 +170,29 @@ def lines(page: str) -> list[Line]:
         elif tag in MAIN and not hidden and (not main or tag == "article" and name == "main"):
             count += 1
             main, name = count, tag
-        number += 1
-        around = around if tag in ("html", "body", "p") else (*around, number)
+        if tag not in ("html", "body", "p"):
+            outer.append(around)
+            around = len(outer) - 1
         stack.append((tag, hidden or apart, main, name, around))
+        opened[tag] += 1
     text.append(page[at:])
     close()
-    return out
+    return out, outer
+
+
+def innermost(rows: list[Line], outer: list[int]) -> range:
+    """The numbers of the innermost element around all rows and of those in it.
+
+    Numbers rise as elements open, so this element is also the innermost one around the least and the greatest number.
+    """
+    low, high = min(r.around for r in rows), max(r.around for r in rows)
+    while low != high:
+        low, high = min(low, outer[high]), max(low, outer[high])
+    # the elements in it have the numbers that follow, as long as the one around them is in it too
+    end = low + 1
+    while end < len(outer) and outer[end] >= low:
+        end += 1
+    return range(low, end)
 
 
 def stretches(rows: list[Line], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -198,24 +225,19 @@ def stretches(rows: list[Line], window: int = WINDOW) -> list[tuple[int, int]]:
 
 def main_text(page: str, window: int = WINDOW) -> str:
     """The text between the surge and the dive with the most text, blocks parted by line feeds."""
-    rows = lines(page)
+    rows, outer = parsed(page)
     found = stretches(rows, window)
     if not found:
         return ""
-
-    def held(stretch):
-        return [r for r in rows[slice(*stretch)] if r.text]
-
-    best = held(max(found, key=lambda x: sum(len(r.text) for r in held(x))))
+    first, end = max(found, key=lambda x: sum(len(r.text) for r in rows[slice(*x)]))
+    best = [r for r in rows[first:end] if r.text]
     inside = [r for r in best if r.main]
     if 2 * sum(len(r.text) for r in inside) > sum(len(r.text) for r in best):
         mains = {r.main for r in inside}
         return "\n".join(r.text for r in rows if r.text and r.main in mains)
-    depth = 0
-    while depth < min(len(r.around) for r in best) and len({r.around[depth] for r in best}) == 1:
-        depth += 1
-    around = best[0].around[:depth]
-    kept = [r for x in found for r in held(x) if r in best or depth and r.around[:depth] == around]
+    element = innermost(best, outer)
+    # outside all elements the other stretches belong to nothing
+    kept = (r for s, e in found for r in rows[s:e] if r.text and (s == first or element.start and r.around in element))
     return "\n".join(r.text for r in kept)
 
 

@@ -192,7 +192,7 @@ def test_stretches_equal_a_plain_version():
     for _ in range(400):
         sizes = [rng.choice([0, 0, 0, 3, 20, 60, 100, 400]) for _ in range(rng.randrange(1, 40))]
         heads = [bool(n) and n < 60 and rng.random() < 0.3 for n in sizes]
-        rows = [html.Line("x" * n, 0, (), h) for n, h in zip(sizes, heads, strict=True)]
+        rows = [html.Line("x" * n, 0, 0, h) for n, h in zip(sizes, heads, strict=True)]
         for window in (1, 2, 3, 6):
             assert html.stretches(rows, window) == brute.stretches(sizes, heads, window), (sizes, heads, window)
 
@@ -212,3 +212,24 @@ def test_very_long_pages_and_ties():
     one, two = "first " * 40, "other " * 40
     page = f"<div><section><p>{one}</section></div><nav>x</nav><div><section><p>{two}</section></div>"
     assert html.main_text(page) == one.strip()
+
+
+def test_long_pages_take_time_in_proportion():
+    """Unclosed elements, closing tags without one, and flat pages without an article: seconds for 100,000 of them."""
+    import time
+
+    n, words = 100_000, "some words of a paragraph of usual length in a page without an article "
+    began = time.time()
+    assert html.main_text(f"<div>{words}" * n).count("\n") == n - 1
+    assert html.main_text(f"<p>{words}</p>" * n).count("\n") == n - 1
+    assert html.main_text(f"<div><p>{words}</p>" * n + "</div>" * n).count("\n") == n - 1
+    assert html.main_text("<div>" * n + words + "</span></section>" * n) == words.strip()
+    assert html.main_text(f"<div>{words}</div><nav>x</nav>" * n).count("\n") >= 0
+    assert time.time() - began < 60
+
+
+def test_lines_decide_without_article():
+    """On pages without article or main the surge and the dive alone choose the text, and blocks beside it are left out."""
+    text = "A sentence of the text that is long enough to count as one. " * 4
+    page = f"<div class=x><a href=/>one</a></div><div><span>short</span></div><div>{'<p>' + text + '</p>'}{'<p>' + text + '</p>'}</div><div>end</div><div>note</div><div>tail</div>"
+    assert html.main_text(page) == f"{text.strip()}\n{text.strip()}"

@@ -9,6 +9,7 @@ from loomwork.operators import extract, index, verify
 from loomwork.plans import views
 from loomwork.plans.aggregate_queries import DOB_KEY
 from loomwork.plans.registry import registry
+from loomwork.plans.stream_queries import shared
 from loomwork.plans.views import with_views
 
 QUERIES, query = registry()
@@ -560,6 +561,19 @@ def i2_term_and(spark, sf_dir):
     return index.find_all(index.postings(documents(spark, sf_dir), "doc_id", "text"), "doc_id", ["Licensed", "apache", "version"])
 
 
+@query(
+    f"with {TOKENS}, u as (select doc_id, 'text' as field, token from t union all select doc_id, 'source', unnest(list_filter(regexp_split_to_array(lower(source), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) from documents) "
+    "select 'text' as asked, doc_id from u where token in ('licensed', 'apache', 'version') and field = 'text' group by 2 having count(distinct token) = 3 "
+    "union all select 'any', doc_id from u where token in ('the', 'src6') group by 2 having count(distinct token) = 2"
+)
+def i1_written_index(spark, sf_dir):
+    """An index of two columns as a table, and two lookups that read the folders of their terms alone."""
+    path = shared(spark)
+    index.write_index(views.table(spark, sf_dir, "documents"), "doc_id", ["text", "source"], path)
+    one = index.find_in(spark, path, ["Licensed", "apache", "version"], ["text"]).select(F.lit("text").alias("asked"), F.col("key").alias("doc_id"))
+    return one.unionByName(index.find_in(spark, path, ["the", "src6"]).select(F.lit("any").alias("asked"), F.col("key").alias("doc_id")))
+
+
 @query("with p as (select l_partkey as document_id, l_suppkey as id, l_quantity as q, row_number() over (partition by l_partkey order by l_quantity desc, l_suppkey, l_orderkey) as n from lineitem) select document_id, id, q from p where n = 1")
 def w14_best_portrait(spark, sf_dir):
     from loomwork.operators.windows import latest

@@ -240,3 +240,44 @@ def test_cost_of_a_line_is_the_same_for_any_pack(spark):
         return len(extract.labelled_lines(docs, pack=pack)._jdf.queryExecution().optimizedPlan().toString())
 
     assert size(500) < size(5) + 200
+
+
+def test_overlaps_of_very_many_spans(spark):
+    """100,000 spans of one document, against a plain sweep; ties, empty spans, nulls and negative places."""
+    import bisect
+    import random
+
+    rnd = random.Random(5)
+
+    def drawn(n, size):
+        return [(1, a, a + rnd.choice((0, 1, 5, size))) for a in (rnd.randrange(-50, 30 * n) for _ in range(n))]
+
+    matches, claims = drawn(100_000, 40), drawn(50_000, 60) + [(1, 5000, 40_000)]
+    order = sorted((s, e) for _, s, e in claims)
+    starts, best, most = [s for s, _ in order], [], -(10**9)
+    for _, e in order:
+        best.append(most := max(most, e))
+    free = [m for m in matches if not ((k := bisect.bisect_left(starts, m[2])) and best[k - 1] > m[1])]
+    odd = [(None, 1, 9), (2, None, None), (3, 4, 4)]
+    table = spark.createDataFrame([(*m, "x") for m in matches + odd], "doc_id long, s long, e long, top string")
+    got = joins.drop_overlaps(table, spark.createDataFrame([*claims, (None, 0, 50), (2, 0, 9), (3, None, 5)], "doc_id long, s long, e long"))
+    assert got.columns == ["doc_id", "s", "e", "top"]
+    assert sorted(((r.doc_id, r.s, r.e) for r in got.collect()), key=repr) == sorted(free + odd, key=repr)
+
+
+def test_written_index(spark, tmp_path):
+    """Lookups equal a search of the texts, and read one folder for each term and no other."""
+    from loomwork.operators import index
+
+    rows = [(k, f"word{k % 7} common x{k}", f"owner{k % 3}" if k % 4 else None) for k in range(500)] + [(None, "common word1", ""), (7, None, "common")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, owner string")
+    path = str(tmp_path / "index")
+    index.write_index(df, "doc_id", ["text", "owner"], path, buckets=32)
+    got = {r.key for r in index.find_in(spark, path, ["Common", "word1"], ["text"], buckets=32).collect()}
+    assert got == {k for k, t, _ in rows if t and {"common", "word1"} <= set(t.split())}
+    assert {r.key for r in index.find_in(spark, path, ["common", "owner2"], buckets=32).collect()} == {k for k, t, o in rows if o == "owner2" and t} and index.find_in(spark, path, ["none"], buckets=32).count() == 0
+    found = index.lookup(spark, path, ["word1"], buckets=32)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(token_bucket" in plan or "token_bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "EqualTo(token,word1)" in plan or "In(token, [word1])" in plan
+    assert len({f.split("token_bucket=")[1].split("/")[0] for f in found.inputFiles()}) == 1

@@ -94,10 +94,10 @@ def drop_overlaps(matches: DataFrame, claims: DataFrame, key: str = "doc_id", bl
 
     A match overlaps a claim if the greatest end of the claims that start before its own end is beyond its start: one
     sweep over the sorted edges. Edges are swept in blocks of positions, each on its own, so a document of very many spans
-    is spread over tasks; what a block hands to the later ones is its greatest end. Matches without a key or a place overlap nothing.
+    is spread over tasks; what a block hands to the later ones is its greatest end. Matches and claims without a key or a place overlap nothing.
     """
     at, kind, end, part, top, inner = fresh(matches, "edge", "is_claim", "claim_end", "block", "top", "inner")
-    own = claims.select(F.col(key).alias(key), F.col("s").alias(at), F.col("e").alias(end), F.lit(1).alias(kind)).where(F.col(key).isNotNull())
+    own = claims.select(F.col(key).alias(key), F.col("s").alias(at), F.col("e").alias(end), F.lit(1).alias(kind)).dropna()
     edges = matches.select("*", F.col("e").alias(at), F.lit(0).alias(kind)).unionByName(own, allowMissingColumns=True).withColumn(part, F.floor(F.col(at) / block))
     # a match goes before the claims that start where it ends
     within = Window.partitionBy(key, part).orderBy(at, kind).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -265,6 +265,28 @@ def x9_disambiguation(spark, sf_dir):
     return match.choose(rows, match.disambiguated(F.col("field_name"), F.col("label"), F.col("value")))
 
 
+@query(
+    """with o as (select o_orderkey as doc_id, o_custkey as c, o_orderkey % 3 as k from orders),
+  l as (select doc_id, c, k, unnest([1, 2, 3]) as line_no from o),
+  v as (select doc_id, line_no, case k when 0 then 'given_names' when 1 then 'loan_amount_requested' else 'employer_details' end as field_name,
+    case k when 0 then (['Ann ' || c, 'Acme Holdings of the North ' || c, 'Bo'])[line_no] when 1 then (['$' || c || '000,000,000', '$' || c, '$1'])[line_no] else (['Old Firm ' || c, 'New Firm Pty Ltd', 'Longest name of any firm ' || c])[line_no] end as value,
+    -- what the words of the line say: for 1000, against -2000
+    case k when 0 then ([0, -2000, 0])[line_no] when 1 then ([-2000, 1000, 0])[line_no] else ([-2000, 1000, -2000])[line_no] end as words from l),
+  r as (select *, row_number() over (partition by doc_id order by least(length(value), 200) + words desc, line_no) as n from v)
+select doc_id, field_name, value, 'ambiguous' as status from r where n = 1"""
+)
+def x9_other_rules(spark, sf_dir):
+    """A person's name against a company's, an amount that is asked for against one that is owed, this employer against a former one."""
+    rows = (
+        ("given_names", ("First name: ", "concat('Ann ', c)"), ("Name of business: ", "concat('Acme Holdings of the North ', c)"), ("Known as: ", "'Bo'")),
+        ("loan_amount_requested", ("Still owing on the loan: ", "concat('$', c, '000,000,000')"), ("Amount requested: ", "concat('$', c)"), ("Fee: ", "'$1'")),
+        ("employer_details", ("Previous employer: ", "concat('Old Firm ', c)"), ("Current employer: ", "'New Firm Pty Ltd'"), ("Employer of the spouse: ", "concat('Longest name of any firm ', c)")),
+    )
+    each = ", ".join(f"array({', '.join(f"named_struct('line_no', {n}, 'field_name', '{field}', 'value', {value}, 'label', '{label}')" for n, (label, value) in enumerate(lines, 1))})" for field, *lines in rows)
+    found = views.table(spark, sf_dir, "orders").selectExpr("o_orderkey as doc_id", "o_custkey as c", "cast(o_orderkey % 3 as int) + 1 as k").selectExpr("doc_id", f"explode(element_at(array({each}), k)) as r").select("doc_id", "r.*")
+    return match.choose(found, match.disambiguated(F.col("field_name"), F.col("label"), F.col("value")))
+
+
 @query(
     "select o_orderkey, '0' || lpad((o_custkey % 1000)::varchar, 3, '0') || ' 123 456' as phone, '1/2/' || (1950 + o_orderkey % 50) as date, '$' || o_custkey || '.50' as amount, 'Ann ' || o_custkey as name from orders"
 )

@@ -115,6 +115,33 @@ def m6_upsert_counts(spark, sf_dir):
     return m6_upsert_verified(spark, sf_dir).groupBy("action").agg(F.count("*").alias("n"))
 
 
+@query(
+    """with f as (select o_orderkey as id, (['bsb', 'date_of_birth', 'account_number', 'occupation'])[(o_orderkey % 4 + 1)::int] as name, o_custkey as c, o_orderstatus = 'F' as approved from orders),
+  v as (select *, case when c % 5 = 0 then '' when name = 'bsb' then lpad((c % 1000)::varchar, 3, '0') || case when c % 2 = 0 then '-' else '' end || '123'
+    when name = 'date_of_birth' then case c % 4 when 0 then '1980-02-' || (10 + c % 30) when 1 then (13 + c % 19) || '/02/1980' when 2 then (1 + c % 12) || '/11/1980' else 'soon' end
+    when name = 'account_number' then case when c % 3 = 0 then 'x' else '' end || (c * 1000) when c % 2 = 0 then 'any' end as value from f)
+select id, name, case when coalesce(value, '') = '' then 'empty' when name = 'occupation' then null
+  when case name when 'bsb' then regexp_matches(value, '^[0-9]{3}-[0-9]{3}$') when 'account_number' then regexp_matches(value, '^[0-9]{6,10}$')
+    else (c % 4 = 0 and 10 + c % 30 <= 29) or (c % 4 = 1 and 13 + c % 19 <= 29) or (c % 4 = 2 and 1 + c % 12 = 11) end then 'valid' when approved then 'protected_invalid' else 'invalid' end as verdict from v"""
+)
+def m7_critical_fields(spark, sf_dir):
+    """Branch and account numbers and dates of birth, which count whether or not day and month could be swapped; other fields have no verdict."""
+    from loomwork.operators.verify import critical_valid
+
+    f = views.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as id",
+        "element_at(array('bsb', 'date_of_birth', 'account_number', 'occupation'), cast(o_orderkey % 4 as int) + 1) as name",
+        "o_custkey as c",
+        "o_orderstatus = 'F' as approved",
+    )
+    value = (
+        "case when c % 5 = 0 then '' when name = 'bsb' then concat(lpad(c % 1000, 3, '0'), case when c % 2 = 0 then '-' else '' end, '123')"
+        " when name = 'date_of_birth' then case c % 4 when 0 then concat('1980-02-', 10 + c % 30) when 1 then concat(13 + c % 19, '/02/1980') when 2 then concat(1 + c % 12, '/11/1980') else 'soon' end"
+        " when name = 'account_number' then concat(case when c % 3 = 0 then 'x' else '' end, c * 1000) when c % 2 = 0 then 'any' end as value"
+    )
+    return merges.audit_critical(f.selectExpr("*", value), critical_valid(F.col("name"), F.col("value")), F.col("approved")).select("id", "name", F.when((F.col("name") != "occupation") | (F.col("verdict") == "empty"), F.col("verdict")).alias("verdict"))
+
+
 @query(
     """with f as (select o_orderkey as id, case when o_custkey % 5 = 0 then '' else lpad((o_custkey % 1000)::varchar, 3, '0') || case when o_custkey % 2 = 0 then '-' else '' end || '123' end as value, o_orderstatus = 'F' as approved from orders)
 select id, case when value = '' then 'empty' when regexp_matches(value, '^[0-9]{3}-[0-9]{3}$') then 'valid' when approved then 'protected_invalid' else 'invalid' end as verdict from f"""

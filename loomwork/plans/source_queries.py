@@ -41,6 +41,28 @@ def src2_bad_lines(spark, sf_dir):
     return turns_with_noise(spark, sf_dir)[1].agg(F.count("*").alias("bad"))
 
 
+@query(
+    """select o_orderkey as id, o_orderpriority as name, false as rejected from orders where o_orderkey % 9 > 0
+union all select null, null, true"""
+)
+def src3_index_scan(spark, sf_dir):
+    """Indexes as JSON arrays in many files: rows without an id are left out; an index with one malformed file is rejected as a whole."""
+    good, bad = shared(spark), shared(spark)
+    schema = StructType([StructField("id", LongType()), StructField("name", StringType())])
+    rows = views.table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderkey")).alias("id"), F.col("o_orderpriority").alias("name"), F.floor(F.col("o_orderkey") / 1000).alias("part"))
+    # each file is an array of the rows of one part, a thousand at most, over several lines
+    arrays = rows.groupBy("part").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(F.to_json(F.struct("id", "name"))), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.write.partitionBy("part").text(good)
+    arrays.union(spark.createDataFrame([(-1, '[{"id": 1')], "part long, value string")).write.partitionBy("part").text(bad)
+    try:
+        readers.read_index(spark, bad, schema, "id").write.format("noop").mode("overwrite").save()
+        rejected = False
+    except Exception as e:
+        rejected = "MALFORMED" in str(e)
+    mark = spark.createDataFrame([(None, None, rejected)], "id long, name string, rejected boolean")
+    return readers.read_index(spark, good, schema, "id").select("id", "name", F.lit(False).alias("rejected")).unionByName(mark)
+
+
 @query("select c_custkey as id, case when regexp_matches(c_mktsegment, '^[=+\\-@]') then '''' || c_mktsegment else c_mktsegment end as segment from customer")
 def src5_csv_round_trip(spark, sf_dir):
     path = shared(spark)

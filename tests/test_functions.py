@@ -247,6 +247,8 @@ def test_overlaps_of_very_many_spans(spark):
     import bisect
     import random
 
+    from loomwork.operators import joins
+
     rnd = random.Random(5)
 
     def drawn(n, size):

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import checks
 from loomwork.functions.dates import dob_reliable, let
+from loomwork.functions.text import extension
 from loomwork.functions.vocabulary import INSTRUCTION_WORDS, LABEL_WORDS, SINGLE_LABELS, STOP_WORDS, STREET_PHRASES, STREET_WORDS
 
 LABELS = tuple(LABEL_WORDS)
@@ -295,6 +296,63 @@ def curation(files: DataFrame) -> DataFrame:
     return files.withColumn("stage", stage)
 
 
+#: First bytes, in hex, of files whose extension can be told by them; the offset in bytes, the extension, and others that say the same.
+TRUE_EXTENSIONS = (
+    ("89504E47", 0, "png", ()),
+    ("FFD8FF", 0, "jpg", ("jpeg",)),
+    ("424D", 0, "bmp", ()),
+    ("49492A00", 0, "tif", ("tiff",)),
+    ("4D4D002A", 0, "tif", ("tiff",)),
+    ("57454250", 8, "webp", ()),
+    ("25504446", 0, "pdf", ()),
+    ("7B5C727466", 0, "rtf", ()),
+)
+
+
+def proposed_extension(path: Column, head: Column) -> Column:
+    """The extension that a file's first bytes ask for, if it has another one; else null."""
+    h, own = F.hex(head), F.ltrim(extension(path), F.lit("."))
+    out = F.lit(None).cast("string")
+    for magic, at, name, alike in reversed(TRUE_EXTENSIONS):
+        here = (F.substring(h, 2 * at + 1, len(magic)) == magic) & (F.startswith(h, F.lit("52494646")) if name == "webp" else F.lit(True))
+        out = F.when(here, F.when(~own.isin(name, *alike), name)).otherwise(out)
+    return out
+
+
+def rename_plan(files: DataFrame) -> DataFrame:
+    """from, to, reason of files (path, head) whose extension is not that of their content; no two names are the same.
+
+    A file keeps its stem; where the name is taken, by any file of the listing or by an earlier one of the plan, ~1, ~2 and so on follow
+    the stem, the least number that is free. Paths are told apart without regard to case, as some file systems do. Files that
+    are renamed count as there, so the moves can be made in any order and undone.
+    """
+    pattern = r"^(.*?)(?:~(\d{1,9}))?(\.[^./]*)?$"
+
+    def parts(path: Column) -> list[Column]:
+        number = F.regexp_extract(path, pattern, 2)
+        # a number with a leading nought is part of the stem
+        odd = number.rlike("^0")
+        stem = F.regexp_extract(path, pattern, 1)
+        return [F.when(odd, F.concat(stem, F.lit("~"), number)).otherwise(stem), F.when(odd | (number == ""), 0).otherwise(number.cast("int"))]
+
+    listing = files.select("path", "head").dropDuplicates(["path"]).withColumn("new", proposed_extension(F.col("path"), F.col("head"))).drop("head")
+    stem, number = parts(F.col("path"))
+    rows = listing.select("path", "new", stem.alias("stem"), number.alias("number"), F.ltrim(extension(F.col("path")), F.lit(".")).alias("old"))
+    moved = rows.where("new is not null").withColumn("group", F.lower(F.concat_ws(".", "stem", "new")))
+    there = rows.select(F.lower(F.concat_ws(".", "stem", "old")).alias("group"), "number").distinct()
+    # the first of a group that asks for a number that no file has gets it
+    asked = moved.join(there.withColumn("taken", F.lit(True)), ["group", "number"], "left")
+    first = F.row_number().over(Window.partitionBy("group", "number").orderBy("path"))
+    asked = asked.withColumn("gets", F.col("taken").isNull() & (first == 1)).drop("taken")
+    used = there.join(moved.select("group").distinct(), "group", "left_semi").unionByName(asked.where("gets").select("group", "number")).groupBy("group").agg(F.array_sort(F.collect_set("number")).alias("used"))
+    # the n-th of the others gets the n-th free number: n - 1 and one more for each used number up to there
+    rest = asked.where("not gets").withColumn("n", F.row_number().over(Window.partitionBy("group").orderBy("path"))).join(used, "group", "left")
+    free = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("n") - 1, lambda k, u: F.when(u <= k, k + 1).otherwise(k))
+    named = asked.where("gets").drop("gets").unionByName(rest.withColumn("number", free.cast("int")).select("path", "new", "stem", "number", "old", "group"))
+    target = F.concat("stem", F.when(F.col("number") > 0, F.concat(F.lit("~"), F.col("number").cast("string"))).otherwise(""), F.lit("."), "new")
+    return named.select(F.col("path").alias("from"), target.alias("to"), F.concat(F.lit("."), F.when(F.col("old") == "", "(none)").otherwise(F.col("old")), F.lit(" -> ."), "new").alias("reason"))
+
+
 def judge_labels(labels: DataFrame, least: float = 0.85) -> DataFrame:
     """Labels with fails: a photo or blank page without text, surely enough."""
     return labels.withColumn("fails", F.col("kind").isin("photo", "blank") & ~F.col("has_text") & (F.col("confidence") >= least))

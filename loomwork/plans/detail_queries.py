@@ -402,6 +402,39 @@ def v12_dates(spark, sf_dir):
     return views.table(spark, sf_dir, "orders").select("o_orderkey", dates.dob_reliable(raw).alias("reliable"), dates.dob_key(raw).alias("key"))
 
 
+RENAMED = """f as (select distinct '/in/d' || (c_custkey % 5) || '/f' || (c_custkey % 7) || (['', '~1', '~2', '~07'])[(c_custkey % 4 + 1)::int] || (['.pdf', '.PNG', '.txt', '', '.jpeg', '.jpg'])[(c_custkey % 6 + 1)::int] as path, c_custkey % 7 as k from customer),
+  p as (select path, (['png', 'pdf', 'jpg', null])[(k % 4 + 1)::int] as kind, lower(regexp_extract(path, '(\\.[^.]+)$', 1))[2:] as old, regexp_extract(path, '^([^.~]*(~07)?)', 1) as stem, coalesce(try_cast(regexp_extract(path, '~([1-9])', 1) as int), 0) as number from f),
+  r as (select *, lower(stem || '.' || old) as there, lower(stem || '.' || kind) as grp, kind is not null and old <> kind and not (kind = 'jpg' and old = 'jpeg') as moves from p),
+  a as (select m.*, row_number() over (partition by grp, number order by path) = 1 and not exists (select 1 from r x where x.there = m.grp and x.number = m.number) as gets from r m where moves),
+  u as (select grp, list(distinct number) as used from (select there as grp, number from r union all select grp, number from a where gets) group by 1),
+  t as (select a.path, a.stem, a.kind, a.old, case when gets then number else (list_filter(range(0, (n + len(coalesce(used, [])))::bigint), lambda x: not list_contains(coalesce(used, []), x)))[n] end as number
+    from (select *, row_number() over (partition by grp, gets order by path) as n from a) a left join u using (grp)),
+  o as (select path as "from", stem || case when number > 0 then '~' || number else '' end || '.' || kind as "to", '.' || case when old = '' then '(none)' else old end || ' -> .' || kind as reason from t)"""
+
+
+@query(f'with {RENAMED} select "from", "to", reason from o')
+def v16_rename_plan(spark, sf_dir):
+    """Files whose bytes ask for another extension, with names that are free in the whole listing."""
+    return verify.rename_plan(renamed_files(spark, sf_dir))
+
+
+def renamed_files(spark, sf_dir):
+    c = views.table(spark, sf_dir, "customer").selectExpr(
+        "concat('/in/d', c_custkey % 5, '/f', c_custkey % 7, element_at(array('', '~1', '~2', '~07'), cast(c_custkey % 4 as int) + 1), element_at(array('.pdf', '.PNG', '.txt', '', '.jpeg', '.jpg'), cast(c_custkey % 6 as int) + 1)) as path",
+        "element_at(array(X'89504E470D0A', X'255044462D31', X'FFD8FFE0', cast('text' as binary)), cast(c_custkey % 7 % 4 as int) + 1) as head",
+    )
+    return c.distinct()
+
+
+@query(f'with {RENAMED} select "to" as "from", "from" as "to" from o')
+def v24_undone_renames(spark, sf_dir):
+    """The plan's inverse, over the listing that it leaves: every old name comes back."""
+    files = renamed_files(spark, sf_dir)
+    plan = verify.rename_plan(files).select(F.col("from").alias("path"), F.col("to").alias("target"))
+    after = files.select("path").join(plan.select("path"), "path", "left_anti").union(plan.select("target"))
+    return verify.restore_plan(plan, after)
+
+
 @query(
     """select event_id, case event_id % 8 when 0 then 'pdf' when 1 then 'image' when 2 then 'text' when 3 then 'program' when 4 then 'text' when 5 then case when event_id % 3 = 0 then 'text' else 'binary' end when 6 then 'binary' else 'empty' end as kind from events"""
 )

@@ -122,7 +122,7 @@ def m6_upsert_counts(spark, sf_dir):
     when name = 'account_number' then case when c % 3 = 0 then 'x' else '' end || (c * 1000) when c % 2 = 0 then 'any' end as value from f)
 select id, name, case when coalesce(value, '') = '' then 'empty' when name = 'occupation' then null
   when case name when 'bsb' then regexp_matches(value, '^[0-9]{3}-[0-9]{3}$') when 'account_number' then regexp_matches(value, '^[0-9]{6,10}$')
-    else (c % 4 = 0 and 10 + c % 30 <= 29) or (c % 4 = 1 and 13 + c % 19 <= 29) or (c % 4 = 2 and 1 + c % 12 = 11) end then 'valid' when approved then 'protected_invalid' else 'invalid' end as verdict from v"""
+    else (c % 4 = 0 and 10 + c % 30 <= 29) or (c % 4 = 1 and 13 + c % 19 <= 29) or c % 4 = 2 end then 'valid' when approved then 'protected_invalid' else 'invalid' end as verdict from v"""
 )
 def m7_critical_fields(spark, sf_dir):
     """Branch and account numbers and dates of birth, which count whether or not day and month could be swapped; other fields have no verdict."""

@@ -283,3 +283,20 @@ def test_written_index(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(token_bucket" in plan or "token_bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "EqualTo(token,word1)" in plan or "In(token, [word1])" in plan
     assert len({f.split("token_bucket=")[1].split("/")[0] for f in found.inputFiles()}) == 1
+
+
+def test_renames(spark):
+    """No two names are the same, in any case of letters, nor one that is there; the inverse restores every name."""
+    png, pdf = b"\x89PNG....", b"%PDF-1.7"
+    files = {"/a/x.txt": png, "/a/x.pdf": png, "/a/X.png": png, "/a/x~1.gif": png, "/a/x~2.png": b"text", "/a/y": pdf, "/a/y.pdf": b"no", "/a/ok.jpeg": b"\xff\xd8\xff\xe0", "/a/w": b"RIFF....WEBPVP8", "/a/r": b"RIFF....WAVE", "/b.c/z": png, "/a/.h": png, "/a/none": b"", "/a/null": None, "/a/q~01.x": png}
+    df = spark.createDataFrame([(p, bytearray(h) if h is not None else None, "x") for p, h in files.items()], "path string, head binary, number string")
+    got = {r["from"]: r["to"] for r in verify.rename_plan(df).collect()}
+    assert set(got) == {"/a/x.txt", "/a/x.pdf", "/a/x~1.gif", "/a/y", "/a/w", "/b.c/z", "/a/.h", "/a/q~01.x"}
+    assert got["/a/x~1.gif"] == "/a/x~1.png" and got["/a/y"] == "/a/y~1.pdf" and got["/b.c/z"] == "/b.c/z.png" and got["/a/q~01.x"] == "/a/q~01.png"
+    assert sorted((got["/a/x.txt"], got["/a/x.pdf"])) == ["/a/x~3.png", "/a/x~4.png"]
+    after = [*(set(files) - set(got)), *got.values()]
+    assert len({x.lower() for x in after}) == len(files)
+    plan = spark.createDataFrame(list(got.items()), "path string, target string")
+    back = {r["from"]: r["to"] for r in verify.restore_plan(plan, spark.createDataFrame([(x,) for x in after], "path string")).collect()}
+    assert {back.get(x, x) for x in after} == set(files)
+    assert verify.rename_plan(df.limit(0)).count() == 0

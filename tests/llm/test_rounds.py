@@ -12,7 +12,7 @@ import pytest
 from conftest import LONG
 from tokenizers import Tokenizer
 
-from loomwork.llm import bpe, centroids, turns
+from loomwork.llm import bpe, centroids, toxicity, turns
 
 FOLDER = "/root/testdata/sf0.01"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -195,3 +195,20 @@ def test_tokens(spark, edge_docs, no_docs):
     tokens = bpe.encode(edge_docs)
     assert sorted(((r.doc_id, r.text) for r in bpe.decode(tokens).collect()), key=repr) == sorted(((r.doc_id, r.text or "") for r in edge_docs.collect()), key=repr)
     assert bpe.report(no_docs).count() == 0 == bpe.encode(no_docs).count()
+
+
+def test_toxicity_is_its_plain_version(spark):
+    """Every row of the query over 300 documents: features, choice, training and scores by plain loops."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 300").select("doc_id", "text")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").select("doc_id", "toxic")
+    toxic = "you are a vile brute and a filthy liar"
+    more = [(1000 + k, f"A quiet report number {k}. Nothing else{'! ' + toxic + f' {k}' if k % 3 == 0 else ''}.\n") for k in range(60)]
+    table = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    marks = labels.unionByName(spark.createDataFrame([(i, int(toxic in t)) for i, t in more], "doc_id long, toxic int").withColumn("toxic", toxicity.F.col("toxic").cast(labels.schema["toxic"].dataType)))
+    want = brute.op7([tuple(r) for r in table.collect()], [tuple(r) for r in marks.collect()])
+    got = toxicity.report(table, marks).collect()
+    assert len(got) == len(want) >= 300 and sum(s > 0.3 for _, s, _ in want.values()) >= 20
+    for r in got:
+        held, score, worst = want[r.doc_id]
+        assert r.held_out == held and abs(r.score - score) < 1e-6 and r.predicted == int(r.score >= 0.3)
+        assert score == 0 or r.worst_sentence == worst

@@ -76,6 +76,27 @@ def src6_whole_texts(spark, sf_dir):
     return readers.capped(views.table(spark, sf_dir, "documents")).select("doc_id", "truncated", F.length("text").cast("long").alias("n"))
 
 
+@query(
+    """with c as (select conv_id % 30 as bucket, conv_id % 3 as kind, conv_id, turn, text from conversations),
+  t as (select bucket, kind, string_agg(replace(text, chr(10), ' ') || chr(10), '' order by conv_id, turn) as whole from c group by all)
+select bucket, ['txt', 'json', 'xml'][kind + 1] as kind, ['UTF-8', 'UTF-16LE', 'UTF-8'][kind + 1] as charset, kind = 0 and length(whole) > 1000 as truncated, md5(case when kind = 0 then left(whole, 1000) else whole end) as digest from t"""
+)
+def src6_text_files(spark, sf_dir):
+    """Turns written as text, as JSON lines in UTF-16 and as XML, and the files read back; text files up to 1,000 characters."""
+    place = shared(spark)
+    turns = views.table(spark, sf_dir, "conversations").select((F.col("conv_id") % 30).alias("bucket"), "conv_id", "turn", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
+    turns = turns.repartition("bucket").sortWithinPartitions("bucket", "conv_id", "turn")
+    turns.where("bucket % 3 = 0").select("bucket", "text").write.partitionBy("bucket").text(f"{place}/txt")
+    turns.where("bucket % 3 = 1").write.partitionBy("bucket").option("encoding", "UTF-16LE").json(f"{place}/json")
+    turns.where("bucket % 3 = 2").write.partitionBy("bucket").option("rowTag", "turn").format("xml").save(f"{place}/xml")
+    bucket = F.regexp_extract("path", r"bucket=(\d+)/", 1).cast("long").alias("bucket")
+    plain = readers.read_texts(spark, f"{place}/txt", 1000).select(bucket, F.lit("txt").alias("kind"), "charset", "truncated", "text")
+    lines = readers.read_texts(spark, f"{place}/json").select(bucket, F.lit("json").alias("kind"), "charset", "truncated", F.transform(F.split(F.rtrim("text"), "\n"), lambda x: F.concat(F.get_json_object(x, "$.text"), F.lit("\n"))).alias("rows"))
+    tags = readers.read_texts(spark, f"{place}/xml").select(bucket, F.lit("xml").alias("kind"), "charset", "truncated", F.transform(F.regexp_extract_all("text", F.lit("(?s)<text>(.*?)</text>"), F.lit(1)), lambda x: F.concat(x, F.lit("\n"))).alias("rows"))
+    joined = lines.unionByName(tags).withColumn("text", F.array_join("rows", "")).drop("rows")
+    return plain.unionByName(joined).withColumn("digest", F.md5("text")).drop("text")
+
+
 @query("select distinct '/d/' || c_mktsegment || '.pdf' as path from customer where c_custkey % 2 = 0")
 def src7_path_list(spark, sf_dir):
     path = shared(spark)

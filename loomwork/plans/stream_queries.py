@@ -253,6 +253,33 @@ def st5_incremental_extraction(spark, sf_dir):
     return spark.read.parquet(f"{place}/out").where(F.col("field_name").isin(kept)).select("doc_id", "field_name", "value")
 
 
+@query(
+    """with p as (select c_custkey as doc_id, lower(c_mktsegment) as given, 'fam' || (c_custkey % 97) as family, c_custkey % 4 = 0 as born from customer)
+select sha256(family || '|' || given || '|19800214')[1:16] as identity_id, count(*) as documents, min(doc_id) as first_document from p where born group by 1
+union all select 'unassigned', count(*), min(doc_id) from p where not born"""
+)
+def st5_identity_folders(spark, sf_dir):
+    """The same people from three batches of forms, by fields in folders of identities: a batch reads the folders of its own people."""
+    place = shared(spark)
+
+    def people(fields: DataFrame) -> DataFrame:
+        wide = fields.groupBy("doc_id").pivot("field_name", ["family_name", "given_names", "date_of_birth"]).agg(F.min("value"))
+        return wide.select("doc_id", identity_id(F.col("family_name"), F.col("given_names"), F.col("date_of_birth")).alias("identity_id")).where("identity_id is not null")
+
+    def refresh(fields: DataFrame) -> DataFrame:
+        return fields.groupBy("identity_id").agg(F.count_distinct("doc_id").alias("documents"), F.min("doc_id").alias("first_document"))
+
+    in_waves(
+        views.forms(spark, sf_dir),
+        [F.col("doc_id") % 3 == k for k in range(3)],
+        lambda stream: jobs.identity_stream(stream, lambda batch: extract_fields(batch, "2025-06-30"), people, refresh, place, f"{place}/log", buckets=8),
+    )
+    rest = spark.read.parquet(f"{place}/unassigned").select("doc_id").distinct()
+    return spark.read.parquet(f"{place}/people").select("identity_id", "documents", "first_document").unionByName(
+        rest.agg(F.lit("unassigned").alias("identity_id"), F.count("*").alias("documents"), F.min("doc_id").alias("first_document"))
+    )
+
+
 @query(
     """with p as (select c_custkey as doc_id, lower(c_mktsegment) as given, 'fam' || (c_custkey % 97) as family from customer where c_custkey % 4 = 0)
 select sha256(family || '|' || given || '|19800214')[1:16] as identity_id, count(*) as documents from p group by 1"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -48,10 +48,49 @@ def capped(rows: DataFrame, cap: int | None = None) -> DataFrame:
     return rows.withColumn("truncated", F.length("text") > cap).withColumn("text", F.substring("text", 1, cap))
 
 
-def read_texts(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
-    """path, text and truncated of whole files."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-    return capped(rows, cap)
+def charset(content: Column) -> Column:
+    """UTF-8, UTF-16LE, UTF-16BE or ISO-8859-1, by byte order mark, noughts beside letters, and whether the bytes are UTF-8."""
+    h = F.hex(F.substring(content, F.lit(1), F.lit(4)))
+    return (
+        F.when(F.startswith(h, F.lit("FFFE")) | h.rlike("^(?!00)..00(?!00)..00$"), "UTF-16LE")
+        .when(F.startswith(h, F.lit("FEFF")) | h.rlike("^00(?!00)..00(?!00)..$"), "UTF-16BE")
+        .when(F.is_valid_utf8(content.cast("string")), "UTF-8")
+        .otherwise("ISO-8859-1")
+    )
+
+
+def decoded(content: Column, named: Column) -> Column:
+    """Bytes in one of these character sets as text, without a byte order mark; any bytes have a text.
+
+    In UTF-16 a last odd byte is left out, and halves of pairs that stand alone become U+FFFD.
+    """
+    h = F.hex(content)
+    big = F.when(named == "UTF-16LE", F.regexp_replace(h, "(..)(..)", "$2$1")).otherwise(h)
+    units = F.regexp_replace(F.substring(big, F.lit(1), F.length(big) - F.length(big) % 4), "(....)", "$1 ")
+    whole = F.regexp_replace(F.regexp_replace(units, "D[89AB].. (?!D[C-F])", "FFFD "), "(?<!D[89AB].. )D[C-F].. ", "FFFD ")
+    wide = F.decode(F.unhex(F.replace(whole, F.lit(" "), F.lit(""))), "UTF-16BE")
+    text = F.when(named == "ISO-8859-1", F.decode(content, "ISO-8859-1")).when(named == "UTF-8", content.cast("string")).otherwise(wide)
+    return F.regexp_replace(text, "^\ufeff", "")
+
+
+def read_texts(spark: SparkSession, path: str, cap: int | None = None, allowed: list[str] | None = None) -> DataFrame:
+    """path, text, truncated and charset of whole files, of some extensions if given.
+
+    With a cap only the bytes that its characters can take are decoded. Files without any byte are left out, as Spark's source does.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    rows = files.where(extension(F.col("path")).isin(allowed)) if allowed else files
+    held, more = F.col("content"), F.lit(False)
+    if cap is not None:
+        # four bytes hold a character, and four the mark; a character that is cut off by this is beyond the cap
+        room = 4 * cap + 4
+        head = F.substring(held, F.lit(1), F.lit(room))
+        cut = F.length(F.regexp_extract(F.hex(head), "([CD].|E.(?:[89AB].)?|F[0-7](?:[89AB].){0,2})$", 1)) / 2
+        more = F.col("length") > room
+        held = F.when(more & F.is_valid_utf8(F.substring(head, F.lit(1), (room - cut).cast("int")).cast("string")), F.substring(head, F.lit(1), (room - cut).cast("int"))).otherwise(head)
+    rows = rows.select("path", held.alias("content"), more.alias("more")).withColumn("charset", charset(F.col("content")))
+    rows = capped(rows.withColumn("text", decoded(F.col("content"), F.col("charset"))), cap)
+    return rows.select("path", "text", (F.col("truncated") | F.col("more")).alias("truncated"), "charset")
 
 
 def read_path_list(spark: SparkSession, path: str, allowed: list[str]) -> DataFrame:

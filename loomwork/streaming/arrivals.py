@@ -19,7 +19,7 @@ UNFINISHED = r"^[.~]|\.(part|partial|tmp|crdownload)$"
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """path, modified, bytes of the files below a folder; contents are not read. No folder has no files."""
+    """path, modified, bytes of the files below a folder; contents are not read. No folder has no files; files without any byte are left out."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], "path string, modified timestamp, bytes long")

@@ -197,6 +197,42 @@ def hourly(events: DataFrame, at: str, kind: str) -> DataFrame:
     return timed.groupBy(F.window(at, "1 hour").alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), kind, "n")
 
 
+PEOPLE_BUCKET = "identity_bucket"
+
+
+def identity_stream(
+    stream: DataFrame, extract: Callable[[DataFrame], DataFrame], name: Callable[[DataFrame], DataFrame], refresh: Callable[[DataFrame], DataFrame], place: str, checkpoint: str, buckets: int = 256
+) -> StreamingQuery:
+    """Extracts the fields of new documents, and makes the rows of the identities that they touch anew.
+
+    extract(documents) gives fields with doc_id; name(fields) gives doc_id and identity_id of the documents that name a person;
+    refresh(fields with identity_id) gives a row for each identity. Fields lie below `place`/fields in folders by a hash of their
+    identity, and within them by batch; a batch reads the folders alone that its own identities fall in, so what it reads grows
+    with its people's documents and not with the number of batches before. The refreshed rows replace the bucket's earlier ones below `place`/people;
+    fields of documents without an identity are kept below `place`/unassigned. A repeated batch writes the same again.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        found = extract(batch)
+        fresh_fields = f"{place}/extracted/batch={number}"
+        found.write.mode("overwrite").parquet(fresh_fields)
+        own = spark.read.schema(found.schema).parquet(fresh_fields)
+        people = own.join(name(own).select("doc_id", "identity_id"), "doc_id", "left")
+        bucket = F.pmod(F.xxhash64("identity_id"), F.lit(buckets)).cast("int")
+        people.where("identity_id is null").drop("identity_id").write.mode("overwrite").parquet(f"{place}/unassigned/batch={number}")
+        named = people.where("identity_id is not null").withColumn(PEOPLE_BUCKET, bucket).withColumn("batch", F.lit(number))
+        # replaces the folders of this batch and bucket, and no others
+        named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PEOPLE_BUCKET, "batch").parquet(f"{place}/fields")
+        touched = [r[0] for r in named.select(PEOPLE_BUCKET).distinct().collect()]  # `buckets` at most
+        every = spark.read.schema(named.schema).parquet(f"{place}/fields").where(F.col(PEOPLE_BUCKET).isin(touched) & (F.col("batch") <= number))
+        rows = refresh(every.drop(PEOPLE_BUCKET, "batch")).withColumn(PEOPLE_BUCKET, bucket)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PEOPLE_BUCKET).parquet(f"{place}/people")
+        delete(spark, fresh_fields)
+
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def extract_stream(
     stream: DataFrame, extract: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, refresh: Callable[[DataFrame, DataFrame], DataFrame] | None = None, identities: str = ""
 ) -> StreamingQuery:

@@ -181,3 +181,28 @@ def test_lease_history_is_the_stream(spark, tmp_path):
     want = sorted(map(tuple, jobs.lease_history(table, mark).collect()))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == want
     assert (2, "failed", 3, "lease_over") in [tuple(r) for r in jobs.lease_history(table, mark + 10**6).collect()]
+
+
+def test_identity_folders(spark, tmp_path):
+    """A repeated batch changes nothing; what a batch reads is its own people's folders."""
+    import shutil
+
+    def fields(batch):
+        return batch.selectExpr("job_id as doc_id", "'name' as field_name", "event as value")
+
+    def name(own):
+        return own.where("value <> 'none'").selectExpr("doc_id", "value as identity_id")
+
+    read = []
+
+    def refresh(every):
+        read.append(sorted({r.identity_id for r in every.collect()}))
+        return every.groupBy("identity_id").agg(F.count("*").alias("n"))
+
+    stream = events(spark, str(tmp_path / "in"), [[(1, "ann", 0), (2, "bo", 0), (3, "none", 0)], [(4, "ann", 0), (5, "ann", 0)], [(6, "cy", 0)]])
+    for _ in range(2):
+        jobs.identity_stream(stream, fields, name, refresh, str(tmp_path / "place"), str(tmp_path / "log"), buckets=64).awaitTermination()
+        assert sorted((r.identity_id, r.n) for r in spark.read.parquet(str(tmp_path / "place" / "people")).collect()) == [("ann", 3), ("bo", 1), ("cy", 1)]
+        assert [r.doc_id for r in spark.read.parquet(str(tmp_path / "place" / "unassigned")).collect()] == [3]
+        shutil.rmtree(tmp_path / "log" / "commits")
+    assert read == [["ann", "bo"], ["ann"], ["cy"], ["cy"]]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import checks
 from loomwork.functions.dates import dob_reliable, let
+from loomwork.functions.names import fresh
 from loomwork.functions.text import extension
 from loomwork.functions.vocabulary import INSTRUCTION_WORDS, LABEL_WORDS, SINGLE_LABELS, STOP_WORDS, STREET_PHRASES, STREET_WORDS
 
@@ -140,10 +141,15 @@ def trim_labels(c: Column) -> Column:
 
 
 def verify_records(fields: DataFrame) -> DataFrame:
-    """fields with verif (ok, cjk, junk) and reason."""
-    cjk = F.col("value").rlike(r"[぀-ヿ一-鿿가-힯]")
-    why = sanity(F.col("field_name"), F.col("value"))
-    return fields.withColumn("reason", F.when(cjk, F.lit(None)).otherwise(why)).withColumn("verif", F.when(cjk, "cjk").when(why.isNotNull(), "junk").otherwise("ok"))
+    """fields with verif (ok, cjk, junk) and reason. The same value of a field is judged once, however many rows have it."""
+    name, value, why, state = fresh(fields, "judged_name", "judged_value", "judged_reason", "judged_verif")
+    pairs = fields.select(F.col("field_name").alias(name), F.col("value").alias(value)).distinct()
+    cjk, found = F.col(value).rlike(r"[぀-ヿ一-鿿가-힯]"), sanity(F.col(name), F.col(value))
+    judged = pairs.withColumn(why, found).select(
+        name, value, F.when(cjk, F.lit(None)).otherwise(F.col(why)).alias(why), F.when(cjk, "cjk").when(F.col(why).isNotNull(), "junk").otherwise("ok").alias(state)
+    )
+    same = F.col("field_name").eqNullSafe(F.col(name)) & F.col("value").eqNullSafe(F.col(value))
+    return fields.join(judged, same, "left").withColumn("reason", F.col(why)).withColumn("verif", F.col(state)).drop(name, value, why, state)
 
 
 def verify_stats(verified: DataFrame) -> DataFrame:

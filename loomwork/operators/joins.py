@@ -89,24 +89,21 @@ def apply_verdicts(fields: DataFrame, verdicts: DataFrame, keys: list[str]) -> D
     ).drop("new_value")
 
 
-def drop_overlaps(matches: DataFrame, claims: DataFrame, key: str = "doc_id", block: int = 4096) -> DataFrame:
+def drop_overlaps(matches: DataFrame, claims: DataFrame, key: str = "doc_id") -> DataFrame:
     """Matches (key, s, e) that overlap no claim (key, s, e) of the same document.
 
     A match overlaps a claim if the greatest end of the claims that start before its own end is beyond its start: one
-    sweep over the sorted edges. Edges are swept in blocks of positions, each on its own, so a document of very many spans
-    is spread over tasks; what a block hands to the later ones is its greatest end. Matches and claims without a key or a place overlap nothing.
+    sweep over the sorted edges of a document, whose text is a single row before, with one shuffle and no list of spans. Matches and
+    claims without a key or a place overlap nothing.
     """
-    at, kind, end, part, top, inner = fresh(matches, "edge", "is_claim", "claim_end", "block", "top", "inner")
+    at, kind, end = fresh(matches, "edge", "is_claim", "claim_end")
     own = claims.select(F.col(key).alias(key), F.col("s").alias(at), F.col("e").alias(end), F.lit(1).alias(kind)).dropna()
-    edges = matches.select("*", F.col("e").alias(at), F.lit(0).alias(kind)).unionByName(own, allowMissingColumns=True).withColumn(part, F.floor(F.col(at) / block))
+    edges = matches.select("*", F.col("e").alias(at), F.lit(0).alias(kind)).unionByName(own, allowMissingColumns=True)
     # a match goes before the claims that start where it ends
-    within = Window.partitionBy(key, part).orderBy(at, kind).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = edges.groupBy(F.col(key).alias(inner), F.col(part).alias(top)).agg(F.max(end).alias(end))
-    before = blocks.select(inner, top, F.max(end).over(Window.partitionBy(inner).orderBy(top).rowsBetween(Window.unboundedPreceding, -1)).alias(end))
-    swept = edges.withColumn(at, F.max(end).over(within)).where(F.col(kind) == 0).drop(end)
-    joined = swept.join(before, (F.col(key) == F.col(inner)) & (F.col(part) == F.col(top)), "left")
-    taken = F.col(key).isNotNull() & (F.greatest(at, end) > F.col("s"))
-    return joined.where(~F.coalesce(taken, F.lit(False))).select(*matches.columns)
+    before = Window.partitionBy(key).orderBy(at, kind).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = edges.withColumn(at, F.max(end).over(before)).where(F.col(kind) == 0)
+    taken = F.col(key).isNotNull() & (F.col(at) > F.col("s"))
+    return swept.where(~F.coalesce(taken, F.lit(False))).select(*matches.columns)
 
 
 def longest_prefix(df: DataFrame, digits: Column, prefixes: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loomwork.streaming.keytable import ensure
+
 CLAIMS = "path string, modified timestamp, bytes long, poll int"
 #: Names of files that are hidden or not complete.
 UNFINISHED = r"^[.~]|\.(part|partial|tmp|crdownload)$"
@@ -30,9 +32,7 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 
 def claims(spark: SparkSession, place: str) -> DataFrame:
     """All claims so far."""
-    # an empty write makes the table where there is none
-    spark.createDataFrame([], CLAIMS).drop("poll").write.mode("append").parquet(f"{place}/claims")
-    return spark.read.schema(CLAIMS).parquet(f"{place}/claims")
+    return spark.read.schema(CLAIMS).parquet(ensure(spark, f"{place}/claims"))
 
 
 def poll(spark: SparkSession, path: str, place: str, number: int, seconds: int = 10, now: datetime | None = None) -> DataFrame:

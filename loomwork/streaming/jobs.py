@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StringType, StructField, TimestampType
 
 from loomwork.functions.names import fresh
-from loomwork.streaming.keytable import KeyTable, delete
+from loomwork.streaming.keytable import KeyTable, delete, ensure
 
 
 def once(stream: DataFrame, key: str, at: str, within: str = "1 day") -> DataFrame:
@@ -68,8 +68,7 @@ def first_or_rejected(
         numbered.write.mode("overwrite").parquet(taken)
         rows = spark.read.schema(numbered.schema).parquet(taken)
         # one row for each batch
-        spark.createDataFrame([], f"{mark} timestamp, batch int").write.mode("append").parquet(marks)
-        newest = spark.read.schema(f"{mark} timestamp, batch int").parquet(marks).where(F.col("batch") < number).agg(F.max(mark)).first()[0]
+        newest = spark.read.schema(f"{mark} timestamp, batch int").parquet(ensure(spark, marks)).where(F.col("batch") < number).agg(F.max(mark)).first()[0]
         late = F.coalesce(F.col(at) < F.lit(newest).cast("timestamp") - F.expr(f"interval {within}"), F.lit(False))
         old = F.lit(newest).cast("timestamp") - F.expr(f"interval {keep}")
         own = F.col(outcome).cast("string") if outcome else F.lit(None).cast("string")

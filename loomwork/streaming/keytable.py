@@ -21,6 +21,13 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def ensure(spark: SparkSession, path: str) -> str:
+    """Makes the folder of a table that may have no rows yet; unlike an empty write, this may happen while others write below it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    return path
+
+
 class KeyTable:
     """Rows (key, values) below `path`; `keep` says which rows a new base takes over."""
 
@@ -34,9 +41,7 @@ class KeyTable:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
     def _read(self, kind: str) -> DataFrame:
-        # an empty write makes the table where there is none
-        self.spark.createDataFrame([], self.schema).write.mode("append").parquet(f"{self.path}/{kind}")
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{kind}")
+        return self.spark.read.schema(self.schema).parquet(ensure(self.spark, f"{self.path}/{kind}"))
 
     def _before(self, number: int, base: int) -> DataFrame:
         old = self._read("base").where(F.col(EPOCH) == base)

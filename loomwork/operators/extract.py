@@ -94,7 +94,11 @@ ABN_WORDS, BSB_WORDS, DOB_WORDS = ("abn",), ("bsb", "branch"), ("dob", "birth",
 
 
 def words_before(before: Column) -> Column:
-    """Lower-case words of what stands before a value; dots inside abbreviations are dropped."""
+    """Lower-case words of what stands before a value; dots inside abbreviations are dropped.
+
+    Labels before a value are told by words, because the characters before it are cut at a fixed number: a pattern would also match in a
+    word whose beginning is cut off, and would have to spell out each way of writing A.B.N.
+    """
     return F.filter(F.split(F.replace(F.lower(before), F.lit("."), F.lit("")), "[^a-z0-9]+"), lambda x: x != "")
 
 

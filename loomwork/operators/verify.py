@@ -87,7 +87,9 @@ def sanity(name: Column, value: Column, own_labels: list[str] | tuple[str, ...]
         bare = F.filter(F.split(F.lower(raw), "[^a-z]+"), lambda x: x != "")
         long_words = F.size(F.filter(F.split(raw, r"\s+"), lambda x: x.rlike("[A-Za-z]{3}")))
         street = (among(bare, STREET_WORDS) > 0) | F.exists(F.array(*map(F.lit, STREET_PHRASES)), lambda x: F.array_join(bare, " ").contains(x))
+        # the rule is about digits, whatever parts them: 04 and eight more, or 61 (0) 4 and eight more
         mobile = ((F.length(d) == 10) & F.startswith(d, F.lit("04")) | (F.length(d) == 11) & F.startswith(d, F.lit("614")) | (F.length(d) == 12) & F.startswith(d, F.lit("6104"))) & ~raw.rlike("[A-Za-z]{3}")
+        # one @ with something before it, and after it a host of two labels or more
         mail = F.split(raw, "@")
         host = F.try_element_at(mail, F.lit(2))
         email = (F.size(mail) == 2) & (F.length(mail[0]) > 0) & ~raw.rlike(r"\s") & host.rlike(r"^[^.].*\..{2,}$")

@@ -12,8 +12,10 @@ Tokens with few sets give all their pairs. Larger groups first give only links t
 when those have been verified and merged into components, only pairs of sets from different components of a
 group are left. They are compared in blocks by bitmaps and orders, and verified: first only the nearest few of
 each set, then, when those have been merged too, all that are left. So a large group of near copies costs about
-as many verifications as it has members, and no link is lost. The bounds `small`, `block` and `nearest` choose
-the path, never the result.
+as many verifications as it has members, and no link is lost. A group of more than `split` sets is not compared as
+a whole: similar sets share a prefix token under each further order too, so it is parted by the prefix tokens of the
+second order, parts that are still larger by those of the third, and parts inside one component are done. The bounds
+`small`, `block`, `nearest` and `split` choose the path, never the result.
 
 Defined results: a null text, or one without words, has no n-grams and is alone. Repeated documents and
 documents with equal sets are linked. Null and repeated doc_ids, and ids of any type, are told apart by the hash of the text; a
@@ -23,6 +25,8 @@ null doc_id is the id of a component only if no member has another. Columns besi
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +49,8 @@ BLOCK = 4096
 BITS = 16
 #: Nearest partners that a set proposes in each of its groups before all that are left are compared.
 NEAREST = 3
+#: Sets of a group from which it is parted by further orders: a set's rows for those are then fewer than for its blocks.
+SPLIT = 16 * BLOCK
 _FAR = np.uint64(1 << 63)
 SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1)) for k in range(ORDERS)]
 
@@ -322,15 +328,50 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, gram: int, lea
     return out
 
 
-def later_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: int, most: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Pairs of members of a group that are in different components and whose bitmaps are near enough.
+def parted(members: DataFrame, nodes: DataFrame, order: int, least: int) -> DataFrame:
+    """Members of groups (token, n, c, a, b) in the parts of each: one for each prefix token under a further order."""
+    rows = members.select("token", "n", "c", "a", "b").join(nodes.select("a", "b", "heads"), ["a", "b"]).select("token", "n", "c", "a", "b", "heads")
+
+    def run(batches):
+        for part in sliced(batches):
+            found = [np.zeros(0, np.uint64)]
+            for n, raw in zip(part.column(1).to_pylist(), part.column(5).to_pylist(), strict=True):
+                k = prefix_length(n, least)
+                own = np.frombuffer(raw, np.uint32 if k > WIDE else np.uint16).reshape(ORDERS, k)[order]
+                found.append(np.unique(own.astype(np.uint16)).astype(np.uint64))
+            at = np.repeat(np.arange(part.num_rows), [len(x) for x in found[1:]])
+            token = mix(part.column(0).to_numpy().astype(np.uint64)[at] ^ mix(np.concatenate(found) + np.uint64(order << 16)))
+            yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int64)), *(part.column(k).take(pa.array(at)) for k in range(1, 5))], names=["token", "n", "c", "a", "b"])
+
+    return rows.mapInArrow(run, "token long, n long, c long, a long, b long")
+
+
+def mixed_groups(rows: DataFrame, nodes: DataFrame, least: int, split: int) -> list[DataFrame]:
+    """Members of groups with several components, with the group's size; those beyond `split` in parts. All are staged."""
+    out = []
+    for order in range(ORDERS + 1):
+        n = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"))
+        known = staged(rows.join(n.where("lo <> hi").select("token", "size"), "token"))
+        if out:
+            discard(rows)
+        out.append(known)
+        if order == ORDERS or (large := known.where(F.col("size") > split)).isEmpty():
+            break
+        rows = staged(parted(large, nodes, order, least))
+        out[-1] = known.where(F.col("size") <= split)
+        out[-1]._staged_at = known._staged_at
+    return out
+
+
+def later_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: int, most: int | None = None, block: int = BLOCK, split: int = SPLIT) -> DataFrame:
+    """Pairs of members of a group that are in different components and whose bitmaps are near enough; staged.
 
     With `most`, each member of a group proposes only its nearest few, which merge most of a large group.
     """
     root = roots.select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.xxhash64("root.a", "root.b").alias("c"))
-    known = members.join(root, ["a", "b"], "left").withColumn("c", F.coalesce("c", F.xxhash64("a", "b")))
-    mixed = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    known = known.join(mixed.select("token", "size"), "token")
+    placed = members.join(root, ["a", "b"], "left").withColumn("c", F.coalesce("c", F.xxhash64("a", "b")))
+    groups = mixed_groups(placed.select("token", "n", "c", "a", "b"), nodes, least, split)
+    known = reduce(DataFrame.unionByName, groups)
     # members meet in blocks: a block pair for every two blocks of a group
     blocks = F.ceil(F.col("size") / block).cast("long")
     own = F.pmod(F.xxhash64("a", "b"), blocks)
@@ -393,10 +434,12 @@ def later_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, least: i
         if held:
             yield found(held)
 
-    return order.mapInArrow(run, PAIR).distinct()
+    out = staged(order.mapInArrow(run, PAIR).distinct())
+    discard(*groups)
+    return out
 
 
-def classes(docs: DataFrame, gram: int = GRAM, least: int = LEAST, small: int = SMALL, block: int = BLOCK, nearest: int = NEAREST) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, gram: int = GRAM, least: int = LEAST, small: int = SMALL, block: int = BLOCK, nearest: int = NEAREST, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, twin, n, a, b of each document; a, b, ra, rb: the component's root of each signature)."""
     docs = docs.select("doc_id", "text")
     rows = staged(signed(docs, gram, least))
@@ -415,7 +458,7 @@ def classes(docs: DataFrame, gram: int = GRAM, least: int = LEAST, small: int =
     discard(found)
     members = linked.where("kind = 1").select("token", "n", F.col("xa").alias("a"), F.col("xb").alias("b")).distinct()
     for most in (nearest, None):
-        more = staged(later_links(members, nodes, roots, least, most, block))
+        more = later_links(members, nodes, roots, least, most, block, split)
         release(docs.sparkSession)
         if more.isEmpty():
             break

@@ -552,9 +552,9 @@ def test_jaccard_of_a_group_of_near_copies(spark):
     assert rows(jaccard.join(df)) == sorted(brute.op9(docs), key=repr)
 
 
-@pytest.mark.parametrize("bounds", [{"small": 6}, {"small": 3, "block": 8}, {"small": 2, "block": 3, "nearest": 1}])
+@pytest.mark.parametrize("bounds", [{"small": 6}, {"small": 3, "block": 8}, {"small": 2, "block": 3, "nearest": 1}, {"small": 2, "block": 3, "nearest": 1, "split": 4}])
 def test_jaccard_paths_give_the_same(spark, bounds):
-    """Groups below and beyond each bound: all pairs, leaders, blocks, nearest partners and what is left."""
+    """Groups below and beyond each bound: all pairs, leaders, blocks, nearest partners, parts and what is left."""
     docs = []
     for family in range(3):
         words = prose(70 + family, 90).split()
@@ -585,6 +585,26 @@ def test_candidates_are_intersected_before_texts_are_read(spark):
     assert jaccard.filtered(pairs, nodes, 85).count() < 0.5 * pairs.count()
 
 
+def test_a_hot_token_is_parted_by_further_orders(spark):
+    """400 unlike sets and 20 pairs of similar ones in one group: its parts hold each similar pair, and few others."""
+    rng = np.random.default_rng(11)
+    hot = np.array([5], np.uint64)
+    sets = [np.unique(np.concatenate([hot, rng.integers(0, 2**63, 60).astype(np.uint64)])) for _ in range(400)]
+    sets += [np.unique(np.concatenate([x[:-1], rng.integers(0, 2**63, 1).astype(np.uint64)])) for x in sets[:20]]
+    nodes = spark.createDataFrame([(k, -k, len(x), jaccard.bitmap(x), jaccard.heads(x, 85)) for k, x in enumerate(sets)], "a long, b long, n long, bits binary, heads binary")
+    members = nodes.select(jaccard.F.lit(1).cast("long").alias("token"), "n", "a", "b")
+    roots = spark.createDataFrame([], "node struct<a:long,b:long>, root struct<a:long,b:long>")
+    want = {(k, 400 + k) for k in range(20)}
+    assert all(jaccard.similar(sets[x], sets[y], 85) for x, y in want)
+    for split in (1000, 64, 2):
+        got = {tuple(sorted((r.xa, r.ya))) for r in jaccard.later_links(members, nodes, roots, 85, split=split).collect()}
+        assert want <= got
+    placed = members.withColumn("c", jaccard.F.xxhash64("a", "b"))
+    whole, parts = (jaccard.mixed_groups(placed.select("token", "n", "c", "a", "b"), nodes, 85, split) for split in (1000, 64))
+    compared = [sum(r.n * (r.n - 1) // 2 for g in x for r in g.groupBy("token").agg(jaccard.F.count("*").alias("n")).collect()) for x in (whole, parts)]
+    assert compared[0] == 420 * 419 // 2 and compared[1] < compared[0] / 50
+
+
 def test_jaccard_of_many_documents_of_one_id(spark):
     """Null ids, repeated ids and string ids: each text is a document of its own, and each set is fetched once."""
     texts = [prose(300 + k // 2, 40) + (" tail" if k % 2 else "") for k in range(2000)]

@@ -59,7 +59,7 @@ def test_edges(spark, edge_docs, no_docs, tmp_path):
 
 def test_registered():
     names = set(queries.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)}
     assert set(queries.oracle_sql()) <= names
 
 

@@ -330,6 +330,70 @@ def test_equal_passages_behind_variants(spark):
     assert [t for t in range(30) if (10 * t + 8, 10 * t + 1) not in found] == []
 
 
+def linked_classes(docs, links):
+    """doc -> smallest document reached by links."""
+    root = {d: d for d, _ in docs}
+    changed = True
+    while changed:
+        changed = False
+        for x, y in links:
+            if root[x] != root[y]:
+                root[x] = root[y] = min(root[x], root[y])
+                changed = True
+    return root
+
+
+def common_lines(families):
+    """Documents with one of two common lines, and for each family some with both, a word of their own between them."""
+    docs = []
+    for f in range(families):
+        one, two = prose(50_000 + f, 28), prose(51_000 + f, 28)
+        docs += [(1000 * f + k, f"{prose(52_000 + 100 * f + k, 60)} {(one, two)[k % 2]} {prose(54_000 + 100 * f + k, 60)}") for k in range(40)]
+        docs += [(1000 * f + k, f"{prose(56_000 + 100 * f + k, 60)} {one} own{k} {two} {prose(58_000 + 100 * f + k, 60)}") for k in range(40, 44)]
+    return docs
+
+
+@pytest.mark.parametrize("block", [5, 4096])
+def test_passages_of_two_common_lines(spark, monkeypatch, block):
+    """All keys of the passages are in large groups, whose first documents have only a part of it: no class is lost."""
+    monkeypatch.setattr(passages, "BLOCK", block, raising=False)
+    docs = common_lines(3)
+    shingles = {d: passages.shingle_hashes(passages.Words([t.encode()], passages.ALNUM).hash, passages.GRAM) for d, t in docs}
+    want = {(x, y) for x in shingles for y in shingles if y < x and passages.alike(shingles[x], shingles[y])}
+    assert len(want) == 3 * 6
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in passages.members(df).collect()} == linked_classes(docs, want)
+    assert {(r.doc_id, r.other_id) for r in passages.passages(df).collect()} <= want
+
+
+def test_passage_whose_lines_stand_alone_before(spark):
+    """Both lines of a passage also stand alone earlier in one of its two documents, so its keys are there more than once."""
+    one, two = prose(61, 28), prose(62, 28)
+    docs = [(1, f"{one} {prose(63, 300)} {two} {prose(64, 300)} {one} here {two} {prose(65, 60)}"), (2, f"{prose(66, 40)} {one} there {two} {prose(67, 30)}")]
+    got = passages.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.other_id) for r in got] == [(2, 1)] and 650 < got[0].other_start < 660 and 56 <= got[0].n_words <= 58
+
+
+def test_classes_of_many_lines_equal_brute_force(spark):
+    """Documents made of a few lines with changed words, so that every line has a large group: classes against all pairs."""
+    rng = np.random.default_rng(21)
+    lines = [prose(70_000 + k, 26).split() for k in range(12)]
+    docs = []
+    for k in range(150):
+        words = prose(71_000 + k, 20).split()
+        for line in rng.choice(12, 3, replace=False).tolist():
+            words += edited(lines[line], rng, int(rng.random() < 0.2), 10 * k + line)
+            if rng.random() < 0.7:
+                words += prose(72_000 + 20 * k + line, int(rng.integers(1, 16))).split()
+        docs.append((k, " ".join([*words, prose(75_000 + k, 20)])))
+    shingles = {d: passages.shingle_hashes(passages.Words([t.encode()], passages.ALNUM).hash, passages.GRAM) for d, t in docs}
+    want = {(x, y) for x in shingles for y in shingles if y < x and passages.alike(shingles[x], shingles[y])}
+    got = passages.members(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    classes = linked_classes(docs, want)
+    assert 20 < len(set(classes.values())) < 150
+    assert {r.doc_id: r.class_id for r in got} == classes
+
+
 def test_passage_with_a_line_that_occurs_before():
     """A line inside the passage that the other document, or both, has once more shortly before, or often."""
     line, body = prose(51, 14), prose(50, 61).split()

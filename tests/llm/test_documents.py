@@ -366,6 +366,39 @@ def test_passages_of_two_common_lines(spark, monkeypatch, block):
     assert {(r.doc_id, r.other_id) for r in passages.passages(df).collect()} <= want
 
 
+def test_passages_of_parted_keys(spark, monkeypatch):
+    """Keys parted by tokens, these in blocks: no class is lost."""
+    monkeypatch.setattr(passages, "BLOCK", 4)
+    monkeypatch.setattr(passages, "MANY", 8)
+    docs = common_lines(1)
+    got = passages.members(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {d: 40 if d >= 40 else d for d, _ in docs}
+
+
+def test_hashes_around_a_key_equal_plain_comparison():
+    """Counts of equal hashes, what is joined to the key, and the pairs that connect the classes."""
+    rng = np.random.default_rng(31)
+    base = rng.integers(1, 300, passages.WIDE)
+    near = np.where(rng.random((40, passages.WIDE)) < rng.choice([0.0, 0.05, 0.3], 40)[:, None], rng.integers(0, 2000, (40, passages.WIDE)), base).astype(np.uint32)
+    near[:, passages.LOCAL] = base[passages.LOCAL]
+    most, sets = passages.equal_hashes(near), [[set(row[side].tolist()) - {0} for side in passages.SIDES] for row in near]
+    assert all(most[i, j] == max(len(a & b) for a, b in zip(sets[i], sets[j], strict=True)) for i in range(40) for j in range(40) if i != j)
+    i, j = np.nonzero(np.triu(np.ones((40, 40)), 1))
+    for x, y, fits in zip(i, j, passages.around(near[i], near[j]).T, strict=True):
+        at = [k for k in range(passages.WIDE) if near[x, k] and near[x, k] in near[y]]
+        low = high = passages.LOCAL
+        for k in at:
+            high = k if 0 < k - high <= passages.GAP else high
+        for k in reversed(at):
+            low = k if 0 < low - k <= passages.GAP else low
+        own = [k for k in at if low <= k <= high]
+        long = high - low + 1 >= passages.LEAST or low <= passages.GAP or high >= passages.WIDE - 1 - passages.GAP
+        sides = [sum(side.start <= k < side.stop for k in own) for side in passages.SIDES]
+        assert fits.tolist() == [long and n >= passages.EQUAL for n in sides]
+    a, b = np.array([1, 1, 2, 5, 1]), np.array([2, 3, 3, 6, 2])
+    assert sorted(passages.spanning(a, b, np.array([40, 50, 60, 41, 45])).tolist()) == [1, 2, 3]
+
+
 def test_passage_whose_lines_stand_alone_before(spark):
     """Both lines of a passage also stand alone earlier in one of its two documents, so its keys are there more than once."""
     one, two = prose(61, 28), prose(62, 28)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -123,41 +124,72 @@ class Lease:
 
 
 LEASES = "job_id long, status string, attempts int, result string"
-_STATE = "status string, attempts int, until long, newest long"
+_STATUSES = ("queued", "processing", "completed", "failed")
+#: A job in the state of its group; `none` marks the job without an id, `due` is when its time is over.
+_JOB = np.dtype([("job", "i8"), ("none", "?"), ("status", "u1"), ("attempts", "i4"), ("until", "i8"), ("newest", "i8"), ("due", "i8")])
 
 
-def leases(events: DataFrame, lease_s: int = 900, most: int = 3, keep_s: int = 86_400) -> DataFrame:
+def leases(events: DataFrame, lease_s: int = 900, most: int = 3, keep_s: int = 86_400, groups: int = 4096) -> DataFrame:
     """Life of jobs from events (job_id, event: claimed or done or failed, at): a row for each change.
 
     A claim starts a lease in event time. When the watermark passes its end the job is queued again, or fails after
     `most` attempts. The first result counts: later ones come out as repeat or conflict. The state of a job that has ended is
     kept for `keep_s` of event time after its last event, in which repeats are told, and then dropped; that of a queued job too.
+
+    Jobs are kept in `groups` by a hash of their ids, since a call of the function costs far more than the events of a job. A
+    group's state is a table of its jobs, and its timeout that of the job that is due first. A checkpoint holds for one number of groups.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *known, newest = state.get if state.exists else (0,)
-        job = Lease(*known, lease_s=lease_s, most=most)
-        mark, rows = state.getCurrentWatermarkMs(), []
-        if state.hasTimedOut:
-            if job.status != "processing":
-                state.remove()
-                return
-            rows += job.lapse(mark)
-        held = list(frames)
+        mark, rows, seen = state.getCurrentWatermarkMs(), [], set()
+        jobs = {(job, none): rest for job, none, *rest in np.frombuffer(state.get[0], _JOB).tolist()} if state.exists else {}
+
+        def put(job_key: tuple, job: Lease, newest: int) -> None:
+            # the job's own time counts: the watermark is nought until the first batch has ended
+            due = max(job.until if job.status == "processing" else newest + keep_s * 1000, mark + 1)
+            jobs[job_key] = (_STATUSES.index(job.status), job.attempts, job.until, newest, due)
+
+        def told(job_key: tuple, changes: list[tuple]) -> None:
+            rows.extend((None if job_key[1] else job_key[0], *r) for r in changes)
+
+        def get(job_key: tuple) -> tuple[Lease, int]:
+            status, attempts, until, newest, _ = jobs.get(job_key, (0, 0, 0, 0, 0))
+            return Lease(_STATUSES[status], attempts, until, lease_s=lease_s, most=most), newest
+
+        held = [f for f in frames if len(f)]
         if held:
-            # a group may come in several frames: its events are put in order as a whole
-            for event, at in pd.concat(held).sort_values(["ms", "event"])[["event", "ms"]].itertuples(index=False):
-                rows += job.take(event, int(at))
+            # a job's events may come in several frames: they are put in order as a whole
+            held = pd.concat(held).sort_values(["none", "job", "ms", "event"])
+            now, job, newest = None, None, 0
+            for *job_key, event, at in zip(*(held[c].tolist() for c in ("job", "none", "event", "ms")), strict=True):
+                if (own := tuple(job_key)) != now:
+                    if job is not None:
+                        put(now, job, newest)
+                    now = own
+                    job, newest = get(now)
+                    seen.add(now)
+                told(now, job.take(event, int(at)))
                 newest = max(newest, int(at))
-        state.update((job.status, job.attempts, job.until, newest))
-        # the job's own time counts: the watermark is nought until the first batch has ended
-        state.setTimeoutTimestamp(max(job.until if job.status == "processing" else newest + keep_s * 1000, mark + 1))
-        yield pd.DataFrame([(key[0], *r) for r in rows], columns=["job_id", "status", "attempts", "result"])
+            put(now, job, newest)
+        for job_key in [k for k, v in jobs.items() if v[-1] < mark and k not in seen]:
+            job, newest = get(job_key)
+            if job.status == "processing":
+                told(job_key, job.lapse(mark))
+                put(job_key, job, newest)
+            else:
+                del jobs[job_key]
+        if jobs:
+            state.update((np.array([(*k, *v) for k, v in jobs.items()], _JOB).tobytes(),))
+            state.setTimeoutTimestamp(max(min(v[-1] for v in jobs.values()), mark + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(rows, columns=["job_id", "status", "attempts", "result"]).astype({"job_id": "Int64"})
 
     timed = events.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", "10 minutes")
-    # milliseconds since 1970, as the watermark is, whatever the session's time zone
-    timed = timed.withColumn("ms", F.unix_millis("at"))
-    return timed.groupBy("job_id").applyInPandasWithState(step, LEASES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    job = F.col("job_id").cast("long")
+    # milliseconds since 1970, as the watermark is, whatever the session's time zone; `at` stays, as late rows are told by it
+    timed = timed.select(F.pmod(F.xxhash64(job), F.lit(groups)).cast("int").alias("group"), F.coalesce(job, F.lit(0)).alias("job"), job.isNull().alias("none"), "event", F.unix_millis("at").alias("ms"), "at")
+    return timed.groupBy("group").applyInPandasWithState(step, LEASES, "jobs binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def lease_history(events: DataFrame, watermark_ms: int | None = None, lease_s: int = 900, most: int = 3) -> DataFrame:

@@ -207,3 +207,25 @@ def test_identity_folders(spark, tmp_path):
         assert [r.doc_id for r in spark.read.parquet(str(tmp_path / "place" / "unassigned")).collect()] == [3]
         shutil.rmtree(tmp_path / "log" / "commits")
     assert read == [["ann", "bo"], ["ann"], ["cy"], ["cy"]]
+
+
+def test_jobs_share_a_group_of_state(spark, tmp_path):
+    """A call of the state function takes all jobs of a group, those without an id too; each job's rows are those of its own fold."""
+    rows = [
+        [(1, "claimed", 0), (2, "claimed", 0), (3, "done", 5), (None, "claimed", 7), (0, "claimed", 8)],
+        [(1, "done", 60), (1, "failed", 80), (2, "claimed", 2000), (None, "done", 60)],
+        [(2, "claimed", 4000), (2, "claimed", 6000), (2**60 + 1, "claimed", 7200)],
+        [(2**60 + 1, "done", 7300)],
+    ]
+    stream = events(spark, str(tmp_path / "in"), rows)
+    out = jobs.leases(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log"))
+    table = spark.createDataFrame([(j, e, START + timedelta(seconds=s)) for batch in rows for j, e, s in batch], "job_id long, event string, at timestamp")
+    want = sorted(map(str, jobs.lease_history(table, int((START.timestamp() + 7300 - 600) * 1000)).collect()))
+    out.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == want
+    one = jobs.leases(stream, groups=1).writeStream.format("parquet").option("path", str(tmp_path / "one")).option("checkpointLocation", str(tmp_path / "one-log"))
+    query = one.trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "one")).collect())) == want
+    # five jobs, one row of state
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == 1

@@ -111,8 +111,10 @@ def st4_job_leases(spark, sf_dir):
         out = jobs.leases(stream, lease_s=259_200, keep_s=366 * 86_400).writeStream.format("parquet").option("path", f"{place}/out")
         return out.option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start()
 
-    half = halves(spark, sf_dir)
-    in_waves(events, [half & (F.col("event_id") < 500), half & (F.col("event_id") >= 500), ~half], run)
+    # by time and not by id: an event that is behind the watermark of the batches before would be dropped
+    first, last = events.agg(F.min("at"), F.max("at")).first()
+    early, half = (F.coalesce(F.col("at") < F.lit(first + (last - first) / n if first else None), F.lit(False)) for n in (100, 2))
+    in_waves(events, [early, ~early & half, ~half], run)
     return spark.read.schema(jobs.LEASES).parquet(f"{place}/out")
 
 

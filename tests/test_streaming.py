@@ -229,3 +229,13 @@ def test_jobs_share_a_group_of_state(spark, tmp_path):
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "one")).collect())) == want
     # five jobs, one row of state
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == 1
+
+
+def test_leases_of_events_whose_ids_are_not_in_order_of_time(spark, tmp_path):
+    """The waves of the query are in order of time, so no event is behind the watermark of an earlier one."""
+    import __spark_entry__
+
+    rows = [(n, 1 + n % 7, ("click", "view", "error")[n % 3], START + timedelta(hours=7 * (1200 - n))) for n in range(1200)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    got, want = (sorted(map(str, __spark_entry__.queries()[q](spark, str(tmp_path)).collect())) for q in ("st4_job_leases", "st4_lease_history"))
+    assert got == want and len(got) > 400

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import checks
-from loomwork.operators.joins import drop_overlaps
+from loomwork.functions.names import fresh
 from loomwork.operators.labels import form_pack, labelled
 
 #: Shapes of the sweep (name, Java pattern, confidence), from the public forms of the values.
@@ -28,39 +28,67 @@ SHAPES = [
     ("currency", r"\$ ?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d{2})?(?![\d,])", 0.80),
 ]
 SHAPE = {name: pattern for name, pattern, _ in SHAPES}
+#: What a text must hold for a pattern to match, as this is found out much faster: a piece of text, or a digit.
+NEEDS = {SHAPE["email"]: "@", SHAPE["phone_us"]: "555-", SHAPE["secret"]: ' = "', SHAPE["currency"]: "$"} | {SHAPE[n]: r"\d" for n in ("phone", "card", "abn", "bsb", "postcode", "date", "ipv4")}
 #: Characters before a match that are kept with it.
 BEFORE = 30
 
 
-def found(text: Column, pattern: str) -> Column:
-    """Matches of a pattern as an array of (s, e, value), offsets from 0; no built-in tells offsets.
+#: Stands around matches; texts that hold it are split by the pattern itself.
+MARK = "\x01"
+
+
+def parts(text: Column, pattern: str) -> Column:
+    """A text as an array of the pieces between the matches of a pattern and the matches, in turn: one pass of the pattern."""
+    values, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+    turns = F.flatten(F.zip_with(pieces, values, lambda p, v: F.array(p, v)))
+    marked = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
+    return F.when(F.contains(text, F.lit(MARK)), F.slice(turns, 1, F.lit(2) * F.size(values) + 1)).otherwise(marked)
 
-    They are running sums over the pieces between the matches and the matches themselves.
-    """
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,value:string>>").alias("out"))
+
+def places(turns: Column) -> Column:
+    """Matches among `parts` as an array of (s, e, value), offsets from 0; no built-in tells offsets, so they are running sums."""
+    none = F.array().cast("array<struct<s:int,e:int,value:string>>")
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), none.alias("out"))
 
     def step(a, x):
-        s = a["at"] + F.length(x["p"])
-        e = s + F.length(x["v"])
-        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("value")))).alias("out"))
+        e = a["at"] + F.length(x)
+        own = F.array(F.struct(a["at"].alias("s"), e.alias("e"), x.alias("value")))
+        return F.struct(e.alias("at"), (~a["match"]).alias("match"), F.when(a["match"], F.concat(a["out"], own)).otherwise(a["out"]).alias("out"))
+
+    return F.when(F.size(turns) > 1, F.aggregate(turns, start, step)["out"]).otherwise(none)
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(values)), values, lambda p, v: F.struct(p.alias("p"), v.alias("v")))
-    return F.aggregate(pairs, start, step)["out"]
+
+def when_needed(text: Column, pattern: str, digit: Column, made: Column, none: Column) -> Column:
+    """made if the text has what the pattern needs, else none."""
+    need = NEEDS.get(pattern)
+    if need is None:
+        return made
+    return F.when(digit if need == r"\d" else F.contains(text, F.lit(need)), made).otherwise(none)
+
+
+def matched(docs: DataFrame, shapes) -> tuple[DataFrame, list[str]]:
+    """doc_id, text and the `parts` of texts, which aren't null, by each shape, and the names of these columns.
+
+    A pattern runs over the texts that have what it needs, and once for a text, as its parts are a column.
+    """
+    names, text = [f"match_{k}" for k in range(len(shapes))], F.col("text")
+    rows = docs.where("text is not null").select("doc_id", "text", text.rlike("[0-9]").alias("digit"))
+    every = (when_needed(text, p, F.col("digit"), parts(text, p), F.array(F.lit(""))).alias(n) for n, (_, p, _) in zip(names, shapes, strict=True))
+    return rows.select("doc_id", "text", *every), names
 
 
 def values_of(docs: DataFrame, shapes=SHAPES) -> DataFrame:
     """doc_id, field_name, value, confidence of every match of every shape: one pass of each pattern, as no place is asked for."""
+    text = F.col("text")
 
     def named(name: str, pattern: str, confidence: float) -> Column:
-        return F.transform(
-            F.regexp_extract_all("text", F.lit(pattern), F.lit(0)),
-            lambda v: F.struct(F.lit(name).alias("field_name"), v.alias("value"), F.lit(confidence).alias("confidence")),
-        )
+        values = when_needed(text, pattern, F.col("digit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+        return F.transform(values, lambda v: F.struct(F.lit(name).alias("field_name"), v.alias("value"), F.lit(confidence).alias("confidence")))
 
     every = F.concat(*(named(*shape) for shape in shapes))
-    return docs.where("text is not null").select("doc_id", F.explode(every).alias("m")).select("doc_id", "m.*")
+    rows = docs.where("text is not null").select("doc_id", "text", text.rlike("[0-9]").alias("digit"))
+    return rows.select("doc_id", F.explode(every).alias("m")).select("doc_id", "m.*")
 
 
 def sweep(docs: DataFrame, shapes=SHAPES) -> DataFrame:
@@ -69,14 +97,15 @@ def sweep(docs: DataFrame, shapes=SHAPES) -> DataFrame:
     One pass over the texts: the shapes are columns of one projection, not copies of the rows.
     """
 
-    def named(name: str, pattern: str, confidence: float) -> Column:
+    def named(column: str, name: str, confidence: float) -> Column:
         return F.transform(
-            found(F.col("text"), pattern),
+            places(F.col(column)),
             lambda m: F.struct(F.lit(name).alias("field_name"), m["s"].alias("s"), m["e"].alias("e"), m["value"].alias("value"), F.lit(confidence).alias("confidence"), ahead(F.col("text"), m["s"], BEFORE).alias("before")),
         )
 
-    every = F.concat(*(named(*shape) for shape in shapes))
-    return docs.where("text is not null").select("doc_id", F.explode(every).alias("m")).select("doc_id", "m.*")
+    rows, columns = matched(docs, shapes)
+    every = F.concat(*(named(c, n, q) for c, (n, _, q) in zip(columns, shapes, strict=True)))
+    return rows.select("doc_id", F.explode(every).alias("m")).select("doc_id", "m.*")
 
 
 def ahead(text: Column, s: Column, n: int) -> Column:
@@ -116,14 +145,26 @@ def owned(matches: DataFrame) -> DataFrame:
     """Matches without those that lie in a stronger identifier.
 
     Cards, phones and business numbers that are valid or labelled own their digits; a card's digits are no business number.
+    Two sweeps over a document's matches (see joins.drop_overlaps): a match is at its start in a sweep that takes it for a claim, at its
+    end in one that asks whether it overlaps one. The matches are made once and shuffled once, by doc_id.
     """
     name = F.col("field_name")
-    cards = matches.where("field_name = 'card'").select("doc_id", "s", "e")
-    abns = drop_overlaps(matches.where("field_name = 'abn'"), cards)
-    own = abns.where(checks.abn_valid(F.col("value")) | ends_with(F.expr("right(before, 12)"), ABN_WORDS, 3))
-    claims = matches.where(name.isin("card", "phone", "phone_us")).unionByName(own).select("doc_id", "s", "e")
-    weak = matches.where(name.isin("bsb", "postcode")).unionByName(abns.exceptAll(own))
-    return matches.where(~name.isin("bsb", "postcode", "abn")).unionByName(own).unionByName(drop_overlaps(weak, claims))
+    first, second, own = fresh(matches, "card_end", "claim_end", "sure")
+
+    def taken(rows: DataFrame, claim: Column, end: str) -> tuple[DataFrame, Column]:
+        """rows with the greatest end of the claims that start before theirs, and whether one overlaps them."""
+        placed = claim & F.col("s").isNotNull() & F.col("e").isNotNull()
+        order = F.when(claim, F.col("s")).otherwise(F.col("e")), claim.cast("int")
+        before = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumn(end, F.max(F.when(placed, F.col("e"))).over(before)), F.coalesce(F.col("doc_id").isNotNull() & (F.col(end) > F.col("s")), F.lit(False))
+
+    card, abn = name == "card", name == "abn"
+    rows, clash = taken(matches.where(name.isNotNull()), card, first)
+    sure = abn & F.coalesce(checks.abn_valid(F.col("value")) | ends_with(F.expr("right(before, 12)"), ABN_WORDS, 3), F.lit(False))
+    rows = rows.where(~abn | ~clash).withColumn(own, sure)
+    rows, clash = taken(rows, name.isin("card", "phone", "phone_us") | F.col(own), second)
+    weak = name.isin("bsb", "postcode") | (abn & ~F.col(own))
+    return rows.where(~weak | ~clash).select(*matches.columns)
 
 
 SEPARATED = r"^([^:\t=-]*)[:\t=-](.*)$"
@@ -197,9 +238,10 @@ def primary_values(docs: DataFrame, as_of: str) -> DataFrame:
     """
     text, day = F.col("text"), F.lit(as_of).cast("date")
 
-    spans = docs.where("text is not null").select(
-        "doc_id", "text", *(found(text, SHAPE[n]).alias(n) for n in ("card", "abn", "phone", "bsb", "date")), F.regexp_extract("text", SHAPE["email"], 0).alias("email")
-    )
+    shapes = [s for s in SHAPES if s[0] in ("card", "abn", "phone", "bsb", "date")]
+    rows, columns = matched(docs, shapes)
+    email = F.when(F.contains("text", F.lit("@")), F.regexp_extract("text", SHAPE["email"], 0)).otherwise("")
+    spans = rows.select("doc_id", "text", *(places(F.col(c)).alias(n) for c, (n, _, _) in zip(columns, shapes, strict=True)), email.alias("email"))
     spans = spans.withColumn("abn", F.filter("abn", lambda m: _apart(m, F.col("card"))))
     valid_abn = F.filter("abn", lambda m: checks.abn_valid(m["value"]))
     labelled_abn = F.filter("abn", lambda m: ends_with(ahead(text, m["s"], 12), ABN_WORDS, 3))

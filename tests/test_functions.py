@@ -182,6 +182,34 @@ def test_owners_of_digits(spark):
     assert sorted((r.field_name, r.value) for r in owned.collect()) == [("abn", "51 824 753 557"), ("bsb", "062-000"), ("bsb", "824 753"), ("card", "4111 1111 1111 1111"), ("phone", "0412 345 678")]
 
 
+def test_texts_are_swept_once(spark):
+    """The owners of digits come from one pass over the texts and one shuffle; values and places are those of a plain version, also beside marks."""
+    import random
+    import re
+
+    rnd = random.Random(3)
+    bits = ["4111 1111 1111 1111", "ABN: ", "51 824 753 556", "51 824 753 557", "062-000", " 3000 ", "0412 345 678", "\x01", "x", ", ", "14/02/1980", "a@b.com", "$1,200", " é\n", "+1 (212) 555-0199", "1.2.3.4", 'key = "v"']
+    rows = [(k, "".join(rnd.choices(bits, k=rnd.randrange(14)))) for k in range(300)]
+    docs = spark.createDataFrame([*rows, (300, None)], "doc_id long, text string")
+    found = extract.sweep(docs)
+    every = sorted((i, n, m.start(), m.end(), m[0]) for i, t in rows for n, p, _ in extract.SHAPES for m in re.finditer(p, t, re.ASCII))
+    assert sorted((r.doc_id, r.field_name, r.s, r.e, r.value) for r in found.collect()) == every
+    valid = {"51 824 753 556"}
+    text, want = dict(rows), []
+    for i in text:
+        mine = [x for x in every if x[0] == i]
+        over = lambda x, claims: any(x[2] < c[3] and c[2] < x[3] for c in claims)
+        abns = [x for x in mine if x[1] == "abn" and not over(x, [c for c in mine if c[1] == "card"])]
+        sure = [x for x in abns if x[4] in valid or re.search(r"(?i)(?<![a-z0-9])abn[^A-Za-z0-9]{0,3}$", text[i][max(0, x[2] - 12) : x[2]])]
+        claims = [x for x in mine if x[1] in ("card", "phone", "phone_us")] + sure
+        weak = [x for x in mine if x[1] in ("bsb", "postcode")] + [x for x in abns if x not in sure]
+        want += [x for x in mine if x[1] not in ("bsb", "postcode", "abn")] + sure + [x for x in weak if not over(x, claims)]
+    owned = extract.owned(found)
+    assert sorted((r.doc_id, r.field_name, r.s, r.e, r.value) for r in owned.collect()) == sorted(want)
+    plan = owned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "Except" not in plan
+
+
 def test_whole_extraction(spark):
     """Labels, priorities and flags of one document; another with nothing; a null text."""
     text = "DOB: 14.02.1980\nIssued 01/01/2020\nBSB: TBC\nbranch code = 062-000\nFull Name: x\nNet salary: $4,000\nABN - 51 824 753 556\n$90,000.00"

@@ -243,11 +243,14 @@ def primary_values(docs: DataFrame, as_of: str) -> DataFrame:
     email = F.when(F.contains("text", F.lit("@")), F.regexp_extract("text", SHAPE["email"], 0)).otherwise("")
     spans = rows.select("doc_id", "text", *(places(F.col(c)).alias(n) for c, (n, _, _) in zip(columns, shapes, strict=True)), email.alias("email"))
     spans = spans.withColumn("abn", F.filter("abn", lambda m: _apart(m, F.col("card"))))
-    valid_abn = F.filter("abn", lambda m: checks.abn_valid(m["value"]))
+    # columns of their own, as they are used more than once
+    spans = spans.withColumn("valid_abn", F.filter("abn", lambda m: checks.abn_valid(m["value"])))
+    valid_abn = F.col("valid_abn")
     labelled_abn = F.filter("abn", lambda m: ends_with(ahead(text, m["s"], 12), ABN_WORDS, 3))
     spans = spans.withColumn("claims", F.concat(valid_abn, labelled_abn, "phone", "card"))
     spans = spans.withColumn("bsb", F.filter("bsb", lambda m: _apart(m, F.col("claims")) & checks.bsb_valid(m["value"])))
-    anchored = F.filter("bsb", lambda m: mentions(ahead(text, m["s"], 30), BSB_WORDS))
+    spans = spans.withColumn("anchored", F.filter("bsb", lambda m: mentions(ahead(text, m["s"], 30), BSB_WORDS)))
+    anchored = F.col("anchored")
     born = F.filter("date", lambda m: ends_with(ahead(text, m["s"], 24), DOB_WORDS, 12) & checks.dob_error(m["value"], day).isNull())
 
     def row(name: str, value: Column, confidence: Column | float) -> Column:

@@ -63,7 +63,7 @@ union all select doc_id, 'date', d from f, (select unnest(['14/02/1980', '31/02/
 def x4_form_ownership(spark, sf_dir):
     """Who owns which digits of the forms: none of a card, a phone or a labelled business number is read as a branch number or postcode."""
     # dealt by document, so that a few large files have all cores and the sweeps of a document need no other shuffle
-    forms = views.forms(spark, sf_dir).repartition("doc_id")
+    forms = views.forms(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     shapes = [s for s in extract.SHAPES if s[0] not in ("email", "currency")]
     return extract.owned(extract.sweep(forms, shapes)).select("doc_id", "field_name", "value")
 

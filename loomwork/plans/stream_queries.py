@@ -293,7 +293,8 @@ def st5_identities(spark, sf_dir):
     stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(source)
 
     def people(fields: DataFrame) -> DataFrame:
-        wide = fields.groupBy("doc_id").pivot("field_name", ["family_name", "given_names", "date_of_birth"]).agg(F.min("value"))
+        names = ["family_name", "given_names", "date_of_birth"]
+        wide = fields.where(F.col("field_name").isin(names)).groupBy("doc_id").pivot("field_name", names).agg(F.min("value"))
         return wide.select("doc_id", identity_id(F.col("family_name"), F.col("given_names"), F.col("date_of_birth")).alias("identity_id")).where("identity_id is not null")
 
     def refresh(new: DataFrame, every: DataFrame) -> DataFrame:

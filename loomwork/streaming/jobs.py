@@ -270,11 +270,12 @@ def extract_stream(
     """Extracts the fields of new documents and appends them, a folder for each batch.
 
     refresh(new fields, all fields) gives the rows of the identities that the new fields touch; they are written below
-    `identities`, a folder for each batch, of which the latest counts for an identity.
+    `identities`, a folder for each batch, of which the latest counts for an identity. Documents are dealt by their doc_id first: a batch
+    of one large file would else be one task. Their number is given, as texts that pack well would be merged into one task again.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
-        own = extract(batch)
+        own = extract(batch.repartition(int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id"))
         own.write.mode("overwrite").parquet(f"{target}/batch={number}")
         if refresh is not None:
             spark = batch.sparkSession

@@ -239,3 +239,14 @@ def test_leases_of_events_whose_ids_are_not_in_order_of_time(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
     got, want = (sorted(map(str, __spark_entry__.queries()[q](spark, str(tmp_path)).collect())) for q in ("st4_job_leases", "st4_lease_history"))
     assert got == want and len(got) > 400
+
+
+def test_documents_of_one_file_are_dealt(spark, tmp_path):
+    """A batch of one file is extracted by as many tasks as there are partitions, and a document by one."""
+    source = str(tmp_path / "in")
+    spark.createDataFrame([(k % 40, "name: x") for k in range(80)], "doc_id long, text string").coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema("doc_id long, text string").parquet(source)
+    extracted = jobs.extract_stream(stream, lambda batch: batch.select("doc_id", F.spark_partition_id().alias("part")), str(tmp_path / "out"), str(tmp_path / "log"))
+    extracted.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "part").distinct().collect()
+    assert len(got) == 40 and len({r.part for r in got}) > 2

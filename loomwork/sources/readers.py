@@ -9,17 +9,38 @@ from pyspark.sql.types import StringType, StructField, StructType
 from loomwork.functions.text import extension
 
 
-def scan_files(spark: SparkSession, roots: list[str]) -> DataFrame:
+#: Bytes of a file beyond which its head is read without the rest: the source of whole files would hold all of it in a task.
+LARGE = 1 << 24
+HEAD = 4096
+
+
+def scan_files(spark: SparkSession, roots: list[str], large: int = LARGE) -> DataFrame:
     """root_rank, path, modified, bytes, head (4 KB) and content of the files below the roots; hidden ones are left out.
 
-    Not selecting head and content prunes the bytes from the scan.
+    Not selecting head and content prunes the bytes from the scan. Heads of files of more than `large` bytes are read by the driver, as no
+    source of Spark reads a part of a file; without the content, memory holds no such file.
     """
     out = None
     for rank, root in enumerate(roots):
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        one = files.select(F.lit(rank).alias("root_rank"), "path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), F.substring("content", 1, 4096).alias("head"), "content")
+        files = files.where(~F.regexp_extract("path", r"([^/]*)$", 1).rlike(r"^[.~]|\.(partial|tmp)$"))
+        # the source leaves files out by their length before it reads them
+        heads = [(r.path, head(spark, r.path)) for r in files.where(F.col("length") > large).select("path").toLocalIterator()]
+        beyond = files.where(F.col("length") > large).join(spark.createDataFrame(heads, "path string, head binary"), "path")
+        every = files.where(F.col("length") <= large).withColumn("head", F.substring("content", 1, HEAD)).unionByName(beyond)
+        one = every.select(F.lit(rank).alias("root_rank"), "path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), "head", "content")
         out = one if out is None else out.unionByName(one)
-    return out.where(~F.regexp_extract("path", r"([^/]*)$", 1).rlike(r"^[.~]|\.(partial|tmp)$"))
+    return out
+
+
+def head(spark: SparkSession, path: str) -> bytes:
+    """The first bytes of a file that has as many, in any store of Spark."""
+    jvm, file = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(file)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, HEAD))
+    finally:
+        stream.close()
 
 
 def read_records(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:

@@ -35,6 +35,24 @@ def test_files(spark, tmp_path):
     assert (texts.text, texts.truncated) == ("plain", True)
 
 
+def test_heads_of_large_files(spark, tmp_path):
+    """A file beyond what the source of whole files may read has its head all the same, and its content if that is asked for."""
+    (tmp_path / "large file%20é.bin").write_bytes(b"%PDF" + bytes(range(256)) * 40)
+    (tmp_path / "small").write_bytes(b"abc")
+    (tmp_path / ".hidden").write_bytes(b"x" * 9000)
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    before = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, "8000")
+        rows = readers.scan_files(spark, [str(tmp_path)], large=8000).select("path", "bytes", "head").collect()
+    finally:
+        spark.conf.set(limit, before)
+    got = {r.path.rsplit("/", 1)[1][:5]: (r.bytes, bytes(r.head)) for r in rows}
+    assert got == {"large": (10_244, (b"%PDF" + bytes(range(256)) * 40)[:4096]), "small": (3, b"abc")}
+    whole = {r.bytes: bytes(r.content) for r in readers.scan_files(spark, [str(tmp_path)], large=8000).collect()}
+    assert whole == {10_244: b"%PDF" + bytes(range(256)) * 40, 3: b"abc"}
+
+
 def test_texts_of_any_character_set(spark, tmp_path):
     body = "Année 漢字 😀 <x>"
     files = {
